@@ -35,3 +35,15 @@ mixed AS (
 """
 
 MIX = f"WITH {MIX_TABLES.format(documents='documents')} SELECT doc_id, size, source_size, target, (epochs * size + last_epoch)::BIGINT AS taken FROM mixed"
+
+URLS = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+hosts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM split),
+rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, arg_max(h || p, length(h) * 100 + length(p)) AS rule, coalesce(arg_max(v, length(h) * 100 + length(p)), 'allow') AS verdict
+FROM hosts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id, host, path
+"""
