@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.llm.arrow import batch_of
 from tessera.runtime import shuffle_partitions
 
-#: At most so many keys are looked at to place the bounds of the ranges; they steer the balance, never the result.
+#: About so many keys are looked at to place the bounds of the ranges; they steer the balance, never the result.
 BOUND_SAMPLE = 4096
 
 _AFTER_SCHEME = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
@@ -107,8 +107,9 @@ def _keyed(df: DataFrame, url: str) -> DataFrame:
 
 
 def key_bounds(df: DataFrame, url: str, ranges: int) -> list[bytes]:
-    """Cuts between ranges, from the keys of a bounded sample taken by hash; a key that fills ranges by itself occurs repeatedly."""
-    sample = df.select(url).orderBy(F.xxhash64(url)).limit(BOUND_SAMPLE).collect()
+    """Cuts between ranges, from the keys of a random sample of BOUND_SAMPLE rows or so; a key that fills ranges by itself occurs repeatedly."""
+    rows = df.count()
+    sample = df.select(url).sample(min(1.0, BOUND_SAMPLE / rows), seed=1).collect() if rows else []
     keys = sorted(_key_bytes(canonical(r[0])[0]) for r in sample)
     return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
