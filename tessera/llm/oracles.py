@@ -47,3 +47,57 @@ SELECT page_id, host, path, arg_max(h || p, length(h) * 100 + length(p)) AS rule
 FROM hosts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
 GROUP BY page_id, host, path
 """
+
+#: Ends with the table ``judged``: every document's columns, its counts, base_failed and kept.
+QUALITY_TABLES = r"""
+texts AS (SELECT *, row_number() OVER () AS rowno, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM {documents}),
+runs AS (SELECT rowno, i, list_slice(ws, i, i + 7) AS run FROM texts, unnest(range(1, len(ws) - 6)) AS u(i)),
+again AS (SELECT rowno, i FROM runs QUALIFY count(*) OVER (PARTITION BY rowno, run) > 1),
+covered AS (SELECT rowno, count(DISTINCT i + k) AS n FROM again, range(0, 8) AS r(k) GROUP BY rowno),
+counted AS (
+  SELECT texts.*, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM texts LEFT JOIN covered USING (rowno)),
+rated AS (
+  SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    1000 * n_symbols // greatest(n_words, 1) AS symbol_rate,
+    1000 * (len(lines) - len(list_distinct(lines))) // greatest(len(lines), 1) AS dup_line_rate,
+    1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate,
+    100 * word_chars // greatest(n_words, 1) AS word_length,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM counted),
+long AS (
+  SELECT lang, source, rate, ((v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)) AS bucket
+  FROM (SELECT lang, source, symbol_rate::BIGINT AS symbol_rate, dup_line_rate::BIGINT AS dup_line_rate, repeat_rate::BIGINT AS repeat_rate, word_length::BIGINT AS word_length
+        FROM rated WHERE NOT base_failed) UNPIVOT (v FOR rate IN (symbol_rate, dup_line_rate, repeat_rate, word_length))),
+sketch AS (
+  SELECT 0 AS level, lang, source, rate, bucket, count(*) AS n FROM long GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, rate, bucket, count(*) FROM long GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, rate, bucket, count(*) FROM long GROUP BY ALL),
+upto AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS size FROM sketch),
+quartiles AS (
+  SELECT level, lang, source, rate, max(size) AS size, min(bucket) FILTER (upto * 4 >= size) AS q1, min(bucket) FILTER (upto * 4 >= size * 3) AS q3
+  FROM upto GROUP BY ALL),
+spreads(rate, least, both_sides) AS (VALUES ('symbol_rate', 60, false), ('dup_line_rate', 80, false), ('repeat_rate', 60, false), ('word_length', 60, true)),
+fences AS (
+  SELECT level, lang, source, rate, size, both_sides, q1 - 5 * greatest(q3 - q1, least) AS low, q3 + 5 * greatest(q3 - q1, least) AS high
+  FROM quartiles JOIN spreads USING (rate)),
+values_ AS (
+  SELECT rowno, lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS rate,
+    unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v FROM rated),
+chosen AS (
+  SELECT rowno, v, CASE WHEN f0.size >= 100 THEN f0.high WHEN f1.size >= 100 THEN f1.high ELSE f2.high END AS high,
+    CASE WHEN f2.both_sides THEN CASE WHEN f0.size >= 100 THEN f0.low WHEN f1.size >= 100 THEN f1.low ELSE f2.low END END AS low
+  FROM values_ x
+  LEFT JOIN fences f0 ON f0.level = 0 AND f0.rate = x.rate AND f0.lang IS NOT DISTINCT FROM x.lang AND f0.source IS NOT DISTINCT FROM x.source
+  LEFT JOIN fences f1 ON f1.level = 1 AND f1.rate = x.rate AND f1.lang IS NOT DISTINCT FROM x.lang
+  LEFT JOIN fences f2 ON f2.level = 2 AND f2.rate = x.rate),
+bad AS (SELECT rowno, bool_or(coalesce(v > high, false) OR coalesce(v < low, false)) AS bad FROM chosen GROUP BY rowno),
+judged AS (SELECT rated.*, NOT base_failed AND NOT bad AS kept FROM rated JOIN bad USING (rowno))
+"""
+
+QUALITY = f"""WITH {QUALITY_TABLES.format(documents='documents')}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, source FROM judged"""

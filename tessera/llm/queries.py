@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, oracles, urls
+from tessera.llm import mixing, oracles, quality, urls
 from tessera.runtime import load
 
 
@@ -14,13 +14,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(load(spark, sf_dir, "documents"))
+
+
 def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(load(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op9_filter_urls)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op9_filter_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": oracles.MIX, "op9_filter_urls": oracles.URLS}
+    return {"op1_mix_sources": oracles.MIX, "op3_quality_rules": oracles.QUALITY, "op9_filter_urls": oracles.URLS}
