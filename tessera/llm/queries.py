@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, oracles, quality, urls
+from tessera.llm import bpe, langid, mixing, oracles, quality, urls
 from tessera.runtime import load
 
 
@@ -18,12 +18,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(load(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(load(spark, sf_dir, "documents"))
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_report(load(spark, sf_dir, "documents"))
+
+
 def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(load(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op9_filter_urls)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op7_language_id, op8_bpe_round_trip, op9_filter_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
