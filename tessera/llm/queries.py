@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, langid, mixing, oracles, quality, urls
+from tessera.llm import bpe, langid, mixing, neardup, oracles, quality, urls
 from tessera.runtime import load
 
 
@@ -30,8 +30,12 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(load(spark, sf_dir, "pages"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op7_language_id, op8_bpe_round_trip, op9_filter_urls)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
