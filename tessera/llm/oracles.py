@@ -101,3 +101,12 @@ judged AS (SELECT rated.*, NOT base_failed AND NOT bad AS kept FROM rated JOIN b
 
 QUALITY = f"""WITH {QUALITY_TABLES.format(documents='documents')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, source FROM judged"""
+
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (j // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31) + 1)::INT, 1) for j in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_agrees
+FROM d
+"""
