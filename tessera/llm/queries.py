@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, langid, linededup, mixing, neardup, oracles, quality, urls, warc
+from tessera.llm import bpe, fingerprints, langid, linededup, mixing, neardup, oracles, quality, urls, warc
 from tessera.runtime import load
 
 
@@ -14,6 +14,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load(spark, sf_dir, "documents"))
 
 
+def op2_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(load(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(load(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op4_warc_archive, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
