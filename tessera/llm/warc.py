@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of
-from tessera.runtime import scratch_path
+from tessera.runtime import release_shuffles, scratch_path
 
 #: Payloads of at least so many bytes are stored as revisits when they come again.
 LEAST_REVISIT_BYTES = 0
@@ -79,12 +79,14 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT_
     """
     spark = pages.sparkSession
     record_headers(pages, least_bytes).drop("payload_bytes").write.parquet(f"{path}/headers")
+    release_shuffles(spark)
     owners = spark.read.parquet(f"{path}/headers").filter(F.col("page_id").eqNullSafe(F.col("first_page"))).select(F.col("page_id").alias("owner"), "address").distinct()
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", payload.alias("payload"), F.sha2(payload, 256).alias("own"))
     once = Window.partitionBy("page_id", "own").orderBy(F.lit(1))  # a repeated page's payload, once; needs no further exchange
     stored = rows.join(owners, rows["page_id"].eqNullSafe(owners["owner"]) & (rows["own"] == owners["address"]))
-    stored.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("address", "payload").write.parquet(f"{path}/payloads")
+    stored.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    release_shuffles(spark)
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
