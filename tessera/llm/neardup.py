@@ -8,7 +8,8 @@ most of them, drop out at once. Posting lists are merged by skipping: every clas
 list's most typical member, and what these verified links connect is skipped from then on. What a list
 still holds in different components goes through the same prefix argument over the full shingle sets (a link
 needs three quarters of the larger set, so the rarest quarter of each must meet), which leaves out classes that
-merely share a frequent passage. Every link is confirmed on full sets.
+merely share a frequent passage; short lists are compared outright. Candidates go on if a longer signature
+agrees in enough coordinates (again at odds of a millionth for a link), and every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of, slices
 from tessera.llm.graph import components
-from tessera.llm.words import WordHashes, windows
+from tessera.llm.words import WordHashes, mix, windows
 from tessera.runtime import materialize
 
 WIDTH = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 COORDINATES, MATCHES = 32, 13
+#: The longer signature, in 16-bit values, of classes that may link.
+LONG_COORDINATES, LONG_MATCHES = 256, 160
+#: Lists of more classes are merged over the prefixes of full sets.
+SHORT_LIST = 64
 
-_SEEDS = np.random.default_rng(10).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64)
+_SEEDS = np.random.default_rng(10).integers(0, 2**63, (2, LONG_COORDINATES), dtype=np.uint64)
 _FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
 
@@ -47,15 +52,20 @@ def set_digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """The least value of each coordinate's hash over the set."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        part = shingles[i : i + 2048]
-        least = np.minimum(least, (part[None, :] * _FACTORS[:, None] + _OFFSETS[:, None]).min(1))
+    least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1024):
+        part = shingles[i : i + 1024]
+        least = np.minimum(least, (part[None, :] * _FACTORS[:coordinates, None] + _OFFSETS[:coordinates, None]).min(1))
     return least
 
 
+def long_signature(shingles: np.ndarray) -> bytes:
+    """16 bits of each of LONG_COORDINATES values; the first COORDINATES are those of the signature."""
+    return (mix(signature(shingles, LONG_COORDINATES)) >> np.uint64(48)).astype(np.uint16).tobytes()
+
+
 def signatures(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (digest of the set; null without words), signature."""
     narrow = documents.select("doc_id", "text")
@@ -72,19 +82,21 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes) of the classes in ``nodes`` (node, rep), made anew from the texts of their representatives."""
+    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew from their representatives' texts."""
     wanted = nodes.select(F.col("rep").alias("doc_id"), "node")
     texts = documents.select("doc_id", "text").join(wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
+        schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
         for b in slices(batches, "text"):
             sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
-            kept = [(n, s.tobytes()) for n, s in zip(b.column("node").to_pylist(), sets, strict=True) if set_digest(s) == n]
-            yield batch_of(schema, node=[k[0] for k in kept], shingles=[k[1] for k in kept])
+            kept = [(n, s) for n, s in zip(b.column("node").to_pylist(), sets, strict=True) if set_digest(s) == n]
+            yield batch_of(schema, node=[n for n, _ in kept], shingles=[s.tobytes() for _, s in kept], long=[long_signature(s) for _, s in kept], size=[len(s) for _, s in kept])
 
-    return texts.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+    once = Window.partitionBy("doc_id", "node").orderBy(F.lit(1))  # repeated rows lie together after the join
+    made = texts.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("node", "text")
+    return made.mapInArrow(run, "node binary, shingles binary, long binary, size long")
 
 
 def rarest_first(postings: DataFrame, node: str, item: str, extra: list[str], needed: Column) -> DataFrame:
@@ -102,13 +114,21 @@ def rarest_first(postings: DataFrame, node: str, item: str, extra: list[str], ne
     return ranked.filter(F.col("place") <= F.col("total") - needed + 1 - alone).select(node, item, "freq", *extra)
 
 
-def matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes allow a link and whose signatures agree in MATCHES coordinates at least."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and whose signatures, short and long, agree in enough coordinates."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("long").alias(f"l{x}"), F.col("size").alias(f"n{x}"))
     near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return both.filter(near & (agree >= MATCHES)).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b", "la", "lb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint16).reshape(b.num_rows, -1) for n in ("la", "lb"))
+                agree = x == y
+                kept = (agree[:, :COORDINATES].sum(1) >= MATCHES) & (agree.sum(1) >= LONG_MATCHES)
+                yield b.select(["a", "b"]).filter(pa.array(kept))
+
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -137,34 +157,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     signed = materialize(signatures(documents), "signatures")
-    classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = materialize(classes, "classes")
     tokens = classes.select("node", F.posexplode("signature").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"), F.lit(COORDINATES).alias("total"))
-    prefix = rarest_first(tokens, "node", "token", [], F.lit(MATCHES))
-    postings = materialize(prefix, "postings")
+    postings = materialize(rarest_first(tokens, "node", "token", [], F.lit(MATCHES)), "postings")
 
-    typical = postings.groupBy("node").agg(F.sum(F.log2("freq")).alias("weight")).join(classes.select("node", "rep", "n_shingles", "signature"), "node")
+    typical = postings.groupBy("node").agg(F.sum(F.log2("freq")).alias("weight")).join(classes.select("node", "rep"), "node")
     nodes = materialize(typical, "nodes")
-    ranked = postings.join(nodes.select("node", "weight", "rep"), "node")
+    ranked = postings.join(nodes, "node")
     heads = ranked.groupBy("token").agg(F.max(F.struct("weight", -F.col("rep"), "node"))["node"].alias("head"))
     first = ranked.join(heads, "token").filter(F.col("node") != F.col("head"))
     first = first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     sets = materialize(shingle_sets(documents, nodes), "sets")
-    links = materialize(confirmed(matching(first, nodes), sets), "links")
+    links = materialize(confirmed(matching(first, sets), sets), "links")
 
     rooted = components(links)
     placed = postings.join(rooted, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    open_lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high")).select("token")
-    rest = placed.join(open_lists, "token").select("node", "root").distinct()
-    rest = materialize(rest, "rest")
-    hashes = rest.join(sets, "node").mapInArrow(_explode_sets, "node binary, root binary, shingle long, total long")
+    lists = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("length"))
+    still = materialize(placed.join(lists.filter(F.col("low") != F.col("high")).select("token", "length"), "token"), "lists")
+
+    one = still.filter(F.col("length") <= SHORT_LIST)
+    two = one.select("token", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    short = one.join(two, "token").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b"))).select(F.col("node").alias("a"), "b")
+
+    rest = still.filter(F.col("length") > SHORT_LIST).select("node", "root").distinct()
+    items = rest.join(sets, "node").select("node", "shingles").mapInArrow(_explode_sets, "node binary, shingle long, total long")
     needed = F.ceil(F.col("total") * PERCENT / 100)
-    posted = materialize(rarest_first(hashes, "node", "shingle", ["root", "total"], needed), "posted")
-    other = posted.select(F.col("node").alias("b"), "shingle", F.col("root").alias("root_b"), F.col("total").alias("nb"))
+    prefix = rarest_first(items, "node", "shingle", ["total"], needed).join(rest, "node")
+    prefix = materialize(prefix.select("node", "shingle", "total", "root"), "prefix")
+    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("root").alias("root_b"), F.col("total").alias("nb"))
     fits = 100 * F.least("total", "nb") >= PERCENT * F.greatest("total", "nb")
-    second = posted.join(other, "shingle").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits)
-    second = second.select(F.col("node").alias("a"), "b").distinct()
-    more = materialize(confirmed(matching(second, nodes), sets), "links")
+    long = prefix.join(other, "shingle").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits).select(F.col("node").alias("a"), "b")
+    more = materialize(confirmed(matching(short.union(long).distinct(), sets), sets), "links")
 
     rooted = components(links.union(more))
     named = rooted.join(classes.select("node", "rep"), "node")
@@ -177,11 +201,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("shingle", pa.int64()), ("total", pa.int64())])
+    schema = pa.schema([("node", pa.binary()), ("shingle", pa.int64()), ("total", pa.int64())])
     for b in batches:
-        for node, root, raw in zip(*(b.column(n).to_pylist() for n in ("node", "root", "shingles")), strict=True):
+        for node, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist(), strict=True):
             values = np.frombuffer(raw, np.int64)
-            yield batch_of(schema, node=[node] * len(values), root=[root] * len(values), shingle=values, total=np.full(len(values), len(values)))
+            yield batch_of(schema, node=[node] * len(values), shingle=values, total=np.full(len(values), len(values)))
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
