@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, langid, linededup, mixing, neardup, oracles, quality, urls, warc
+from tessera.llm import bpe, fingerprints, langid, linededup, mixing, neardup, oracles, quality, toxicity, urls, warc
 from tessera.runtime import load
 
 
@@ -26,6 +26,10 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(load(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_recurring(load(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
@@ -47,7 +51,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op5_toxicity, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
