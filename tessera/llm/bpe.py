@@ -233,3 +233,23 @@ def encode_report(documents: DataFrame, vocabulary: str | None = None) -> DataFr
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_corpus(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids of every row, and whether the ids decode to its text."""
+    path = vocabulary or default_vocabulary()
+    narrow = documents.select("doc_id", "lang", "source", "text")
+    names = ["doc_id", "lang", "source", "n_tokens", "ids", "decodes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(path)
+        for b in slices(batches, "text", 1 << 21):
+            texts = b.column("text").to_pylist()
+            found = c.encode(texts)
+            ids = [np.fromstring(s, np.int32, sep=",") if s else np.empty(0, np.int32) for _, s in found]
+            same = [c.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            added = [pa.array([n for n, _ in found], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:3]), *added], names=names)
+
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, lang string, source string, n_tokens long, ids array<int>, decodes boolean")

@@ -169,3 +169,11 @@ def without_recurring(documents: DataFrame) -> DataFrame:
 
     schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns] + ["n_lines long", "n_dropped long"])
     return joined.mapInArrow(run, schema)
+
+
+def cleaned(documents: DataFrame) -> DataFrame:
+    """The documents with their columns, without recurring lines; n_chars, where there is one, follows the text."""
+    out = without_recurring(documents)
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*documents.columns)
