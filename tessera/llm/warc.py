@@ -80,12 +80,13 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT_
     spark = pages.sparkSession
     record_headers(pages, least_bytes).drop("payload_bytes").write.parquet(f"{path}/headers")
     release_shuffles(spark)
-    owners = spark.read.parquet(f"{path}/headers").filter(F.col("page_id").eqNullSafe(F.col("first_page"))).select(F.col("page_id").alias("owner"), "address").distinct()
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("owner")
+    owners = spark.read.parquet(f"{path}/headers").filter(F.col("page_id").eqNullSafe(F.col("first_page"))).select(key, "address").distinct()
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", payload.alias("payload"), F.sha2(payload, 256).alias("own"))
-    once = Window.partitionBy("page_id", "own").orderBy(F.lit(1))  # a repeated page's payload, once; needs no further exchange
-    stored = rows.join(owners, rows["page_id"].eqNullSafe(owners["owner"]) & (rows["own"] == owners["address"]))
-    stored.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    rows = pages.select(key, F.sha2(payload, 256).alias("address"), payload.alias("payload"))
+    once = Window.partitionBy("owner", "address").orderBy(F.lit(1))  # a repeated page's payload, once; hashed as the join is
+    stored = rows.join(owners, ["owner", "address"]).withColumn("copy", F.row_number().over(once)).filter("copy = 1")
+    stored.select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     release_shuffles(spark)
 
 
