@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch where the session keeps Spark's default; a worker holds a batch several times over.
+ARROW_BYTES = "16777216b"
+
+
 def session(master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with adaptive execution on; on a cluster ``master`` and sizes come from spark-submit."""
     settings = {
@@ -79,9 +83,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed on them but its folder is visible."""
+    """Let Python workers import this package where it is not installed on them but its folder is visible, and keep their batches small."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
