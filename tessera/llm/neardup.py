@@ -34,7 +34,9 @@ COORDINATES, MATCHES = 32, 13
 #: The longer signature, in 16-bit values, of classes that may link.
 LONG_COORDINATES, LONG_MATCHES = 256, 160
 #: Lists of more classes are merged over the prefixes of full sets.
-SHORT_LIST = 64
+SHORT_LIST = 16
+#: Bits of the filter that tells which documents' sets are wanted, before an exact join; its size is fixed.
+FILTER_BITS = 1 << 23
 
 _SEEDS = np.random.default_rng(10).integers(0, 2**63, (2, LONG_COORDINATES), dtype=np.uint64)
 _FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
@@ -81,37 +83,58 @@ def signatures(documents: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, signature array<long>")
 
 
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set where a doc_id of ``ids`` hashes to; words of 32 bits are made by pre-aggregated ORs."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(place / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 32 rows
+        out[row["word"]] = row["bits"]
+    return out
+
+
 def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew from their representatives' texts."""
+    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew
+    from their representatives' texts. Texts do not move: a filter of fixed size passes the wanted documents and few
+    others, and what is made of them meets the exact list."""
     wanted = nodes.select(F.col("rep").alias("doc_id"), "node")
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id")
+    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    texts = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
-        for b in slices(batches, "text"):
-            sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
-            kept = [(n, s) for n, s in zip(b.column("node").to_pylist(), sets, strict=True) if set_digest(s) == n]
-            yield batch_of(schema, node=[n for n, _ in kept], shingles=[s.tobytes() for _, s in kept], long=[long_signature(s) for _, s in kept], size=[len(s) for _, s in kept])
-
+        for b in batches:
+            place = b.column("place").to_numpy()
+            hit = (bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+            for part in slices([b.filter(pa.array(hit))], "text"):
+                sets = [shingle_set(t, seen) for t in part.column("text").to_pylist()]
+                keep = np.array([len(x) > 0 for x in sets])
+                sets = [x for x in sets if len(x)]
+                made = batch_of(schema, node=[set_digest(x) for x in sets], shingles=[x.tobytes() for x in sets], long=[long_signature(x) for x in sets], size=[len(x) for x in sets])
+                ids = part.column("doc_id").filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["doc_id", *schema.names])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    made = texts.mapInArrow(run, f"doc_id {kind}, node binary, shingles binary, long binary, size long")
     once = Window.partitionBy("doc_id", "node").orderBy(F.lit(1))  # repeated rows lie together after the join
-    made = texts.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("node", "text")
-    return made.mapInArrow(run, "node binary, shingles binary, long binary, size long")
+    exact = made.join(wanted, ["doc_id", "node"]).withColumn("copy", F.row_number().over(once)).filter("copy = 1")
+    return exact.select("node", "shingles", "long", "size")
 
 
 def rarest_first(postings: DataFrame, node: str, item: str, extra: list[str], needed: Column) -> DataFrame:
     """The prefix of each node's items in order of (frequency, item), so far that any two nodes with ``needed`` items in common meet.
 
     ``postings`` has one row per node and item with the node's number of items as ``total``. Items of one node only
-    count as its first and are left out.
+    count as its first and are left out; ``place`` counts them.
     """
     shared = postings.groupBy(item).agg(F.count("*").alias("freq")).filter("freq > 1")
     kept = postings.join(shared, item)
     place = Window.partitionBy(node).orderBy("freq", item)
     held = Window.partitionBy(node)
-    ranked = kept.withColumns({"place": F.row_number().over(place), "held": F.count("*").over(held)})
-    alone = F.col("total") - F.col("held")
-    return ranked.filter(F.col("place") <= F.col("total") - needed + 1 - alone).select(node, item, "freq", *extra)
+    ranked = kept.withColumns({"__place": F.row_number().over(place), "__held": F.count("*").over(held)})
+    placed = ranked.withColumn("place", F.col("total") - F.col("__held") + F.col("__place"))
+    return placed.filter(F.col("place") <= F.col("total") - needed + 1).select(node, item, "freq", "place", *extra)
 
 
 def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,10 +207,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     items = rest.join(sets, "node").select("node", "shingles").mapInArrow(_explode_sets, "node binary, shingle long, total long")
     needed = F.ceil(F.col("total") * PERCENT / 100)
     prefix = rarest_first(items, "node", "shingle", ["total"], needed).join(rest, "node")
-    prefix = materialize(prefix.select("node", "shingle", "total", "root"), "prefix")
-    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("root").alias("root_b"), F.col("total").alias("nb"))
-    fits = 100 * F.least("total", "nb") >= PERCENT * F.greatest("total", "nb")
-    long = prefix.join(other, "shingle").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits).select(F.col("node").alias("a"), "b")
+    prefix = materialize(prefix.select("node", "shingle", "place", "total", "root"), "prefix")
+    of_smaller = prefix.filter(F.col("place") <= F.col("total") - F.ceil(F.col("total") * 2 * PERCENT / (100 + PERCENT)) + 1)
+    other = of_smaller.select(F.col("node").alias("b"), "shingle", F.col("root").alias("root_b"), F.col("total").alias("nb"), F.col("place").alias("pb"))
+    smaller = (F.col("nb") < F.col("total")) | ((F.col("nb") == F.col("total")) & (F.col("b") < F.col("node")))
+    near = 100 * F.col("nb") >= PERCENT * F.col("total")
+    room = (100 + PERCENT) * (1 + F.least(F.col("total") - F.col("place"), F.col("nb") - F.col("pb"))) >= PERCENT * (F.col("total") + F.col("nb"))
+    meets = (F.col("__s") == F.col("shingle")) & (F.col("root") != F.col("root_b")) & smaller & near & room
+    long = prefix.join(other.withColumnRenamed("shingle", "__s"), meets).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
     more = materialize(confirmed(matching(short.union(long).distinct(), sets), sets), "links")
 
     rooted = components(links.union(more))

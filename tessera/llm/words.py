@@ -24,7 +24,7 @@ def split_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for words already seen; emptied at ``limit`` entries so memory stays bounded."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
