@@ -21,6 +21,7 @@ def cache_hits(requests: DataFrame, ttl_seconds: float, keys: list[str], ts: str
     n = shuffle_partitions(requests.sparkSession)
     ordered = requests.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(n, *keys).sortWithinPartitions(*keys, "__us", tie)
     result = T.StructType([*requests.schema.fields, T.StructField("hit", T.BooleanType())])
+    names = requests.columns
     life = int(ttl_seconds * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,6 +33,6 @@ def cache_hits(requests: DataFrame, ttl_seconds: float, keys: list[str], ts: str
                 if not hit:
                     now, until = key, at + life
                 hits.append(hit)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in requests.columns), pa.array(hits, pa.bool_())], names=result.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(hits, pa.bool_())], names=result.names)
 
     return ordered.mapInArrow(run, result)

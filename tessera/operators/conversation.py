@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_TURNS = Window.partitionBy("conv_id").orderBy("turn")
+def _turns() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def pairs(messages: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def pairs(messages: DataFrame) -> DataFrame:
     Of several user messages in a row the last is answered; a second assistant message in a row answers nothing.
     """
     said = messages.filter(F.col("role").isin("user", "assistant"))
-    before = said.withColumns({"__role": F.lag("role").over(_TURNS), "question": F.lag("text").over(_TURNS)})
+    before = said.withColumns({"__role": F.lag("role").over(_turns()), "question": F.lag("text").over(_turns())})
     kept = before.filter((F.col("role") == "assistant") & (F.col("__role") == "user"))
     return kept.select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
@@ -22,7 +23,7 @@ def pairs(messages: DataFrame) -> DataFrame:
 def recent(paired: DataFrame, turns: int, question_tag: str, answer_tag: str) -> DataFrame:
     """Add ``recent``: up to ``turns`` pairs before each one, oldest first, with blank lines between; null before the first."""
     turn = F.concat(F.lit(f"{question_tag}: "), F.col("question"), F.lit(f"\n{answer_tag}: "), F.col("answer"))
-    before = F.collect_list(turn).over(_TURNS.rowsBetween(-turns, -1))
+    before = F.collect_list(turn).over(_turns().rowsBetween(-turns, -1))
     return paired.withColumn("recent", F.when(F.size(before) > 0, F.array_join(before, "\n\n")))
 
 
