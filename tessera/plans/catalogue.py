@@ -557,11 +557,11 @@ def cache_key(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", fx.cache_key(company, F.col("event_type"), F.lit(5)).alias("key"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS at FROM events),
-miss AS (SELECT user_id, event_type, min(at) AS at FROM e GROUP BY user_id, event_type
-  UNION ALL SELECT m.user_id, m.event_type, (SELECT min(e.at) FROM e WHERE e.user_id = m.user_id AND e.event_type = m.event_type AND e.at >= m.at + 86400000000) AS at FROM miss m WHERE m.at IS NOT NULL),
-first AS (SELECT user_id, event_type, at, min(event_id) AS event_id FROM e GROUP BY ALL)
-SELECT e.event_id, m.at IS NULL AS hit FROM e LEFT JOIN (SELECT f.event_id, f.at FROM miss JOIN first f USING (user_id, event_type, at)) m ON m.event_id = e.event_id""")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events),
+miss AS (SELECT user_id, event_type, min(us) AS us FROM e GROUP BY user_id, event_type
+  UNION ALL SELECT m.user_id, m.event_type, (SELECT min(e.us) FROM e WHERE e.user_id = m.user_id AND e.event_type = m.event_type AND e.us >= m.us + 86400000000) AS us FROM miss m WHERE m.us IS NOT NULL),
+firsts AS (SELECT user_id, event_type, us, min(event_id) AS event_id FROM e GROUP BY ALL)
+SELECT e.event_id, m.us IS NULL AS hit FROM e LEFT JOIN (SELECT f.event_id, f.us FROM miss JOIN firsts f USING (user_id, event_type, us)) m ON m.event_id = e.event_id""")
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return cache.cache_hits(load(spark, sf, "events"), 86_400, ["user_id", "event_type"]).select("event_id", "hit")
 
