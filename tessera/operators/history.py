@@ -12,7 +12,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def _like(text: Column, pattern: Column) -> Column:
     """LIKE that ignores the case of A-Z only and knows no escape character."""
     fold = lambda c: F.translate(c, _UPPER, _LOWER)
-    return F.like(fold(text), F.replace(fold(pattern), F.lit("\x01"), F.lit("\x01")), F.lit("\x01"))
+    return F.like(fold(text), F.replace(fold(pattern), F.lit("\x01"), F.lit("\x01\x01")), F.lit("\x01"))
 
 
 def entries(history: DataFrame, company_id: str, search: str | None = None, limit: int | None = 50) -> DataFrame:
