@@ -193,9 +193,9 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", with_ids: b
 
     ``vocabulary`` is a path that every executor can read. Null and empty texts have no tokens and decode to an
     empty text. Words of any length are merged whole. Repeated rows give repeated results; extra columns
-    pass through, unless they bear one of the new names.
+    pass through; those that bear a new name are replaced.
     """
-    kept = [f for f in df.schema.fields if f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in (text, "n_tokens", "ids", "decoded")]
     added = [("n_tokens", "long")] + [("ids", "array<int>")] * with_ids + [("decoded", "string")] * with_decoded
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in added])
 

@@ -168,8 +168,8 @@ def fingerprints_of(texts: list[str]) -> list[str]:
 
 
 def fingerprint_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replace ``text`` by its fingerprint (a column ``df`` must not hold). Null counts as empty; equal texts have equal fingerprints."""
-    kept = [f for f in df.schema.fields if f.name != text]
+    """Replace ``text`` by its fingerprint; an input column fingerprint is replaced. Null counts as empty; equal texts have equal fingerprints."""
+    kept = [f for f in df.schema.fields if f.name not in (text, "fingerprint")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):

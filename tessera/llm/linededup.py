@@ -139,18 +139,19 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     return held.join(dropped, ["leaf", "line"], "left_semi").select("doc_id", "line").distinct()
 
 
-def without_recurring(documents: DataFrame) -> DataFrame:
-    """All documents with their columns; ``text`` has lost the lines of recurring templates; n_lines and n_dropped are added.
+def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All documents with their columns; ``text`` has lost the lines of recurring templates; ``counts`` names two added columns,
+    the text's lines and those dropped.
 
     Kept lines stay byte for byte, in order. Null texts stay null and empty ones empty. A document of which no word
     would remain is a copy, not a host of recurring lines; it stays whole, for near-duplicate detection to judge. Lines of fewer than LEAST_TOKENS tokens stay. Repeated rows are treated alike. An
-    empty table gives no rows. Columns named n_lines or n_dropped in the input are replaced.
+    empty table gives no rows. Input columns of the added names are replaced.
     """
     found = recurring_lines(materialize(line_rows(documents), "rows"))
     per_document = found.groupBy("doc_id").agg(F.collect_list("line").alias("__drop"))  # at most the document's own lines
-    columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in documents.columns if c not in counts]
     joined = documents.select(*columns).join(per_document, "doc_id", "left")
-    names = [*columns, "n_lines", "n_dropped"]
+    names = [*columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -164,16 +165,16 @@ def without_recurring(documents: DataFrame) -> DataFrame:
                     if not any(map(str.strip, kept)):
                         kept = parts
                 texts.append(text if len(kept) == len(parts) else "\n".join(kept)), lines.append(len(parts)), gone.append(len(parts) - len(kept))
-            new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(gone, pa.int64())}
+            new = {"text": pa.array(texts, pa.string()), counts[0]: pa.array(lines, pa.int64()), counts[1]: pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
 
-    schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns] + ["n_lines long", "n_dropped long"])
+    schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns] + [f"{c} long" for c in counts])
     return joined.mapInArrow(run, schema)
 
 
 def cleaned(documents: DataFrame) -> DataFrame:
     """The documents with their columns, without recurring lines; n_chars, where there is one, follows the text."""
-    out = without_recurring(documents)
+    out = without_recurring(documents, ("__n_lines", "__n_dropped"))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)

@@ -351,8 +351,8 @@ def learn(documents: DataFrame, labels: DataFrame, allowed: Column, most: int =
 
 
 def score_documents(df: DataFrame, network: Network, text: str = "text") -> DataFrame:
-    """Replace ``text`` by score (a column ``df`` must not hold). Null and empty texts get the score of no words."""
-    kept = [f for f in df.schema.fields if f.name != text]
+    """Replace ``text`` by score; an input column score is replaced. Null and empty texts get the score of no words."""
+    kept = [f for f in df.schema.fields if f.name not in (text, "score")]
     shared = df.sparkSession.sparkContext.broadcast(network)  # its size is fixed by the constants above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,7 +115,7 @@ def key_bounds(df: DataFrame, url: str, ranges: int) -> list[bytes]:
 
 
 def judge_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
-    """Add host, path, rule, verdict to every row of ``df`` (whose columns must not hold these names).
+    """Add host, path, rule, verdict to every row of ``df``; input columns of these names are replaced.
 
     ``rules`` has host, path and verdict; as a DataFrame it may be of any size. The rule with the longest host wins,
     among these the one with the longest path; of equal rules that differ in verdict, block wins. Urls that no
@@ -123,6 +123,7 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url
     itself; an empty table gives none; working columns begin with two underscores.
     """
     spark = df.sparkSession
+    df = df.drop("host", "path", "rule", "verdict")
     ranges = ranges or shuffle_partitions(spark)
     bounds = key_bounds(df, url, ranges)
     keyed = _keyed(df, url)
