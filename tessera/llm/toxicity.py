@@ -1,7 +1,7 @@
 """Toxicity of documents: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A document is cut into overlapping windows of words. Each word enters with two parts: an embedding of the word and the
-mean embedding of its character runs (of three and four), both hashed; with each comes how strongly the training
+mean embedding of its character runs (of three, four and six bytes), both hashed; with each comes how strongly the training
 labels speak for or against the word, or its most telling run. That is taken from the other folds for a document that is
 itself learned from, so that the network does not trust words that it knows from one document only. Gated recurrent units read a window in both
 directions, attention weighs their states, and a logistic unit scores the pooled state. A document's score is that
@@ -32,6 +32,10 @@ TRAIN_DOCUMENTS = 4000
 TRAIN_WINDOWS = 6
 WORD_ROWS, RUN_ROWS, DIM, HIDDEN = 1 << 16, 1 << 17, 6, 8
 FOLDS = 3
+#: Lengths of the character runs, in bytes of a word with its ends marked.
+RUNS = (3, 4, 6)
+#: Half-width, in standard deviations, of the intervals of evidence.
+INTERVAL = 1.5
 EPOCHS, BATCH, RATE = 5, 128, 0.02
 THRESHOLD = 0.7
 #: Words whose inputs a worker keeps; the table is emptied when full.
@@ -52,11 +56,12 @@ def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.cumsum(lengths)[owner] - np.arange(len(data))
-    padded = np.concatenate([data, np.zeros(3, np.uint64)])
-    three = (padded[:-3] << np.uint64(16) | padded[1:-2] << np.uint64(8) | padded[2:-1])
-    four = three << np.uint64(8) | padded[3:]
-    found, of = [], []
-    for value, n in ((three, 3), (four, 4)):
+    padded = np.concatenate([data, np.zeros(RUNS[-1] - 1, np.uint64)])
+    value, found, of = data, [], []
+    for n in range(2, RUNS[-1] + 1):
+        value = value << np.uint64(8) | padded[n - 1 : n - 1 + len(data)]
+        if n not in RUNS:
+            continue
         whole = left >= n
         found.append((value[whole] * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> np.uint64(40))
         of.append(owner[whole])
@@ -172,8 +177,9 @@ class Network:
 
 
 def evidence(documents: list[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every fold left out, and for all documents: how far label 1 is from chance among the documents that hold a word
-    row, or a run row, in standard deviations; rows of few documents stay near 0."""
+    """For every fold left out, and for all documents: the log odds of label 1 among the documents that hold a word row, or a run
+    row, over those among all. Of the interval in which the share may lie the end nearer to all counts, so that rows of few
+    documents stay near 0."""
     counts = np.zeros((FOLDS, 2, WORD_ROWS)), np.zeros((FOLDS, 2, RUN_ROWS))
     for i, (words, y) in enumerate(zip(documents, labels, strict=True)):
         if words:
@@ -187,7 +193,12 @@ def evidence(documents: list[list[bytes]], labels: np.ndarray) -> tuple[np.ndarr
         n = kept.sum(1)
         share = np.stack([*(np.bincount(labels[np.arange(len(labels)) % FOLDS != k], minlength=2) for k in range(FOLDS)), np.bincount(labels, minlength=2)]).astype(float)
         p = np.clip(share[:, 1] / share.sum(1), 0.01, 0.99)[:, None]
-        out.append(np.clip((kept[:, 1] - n * p) / np.sqrt(n * p * (1 - p) + 1) / 2, -3, 6).astype(np.float32))
+        z, share = INTERVAL, kept[:, 1] / np.maximum(n, 1)
+        middle = (share + z * z / 2 / np.maximum(n, 1)) / (1 + z * z / np.maximum(n, 1))
+        half = z / (1 + z * z / np.maximum(n, 1)) * np.sqrt(share * (1 - share) / np.maximum(n, 1) + (z / 2 / np.maximum(n, 1)) ** 2)
+        near = np.where(middle - half > p, middle - half, np.where(middle + half < p, middle + half, p))
+        near = np.where(n > 0, np.clip(near, 1e-3, 1 - 1e-3), p)
+        out.append(np.clip(np.log(near / (1 - near)) - np.log(p / (1 - p)), -3, 6).astype(np.float32))
     return out[0], out[1]
 
 
