@@ -14,15 +14,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import batch_of, slices
-from tessera.llm.words import mix
+from tessera.llm.arrow import slices
+from tessera.llm.words import WordHashes, mix
 from tessera.runtime import materialize
 
 #: Leading tokens that name a leaf, after the number of tokens.
@@ -35,54 +35,82 @@ LEAST_CONTEXTS = ((30, 4), (8, 5), (LEAST_TOKENS, 6))
 #: A template with variable fields: least tokens, percent of segments that its instances share, times as many contexts.
 GENERAL_TOKENS, GENERAL_PERCENT, GENERAL_FACTOR = 6, 75, 2
 
-_FIELD = re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
+_DIGIT, _FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_STEP, _LENGTH = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
+_LAST = np.uint64(np.iinfo(np.uint64).max)
 _ROWS = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("n_tokens", pa.int32()), ("segments", pa.list_(pa.int32())), ("context1", pa.int64()), ("context2", pa.int64())])
 
 
-def tokens_of(line: bytes) -> list[bytes]:
-    """The line's tokens, those with a digit as ``<*>``."""
-    return _FIELD.sub(b"<*>", line).split()
-
-
-def line_hash(tokens: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(tokens))
-
-
-def segments_of(tokens: list[bytes]) -> list[int]:
-    """32-bit hashes of the runs into which the tokens after the leading ones part evenly."""
-    rest = tokens[DEPTH:]
-    n = min(SEGMENTS, len(rest))
-    return [xxhash.xxh32_intdigest(b" ".join(rest[len(rest) * i // n : len(rest) * (i + 1) // n])) - (1 << 31) for i in range(n)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def describe(text: str | None) -> list[tuple[int, int, int, list[int], int, int]]:
-    """(leaf, line, n_tokens, segments, context1, context2) of every distinct line of LEAST_TOKENS tokens or more."""
-    found: dict[int, list[bytes]] = {}
-    for raw in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
-        if tokens := tokens_of(raw):
-            found.setdefault(line_hash(tokens), tokens)
-    hashes = np.fromiter(found, np.uint64, len(found))
+class Lines(NamedTuple):
+    """Lines that hold a token: whose they are, which line of the text, and sums over their tokens' hashes by place."""
+
+    owner: np.ndarray
+    number: np.ndarray
+    n_tokens: np.ndarray
+    start: np.ndarray
+    sums: np.ndarray
+
+    def part(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One hash of the tokens between two places of all tokens."""
+        return mix(self.sums[end] - self.sums[begin])
+
+    def hashes(self) -> np.ndarray:
+        return mix(self.part(self.start, self.start + self.n_tokens) ^ (self.n_tokens.astype(np.uint64) * _LENGTH))
+
+
+def lines_of(texts: list[str | None], seen: WordHashes) -> Lines:
+    """All lines of all texts at once; tokens with a digit are variable fields and all alike."""
+    tokens: list[bytes] = []
+    owner, number, counts = [], [], []
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if _DIGIT.search(raw):
+            raw = _FIELD.sub(b"<*>", raw)
+        for k, line in enumerate(raw.split(b"\n")):
+            if found := line.split():
+                tokens += found
+                owner.append(i), number.append(k), counts.append(len(found))
+    n = np.array(counts, np.int64)
+    start = np.cumsum(n) - n
+    longest = int(n.max()) if len(n) else 0
+    power = np.cumprod(np.full(longest + 1, _STEP, np.uint64))
+    place = np.arange(len(tokens)) - np.repeat(start, n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(seen.of(tokens) * power[place], dtype=np.uint64)])
+    return Lines(np.array(owner, np.int64), np.array(number, np.int64), n, start, sums)
+
+
+def describe(texts: list[str | None], seen: WordHashes) -> tuple[np.ndarray, pa.RecordBatch]:
+    """The owner, and leaf, line, n_tokens, segments, context1, context2 of every distinct line of LEAST_TOKENS tokens or more."""
+    lines = lines_of(texts, seen)
+    hashes = lines.hashes()
+    order = np.lexsort((hashes, lines.owner))
+    owner, line = lines.owner[order], hashes[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+    order, owner, line = order[first], owner[first], line[first]
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(owner))))
     contexts = []
     for salt in _SALTS:
-        keys = mix(hashes ^ salt)
-        order = np.argsort(keys)[:2]
-        context = np.full(len(keys), keys[order[0]] if len(keys) else 0, np.uint64)
-        if len(keys) > 1:
-            context[order[0]] = keys[order[1]]
-        elif len(keys):
-            context[0] = 0  # a line that stands alone has one and the same context everywhere
-        contexts.append(context.view(np.int64))
-    out = []
-    for i, (h, tokens) in enumerate(found.items()):
-        if len(tokens) >= LEAST_TOKENS:
-            leaf = xxhash.xxh3_64_intdigest(b" ".join([str(len(tokens)).encode(), *tokens[:DEPTH]]))
-            out.append((_signed(leaf), _signed(h), len(tokens), segments_of(tokens), int(contexts[0][i]), int(contexts[1][i])))
-    return out
+        keys = mix(line ^ salt)
+        if len(begins):
+            least = np.minimum.reduceat(keys, begins)[of]
+            second = np.minimum.reduceat(np.where(keys == least, _LAST, keys), begins)[of]
+            keys = np.where(keys == least, np.where(second == _LAST, np.uint64(0), second), least)  # a line that stands alone has one and the same context everywhere
+        contexts.append(keys)
+    kept = lines.n_tokens[order] >= LEAST_TOKENS
+    n, start = lines.n_tokens[order][kept], lines.start[order][kept]
+    leaf = mix(lines.part(start, start + DEPTH) + n.astype(np.uint64) * _LENGTH)
+    rest = n - DEPTH
+    k = np.minimum(SEGMENTS, rest)
+    offsets = np.concatenate([[0], np.cumsum(k)])
+    j, which = np.arange(offsets[-1]) - np.repeat(offsets[:-1], k), np.repeat(np.arange(len(n)), k)
+    at = start[which] + DEPTH
+    segments = lines.part(at + rest[which] * j // k[which], at + rest[which] * (j + 1) // k[which]) >> np.uint64(33)
+    values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(segments.astype(np.int32), pa.int32()))
+    columns = [leaf.view(np.int64), line[kept].view(np.int64), n.astype(np.int32), values, *(c[kept].view(np.int64) for c in contexts)]
+    return owner[kept], pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ROWS)
 
 
 def line_rows(documents: DataFrame) -> DataFrame:
@@ -90,13 +118,10 @@ def line_rows(documents: DataFrame) -> DataFrame:
     narrow = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
         for b in slices(batches, "text"):
-            described = [describe(t) for t in b.column("text").to_pylist()]
-            counts = np.fromiter(map(len, described), np.int64, len(described))
-            rows = [r for d in described for r in d]
-            owner = b.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            out = batch_of(_ROWS, **{name: [r[i] for r in rows] for i, name in enumerate(_ROWS.names)})
-            yield pa.RecordBatch.from_arrays([owner, *out.columns], names=["doc_id", *_ROWS.names])
+            owner, rows = describe(b.column("text").to_pylist(), seen)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), *rows.columns], names=["doc_id", *_ROWS.names])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"doc_id {kind}, leaf long, line long, n_tokens int, segments array<int>, context1 long, context2 long")
@@ -154,18 +179,22 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
     names = [*columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
         for b in slices(batches, "text"):
-            texts, lines, gone = [], [], []
-            for text, drop in zip(b.column("text").to_pylist(), b.column("__drop").to_pylist(), strict=True):
-                parts = text.split("\n") if text else []
-                kept = parts
-                if drop:
-                    out = set(drop)
-                    kept = [p for p in parts if _signed(line_hash(tokens_of(p.encode("utf-8", "surrogatepass")))) not in out]
-                    if not any(map(str.strip, kept)):
-                        kept = parts
-                texts.append(text if len(kept) == len(parts) else "\n".join(kept)), lines.append(len(parts)), gone.append(len(parts) - len(kept))
-            new = {"text": pa.array(texts, pa.string()), counts[0]: pa.array(lines, pa.int64()), counts[1]: pa.array(gone, pa.int64())}
+            texts = b.column("text").to_pylist()
+            drops = {i: set(d) for i, d in enumerate(b.column("__drop").to_pylist()) if d}
+            hosts = list(drops)
+            found = lines_of([texts[i] for i in hosts], seen)
+            lost: dict[int, set[int]] = {}
+            for k, number, h in zip(found.owner.tolist(), found.number.tolist(), found.hashes().view(np.int64).tolist(), strict=True):
+                if h in drops[hosts[k]]:
+                    lost.setdefault(hosts[k], set()).add(number)
+            total, gone = [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts)
+            for i, out in lost.items():
+                kept = [p for k, p in enumerate(texts[i].split("\n")) if k not in out]
+                if any(map(str.strip, kept)):
+                    texts[i], gone[i] = "\n".join(kept), len(out)
+            new = {"text": pa.array(texts, pa.string()), counts[0]: pa.array(total, pa.int64()), counts[1]: pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
 
     schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns] + [f"{c} long" for c in counts])

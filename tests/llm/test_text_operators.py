@@ -10,6 +10,7 @@ import pytest
 from tessera.llm import fingerprints as fp
 from tessera.llm import langid, linededup, toxicity
 from tessera.llm import queries as llm
+from tessera.llm.words import WordHashes
 from tessera.runtime import load
 
 
@@ -95,12 +96,22 @@ def test_passages_and_templates_go_and_copies_stay(spark):
 
 
 def test_general_templates():
-    """One variable word of many tokens keeps a line in its template's leaf and most of its segments."""
-    a, b = (linededup.tokens_of(f"the server at {x} answered with an error and was shut down at once today".encode()) for x in ("north", "south"))
-    c = linededup.tokens_of(b"the server at 17 answered")
-    assert c[3] == b"<*>"
-    x, y = linededup.segments_of(a), linededup.segments_of(b)
-    assert len(x) == linededup.SEGMENTS and sum(p == q for p, q in zip(x, y, strict=True)) == linededup.SEGMENTS - 1
+    """One variable word of many tokens keeps a line in its template's leaf and in all but one of its segments."""
+    line = "the server at {} answered with an error and was shut down at once today"
+    owner, rows = linededup.describe([line.format(x) for x in ("north", "south", "17", "x18y")], WordHashes())
+    a, b, c, d = rows.to_pylist()
+    assert owner.tolist() == [0, 1, 2, 3] and a["leaf"] == b["leaf"] and a["line"] != b["line"] and c["line"] == d["line"]
+    assert len(a["segments"]) == linededup.SEGMENTS and sum(p == q for p, q in zip(a["segments"], b["segments"], strict=True)) == linededup.SEGMENTS - 1
+
+
+def test_described_lines():
+    texts = ["one two three\n\nfour five six seven\none two three", "one two three", None, "a b\nc"]
+    owner, rows = linededup.describe(texts, WordHashes())
+    got = list(zip(owner.tolist(), rows.column("n_tokens").to_pylist(), rows.column("segments").to_pylist(), strict=True))
+    assert sorted((o, n, len(s)) for o, n, s in got) == [(0, 3, 0), (0, 4, 1), (1, 3, 0)]
+    by = {(o, r["n_tokens"]): r for o, r in zip(owner.tolist(), rows.to_pylist(), strict=True)}
+    assert by[0, 3]["line"] == by[1, 3]["line"] and by[1, 3]["context1"] == 0 != by[0, 3]["context1"]
+    assert linededup.describe([], WordHashes())[1].num_rows == 0
 
 
 def test_language_held_out(spark, small):
