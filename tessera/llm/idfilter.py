@@ -1,0 +1,38 @@
+"""A filter of fixed size over ids, ahead of exact joins: texts that no join concerns stay where they are."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Its size never grows: with very many ids it passes more rows than are wanted, and the exact join that follows moves more.
+FILTER_BITS = 1 << 23
+
+
+def _place(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).cast("int")
+
+
+def filter_bits(ids: DataFrame) -> bytes:
+    """FILTER_BITS bits, set where a doc_id of ``ids`` hashes to; words of 32 bits are made by pre-aggregated ORs."""
+    place = _place(F.col("doc_id"))
+    words = ids.select(F.call_function("shiftright", place, F.lit(5)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place % 32).alias("bit"))
+    out = np.zeros(FILTER_BITS // 32, "<u4")
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 32 rows
+        out[row["word"]] = row["bits"]
+    return out.tobytes()
+
+
+def maybe(doc_id: Column, bits: bytes) -> Column:
+    """False only for ids that were not put into the filter."""
+    place = _place(doc_id)
+    byte = F.conv(F.hex(F.substring(F.lit(bits), F.call_function("shiftright", place, F.lit(3)) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, place % 8).bitwiseAND(F.lit(1)) == 1
+
+
+def without_ids(documents: DataFrame, removed: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not in ``removed`` (doc_id); rows without doc_id stay. Only rows that the filter passes are joined."""
+    bits = filter_bits(removed)
+    hit = F.coalesce(maybe(F.col("doc_id"), bits), F.lit(False))
+    return documents.filter(~hit).union(documents.filter(hit).join(removed.distinct(), "doc_id", "left_anti").select(*documents.columns))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of, slices
 from tessera.llm.graph import components
+from tessera.llm.idfilter import filter_bits, maybe, without_ids
 from tessera.llm.words import WordHashes, mix, windows
 from tessera.runtime import materialize
 
@@ -35,8 +36,6 @@ COORDINATES, MATCHES = 32, 13
 LONG_COORDINATES, LONG_MATCHES = 256, 160
 #: Lists of more classes are merged over the prefixes of full sets.
 SHORT_LIST = 16
-#: Bits of the filter that tells which documents' sets are wanted, before an exact join; its size is fixed.
-FILTER_BITS = 1 << 23
 
 _SEEDS = np.random.default_rng(10).integers(0, 2**63, (2, LONG_COORDINATES), dtype=np.uint64)
 _FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
@@ -83,37 +82,22 @@ def signatures(documents: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, signature array<long>")
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set where a doc_id of ``ids`` hashes to; words of 32 bits are made by pre-aggregated ORs."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(place / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most FILTER_BITS / 32 rows
-        out[row["word"]] = row["bits"]
-    return out
-
-
 def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew
     from their representatives' texts. Texts do not move: a filter of fixed size passes the wanted documents and few
     others, and what is made of them meets the exact list."""
     wanted = nodes.select(F.col("rep").alias("doc_id"), "node")
-    bits = documents.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
-    texts = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("place"))
+    texts = documents.select("doc_id", "text").filter(maybe(F.col("doc_id"), filter_bits(wanted)))
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        for b in batches:
-            place = b.column("place").to_numpy()
-            hit = (bits.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
-            for part in slices([b.filter(pa.array(hit))], "text"):
-                sets = [shingle_set(t, seen) for t in part.column("text").to_pylist()]
-                keep = np.array([len(x) > 0 for x in sets])
-                sets = [x for x in sets if len(x)]
-                made = batch_of(schema, node=[set_digest(x) for x in sets], shingles=[x.tobytes() for x in sets], long=[long_signature(x) for x in sets], size=[len(x) for x in sets])
-                ids = part.column("doc_id").filter(pa.array(keep, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["doc_id", *schema.names])
+        for b in slices(batches, "text"):
+            sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
+            ids = b.column("doc_id").filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
+            sets = [x for x in sets if len(x)]
+            made = batch_of(schema, node=[set_digest(x) for x in sets], shingles=[x.tobytes() for x in sets], long=[long_signature(x) for x in sets], size=[len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["doc_id", *schema.names])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     made = texts.mapInArrow(run, f"doc_id {kind}, node binary, shingles binary, long binary, size long")
@@ -237,5 +221,5 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     """The documents of which each is the first of its group, with their columns."""
-    removed = near_duplicates(documents).filter(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(removed, "doc_id", "left_anti")
+    removed = materialize(near_duplicates(documents).filter(~F.col("kept")).select("doc_id"), "removed")
+    return without_ids(documents, removed)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of
+from tessera.llm.idfilter import without_ids
 from tessera.llm.words import WordHashes, windows
 from tessera.runtime import materialize
 
@@ -137,7 +138,7 @@ def judged(counts: DataFrame) -> DataFrame:
     by_lang = fences.filter("level = 1").select(key("lang").alias("__l"), value.alias("__v1"))
     overall = fences.filter("level = 2").select(F.lit(1).alias("__a"), value.alias("__v2"))
     joined = counts.withColumns({"__g": key("lang", "source"), "__l": key("lang"), "__a": F.lit(1)})
-    joined = joined.join(by_group, "__g", "left").join(by_lang, "__l", "left").join(overall, "__a", "left")
+    joined = joined.join(by_group, "__g", "left").join(by_lang, "__l", "left").join(F.broadcast(overall), "__a", "left")  # one row
     big = lambda c: F.col(c)["size"] >= LEAST_GROUP
     fence = F.when(big("__v0"), F.col("__v0")).when(big("__v1"), F.col("__v1")).otherwise(F.col("__v2"))
     joined = joined.withColumn("__v", fence)
@@ -156,7 +157,6 @@ def quality_report(documents: DataFrame) -> DataFrame:
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
+    """The documents that the rules keep, with their columns. Rows without doc_id cannot be told apart and stay."""
     counts = materialize(document_counts(documents), "counts")
-    rejected = judged(counts).filter(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(rejected, "doc_id", "left_anti")
+    return without_ids(documents, materialize(judged(counts).filter(~F.col("kept")).select("doc_id"), "rejected"))
