@@ -58,21 +58,21 @@ class VectorStore:
         fields = SCHEMA.rsplit(",", 1)[0]
         return self.spark.read.schema(fields).parquet(self.partition).withColumn("company_id", F.lit(self.company_id))
 
-    def _replace(self, rows: DataFrame) -> None:
-        """Written aside first, since the new rows are read from the partition that they replace."""
+    def replace(self, rows: DataFrame) -> None:
+        """Make ``rows`` the tenant's table. Written aside first, since the new rows are read from the partition that they replace."""
         kept = materialize(rows.drop("company_id"), "chunks")
         kept.write.mode("overwrite").parquet(self.partition)
 
     def upsert(self, new: DataFrame) -> None:
         if not new.isEmpty():
-            self._replace(upserted(self.rows(), new.withColumn("company_id", F.lit(self.company_id)).select(*self.rows().columns)))
+            self.replace(upserted(self.rows(), new.withColumn("company_id", F.lit(self.company_id)).select(*self.rows().columns)))
 
     def delete(self, ids: list[str]) -> None:
         if ids:
-            self._replace(without_ids(self.rows(), self.spark.createDataFrame([(i,) for i in ids], "id string")))
+            self.replace(without_ids(self.rows(), self.spark.createDataFrame([(i,) for i in ids], "id string")))
 
     def delete_by_source(self, source_path: str) -> None:
-        self._replace(without_sources(self.rows(), self.spark.createDataFrame([(source_path,)], "source_path string")))
+        self.replace(without_sources(self.rows(), self.spark.createDataFrame([(source_path,)], "source_path string")))
 
     def documents(self) -> DataFrame:
         """id, document and metadata of every chunk; the vector column is not read."""
