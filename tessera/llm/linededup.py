@@ -145,7 +145,8 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     """doc_id, line (hash) of every line to be dropped, from the rows of ``line_rows``."""
     fewest = min(c for _, c in LEAST_CONTEXTS)
     leaves = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest).select("leaf")
-    held = materialize(rows.join(leaves, "leaf"), "leaves")
+    leaves = materialize(leaves, "leaves")  # read back, both sides of the join are plain exchanges, and a hot leaf's can be split
+    held = materialize(rows.join(leaves, "leaf"), "held")
     lines = held.groupBy("leaf", "line", "n_tokens", "segments").agg(F.lit(1)).drop("1").join(_contexts(held, "leaf", "line"), ["leaf", "line"])
     lines = materialize(lines.select("leaf", "line", "n_tokens", "segments", "contexts"), "lines")
 
