@@ -113,6 +113,7 @@ def rarest_first(postings: DataFrame, node: str, item: str, extra: list[str], ne
     count as its first and are left out; ``place`` counts them.
     """
     shared = postings.groupBy(item).agg(F.count("*").alias("freq")).filter("freq > 1")
+    shared = materialize(shared, "shared")  # read back, both sides of the join are plain exchanges, and a hot item's can be split
     kept = postings.join(shared, item)
     place = Window.partitionBy(node).orderBy("freq", item)
     held = Window.partitionBy(node)
@@ -206,6 +207,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     labels = named.join(least, "root").select("node", "least")
     of_class = classes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
+    of_class = materialize(of_class, "components")  # so that a class with a large share of all documents can be split
     out = signed.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
