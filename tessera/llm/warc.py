@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of
-from tessera.runtime import release_shuffles, scratch_path
+from tessera.runtime import materialize, release_shuffles, scratch_path
 
 #: Payloads of at least so many bytes are stored as revisits when they come again.
 LEAST_REVISIT_BYTES = 0
@@ -50,6 +50,7 @@ def record_headers(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) ->
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     narrow = pages.select("page_id", "url", F.sha2(payload, 256).alias("address"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     first = narrow.groupBy("address").agg(F.min("page_id").alias("first_page"))
+    first = materialize(first, "first")  # read back, both sides of the join are plain exchanges, and a hot payload's can be split
     rows = narrow.join(first, "address")
     is_first = F.col("page_id").eqNullSafe(F.col("first_page")) | (F.col("payload_bytes") < least_bytes)
     kind = F.when(is_first, "response").otherwise("revisit")
