@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of, slices
 from tessera.llm.graph import components
-from tessera.llm.idfilter import filter_bits, maybe, without_ids
 from tessera.llm.words import WordHashes, mix, windows
 from tessera.runtime import materialize
 
@@ -83,27 +82,22 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 
 def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew
-    from their representatives' texts. Texts do not move: a filter of fixed size passes the wanted documents and few
-    others, and what is made of them meets the exact list."""
+    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew from
+    their representatives' texts. Joining on doc_id has no hot key, and only texts that are wanted become sets."""
     wanted = nodes.select(F.col("rep").alias("doc_id"), "node")
-    texts = documents.select("doc_id", "text").filter(maybe(F.col("doc_id"), filter_bits(wanted)))
+    once = Window.partitionBy("doc_id", "node", F.xxhash64("text")).orderBy(F.lit(1))  # repeated rows lie together after the join
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id")
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in slices(batches, "text"):
             sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
-            ids = b.column("doc_id").filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
-            sets = [x for x in sets if len(x)]
-            made = batch_of(schema, node=[set_digest(x) for x in sets], shingles=[x.tobytes() for x in sets], long=[long_signature(x) for x in sets], size=[len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([ids, *made.columns], names=["doc_id", *schema.names])
+            kept = [(n, s) for n, s in zip(b.column("node").to_pylist(), sets, strict=True) if set_digest(s) == n]
+            yield batch_of(schema, node=[n for n, _ in kept], shingles=[s.tobytes() for _, s in kept], long=[long_signature(s) for _, s in kept], size=[len(s) for _, s in kept])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    made = texts.mapInArrow(run, f"doc_id {kind}, node binary, shingles binary, long binary, size long")
-    once = Window.partitionBy("doc_id", "node").orderBy(F.lit(1))  # repeated rows lie together after the join
-    exact = made.join(wanted, ["doc_id", "node"]).withColumn("copy", F.row_number().over(once)).filter("copy = 1")
-    return exact.select("node", "shingles", "long", "size")
+    made = texts.withColumn("copy", F.row_number().over(once)).filter("copy = 1").select("node", "text")
+    return made.mapInArrow(run, "node binary, shingles binary, long binary, size long")
 
 
 def rarest_first(postings: DataFrame, node: str, item: str, extra: list[str], needed: Column) -> DataFrame:
@@ -224,4 +218,4 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     """The documents of which each is the first of its group, with their columns."""
     removed = materialize(near_duplicates(documents).filter(~F.col("kept")).select("doc_id"), "removed")
-    return without_ids(documents, removed)
+    return documents.join(removed.distinct(), "doc_id", "left_anti")

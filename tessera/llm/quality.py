@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of
-from tessera.llm.idfilter import without_ids
 from tessera.llm.words import WordHashes, windows
 from tessera.runtime import materialize
 
@@ -159,4 +158,5 @@ def quality_report(documents: DataFrame) -> DataFrame:
 def keep_good(documents: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns. Rows without doc_id cannot be told apart and stay."""
     counts = materialize(document_counts(documents), "counts")
-    return without_ids(documents, materialize(judged(counts).filter(~F.col("kept")).select("doc_id"), "rejected"))
+    rejected = materialize(judged(counts).filter(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return documents.join(rejected, "doc_id", "left_anti")
