@@ -1,14 +1,23 @@
-"""Okapi BM25 over an inverted index that exists as DataFrames, per tenant or over everything.
+"""Okapi BM25 over an inverted index that exists as a DataFrame, per tenant or over everything.
 
-Only terms of the questions are ever grouped by document; statistics over all terms are counts that combine on the map side.
+A document's postings are counted where its text is read, so making the index shuffles nothing; statistics over all terms
+are counts that combine on the map side, and only terms that questions ask for meet their weights.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import search_tokens
+from tessera.runtime import materialize
 
 #: Fixed values of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,29 +31,52 @@ def _scope(tenant: str | None) -> Column:
     return F.col(tenant) if tenant else F.lit(0)
 
 
-def term_statistics(documents: DataFrame, tenant: str | None = None) -> DataFrame:
-    """(scope, term, df, cf): documents that hold a term, and its occurrences."""
-    rows = documents.select(_scope(tenant).alias("scope"), search_tokens(F.col("text")).alias("tokens"))
-    held = rows.select("scope", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
-    all_ = rows.select("scope", F.explode("tokens").alias("term")).groupBy("scope", "term").agg(F.count("*").alias("cf"))
-    return held.join(all_, ["scope", "term"])
+_TOKEN = re.compile("[a-z0-9]+")
+
 
+def postings(documents: DataFrame, tenant: str | None = None) -> DataFrame:
+    """(doc_id, scope, dl, term, f, head): a row for each term of a document; one without tokens has a row without a term.
 
-def corpus_statistics(documents: DataFrame, tenant: str | None = None) -> DataFrame:
-    """(scope, n_docs, n_tokens, avgdl); documents without tokens count."""
-    rows = documents.select(_scope(tenant).alias("scope"), F.coalesce(F.size(search_tokens(F.col("text"))), F.lit(0)).cast("long").alias("dl"))
-    stats = rows.groupBy("scope").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"))
+    ``dl`` is the document's number of tokens, ``f`` the term's occurrences; ``head`` marks one row of each document.
+    """
+    kept = documents.select("doc_id", _scope(tenant).alias("scope"), "text")
+    schema = T.StructType([*kept.schema.fields[:2], *(T.StructField(n, k) for n, k in (("dl", T.LongType()), ("term", T.StringType()), ("f", T.LongType()), ("head", T.BooleanType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [Counter(_TOKEN.findall(t.lower())) if t else Counter() for t in b.column("text").to_pylist()]
+            n = np.array([max(1, len(c)) for c in found], np.int64)
+            owner = np.repeat(np.arange(len(found)), n)
+            heads = np.zeros(len(owner), bool)
+            heads[np.cumsum(n) - n] = True
+            columns = [
+                *(b.column(c).take(pa.array(owner)) for c in ("doc_id", "scope")),
+                pa.array(np.array([c.total() for c in found], np.int64)[owner]),
+                pa.array([t for c in found for t in (c or (None,))], pa.string()),
+                pa.array([f for c in found for f in (c.values() or (0,))], pa.int64()),
+                pa.array(heads),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def term_statistics(index: DataFrame) -> DataFrame:
+    """(scope, term, df, cf) of postings: documents that hold a term, and its occurrences."""
+    return index.filter(F.col("term").isNotNull()).groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("f").alias("cf"))
+
+
+def corpus_statistics(index: DataFrame) -> DataFrame:
+    """(scope, n_docs, n_tokens, avgdl) of postings; documents without tokens count."""
+    stats = index.filter("head").groupBy("scope").agg(F.count("*").alias("n_docs"), F.sum("dl").alias("n_tokens"))
     return stats.withColumn("avgdl", F.col("n_tokens").cast("double") / F.col("n_docs").cast("double"))
 
 
-def term_weights(documents: DataFrame, tenant: str | None = None) -> DataFrame:
+def term_weights(index: DataFrame, stats: DataFrame) -> DataFrame:
     """(scope, term, idf): a negative idf is replaced by EPSILON times the mean over all terms, negative ones included."""
-    rows = documents.select(_scope(tenant).alias("scope"), F.array_distinct(search_tokens(F.col("text"))).alias("terms"))
-    df = rows.select("scope", F.explode("terms").alias("term")).groupBy("scope", "term").agg(F.count("*").alias("df"))
-    n = documents.groupBy(_scope(tenant).alias("scope")).agg(F.count("*").alias("n"))
-    raw = df.join(F.broadcast(n) if tenant is None else n, "scope").select("scope", "term", "df", idf(F.col("n"), F.col("df")).alias("raw"))
+    df = index.filter(F.col("term").isNotNull()).groupBy("scope", "term").agg(F.count("*").alias("df"))
+    raw = df.join(stats.select("scope", "n_docs"), "scope").select("scope", "term", idf(F.col("n_docs"), F.col("df")).alias("raw"))
     mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    mean = F.broadcast(mean) if tenant is None else mean  # one row in all
     return raw.join(mean, "scope").select("scope", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
@@ -54,16 +86,17 @@ def search(documents: DataFrame, questions: DataFrame, top_k: int = 20, tenant:
     ``documents`` has doc_id, text; ``questions`` item_id, text. A repeated question term counts each time. Ties go to the smaller
     doc_id. Scores are rounded before ranking, so that ranks do not hang on the order of additions.
     """
+    return search_index(materialize(postings(documents, tenant), "postings"), questions, top_k, tenant, digits)
+
+
+def search_index(index: DataFrame, questions: DataFrame, top_k: int = 20, tenant: str | None = None, digits: int = 6) -> DataFrame:
+    """``search`` over postings that were made before."""
     asked = questions.select("item_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qf"))
     terms = asked.select("term").distinct()
-    rows = documents.select("doc_id", _scope(tenant).alias("scope"), search_tokens(F.col("text")).alias("tokens"))
-    found = rows.select("doc_id", "scope", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    tf = found.groupBy("doc_id", "scope", "dl", "term").agg(F.count("*").alias("f"))
-    weights = term_weights(documents, tenant).join(terms, "term", "left_semi")
-    stats = corpus_statistics(documents, tenant).select("scope", "avgdl")
-    stats = F.broadcast(stats) if tenant is None else stats
+    stats = materialize(corpus_statistics(index), "stats")  # a row per tenant
+    weights = materialize(term_weights(index, stats).join(terms, "term", "left_semi"), "weights")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weights, ["scope", "term"]).join(stats, "scope").select("doc_id", "scope", "term", part.alias("part"))
+    scored = index.join(weights, ["scope", "term"]).join(stats.select("scope", "avgdl"), "scope").select("doc_id", "scope", "term", part.alias("part"))
     total = scored.join(asked, "term").groupBy("item_id", "scope", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qf")), digits).alias("score"))
     order = Window.partitionBy("item_id", "scope").orderBy(F.desc("score"), "doc_id")
     ranked = total.withColumn("rank", F.row_number().over(order).cast("long")).filter((F.col("rank") <= top_k) & (F.col("score") > 0))

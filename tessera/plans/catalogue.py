@@ -152,13 +152,13 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_s
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""")
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.term_statistics(_documents(spark, sf)).select("term", "df", "cf")
+    return bm25.term_statistics(bm25.postings(_documents(spark, sf))).select("term", "df", "cf")
 
 
 @query("""SELECT source, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens, round(sum(n)::DOUBLE / count(*)::DOUBLE, 6) AS avgdl
 FROM (SELECT source, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents) GROUP BY source""")
 def corpus_stats_per_tenant(spark: SparkSession, sf: str) -> DataFrame:
-    return bm25.corpus_statistics(_documents(spark, sf), "source").select(F.col("scope").alias("source"), "n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
+    return bm25.corpus_statistics(bm25.postings(_documents(spark, sf), "source")).select(F.col("scope").alias("source"), "n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {_sql_bm25('0', 20)} SELECT item_id, doc_id, score, rank FROM bm25")
