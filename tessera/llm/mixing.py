@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every row gets a hash-random key; rows are ordered by that key within their source, and a prefix sum of
-sizes tells where the source's budget ends. The prefix sum is distributed: keys fall into ``BUCKETS`` equal
+sizes tells where the source's budget ends. The prefix sum is distributed: keys fall into 4,096 equal
 ranges, sizes are summed per (source, range) with map-side combination, the few range totals are summed up
 within each source, and only rows of one range are sorted together. A source with a third of all rows is thus
 spread over thousands of groups. Budgets above a source's size repeat it in further epochs.
