@@ -24,9 +24,9 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 
 _NONE = np.int64(1) << 62
 #: Words that a worker keeps with their ids; the table is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Cells of the trees that are merged at once.
-_TREE_CELLS = 1 << 21
+_TREE_CELLS = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
