@@ -86,7 +86,7 @@ def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     their representatives' texts. Joining on doc_id has no hot key, and only texts that are wanted become sets."""
     wanted = nodes.select(F.col("rep").alias("doc_id"), "node")
     once = Window.partitionBy("doc_id", "node", F.xxhash64("text")).orderBy(F.lit(1))  # repeated rows lie together after the join
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id")
+    texts = documents.select("doc_id", "text").hint("merge").join(wanted, "doc_id")  # the list grows with the data and is not broadcast
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
