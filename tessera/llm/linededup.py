@@ -5,9 +5,12 @@ variable fields from the start. What follows in a leaf is compared in up to eigh
 are short enough). The leaf's template holds in each segment the value that most contexts have; a line with
 enough of these values is an instance of it, and the segments in which instances differ are its variable fields.
 
-A template recurs if its lines stand in enough different contexts, not merely in copies of one document: a
-line's context is the least hash among the document's other lines, so copies and near copies of a document give one
-context, however many they are. Lines of recurring templates are dropped from every document.
+A template recurs if its lines stand in enough different hosts, not merely in copies of one document. Hosts are compared
+by sketches: in each of BINS bins the least hash of a run of three tokens, with the line that it stands in. Outside the lines
+that two hosts share, both must have something of their own, and that must not be alike (as it is in edited copies);
+so hosts of a long licence differ by their one own line, and copies, excerpts and near copies count once. Besides
+lines, passages count: the shortest runs of lines from each line onwards, and up to each line, that have PASSAGE_TOKENS tokens.
+Two hosts, neither a near copy of the other, make a passage recur. What recurs is dropped from every host.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +39,30 @@ LEAST_CONTEXTS = ((30, 4), (8, 5), (LEAST_TOKENS, 6))
 #: A template with variable fields: least tokens, percent of segments that its instances share, times as many contexts.
 GENERAL_TOKENS, GENERAL_PERCENT, GENERAL_FACTOR = 6, 75, 2
 
+#: Tokens of a passage, which recurs from two hosts on.
+PASSAGE_TOKENS = 50
+#: Bins of a document's sketch; and the different hosts that are told apart of each line, as many as any rule asks for.
+BINS, MOST_HOSTS = 64, 12
+#: Lines whose hosts a worker holds before it hands them on.
+_HELD_KEYS = 20_000
+
 _DIGIT, _FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
-_SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_NEXT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _STEP, _LENGTH = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 _LAST = np.uint64(np.iinfo(np.uint64).max)
-_ROWS = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("n_tokens", pa.int32()), ("segments", pa.list_(pa.int32())), ("context1", pa.int64()), ("context2", pa.int64())])
+_ROWS = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("n_tokens", pa.int32()), ("segments", pa.list_(pa.int32())), ("context1", pa.int64()), ("places", pa.list_(pa.int32())), ("copy", pa.int64()), ("sketch", pa.binary())])
 
 
 class Lines(NamedTuple):
-    """Lines that hold a token: whose they are, which line of the text, and sums over their tokens' hashes by place."""
+    """Lines that hold a token: whose they are, which line of the text, their tokens' hashes and sums over these by place; and a hash of each text."""
 
     owner: np.ndarray
     number: np.ndarray
     n_tokens: np.ndarray
     start: np.ndarray
     sums: np.ndarray
+    words: np.ndarray
+    copies: np.ndarray
 
     def part(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """One hash of the tokens between two places of all tokens."""
@@ -62,9 +75,10 @@ class Lines(NamedTuple):
 def lines_of(texts: list[str | None], seen: WordHashes) -> Lines:
     """All lines of all texts at once; tokens with a digit are variable fields and all alike."""
     tokens: list[bytes] = []
-    owner, number, counts = [], [], []
+    owner, number, counts, copies = [], [], [], []
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
+        copies.append(xxhash.xxh3_64_intdigest(raw))
         if _DIGIT.search(raw):
             raw = _FIELD.sub(b"<*>", raw)
         for k, line in enumerate(raw.split(b"\n")):
@@ -76,41 +90,57 @@ def lines_of(texts: list[str | None], seen: WordHashes) -> Lines:
     longest = int(n.max()) if len(n) else 0
     power = np.cumprod(np.full(longest + 1, _STEP, np.uint64))
     place = np.arange(len(tokens)) - np.repeat(start, n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(seen.of(tokens) * power[place], dtype=np.uint64)])
-    return Lines(np.array(owner, np.int64), np.array(number, np.int64), n, start, sums)
+    words = seen.of(tokens)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[place], dtype=np.uint64)])
+    return Lines(np.array(owner, np.int64), np.array(number, np.int64), n, start, sums, words, np.array(copies, np.uint64))
+
+
+def sketches(lines: Lines, hashes: np.ndarray) -> np.ndarray:
+    """[texts, BINS]: in each bin the least hash of three tokens in a line (high half) with its line's hash (low half); all ones where there is none."""
+    of = np.repeat(np.arange(len(hashes)), lines.n_tokens)
+    runs = lines.words.copy()
+    for k, factor in enumerate(_NEXT, 1):
+        runs[:-k] += np.where(of[k:] == of[:-k], lines.words[k:] * factor, np.uint64(0))
+    runs = mix(runs)
+    out = np.full(len(lines.copies) * BINS, _LAST)
+    at = lines.owner[of] * BINS + (runs & np.uint64(BINS - 1)).astype(np.int64)
+    np.minimum.at(out, at, (runs >> np.uint64(32) << np.uint64(32)) | (hashes >> np.uint64(32))[of])
+    return out.reshape(-1, BINS)
 
 
 def describe(texts: list[str | None], seen: WordHashes) -> tuple[np.ndarray, pa.RecordBatch]:
-    """The owner, and leaf, line, n_tokens, segments, context1, context2 of every distinct line of LEAST_TOKENS tokens or more."""
+    """The owner, and leaf, line, n_tokens, segments of every distinct line of LEAST_TOKENS tokens or more; context1, of all other lines of the text;
+    its places among the lines of so many tokens; the text's hash and, in its first row, its sketch."""
     lines = lines_of(texts, seen)
     hashes = lines.hashes()
     order = np.lexsort((hashes, lines.owner))
     owner, line = lines.owner[order], hashes[order]
     first = np.ones(len(order), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
-    order, owner, line = order[first], owner[first], line[first]
+    everything, order, owner, line = order, order[first], owner[first], line[first]
     begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
     of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(owner))))
-    contexts = []
-    for salt in _SALTS:
-        keys = mix(line ^ salt)
-        if len(begins):
-            least = np.minimum.reduceat(keys, begins)[of]
-            second = np.minimum.reduceat(np.where(keys == least, _LAST, keys), begins)[of]
-            keys = np.where(keys == least, np.where(second == _LAST, np.uint64(0), second), least)  # a line that stands alone has one and the same context everywhere
-        contexts.append(keys)
-    kept = lines.n_tokens[order] >= LEAST_TOKENS
+    rest = (np.bitwise_xor.reduceat(line, begins)[of] if len(begins) else line) ^ line  # 0 where a line stands alone
+    eligible = lines.n_tokens >= LEAST_TOKENS
+    place = np.cumsum(eligible) - 1
+    sketch, held = sketches(lines, hashes), everything[eligible[everything]]
+    kept = eligible[order]
+    times = np.diff(np.append(np.flatnonzero(first), len(first)))[kept]
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32()), pa.array(place[held], pa.int32()))
     n, start = lines.n_tokens[order][kept], lines.start[order][kept]
     leaf = mix(lines.part(start, start + DEPTH) + n.astype(np.uint64) * _LENGTH)
-    rest = n - DEPTH
-    k = np.minimum(SEGMENTS, rest)
+    more = n - DEPTH
+    k = np.minimum(SEGMENTS, more)
     offsets = np.concatenate([[0], np.cumsum(k)])
     j, which = np.arange(offsets[-1]) - np.repeat(offsets[:-1], k), np.repeat(np.arange(len(n)), k)
     at = start[which] + DEPTH
-    segments = lines.part(at + rest[which] * j // k[which], at + rest[which] * (j + 1) // k[which]) >> np.uint64(33)
+    segments = lines.part(at + more[which] * j // k[which], at + more[which] * (j + 1) // k[which]) >> np.uint64(33)
     values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(segments.astype(np.int32), pa.int32()))
-    columns = [leaf.view(np.int64), line[kept].view(np.int64), n.astype(np.int32), values, *(c[kept].view(np.int64) for c in contexts)]
-    return owner[kept], pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ROWS)
+    owner = owner[kept]
+    leads = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    shown = pa.array([sketch[i].tobytes() if lead else None for i, lead in zip(owner.tolist(), leads.tolist(), strict=True)], pa.binary())
+    columns = [leaf.view(np.int64), line[kept].view(np.int64), n.astype(np.int32), values, rest[kept].view(np.int64), places, lines.copies[owner].view(np.int64), shown]
+    return owner, pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ROWS)
 
 
 def line_rows(documents: DataFrame) -> DataFrame:
@@ -124,7 +154,7 @@ def line_rows(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), *rows.columns], names=["doc_id", *_ROWS.names])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, leaf long, line long, n_tokens int, segments array<int>, context1 long, context2 long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, leaf long, line long, n_tokens int, segments array<int>, context1 long, places array<int>, copy long, sketch binary")
 
 
 def needed_contexts(n_tokens: Column) -> Column:
@@ -134,21 +164,137 @@ def needed_contexts(n_tokens: Column) -> Column:
     return out
 
 
-def _contexts(rows: DataFrame, *key: str) -> DataFrame:
-    """The key and its number of contexts: the larger of the two counts of distinct context hashes."""
-    which = F.explode(F.array(F.struct(F.lit(1).alias("at"), F.col("context1").alias("x")), F.struct(F.lit(2).alias("at"), F.col("context2").alias("x"))))
-    each = rows.select(*key, which.alias("c")).select(*key, "c.at", "c.x").distinct()
-    return each.groupBy(*key, "at").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("contexts"))
+def passages(places: list[int], lines: list[int], n_tokens: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """Hash and lines of the shortest runs of PASSAGE_TOKENS tokens, from each line onwards and up to each line; ``places`` ascend, and a run has no gap."""
+    found: set[tuple[int, int]] = set()
+    begin = 0
+    for end in range(1, len(places) + 1):
+        if end < len(places) and places[end] == places[end - 1] + 1:
+            continue
+        total = np.concatenate([[0], np.cumsum(n_tokens[begin:end])])
+        size = end - begin
+        to = np.searchsorted(total, total[:-1] + PASSAGE_TOKENS)
+        back = np.searchsorted(total, total[1:] - PASSAGE_TOKENS, "right") - 1
+        found.update((begin + i, begin + j) for i, j in enumerate(to.tolist()) if j <= size)
+        found.update((begin + i, begin + j) for j, i in enumerate(back.tolist(), 1) if i >= 0)
+        begin = end
+    for i, j in found:
+        yield xxhash.xxh3_64_intdigest(np.array(lines[i:j], np.int64).tobytes(), 1) - (1 << 63), lines[i:j]
+
+
+def passage_rows(held: DataFrame) -> DataFrame:
+    """copy, key and lines of each passage of the lines that more than one text has."""
+    texts = held.groupBy("copy").agg(F.array_sort(F.collect_set(F.struct("place", "line", "n_tokens"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copies, keys, members = [], [], []
+            for copy, x in zip(b.column("copy").to_pylist(), b.column("x").to_pylist(), strict=True):
+                for key, lines in passages([r["place"] for r in x], [r["line"] for r in x], [r["n_tokens"] for r in x]):
+                    copies.append(copy), keys.append(key), members.append(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(keys, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["copy", "key", "lines"])
+
+    return texts.mapInArrow(run, "copy long, key long, lines array<long>")
+
+
+def differing(sketch: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each other sketch whether its text is another host, whether it is no near copy either, and whether it has nothing of its own."""
+    mine, theirs, last = sketch >> np.uint64(32), others >> np.uint64(32), _LAST >> np.uint64(32)
+    either, equal = ((mine != last) | (theirs != last)).sum(1), ((mine == theirs) & (mine != last)).sum(1)
+    shared = ((sketch == others) & (mine != last)).sum(1)
+    own, their_own = (mine < theirs).sum(1), (theirs < mine).sum(1)
+    other = 3 * (equal - shared) < np.minimum(own, their_own)  # of what either has outside shared lines, less than a quarter is in the other's
+    return other, other & (4 * equal < 3 * either), their_own == 0
+
+
+class Hosts:
+    """Sketches of texts of which no two are copies, MOST_HOSTS at most; sets of hosts merge by adding one's sketches to the other's."""
+
+    def __init__(self) -> None:
+        self.kept, self.n, self.seen = np.empty((2, BINS), np.uint64), 0, set()
+
+    def add(self, raw: bytes) -> None:
+        if self.n == MOST_HOSTS or raw in self.seen:
+            return
+        sketch = np.frombuffer(raw, np.uint64)
+        if self.n:
+            other, _, within = differing(sketch, self.kept[: self.n])
+            if not other.all():
+                if len(of := np.flatnonzero(~other & within)):  # the text has all of an excerpt, which told nothing apart
+                    self.kept[of[0]] = sketch
+                return
+            if self.n == len(self.kept):
+                self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
+        self.kept[self.n] = sketch
+        self.n += 1
+        self.seen.add(raw)
+
+    def apart(self) -> bool:
+        """Whether two of them are not even near copies."""
+        return any(differing(self.kept[i], self.kept[:i])[1].any() for i in range(1, self.n))
+
+
+def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and sketch of a task's own hosts, from keys and sketch of texts."""
+    hosts: dict[int, Hosts] = {}
+
+    def found() -> pa.RecordBatch:
+        rows = [(k, h.kept[i].tobytes()) for k, h in hosts.items() for i in range(h.n)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["key", "sketch"])
+
+    for b in batches:
+        for keys, raw in zip(b.column("keys").to_pylist(), b.column("sketch").to_pylist(), strict=True):
+            for k in keys:
+                hosts.setdefault(k, Hosts()).add(raw)
+            if len(hosts) >= _HELD_KEYS:
+                yield found()
+                hosts.clear()
+    yield found()
+
+
+def _all_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, its number of hosts (MOST_HOSTS stands for more), and whether two are apart; rows are in order of keys."""
+    key, hosts = None, Hosts()
+    row = lambda: (key, hosts.n, hosts.apart())
+    for b in batches:
+        out = []
+        for k, raw in zip(b.column("key").to_pylist(), b.column("sketch").to_pylist(), strict=True):
+            if k != key:
+                if hosts.n:
+                    out.append(row())
+                key, hosts = k, Hosts()
+            hosts.add(raw)
+        yield _host_rows(out)
+    yield _host_rows([row()] if hosts.n else [])
+
+
+def _host_rows(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_()))], names=["key", "hosts", "apart"])
+
+
+def hosts_of(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, hosts, apart from rows of key, copy, least (texts that it takes at least); ``texts`` has the sketch of each copy."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter(F.col("n") >= F.col("least")).select("key")
+    often = keyed.join(materialize(counts, "often"), "key").groupBy("copy").agg(F.collect_list("key").alias("keys"))  # at most the keys of the text's own lines
+    part = often.join(texts, "copy").select("keys", "sketch").mapInArrow(_partial_hosts, "key long, sketch binary")
+    return materialize(part.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_all_hosts, "key long, hosts int, apart boolean"), "hosts")
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
     """doc_id, line (hash) of every line to be dropped, from the rows of ``line_rows``."""
-    fewest = min(c for _, c in LEAST_CONTEXTS)
-    leaves = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= fewest).select("leaf")
+    leaves = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("leaf")
     leaves = materialize(leaves, "leaves")  # read back, both sides of the join are plain exchanges, and a hot leaf's can be split
-    held = materialize(rows.join(leaves, "leaf"), "held")
-    lines = held.groupBy("leaf", "line", "n_tokens", "segments").agg(F.lit(1)).drop("1").join(_contexts(held, "leaf", "line"), ["leaf", "line"])
-    lines = materialize(lines.select("leaf", "line", "n_tokens", "segments", "contexts"), "lines")
+    held = materialize(rows.drop("sketch").join(leaves, "leaf"), "held")
+    texts = rows.filter(F.col("sketch").isNotNull()).select("copy", "sketch").dropDuplicates(["copy"])
+    again = materialize(held.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("line"), "again")
+    several = materialize(held.join(again, "line").select("copy", F.explode("places").alias("place"), "line", "n_tokens").distinct(), "several")
+    runs = materialize(passage_rows(several), "passages")
+    keyed = held.filter(F.col("context1") != 0).select(F.col("line").alias("key"), "copy", needed_contexts(F.col("n_tokens")).alias("least")).distinct()
+    keyed = materialize(keyed.union(runs.select("key", "copy", F.lit(2))), "keyed")
+    counted = hosts_of(keyed, texts)
+    contexts = counted.select(F.col("key").alias("line"), F.col("hosts").alias("contexts"))
+    lines = held.groupBy("leaf", "line", "n_tokens", "segments").agg(F.lit(1)).drop("1").join(contexts, "line", "left")
+    lines = materialize(lines.select("leaf", "line", "n_tokens", "segments", F.coalesce("contexts", F.lit(1)).alias("contexts")), "lines")
 
     values = lines.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("leaf", "contexts", F.posexplode("segments").alias("at", "value"))
     weights = values.groupBy("leaf", "at", "value").agg(F.sum("contexts").alias("weight"))
@@ -157,12 +303,20 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     shared = F.size(F.filter(F.zip_with("segments", "template", lambda x, y: x == y), lambda x: x))
     fits = 100 * shared >= GENERAL_PERCENT * F.size("segments")
     instances = lines.join(template, "leaf").filter(fits).select("leaf", "line")
-    general = _contexts(held.join(instances, ["leaf", "line"], "left_semi"), "leaf").withColumnRenamed("contexts", "general")
+    of_leaves = held.join(instances, ["leaf", "line"], "left_semi").select(F.col("leaf").alias("key"), "copy", (GENERAL_FACTOR * needed_contexts(F.col("n_tokens"))).alias("least")).distinct()
+    general = hosts_of(materialize(of_leaves, "of_leaves"), texts).select(F.col("key").alias("leaf"), F.col("hosts").alias("general"))
     marked = lines.join(instances.withColumn("instance", F.lit(True)), ["leaf", "line"], "left").join(general, "leaf", "left")
     needed = needed_contexts(F.col("n_tokens"))
     recurs = (F.col("contexts") >= needed) | (F.coalesce("instance", F.lit(False)) & (F.col("general") >= GENERAL_FACTOR * needed))
-    dropped = marked.filter(recurs).select("leaf", "line")
-    return held.join(dropped, ["leaf", "line"], "left_semi").select("doc_id", "line").distinct()
+    dropped = held.join(marked.filter(recurs).select("leaf", "line"), ["leaf", "line"], "left_semi").select("doc_id", "line")
+    return dropped.union(_lines_of_passages(held, runs, counted)).distinct()
+
+
+def _lines_of_passages(held: DataFrame, runs: DataFrame, counted: DataFrame) -> DataFrame:
+    """doc_id, line of the passages that recur."""
+    recurring = counted.filter(F.col("apart") | (F.col("hosts") >= LEAST_CONTEXTS[0][1])).select("key")
+    within = runs.join(recurring, "key").select("copy", F.explode("lines").alias("line")).distinct()
+    return held.select("doc_id", "copy", "line").join(materialize(within, "within"), ["copy", "line"], "left_semi").select("doc_id", "line")
 
 
 def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:

@@ -211,3 +211,40 @@ def test_windows_cover_every_word():
         starts = toxicity.window_starts(n)
         covered = {i for s in starts for i in range(s, min(n, s + toxicity.WINDOW))}
         assert covered == set(range(n)) and all(b - a < toxicity.WINDOW for a, b in zip(starts, starts[1:]))
+
+
+def _dropped(spark, texts):
+    got = linededup.without_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: r["text"] for r in got}
+
+
+def _prose(seed):
+    rng = random.Random(seed)
+    return lambda n=12: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(n))
+
+
+@pytest.mark.parametrize("hosts", [2, 3])
+def test_long_passages_recur_from_two_hosts(spark, hosts):
+    """A passage of six lines goes from every host, a shorter one stays, and copies and near copies of one text stay whole."""
+    line = _prose(hosts)
+    passage, short = [line(n) for n in (12, 9, 14, 3, 12, 11)], [line(), line()]
+    texts, want = [], []
+    for k in range(hosts):
+        own = [line() for _ in range(6 + k)]
+        texts.append("\n".join([*own[:2], *passage, *own[2:4], *short, *own[4:]]))
+        want.append("\n".join([*own[:4], *short, *own[4:]]))
+    whole = [line() for _ in range(12)]
+    for k in range(hosts):
+        edited = whole[:]
+        edited[k * 3] = " ".join([*edited[k * 3].split()[:-1], line(1)])
+        texts += ["\n".join(whole), "\n".join(edited)]
+    texts.append("\n".join(whole[:7]))
+    assert _dropped(spark, texts) == dict(enumerate(want + texts[hosts:]))
+
+
+def test_hosts_that_share_most_lines(spark):
+    """A licence of 21 lines in 20 documents that have one line each of their own."""
+    line = _prose(5)
+    licence = [line() for _ in range(21)]
+    own = [line() for _ in range(20)]
+    assert _dropped(spark, ["\n".join([*licence[:9], x, *licence[9:]]) for x in own]) == dict(enumerate(own))
