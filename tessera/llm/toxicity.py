@@ -34,6 +34,8 @@ WORD_ROWS, RUN_ROWS, DIM, HIDDEN = 1 << 16, 1 << 17, 6, 8
 FOLDS = 3
 #: Lengths of the character runs, in bytes of a word with its ends marked.
 RUNS = (3, 4, 6)
+#: Longest word in bytes; a longer one, as unspaced scripts have, enters as overlapping pieces, so that each of its runs is in one of them.
+WORD_BYTES = 64
 #: Half-width, in standard deviations, of the intervals of evidence.
 INTERVAL = 1.5
 EPOCHS, BATCH, RATE = 5, 128, 0.02
@@ -44,14 +46,18 @@ _SCORE_WINDOWS = 2048
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased, with ASCII punctuation stripped from their ends unless nothing else is there."""
-    return [w.strip(b".,;:!?\"'()[]*#&%$|<>") or w for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+    """Words, A-Z lower-cased, with ASCII punctuation stripped from their ends unless nothing else is there; pieces of long ones."""
+    words = [w.strip(b".,;:!?\"'()[]*#&%$|<>") or w for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+    if not any(len(w) > WORD_BYTES for w in words):
+        return words
+    overlap = RUNS[-1] - 1
+    return [w[i : i + WORD_BYTES] for w in words for i in range(0, max(1, len(w) - overlap), WORD_BYTES - overlap)]
 
 
 def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word its row; and the rows of its character runs (bytes of its UTF-8, ends marked), one word's after another's, with their numbers."""
     rows = np.fromiter((xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words), np.int64, len(words))
-    marked = [b"^" + w[:64] + b"$" for w in words]  # of a word beyond 64 bytes the rest says nothing on words
+    marked = [b"^" + w + b"$" for w in words]
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(words)), lengths)

@@ -248,3 +248,19 @@ def test_hosts_that_share_most_lines(spark):
     licence = [line() for _ in range(21)]
     own = [line() for _ in range(20)]
     assert _dropped(spark, ["\n".join([*licence[:9], x, *licence[9:]]) for x in own]) == dict(enumerate(own))
+
+
+def test_toxicity_of_unspaced_text():
+    """Every run of six bytes of a word of any length enters, and a toxic phrase far inside it moves the score."""
+    word = "".join(chr(0x4E00 + i) for i in range(300)).encode()
+    pieces = toxicity.words_of(word.decode())
+    assert all(len(p) <= toxicity.WORD_BYTES for p in pieces)
+    assert all(any(word[i : i + 6] in p for p in pieces) for i in range(len(word) - 5))
+    assert toxicity.words_of("a" * 64) == [b"a" * 64] and toxicity.words_of("b" * 65)[-1].endswith(b"b")
+    rng = random.Random(3)
+    clean = lambda n: "".join(chr(0x4E00 + rng.randrange(200)) for _ in range(n))
+    bad = "黑暗仇恨辱骂"
+    texts = [clean(60 + i % 40) + (bad if i % 2 else "") + clean(50) for i in range(120)]
+    network = toxicity.train(texts, [i % 2 for i in range(120)])
+    low, high = toxicity.Scorer(network).scores([(x := clean(90)) + clean(40), x + bad + clean(40)])
+    assert high > 0.7 > 0.3 > low
