@@ -2,8 +2,8 @@
 
 A line's way through the tree of fixed depth is its number of tokens and its leading tokens; tokens with a digit are
 variable fields from the start. What follows in a leaf is compared in up to eight segments (single tokens, in lines that
-are short enough). The leaf's template holds in each segment the value that most contexts have; a line with
-enough of these values is an instance of it, and the segments in which instances differ are its variable fields.
+are short enough). A leaf holds any number of templates: each choice of up to a quarter of the segments (one at least) is
+left out in turn, and lines that agree in all others are instances of one template, with the segments left out as its variable fields.
 
 A template recurs if its lines stand in enough different hosts, not merely in copies of one document. Hosts are compared
 by sketches: in each of BINS bins the least hash of a run of three tokens, with the line that it stands in. Outside the lines
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -36,8 +37,10 @@ SEGMENTS = 8
 LEAST_TOKENS = 3
 #: Contexts from which a line recurs, by its number of tokens: short lines recur by chance.
 LEAST_CONTEXTS = ((30, 4), (8, 5), (LEAST_TOKENS, 6))
-#: A template with variable fields: least tokens, percent of segments that its instances share, times as many contexts.
-GENERAL_TOKENS, GENERAL_PERCENT, GENERAL_FACTOR = 6, 75, 2
+#: A template with variable fields: least tokens, one in so many segments is variable, times as many hosts.
+GENERAL_TOKENS, GENERAL_SHARE, GENERAL_FACTOR = 4, 4, 2
+#: By number of segments, the segments that each of its templates keeps. Fewer left out would only part what these have together.
+KEPT_SEGMENTS = {k: [list(x) for x in combinations(range(k), k - max(1, k // GENERAL_SHARE))] for k in range(1, SEGMENTS + 1)}
 
 #: Tokens of a passage, which recurs from two hosts on.
 PASSAGE_TOKENS = 50
@@ -289,27 +292,31 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     again = materialize(held.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("line"), "again")
     several = materialize(held.join(again, "line").select("copy", F.explode("places").alias("place"), "line", "n_tokens").distinct(), "several")
     runs = materialize(passage_rows(several), "passages")
-    keyed = held.filter(F.col("context1") != 0).select(F.col("line").alias("key"), "copy", needed_contexts(F.col("n_tokens")).alias("least")).distinct()
-    keyed = materialize(keyed.union(runs.select("key", "copy", F.lit(2))), "keyed")
+    single = held.filter(F.col("context1") != 0).select(F.col("line").alias("key"), "copy", needed_contexts(F.col("n_tokens")).alias("least")).distinct()
+    instances = materialize(template_lines(held), "templates")
+    of_templates = held.select("line", "copy").join(instances, "line").select("key", "copy", "least").distinct()
+    keyed = materialize(single.union(runs.select("key", "copy", F.lit(2))).union(of_templates), "keyed")
     counted = hosts_of(keyed, texts)
-    contexts = counted.select(F.col("key").alias("line"), F.col("hosts").alias("contexts"))
-    lines = held.groupBy("leaf", "line", "n_tokens", "segments").agg(F.lit(1)).drop("1").join(contexts, "line", "left")
-    lines = materialize(lines.select("leaf", "line", "n_tokens", "segments", F.coalesce("contexts", F.lit(1)).alias("contexts")), "lines")
-
-    values = lines.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("leaf", "contexts", F.posexplode("segments").alias("at", "value"))
-    weights = values.groupBy("leaf", "at", "value").agg(F.sum("contexts").alias("weight"))
-    modal = weights.groupBy("leaf", "at").agg(F.max(F.struct("weight", "value"))["value"].alias("value"))
-    template = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("template"))  # SEGMENTS values at most
-    shared = F.size(F.filter(F.zip_with("segments", "template", lambda x, y: x == y), lambda x: x))
-    fits = 100 * shared >= GENERAL_PERCENT * F.size("segments")
-    instances = lines.join(template, "leaf").filter(fits).select("leaf", "line")
-    of_leaves = held.join(instances, ["leaf", "line"], "left_semi").select(F.col("leaf").alias("key"), "copy", (GENERAL_FACTOR * needed_contexts(F.col("n_tokens"))).alias("least")).distinct()
-    general = hosts_of(materialize(of_leaves, "of_leaves"), texts).select(F.col("key").alias("leaf"), F.col("hosts").alias("general"))
-    marked = lines.join(instances.withColumn("instance", F.lit(True)), ["leaf", "line"], "left").join(general, "leaf", "left")
-    needed = needed_contexts(F.col("n_tokens"))
-    recurs = (F.col("contexts") >= needed) | (F.coalesce("instance", F.lit(False)) & (F.col("general") >= GENERAL_FACTOR * needed))
-    dropped = held.join(marked.filter(recurs).select("leaf", "line"), ["leaf", "line"], "left_semi").select("doc_id", "line")
-    return dropped.union(_lines_of_passages(held, runs, counted)).distinct()
+    alone = single.select("key", "least").distinct().join(counted, "key").filter(F.col("hosts") >= F.col("least")).select(F.col("key").alias("line"))
+    general = instances.join(counted, "key").filter(F.col("hosts") >= F.col("least")).select("line")
+    dropped = held.select("doc_id", "line").join(materialize(alone.union(general).distinct(), "dropped"), "line", "left_semi")
+    return dropped.unionByName(_lines_of_passages(held, runs, counted)).distinct()
+
+
+def template_lines(held: DataFrame) -> DataFrame:
+    """key, line, least of the templates with variable fields that have enough lines to recur, whatever their hosts."""
+    wide = F.col("n_tokens") >= GENERAL_TOKENS
+    lines = held.filter(wide).groupBy("leaf", "line", "n_tokens", "segments").agg(F.count("*").alias("n"))
+    kept = None
+    for k, choices in KEPT_SEGMENTS.items():
+        value = F.lit(choices) if k > 1 else F.array(F.array().cast("array<int>"))
+        kept = F.when(F.size("segments") == k, value) if kept is None else kept.when(F.size("segments") == k, value)
+    each = lines.select("leaf", "line", "segments", "n", (GENERAL_FACTOR * needed_contexts(F.col("n_tokens"))).alias("least"), F.explode(kept).alias("kept"))
+    values = F.transform("kept", lambda i: F.get("segments", i))
+    each = each.select(F.xxhash64("leaf", "kept", values).alias("key"), "line", "n", "least")
+    found = each.groupBy("key").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.max("least").alias("least"))
+    found = materialize(found.filter((F.col("lines") > 1) & (F.col("n") >= F.col("least"))).select("key"), "found")
+    return each.select("key", "line", "least").join(found, "key")
 
 
 def _lines_of_passages(held: DataFrame, runs: DataFrame, counted: DataFrame) -> DataFrame:

@@ -264,3 +264,16 @@ def test_toxicity_of_unspaced_text():
     network = toxicity.train(texts, [i % 2 for i in range(120)])
     low, high = toxicity.Scorer(network).scores([(x := clean(90)) + clean(40), x + bad + clean(40)])
     assert high > 0.7 > 0.3 > low
+
+
+def test_a_leaf_has_many_templates(spark):
+    """Two templates of one leaf, and one of five tokens, each with a variable word; another one has too few hosts."""
+    line = _prose(9)
+    forms = ["posted here by {} in the news section of our site today", "posted here by {} who also wrote many other long fine pieces", "posted here by {} today"]
+    rare = "posted here by {} when nobody else cared to look for it"
+    texts, want = [], []
+    for i in range(42):
+        own = [line() for _ in range(4)] + ([rare.format(line(1))] if i < 6 else [])
+        texts.append("\n".join([*own[:2], forms[i % 3].format(line(1)), *own[2:]]))
+        want.append("\n".join(own))
+    assert _dropped(spark, texts) == dict(enumerate(want))
