@@ -1,11 +1,13 @@
 """Toxicity of documents: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A document is cut into overlapping windows of words. Each word enters with two parts: an embedding of the word and the
-mean embedding of its character runs (of three, four and six bytes), both hashed; with each comes how strongly the training
-labels speak for or against the word, or its most telling run. That is taken from the other folds for a document that is
-itself learned from, so that the network does not trust words that it knows from one document only. Gated recurrent units read a window in both
-directions, attention weighs their states, and a logistic unit scores the pooled state. A document's score is that
-of its highest window, calibrated on whole training documents; all windows of all texts are scored.
+A document is cut into overlapping windows of words. Each word enters with an embedding of its own and the sum of the
+embeddings of its character runs (of three, four and six bytes), both hashed; nothing else is known of a word. Gated
+recurrent units read a window in both directions, attention weighs their states, and a logistic unit scores the pooled
+state. A document's logit is that of its highest window; all windows of all texts are scored.
+
+Labels are those of whole documents. The first epochs learn from every window of every training document under its document's
+label; the later ones score all of these windows and follow the gradient of the highest one. A part of the training
+documents is held back from that; all of them calibrate the score.
 
 Word inputs, projected into the gates of both directions, are kept by word, so a word costs its products once.
 """
@@ -28,17 +30,22 @@ from tessera.llm.arrow import slices
 WINDOW, STRIDE = 48, 36
 #: Labelled documents that are learned from at most: the first by a hash of doc_id, each label up to half.
 TRAIN_DOCUMENTS = 4000
-#: Windows of one document that are learned from at most; which ones follows a fixed rule, see training_windows.
-TRAIN_WINDOWS = 6
-WORD_ROWS, RUN_ROWS, DIM, HIDDEN = 1 << 16, 1 << 17, 6, 8
-FOLDS = 3
+#: Bytes of text that these may have, half for either label; what lies beyond, in the order of the hash, is not learned from.
+TRAIN_BYTES = 64 << 20
+WORD_ROWS, RUN_ROWS, DIM, HIDDEN = 1 << 16, 1 << 17, 12, 8
 #: Lengths of the character runs, in bytes of a word with its ends marked.
 RUNS = (3, 4, 6)
+COMMON_RUNS = 30
 #: Longest word in bytes; a longer one, as unspaced scripts have, enters as overlapping pieces, so that each of its runs is in one of them.
 WORD_BYTES = 64
-#: Half-width, in standard deviations, of the intervals of evidence.
-INTERVAL = 1.5
-EPOCHS, BATCH, RATE = 5, 128, 0.02
+#: Windows a step; least steps over all windows, then over the highest window of each document, and between two looks for these; whole epochs.
+BATCH, ALL_STEPS, TOP_STEPS, LOOK_STEPS = 128, 400, 300, 30
+#: Sizes of the steps of the weights and of the embeddings.
+RATE, EMBED_RATE = 0.01, 0.02
+#: Share of the words that a training step leaves out, so that no document is known by a single rare word.
+DROPOUT = 0.1
+#: One training row in so many only takes part in calibrating the score.
+HELD_BACK = 10
 THRESHOLD = 0.7
 #: Words whose inputs a worker keeps; the table is emptied when full.
 CACHE_WORDS = 200_000
@@ -76,6 +83,11 @@ def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rows, (np.concatenate(found)[order] % np.uint64(RUN_ROWS)).astype(np.int64), np.bincount(of, minlength=len(words))
 
 
+def run_scale(lengths: np.ndarray) -> np.ndarray:
+    """By what a word's sum over its runs is multiplied: 1, less from COMMON_RUNS runs on, so that the noise of many runs does not grow."""
+    return np.sqrt(COMMON_RUNS / np.maximum(lengths, COMMON_RUNS)).astype(np.float32)
+
+
 def window_starts(n: int) -> list[int]:
     """Starts of the overlapping windows that cover ``n`` words."""
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
@@ -90,35 +102,28 @@ class Network:
     """Parameters by name; gates are ordered reset, update, candidate for the forward and then the backward direction."""
 
     p: dict[str, np.ndarray]
-    #: Evidence of labels by fold left out and row; the last is that of all documents.
-    word_odds: np.ndarray
-    run_odds: np.ndarray
     #: Slope and offset that turn a document's highest logit into that of its label.
     calibration: tuple[float, float] = (1.0, 0.0)
 
     @staticmethod
-    def fresh(word_odds: np.ndarray, run_odds: np.ndarray, seed: int = 5) -> Network:
+    def fresh(seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
-        n = 2 * DIM + 2
+        n = 2 * DIM
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         p = {
-            "word": draw(WORD_ROWS, DIM, scale=0.05), "run": draw(RUN_ROWS, DIM, scale=0.05),
+            "word": draw(WORD_ROWS, DIM, scale=0.02), "run": draw(RUN_ROWS, DIM, scale=0.02),
             "input": draw(n, 6 * HIDDEN, scale=0.4), "bias": np.zeros(6 * HIDDEN, np.float32),
             "forward": draw(HIDDEN, 3 * HIDDEN, scale=0.3), "backward": draw(HIDDEN, 3 * HIDDEN, scale=0.3),
             "attend": draw(2 * HIDDEN, HIDDEN, scale=0.4), "context": draw(HIDDEN, scale=0.4),
             "out": draw(2 * HIDDEN, scale=0.4), "out_bias": np.zeros(1, np.float32),
         }
-        return Network(p, word_odds, run_odds)
+        return Network(p)
 
-    def features(self, words: list[bytes], fold: int | np.ndarray = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs of words, with their rows, run rows and numbers of these."""
         rows, flat, lengths = encode_words(words)
-        cuts = np.cumsum(lengths) - lengths
-        mean = np.add.reduceat(self.p["run"][flat], cuts, axis=0) / lengths[:, None]
-        of_runs = fold if np.isscalar(fold) else np.repeat(fold, lengths)
-        telling = np.maximum.reduceat(self.run_odds[of_runs, flat], cuts)
-        x = np.concatenate([self.p["word"][rows], mean, self.word_odds[fold, rows][:, None], telling[:, None]], axis=1)
-        return x.astype(np.float32), rows, flat, lengths
+        runs = np.add.reduceat(self.p["run"][flat], np.cumsum(lengths) - lengths, axis=0) * run_scale(lengths)[:, None]
+        return np.concatenate([self.p["word"][rows], runs], axis=1), rows, flat, lengths
 
     def direction(self, gates: np.ndarray, mask: np.ndarray, weights: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States [steps, windows, HIDDEN] of one direction over its projected inputs; ``keep`` holds what learning needs."""
@@ -182,51 +187,11 @@ class Network:
         return g, np.concatenate([out_a, out_b[::-1]], axis=2)
 
 
-def evidence(documents: list[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every fold left out, and for all documents: the log odds of label 1 among the documents that hold a word row, or a run
-    row, over those among all. Of the interval in which the share may lie the end nearer to all counts, so that rows of few
-    documents stay near 0."""
-    counts = np.zeros((FOLDS, 2, WORD_ROWS)), np.zeros((FOLDS, 2, RUN_ROWS))
-    for i, (words, y) in enumerate(zip(documents, labels, strict=True)):
-        if words:
-            rows, flat, _ = encode_words(sorted(set(words)))
-            counts[0][i % FOLDS, y, np.unique(rows)] += 1
-            counts[1][i % FOLDS, y, np.unique(flat)] += 1
-    out = []
-    for c in counts:
-        total = c.sum(0)
-        kept = np.stack([*(total - c[k] for k in range(FOLDS)), total])
-        n = kept.sum(1)
-        share = np.stack([*(np.bincount(labels[np.arange(len(labels)) % FOLDS != k], minlength=2) for k in range(FOLDS)), np.bincount(labels, minlength=2)]).astype(float)
-        p = np.clip(share[:, 1] / share.sum(1), 0.01, 0.99)[:, None]
-        z, share = INTERVAL, kept[:, 1] / np.maximum(n, 1)
-        middle = (share + z * z / 2 / np.maximum(n, 1)) / (1 + z * z / np.maximum(n, 1))
-        half = z / (1 + z * z / np.maximum(n, 1)) * np.sqrt(share * (1 - share) / np.maximum(n, 1) + (z / 2 / np.maximum(n, 1)) ** 2)
-        near = np.where(middle - half > p, middle - half, np.where(middle + half < p, middle + half, p))
-        near = np.where(n > 0, np.clip(near, 1e-3, 1 - 1e-3), p)
-        out.append(np.clip(np.log(near / (1 - near)) - np.log(p / (1 - p)), -3, 6).astype(np.float32))
-    return out[0], out[1]
-
-
-def training_windows(words: list[bytes], label: int, word_odds: np.ndarray, run_odds: np.ndarray) -> list[list[bytes]]:
-    """Of a toxic document the window with the most telling word (labels are the document's, and most windows are
-    clean), of others windows evenly spread and the one most likely to mislead."""
-    starts = window_starts(len(words))
-    if not words:
-        return [words]
-    rows, flat, lengths = encode_words(words)
-    telling = np.maximum(word_odds[rows], np.maximum.reduceat(run_odds[flat], np.cumsum(lengths) - lengths))
-    peaks = np.array([telling[s : s + WINDOW].max() for s in starts])
-    best = int(peaks.argmax())
-    chosen = {best} if label else {best, *np.linspace(0, len(starts) - 1, min(TRAIN_WINDOWS - 1, len(starts))).astype(int).tolist()}
-    return [words[starts[i] : starts[i] + WINDOW] for i in sorted(chosen)]
-
-
 class Scorer:
     """A network with the projected inputs of words that it has met."""
 
-    def __init__(self, network: Network, fold: int = -1):
-        self.network, self.fold = network, fold
+    def __init__(self, network: Network):
+        self.network = network
         self.place: dict[bytes, int] = {}
         self.table = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
 
@@ -237,7 +202,7 @@ class Scorer:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            x = self.network.features(part, self.fold)[0]
+            x = self.network.features(part)[0]
             first = len(self.place) + 1  # row 0 is no word
             self.table[first : first + len(part)] = x @ self.network.p["input"] + self.network.p["bias"]
             self.place.update(zip(part, range(first, first + len(part)), strict=True))
@@ -249,6 +214,10 @@ class Scorer:
 
     def highest(self, parted: list[list[bytes]]) -> np.ndarray:
         """The highest window's logit of each list of words."""
+        return self.peaks(parted)[0]
+
+    def peaks(self, parted: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest window's logit of each list of words, and where that window starts."""
         distinct = set().union(*parted) if parted else set()
         fresh = distinct - self.place.keys()
         if len(self.place) + len(fresh) >= CACHE_WORDS:
@@ -258,7 +227,7 @@ class Scorer:
         codes = [np.fromiter(map(self.place.__getitem__, ws), np.int32, len(ws)) for ws in parted]
         spans = [(j, s, min(WINDOW, len(c) - s)) for j, c in enumerate(codes) for s in window_starts(len(c))]
         spans.sort(key=lambda x: x[2])
-        best = np.full(len(parted), -np.inf)
+        best, at = np.full(len(parted), -np.inf), np.zeros(len(parted), np.int64)
         for i in range(0, len(spans), _SCORE_WINDOWS):
             part = spans[i : i + _SCORE_WINDOWS]
             steps = max(1, part[-1][2])
@@ -267,9 +236,10 @@ class Scorer:
                 index[:n, k] = codes[j][s : s + n]
             mask = (index > 0).astype(np.float32)
             mask[0] = 1
-            logit = self.network.forward(self.table[index], mask)
-            np.maximum.at(best, [j for j, _, _ in part], logit)
-        return best
+            for (j, s, _), logit in zip(part, self.network.forward(self.table[index], mask).tolist(), strict=True):
+                if logit > best[j]:
+                    best[j], at[j] = logit, s
+        return best, at
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray, prior: float) -> tuple[float, float]:
@@ -287,63 +257,85 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, prior: float) -> tuple[flo
     return max(0.05, float(beta[0])), float(beta[1])
 
 
+class Trainer:
+    """Steps of gradient descent on a network: Adam for its weights, Adagrad for the embeddings that a step touches."""
+
+    def __init__(self, network: Network, rng: np.random.Generator):
+        self.network, self.rng, self.steps = network, rng, 0
+        self.dense = [k for k in network.p if k not in ("word", "run")]
+        self.first, self.second = ({k: np.zeros_like(network.p[k]) for k in self.dense} for _ in range(2))
+        self.squares = {k: np.full(len(network.p[k]), 1e-2, np.float32) for k in ("word", "run")}
+
+    def epoch(self, windows: list[list[bytes]], labels: np.ndarray) -> None:
+        """One pass over the windows in random order; both labels weigh the same."""
+        share = labels.mean()
+        weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+        for part in np.array_split(self.rng.permutation(len(windows)), max(1, len(windows) // BATCH)):
+            self.step([windows[i] for i in part], labels[part], weights[part])
+
+    def step(self, windows: list[list[bytes]], labels: np.ndarray, weights: np.ndarray) -> None:
+        p = self.network.p
+        words = sorted(set().union(*windows)) or [b""]
+        local = {w: k + 1 for k, w in enumerate(words)}
+        x, rows, flat, lengths = self.network.features(words)
+        index = np.zeros((max(1, *map(len, windows)), len(windows)), np.int64)
+        for k, window in enumerate(windows):
+            index[: len(window), k] = [local[w] for w in window]
+        index *= self.rng.random(index.shape) >= DROPOUT
+        mask = (index > 0).astype(np.float32)
+        mask[0] = 1
+        table = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), x @ p["input"] + p["bias"]])
+        g, projected = self.network.gradients(table[index], mask, labels, weights)
+        order = np.argsort(index, axis=None, kind="stable")
+        used, cuts = np.unique(index.ravel()[order], return_index=True)
+        grad = np.zeros_like(table)
+        grad[used] = np.add.reduceat(projected.reshape(-1, 6 * HIDDEN)[order], cuts, axis=0)
+        grad = grad[1:]
+        g["input"], g["bias"] = x.T @ grad, grad.sum(0)
+        dx = grad @ p["input"].T
+        self.steps += 1
+        for k in self.dense:
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
+            self.second[k] = 0.99 * self.second[k] + 0.01 * g[k] ** 2
+            p[k] -= RATE * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-6)
+        for name, where, part in (("word", rows, dx[:, :DIM]), ("run", flat, np.repeat(dx[:, DIM:] * run_scale(lengths)[:, None], lengths, axis=0))):
+            order = np.argsort(where, kind="stable")
+            touched, cuts = np.unique(where[order], return_index=True)
+            total = np.add.reduceat(part[order], cuts, axis=0)
+            self.squares[name][touched] += (total**2).mean(1)
+            p[name][touched] -= EMBED_RATE * total / np.sqrt(self.squares[name][touched])[:, None]
+
+
+def epochs(steps: int, examples: int) -> int:
+    return max(1, -(-steps * BATCH // max(1, examples)))
+
+
 def train(texts: list[str | None], labels: list[int], prior: float | None = None, seed: int = 5) -> Network:
     """Fit the network; the same rows in the same order give the same network. ``prior`` is the share of label 1 to expect."""
     documents, y = [words_of(t) for t in texts], np.array(labels, np.int64)
+    network = Network.fresh(seed)
     if len(set(labels)) < 2:
-        network = Network.fresh(np.zeros((FOLDS + 1, WORD_ROWS), np.float32), np.zeros((FOLDS + 1, RUN_ROWS), np.float32))
         network.calibration = (0.0, 2.0 if labels and labels[0] else -2.0)
         return network
-    network = Network.fresh(*evidence(documents, y), seed=seed)
-    held = [
-        (w, label, i % FOLDS)
-        for i, (words, label) in enumerate(zip(documents, labels, strict=True))
-        for w in training_windows(words, label, network.word_odds[i % FOLDS], network.run_odds[i % FOLDS])
-    ]
-    window_labels = np.array([label for _, label, _ in held], np.float32)
-    weights = np.where(window_labels > 0, len(held) / 2 / max(1, window_labels.sum()), len(held) / 2 / max(1, (1 - window_labels).sum())).astype(np.float32)
-    rng = np.random.default_rng(seed)
-    dense = [k for k in network.p if k not in ("word", "run")]
-    first, second = {k: np.zeros_like(network.p[k]) for k in dense}, {k: np.zeros_like(network.p[k]) for k in dense}
-    squares = {k: np.full(len(network.p[k]), 1e-2, np.float32) for k in ("word", "run")}
-    at = 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(held)), max(1, len(held) // BATCH)):
-            at += 1
-            words = sorted({(w, held[i][2]) for i in part for w in held[i][0]}) or [(b"", 0)]
-            local = {w: k + 1 for k, w in enumerate(words)}
-            x, rows, flat, lengths = network.features([w for w, _ in words], np.array([fold for _, fold in words]))
-            index = np.zeros((max(1, max(len(held[i][0]) for i in part)), len(part)), np.int64)
-            for k, i in enumerate(part):
-                index[: len(held[i][0]), k] = [local[w, held[i][2]] for w in held[i][0]]
-            mask = (index > 0).astype(np.float32)
-            mask[0] = 1
-            table = np.concatenate([np.zeros((1, 6 * HIDDEN), np.float32), x @ network.p["input"] + network.p["bias"]])
-            g, projected = network.gradients(table[index], mask, window_labels[part], weights[part])
-            order = np.argsort(index, axis=None, kind="stable")
-            used, cuts = np.unique(index.ravel()[order], return_index=True)
-            rows_grad = np.zeros_like(table)
-            rows_grad[used] = np.add.reduceat(projected.reshape(-1, 6 * HIDDEN)[order], cuts, axis=0)
-            rows_grad = rows_grad[1:]
-            g["input"], g["bias"] = x.T @ rows_grad, rows_grad.sum(0)
-            dx = rows_grad @ network.p["input"].T
-            for k in dense:
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                network.p[k] -= RATE * (first[k] / (1 - 0.9**at)) / (np.sqrt(second[k] / (1 - 0.99**at)) + 1e-6)
-            spread = np.repeat(dx[:, DIM : 2 * DIM] / lengths[:, None], lengths, axis=0)
-            for name, where, grad in (("word", rows, dx[:, :DIM]), ("run", flat, spread)):
-                order = np.argsort(where, kind="stable")
-                touched, cuts = np.unique(where[order], return_index=True)
-                total = np.add.reduceat(grad[order], cuts, axis=0)
-                squares[name][touched] += (total**2).mean(1)
-                network.p[name][touched] -= 0.1 * RATE * total / np.sqrt(squares[name][touched])[:, None]
-    logits = np.empty(len(documents))
-    for k in range(FOLDS):
-        scorer = Scorer(network, k)
-        for i in range(k, len(documents), FOLDS * 64):
-            mine = slice(i, min(len(documents), i + FOLDS * 64), FOLDS)
-            logits[mine] = scorer.highest(documents[mine])
+    rank = np.empty(len(y), np.int64)  # held back are every so many rows of either label, where there are enough
+    for label in (0, 1):
+        rank[y == label] = np.arange((y == label).sum())
+    back = rank % HELD_BACK == HELD_BACK - 1
+    if len(set(y[back])) < 2:
+        back[:] = False
+    fit = np.flatnonzero(~back)
+    windows = [(documents[i][s : s + WINDOW], y[i]) for i in fit for s in window_starts(len(documents[i]))]
+    trainer = Trainer(network, np.random.default_rng(seed))
+    for _ in range(epochs(ALL_STEPS, len(windows))):
+        trainer.epoch([w for w, _ in windows], np.array([label for _, label in windows], np.float32))
+    again = epochs(LOOK_STEPS, len(fit))
+    for _ in range(epochs(TOP_STEPS, again * len(fit))):
+        scorer = Scorer(network)
+        starts = np.concatenate([scorer.peaks([documents[i] for i in fit[k : k + 256]])[1] for k in range(0, len(fit), 256)])
+        for _ in range(again):
+            trainer.epoch([documents[i][s : s + WINDOW] for i, s in zip(fit, starts, strict=True)], y[fit].astype(np.float32))
+    scorer = Scorer(network)
+    logits = np.concatenate([scorer.highest(documents[k : k + 256]) for k in range(0, len(documents), 256)])
     network.calibration = calibrate(logits, y, prior or float(y.mean()))
     return network
 
@@ -352,23 +344,37 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def learn(documents: DataFrame, labels: DataFrame, allowed: Column, most: int = TRAIN_DOCUMENTS) -> Network:
-    """Train on at most ``most`` labelled documents, half of them of either label where there are enough.
+def learn(documents: DataFrame, labels: DataFrame, allowed: Column, most: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> Network:
+    """Train on at most ``most`` labelled documents of ``most_bytes`` in all, half of them of either label where there are enough.
 
-    The sample's ids come to the driver first, then its texts; both are bounded by ``most`` documents.
+    What comes to the driver are the sample's ids with the sizes of its texts, then the texts that fit. Labels other than 0 and
+    1, null ones and rows for which ``allowed`` is null are not learned from; a document with both labels is learned under each.
     """
     usable = labels.filter(F.coalesce(allowed, F.lit(False)) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     order = F.xxhash64("doc_id", F.lit(5))
     sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
     parts = [usable.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(most // 2) for y in (0, 1)]
-    sample = parts[0].union(parts[1])
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(most).collect()
+    sample = parts[0].union(parts[1]).withColumn("order", order)
+    found = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(F.broadcast(sample), "doc_id")
+    chosen, room = [], {0: most_bytes // 2, 1: most_bytes // 2}
+    for r in found.groupBy("order", "doc_id", "toxic").agg(F.sum("bytes").alias("bytes")).orderBy("order", "doc_id", "toxic").collect():
+        room[r["toxic"]] -= r["bytes"]
+        if room[r["toxic"]] >= 0:
+            chosen.append((r["doc_id"], r["toxic"]))
+    if not chosen:
+        return train([], [], prior)
+    fitting = documents.sparkSession.createDataFrame(chosen, sample.select("doc_id", "toxic").schema)
+    rows = documents.select("doc_id", "text").join(F.broadcast(fitting), "doc_id").orderBy("doc_id", "text").limit(most).collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
 
 
 def score_documents(df: DataFrame, network: Network, text: str = "text") -> DataFrame:
-    """Replace ``text`` by score; an input column score is replaced. Null and empty texts get the score of no words."""
+    """Replace ``text`` by score; an input column score is replaced.
+
+    Null and empty texts get the score of no words. Texts of any length are read whole, window by window, and words beyond
+    WORD_BYTES as overlapping pieces. Equal texts, repeated rows among them, get equal scores; an empty table gives no rows.
+    """
     kept = [f for f in df.schema.fields if f.name not in (text, "score")]
     shared = df.sparkSession.sparkContext.broadcast(network)  # its size is fixed by the constants above
 
@@ -382,6 +388,11 @@ def score_documents(df: DataFrame, network: Network, text: str = "text") -> Data
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of ``documents``; a null doc_id has a null held_out.
+
+    Only labels of documents that are not held out are learned from. Where only one label is left, or none, every text has
+    the same score.
+    """
     network = learn(documents, labels, ~held_out(F.col("doc_id")))
     scored = score_documents(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), network)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -173,13 +173,13 @@ def test_toxicity_held_out_and_gradients(spark):
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if scores[r["doc_id"]]["held_out"]}
     assert docs.count() == len(scores) and all(zlib.crc32(str(d).encode()) % 3 == 1 for d in truth)
     good, bad = ([scores[d]["score"] for d in truth if truth[d] == y] for y in (0, 1))
-    assert np.mean([[b > g for g in good] for b in bad]) > 0.8
+    assert np.mean([[b > g for g in good] for b in bad]) > 0.85
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in scores.values())
 
 
 def test_network_gradients():
     rng = np.random.default_rng(0)
-    net = toxicity.Network.fresh(np.zeros((toxicity.FOLDS + 1, toxicity.WORD_ROWS), np.float32), np.zeros((toxicity.FOLDS + 1, toxicity.RUN_ROWS), np.float32))
+    net = toxicity.Network.fresh()
     projected = rng.normal(0, 1, (5, 3, 6 * toxicity.HIDDEN)).astype(np.float32)
     mask = np.ones((5, 3), np.float32)
     mask[3:, 1] = 0
