@@ -70,8 +70,8 @@ rated AS (
   FROM counted),
 long AS (
   SELECT lang, source, rate, ((v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0)) AS bucket
-  FROM (SELECT lang, source, symbol_rate::BIGINT AS symbol_rate, dup_line_rate::BIGINT AS dup_line_rate, repeat_rate::BIGINT AS repeat_rate, word_length::BIGINT AS word_length
-        FROM rated WHERE NOT base_failed) UNPIVOT (v FOR rate IN (symbol_rate, dup_line_rate, repeat_rate, word_length))),
+  FROM (SELECT lang, source, symbol_rate::BIGINT AS symbol_rate, dup_line_rate::BIGINT AS dup_line_rate, repeat_rate::BIGINT AS repeat_rate, word_length::BIGINT AS word_length, n_words, n_lines
+        FROM rated WHERE NOT base_failed) UNPIVOT (v FOR rate IN (symbol_rate, dup_line_rate, repeat_rate, word_length, n_words, n_lines))),
 sketch AS (
   SELECT 0 AS level, lang, source, rate, bucket, count(*) AS n FROM long GROUP BY ALL
   UNION ALL SELECT 1, lang, NULL, rate, bucket, count(*) FROM long GROUP BY ALL
@@ -79,12 +79,16 @@ sketch AS (
 upto AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS size FROM sketch),
 quartiles AS (
-  SELECT level, lang, source, rate, max(size) AS size, min(bucket) FILTER (upto * 4 >= size) AS q1, min(bucket) FILTER (upto * 4 >= size * 3) AS q3
+  SELECT level, lang, source, rate, max(size) AS size, min(bucket) FILTER (upto * 4 >= size) AS q1, min(bucket) FILTER (upto * 4 >= size * 2) AS q2,
+    min(bucket) FILTER (upto * 4 >= size * 3) AS q3
   FROM upto GROUP BY ALL),
-spreads(rate, least, both_sides) AS (VALUES ('symbol_rate', 60, false), ('dup_line_rate', 80, false), ('repeat_rate', 60, false), ('word_length', 60, true)),
-fences AS (
-  SELECT level, lang, source, rate, size, both_sides, q1 - 5 * greatest(q3 - q1, least) AS low, q3 + 5 * greatest(q3 - q1, least) AS high
-  FROM quartiles JOIN spreads USING (rate)),
+events(rate, of, adds, adds_q2, both_sides) AS (VALUES ('symbol_rate', 'n_words', 1000, 0, false), ('dup_line_rate', 'n_lines', 1000, 0, false),
+  ('repeat_rate', 'n_words', 16000, 0, false), ('word_length', 'n_words', 0, 10, true)),
+spreads AS (
+  SELECT q.*, both_sides, greatest(q.q3 - q.q1, (adds + adds_q2 * q.q2) // greatest(o.q2, 1)) AS spread
+  FROM quartiles q JOIN events e ON e.rate = q.rate
+  JOIN quartiles o ON o.rate = e.of AND o.level = q.level AND o.lang IS NOT DISTINCT FROM q.lang AND o.source IS NOT DISTINCT FROM q.source),
+fences AS (SELECT level, lang, source, rate, size, both_sides, q1 - 5 * spread AS low, q3 + 5 * spread AS high FROM spreads),
 values_ AS (
   SELECT rowno, lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS rate,
     unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v FROM rated),

@@ -3,8 +3,10 @@
 Each document gets counts of its whole text. Rates made from these counts feed mergeable quantile sketches per
 language and source: a value's bucket keeps its leading bits (exact below 128, within 1/64 above), and a sketch
 is the count in each bucket, so sketches of any groups merge by adding counts. Thresholds are fences around the
-quartiles of a document's own group, or of its language or of everything where the group is small. Joining
-thresholds to documents gives the verdict.
+quartiles of a document's own group, or of its language or of everything where the group is small: FENCE spreads beyond them.
+A spread is the distance of the quartiles. Where most documents have the same rate, zero say, that tells nothing; the spread is
+then what a single event (a symbol, a repeated line or run of words, a word of unusual length) adds to the rate of the group's
+median document, so it follows the sketches of the documents' sizes. Joining thresholds to documents gives the verdict.
 """
 
 from __future__ import annotations
@@ -24,12 +26,20 @@ from tessera.runtime import materialize
 SYMBOLS = "#*$%&|<>"
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT, REPEAT_WINDOW = 20, 30, 8
-#: A group's own quartiles count from so many documents on; below, its language's, then everything's.
+#: The method's back-off: a group's own fences count from so many documents on; below, its language's, then everything's.
 LEAST_GROUP = 100
 #: The fence lies so many spreads above the upper quartile (or below the lower one).
 FENCE = 5
-#: Rates in thousandths (letters a word in hundredths) with the least spread that counts as one, and the side that is bad.
-RATES = {"symbol_rate": (60, "high"), "dup_line_rate": (80, "high"), "repeat_rate": (60, "high"), "word_length": (60, "both")}
+#: Rates in thousandths (letters a word in hundredths): the size that they are rates of, what one event adds to them in a
+#: document of size 1 (an expression over the quartiles), and the side that is bad.
+RATES = {
+    "symbol_rate": ("n_words", "1000", "high"),
+    "dup_line_rate": ("n_lines", "1000", "high"),
+    "repeat_rate": ("n_words", f"1000 * 2 * {REPEAT_WINDOW}", "high"),
+    "word_length": ("n_words", "10 * q2", "both"),
+}
+#: What sketches are made of.
+SKETCHED = (*RATES, "n_words", "n_lines")
 
 _BASE = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("n_lines", pa.int64())])
 _NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS.encode()))
@@ -69,10 +79,14 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*(c for c, f in zip(b.columns, b.schema, strict=True) if f.name != "text"), *counts.columns], names=[*(n for n in b.schema.names if n != "text"), *_BASE.names])
 
 
-def document_counts(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each text, with the rates and base_failed."""
-    kept = documents.select("doc_id", "lang", "source", "text")
-    schema = "doc_id {}, lang string, source string, ".format(kept.schema["doc_id"].dataType.simpleString()) + ", ".join(f"{n} long" for n in _BASE.names)
+def document_counts(documents: DataFrame, *extra: Column) -> DataFrame:
+    """doc_id, lang, source, ``extra`` and the counts of each whole text, with the rates and base_failed; a row for every row.
+
+    A null text counts as empty: all counts and rates are 0 and base_failed is true. Rows of any doc_id, null ones too, are
+    counted each by itself.
+    """
+    kept = documents.select("doc_id", "lang", "source", *extra, "text")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"] + [f"{n} long" for n in _BASE.names])
     counts = kept.mapInArrow(_measure_batches, schema)
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return counts.select(
@@ -97,7 +111,7 @@ def sketches(counts: DataFrame) -> DataFrame:
     One sketch row per bucket; the levels above are merged from the groups' rows, not from documents. Documents that fail
     the base rule are no example of their group.
     """
-    rates = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r in RATES)))
+    rates = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), bucket(F.col(r)).alias("bucket")) for r in SKETCHED)))
     groups = counts.filter(~F.col("base_failed")).select("lang", "source", rates.alias("x")).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
     upper = F.explode(F.array(
         F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
@@ -114,12 +128,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*key)
     ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "size": F.sum("n").over(whole)})
     at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("size") * share, F.col("bucket")))
-    quartiles = ranked.groupBy(*key).agg(F.max("size").alias("size"), at(1).alias("q1"), at(3).alias("q3"))
-    least = F.element_at(F.create_map(*(F.lit(x) for r, (spread, _) in RATES.items() for x in (r, spread))), F.col("rate"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), least.cast("long"))
-    fenced = quartiles.select(*key, "size", (F.col("q1") - FENCE * spread).alias("low"), (F.col("q3") + FENCE * spread).alias("high"))
-    sides = [F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{r}_{side}") for r in RATES for side in ("low", "high")]
-    return fenced.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *sides)
+    found = ranked.groupBy(*key).agg(F.max("size").alias("size"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    of = lambda name: F.max(F.when(F.col("rate") == name, F.struct("q1", "q2", "q3"))).alias(name)
+    wide = found.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *map(of, SKETCHED))
+    fences = []
+    for rate, (size, event, _) in RATES.items():
+        spread = f"greatest({rate}.q3 - {rate}.q1, ({event.replace('q2', f'{rate}.q2')}) div greatest({size}.q2, 1))"
+        fences += [F.expr(f"{rate}.q1 - {FENCE} * {spread}").alias(f"{rate}_low"), F.expr(f"{rate}.q3 + {FENCE} * {spread}").alias(f"{rate}_high")]
+    return wide.select("level", "lang", "source", "size", *fences)
 
 
 def judged(counts: DataFrame) -> DataFrame:
@@ -142,7 +158,7 @@ def judged(counts: DataFrame) -> DataFrame:
     fence = F.when(big("__v0"), F.col("__v0")).when(big("__v1"), F.col("__v1")).otherwise(F.col("__v2"))
     joined = joined.withColumn("__v", fence)
     bad = F.lit(False)
-    for rate, (_, side) in RATES.items():
+    for rate, (_, _, side) in RATES.items():
         bad = bad | (F.col(rate) > F.col("__v")[f"{rate}_high"])
         if side == "both":
             bad = bad | (F.col(rate) < F.col("__v")[f"{rate}_low"])
@@ -151,12 +167,18 @@ def judged(counts: DataFrame) -> DataFrame:
 
 
 def quality_report(documents: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, lang, source of every row of ``documents``; see judged and document_counts."""
     counts = materialize(document_counts(documents), "counts")
     return judged(counts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
 
 
 def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns. Rows without doc_id cannot be told apart and stay."""
-    counts = materialize(document_counts(documents), "counts")
-    rejected = materialize(judged(counts).filter(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return documents.join(rejected, "doc_id", "left_anti")
+    """The rows that the rules keep, with their columns.
+
+    A verdict follows a row's own text, language and source: of two rows with one doc_id, or none, either may go. Empty texts
+    and null ones go. Repeated rows stay or go together.
+    """
+    key = F.unhex(F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "lang", "source", "text"))))).alias("__row")
+    counts = materialize(document_counts(documents, key), "counts")
+    rejected = materialize(judged(counts).filter(~F.col("kept")).select("__row").distinct(), "rejected")
+    return documents.withColumn("__row", key).join(rejected, "__row", "left_anti").select(*documents.columns)
