@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 ARROW_BYTES = "16777216b"
 
 
+#: Spark's setting for what becomes of an action's shuffle files.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def session(master: str = "local[8]", **conf: str) -> SparkSession:
     """A session with adaptive execution on; on a cluster ``master`` and sizes come from spark-submit."""
     settings = {
@@ -63,19 +68,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
-    Later reads neither repeat its work nor depend on an executor's local disk.
+    Later reads neither repeat its work nor depend on an executor's local disk; the shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner delete the shuffle files of finished jobs now, not when the driver next runs out of heap."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with released_shuffles(spark):
+        df.write.parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables; nothing may read them any more."""
+    for table in tables:
+        if path := getattr(table, "scratch", None):
+            jvm = table.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action in here are deleted when it ends; a lost stage would be run again, as always."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
