@@ -66,9 +66,14 @@ def long_signature(shingles: np.ndarray) -> bytes:
     return (mix(signature(shingles, LONG_COORDINATES)) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
+def row_key() -> Column:
+    """A digest of doc_id and text, which tells rows of one doc_id, or of none, apart."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("="), F.coalesce("text", F.lit("")))))
+
+
 def signatures(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null without words), signature."""
-    narrow = documents.select("doc_id", "text")
+    """doc_id, row (its key), n_shingles, node (digest of the set; null without words), signature."""
+    narrow = documents.select("doc_id", row_key().alias("row"), "text")
     schema = pa.schema([("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,17 +81,16 @@ def signatures(documents: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
             out = batch_of(schema, n_shingles=[len(s) for s in sets], node=[set_digest(s) for s in sets], signature=[signature(s).view(np.int64) if len(s) else None for s in sets])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.columns], names=["doc_id", *schema.names])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *out.columns], names=["doc_id", "row", *schema.names])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary, signature array<long>")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, row binary, n_shingles long, node binary, signature array<long>")
 
 
 def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, rep), made anew from
-    their representatives' texts. Joining on doc_id has no hot key, and only texts that are wanted become sets."""
-    wanted = nodes.select(F.col("rep").alias("doc_id"), "node")
-    once = Window.partitionBy("doc_id", "node", F.xxhash64("text")).orderBy(F.lit(1))  # repeated rows lie together after the join
-    texts = documents.select("doc_id", "text").hint("merge").join(wanted, "doc_id")  # the list grows with the data and is not broadcast
+    """node, shingles (sorted 64-bit hashes as bytes), long (signature), size of the classes in ``nodes`` (node, row), made anew from
+    their representatives' texts. A row's key is no hot key, and only texts that are wanted become sets."""
+    once = Window.partitionBy("row").orderBy(F.lit(1))  # repeated rows lie together after the join
+    texts = documents.select(row_key().alias("row"), "text").hint("merge").join(nodes.select("row", "node"), "row")  # the list grows with the data and is not broadcast
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,19 +159,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Texts without words, null ones among them, have no shingles, link with nothing and are kept. Repeated rows and copies
-    are one class; rows that repeat the smallest doc_id itself are all kept. Very long texts count whole. An
+    are one class; rows that repeat the smallest doc_id itself are all kept. Rows without doc_id link as any others; only
+    where no row that they reach has one is their component_id null, and kept true. Very long texts count whole. An
     empty table gives no rows.
     """
+    return grouped(documents).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(documents: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, node, group (one value for each component; null without words), component_id of every row."""
     signed = materialize(signatures(documents), "signatures")
-    classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    classes = materialize(classes, "classes")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    classes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(first_row, F.first("signature").alias("signature"))
+    classes = materialize(classes.select("node", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "signature"), "classes")
     tokens = classes.select("node", F.posexplode("signature").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("token"), F.lit(COORDINATES).alias("total"))
     postings = materialize(rarest_first(tokens, "node", "token", [], F.lit(MATCHES)), "postings")
 
-    typical = postings.groupBy("node").agg(F.sum(F.log2("freq")).alias("weight")).join(classes.select("node", "rep"), "node")
+    typical = postings.groupBy("node").agg(F.sum(F.log2("freq")).alias("weight")).join(classes.select("node", "row"), "node")
     nodes = materialize(typical, "nodes")
     ranked = postings.join(nodes, "node")
-    heads = ranked.groupBy("token").agg(F.max(F.struct("weight", -F.col("rep"), "node"))["node"].alias("head"))
+    heads = ranked.groupBy("token").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
     first = ranked.join(heads, "token").filter(F.col("node") != F.col("head"))
     first = first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     sets = materialize(shingle_sets(documents, nodes), "sets")
@@ -199,12 +210,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rooted = components(links.union(more))
     named = rooted.join(classes.select("node", "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    labels = named.join(least, "root").select("node", "least")
-    of_class = classes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("least", "rep").alias("component"))
+    labels = named.join(least, "root").select("node", "root", "least")
+    of_class = classes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("group"), F.coalesce("least", "rep").alias("component"))
     of_class = materialize(of_class, "components")  # so that a class with a large share of all documents can be split
-    out = signed.select("doc_id", "n_shingles", "node").join(of_class, "node", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = signed.select("doc_id", "row", "n_shingles", "node").join(of_class, "node", "left")
+    return out.select("doc_id", "row", "n_shingles", "node", "group", F.coalesce("component", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +226,18 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents of which each is the first of its group, with their columns."""
-    removed = materialize(near_duplicates(documents).filter(~F.col("kept")).select("doc_id"), "removed")
-    return documents.join(removed.distinct(), "doc_id", "left_anti")
+    """One row of each group of near duplicates, with the columns of ``documents``, and all rows without words.
+
+    The row that stays has the smallest doc_id (none counts as largest); of several texts under it, one, and of a row that is
+    repeated, one. Other texts under a doc_id stay or go with their own groups.
+    """
+    found = grouped(documents).filter(F.col("node").isNotNull()).groupBy("row", "group").agg(F.any_value("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    found = materialize(found, "grouped")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("row"))
+    repeated = materialize(found.filter("n > 1").join(first, "row", "left_semi").select(F.col("row").alias("__row")), "repeated")
+    removed = materialize(found.join(first.select("row"), "row", "left_anti").select(F.col("row").alias("__row")).union(repeated), "removed")
+    keyed = documents.withColumn("__row", row_key())
+    once = keyed.hint("merge").join(removed, "__row", "left_anti").select(*documents.columns)
+    # of rows that are repeated whole, one; the partial aggregation leaves one to each task before they move
+    several = keyed.join(repeated, "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns)).alias("kept"))
+    return once.unionByName(several.select("kept.*"))

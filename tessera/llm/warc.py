@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of
-from tessera.runtime import materialize, release_shuffles, scratch_path
+from tessera.runtime import materialize, released_shuffles, scratch_path
 
 #: Payloads of at least so many bytes are stored as revisits when they come again.
 LEAST_REVISIT_BYTES = 0
@@ -79,16 +79,16 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = LEAST_REVISIT_
     own. A null page_id counts as larger than any. Columns other than page_id, url, html are not stored.
     """
     spark = pages.sparkSession
-    record_headers(pages, least_bytes).drop("payload_bytes").write.parquet(f"{path}/headers")
-    release_shuffles(spark)
+    with released_shuffles(spark):
+        record_headers(pages, least_bytes).drop("payload_bytes").write.parquet(f"{path}/headers")
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("owner")
     owners = spark.read.parquet(f"{path}/headers").filter(F.col("page_id").eqNullSafe(F.col("first_page"))).select(key, "address").distinct()
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(key, F.sha2(payload, 256).alias("address"), payload.alias("payload"))
     once = Window.partitionBy("owner", "address").orderBy(F.lit(1))  # a repeated page's payload, once; hashed as the join is
     stored = rows.join(owners, ["owner", "address"]).withColumn("copy", F.row_number().over(once)).filter("copy = 1")
-    stored.select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
-    release_shuffles(spark)
+    with released_shuffles(spark):
+        stored.select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:

@@ -63,3 +63,31 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, a), (1, b), (2, b), (3, b + " end"), (4, a + " more"), (4, a + " more")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 1, False)]
+
+
+def test_rows_without_id_link(spark):
+    """A row without doc_id links as any other; alone, or only among its like, its component has no id."""
+    base = [f"w{i}" for i in range(100)]
+    near = base[:50] + ["other"] + base[51:]
+    lone, twin = [f"x{i}" for i in range(60)], [f"y{i}" for i in range(60)]
+    rows = [(None, base), (7, near), (8, [*near, "end"]), (None, lone), (None, twin), (None, [*twin, "end"]), (9, ["short"])]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    want = [(None, 96, 7, False), (7, 96, 7, True), (8, 97, 7, False), (None, 56, None, True), (None, 56, None, True), (None, 57, None, True), (9, 1, 9, True)]
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got))) == sorted(map(str, want))
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (6, c, "x"), (6, c, "y"), (6, c, "x"), (None, c, "z"), (None, None, "x"), (None, None, "x"), (1, " ", "x"), (None, "one", "x"), (None, "one", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = neardup.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [(5, a), (3, b), (6, c), (None, None), (None, None), (1, " "), (None, "one")])
+    same = neardup.drop_near_duplicates(df).collect()
+    assert sorted(map(str, same)) == sorted(map(str, got.collect()))
+
+
+def test_a_hub_is_dealt_over_parts(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 500)] + [(7, 500)], "a long, b long")
+    found = {(r["a"], r["b"]): r["m"] for r in graph.with_least(edges).collect()}
+    assert len(found) == 500 and found[7, 500] == 500 and {m for (a, _), m in found.items() if a == 0} == {1}
