@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrow import batch_of, slices
-from tessera.runtime import shuffle_partitions
+from tessera.runtime import discard, materialize, shuffle_partitions
 
 WALKS = 2
 #: Steps after which the shared randomness repeats; a power of two.
@@ -37,7 +38,9 @@ OCTAVES = 40
 DIGITS = "0123456789abcdef"
 END = "-"
 #: Candidates agree in all BAND_WIDTH samples of one of the bands of an octave.
-BAND_WIDTH = 6
+BAND_WIDTH = 8
+#: Classes of a band with which all others of it are compared in a round.
+HEADS = 64
 #: Share of the embedding in which two unlike texts of one language agree by chance; likeness counts from there.
 CHANCE = 0.13
 
@@ -208,43 +211,71 @@ class EditReport:
 _REPORT = pa.schema([("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _bucket(value: Column, bounds: list) -> Column:
-    """Number of bounds not above the value, by a two-level search; null goes after all."""
-    side = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + side] for i in range(0, len(bounds), side)]
-    if not groups:
-        return F.when(value.isNull(), 1).otherwise(0)
-    below = lambda array: F.size(F.filter(array, lambda x: x <= value))
-    group = F.greatest(below(F.array(*(F.lit(g[0]) for g in groups))) - 1, F.lit(0))
-    own = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group + 1)
-    return F.when(value.isNull(), len(bounds) + 1).otherwise(group * side + below(own)).cast("int")
+class Buckets:
+    """Cuts (doc_id, hash of text) into buckets of about as many rows each, in order, null doc_ids last.
+
+    ``bounds`` are quantiles of doc_id in order; one that repeats belongs to a doc_id that fills buckets by itself, which are
+    then cut by the hash, as are those of ``nulls`` rows without doc_id.
+    """
+
+    def __init__(self, bounds: list, nulls: int):
+        self.values = sorted(set(bounds))
+        times = [bounds.count(v) for v in self.values] if len(self.values) < len(bounds) else [1] * len(bounds)
+        self.own, self.first, at = [0], [0], 1  # buckets of the bound's own value, where they begin
+        for n in times:
+            self.own.append(n if n > 1 else 0)
+            self.first.append(at)
+            at += (n if n > 1 else 0) + 1
+        self.nulls, self.null_first = max(1, nulls), at
+        self.n = at + self.nulls
+
+    def number(self, value: Column, text_hash: Column) -> Column:
+        """The bucket of a row; the bound is found by a two-level search."""
+        share = (text_hash / F.lit(2.0**64)) + 0.5
+        part = lambda n: F.least(F.floor(share * n), n - 1).cast("int")
+        of_nulls = self.null_first + part(F.lit(self.nulls))
+        if not self.values:
+            return F.when(value.isNull(), of_nulls).otherwise(0)
+        side = max(1, int(len(self.values) ** 0.5))
+        groups = [self.values[i : i + side] for i in range(0, len(self.values), side)]
+        below = lambda array: F.size(F.filter(array, lambda x: x <= value))
+        group = F.greatest(below(F.array(*(F.lit(g[0]) for g in groups))) - 1, F.lit(0))
+        held = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group + 1)
+        j = group * side + below(held)
+        own, first = F.element_at(F.lit(self.own), j + 1), F.element_at(F.lit(self.first), j + 1)
+        is_bound = (j > 0) & (F.element_at(F.array(*map(F.lit, self.values)), F.greatest(j, F.lit(1))) == value)
+        return F.when(value.isNull(), of_nulls).otherwise(first + F.when(is_bound & (own > 0), part(F.greatest(own, F.lit(1)))).otherwise(own)).cast("int")
 
 
 def edit_report(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text (its last quarter replaced by the start of the next document's text).
 
-    Null counts as empty. Rows are ordered by doc_id (null last), rows of one doc_id by text; a table of one row
-    follows itself. Texts move once, to the bucket of their doc_id, and the first row of each bucket is sent to the bucket
-    before as well; a bucket's rows pass in order, a few at a time. An empty table gives no rows.
+    Null counts as empty. Rows are ordered by doc_id (null last), rows of one doc_id by a hash of their text, then by text; a
+    table of one row follows itself. Texts move once, to the bucket of their doc_id, and the first row of each bucket is sent
+    to the bucket before as well; a bucket's rows pass in order, a few at a time. A doc_id, or none, that many rows bear fills
+    several buckets. Rows that are repeated whole stay together and follow one another. An empty table gives no rows.
     """
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType
     buckets = buckets or shuffle_partitions(spark)
-    shares = [i / buckets for i in range(1, buckets)]
-    found = documents.select(F.percentile_approx("doc_id", shares, 100 * buckets)).first()[0] if shares else None
-    bounds = sorted(set(found or []))
-    placed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", _bucket(F.col("doc_id"), bounds))
-    firsts = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())  # a row per bucket
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    lookup = [F.lit(x).cast(t) for first, target in before.items() if first is not None for x, t in ((first, kind), (target, "int"))]
-    sent = F.element_at(F.create_map(*lookup), F.col("doc_id")) if lookup else F.lit(None).cast("int")
-    if None in before:
-        sent = F.when(F.col("doc_id").isNull(), before[None]).otherwise(sent)
+    shares = [i / buckets for i in range(1, buckets)] or [0.5]
+    found = documents.select(F.percentile_approx("doc_id", shares, 100 * buckets), F.count("*"), F.count("doc_id")).first()
+    cuts = Buckets(sorted(found[0] or []) if buckets > 1 else [], -(-buckets * (found[1] - found[2]) // max(1, found[1])))
+    text = F.coalesce("text", F.lit(""))
+    placed = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).withColumn("bucket", cuts.number(F.col("doc_id"), F.col("hash")))
+    # a row per bucket comes to the driver; a null doc_id has buckets of its own
+    firsts = {r["bucket"]: r["first"] for r in placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("first")).collect()}
+    filled = sorted(firsts)
+    ids, hashes, targets = [None] * cuts.n, [None] * cuts.n, [None] * cuts.n
+    for i, b in enumerate(filled):
+        ids[b], hashes[b], targets[b] = firsts[b]["doc_id"], firsts[b]["hash"], filled[i - 1]
+    at = lambda values, type_: F.element_at(F.array(*(F.lit(v).cast(type_) for v in values)), F.col("bucket") + 1)
+    is_first = F.col("doc_id").eqNullSafe(at(ids, kind)) & (F.col("hash") == at(hashes, "long"))
     own = F.struct(F.col("bucket"), F.lit(False).alias("copy"))
-    both = F.when(sent.isNotNull(), F.array(own, F.struct(sent.alias("bucket"), F.lit(True).alias("copy")))).otherwise(F.array(own))
-    rows = placed.select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.bucket", "to.copy")
-    # a copy is needed once, and only of the first row; others that bear the same doc_id follow it and are passed over
-    ordered = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "copy", "doc_id", "text")
+    both = F.when(is_first, F.array(own, F.struct(at(targets, "int").alias("bucket"), F.lit(True).alias("copy")))).otherwise(F.array(own))
+    rows = placed.select("doc_id", "text", "hash", F.explode(both).alias("to")).select("doc_id", "text", "hash", "to.bucket", "to.copy")
+    # a copy is needed once, and only of the first row; repeated rows follow it and are passed over
+    ordered = rows.repartitionById(cuts.n, "bucket").sortWithinPartitions("bucket", "copy", "doc_id", "hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         report = EditReport()
@@ -268,18 +299,58 @@ def bands(fingerprint: str) -> list[str]:
     return out
 
 
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and a hash of each of its bands."""
+    for b in batches:
+        names = [bands(p) for p in b.column("print").to_pylist()]
+        flat = [xxhash.xxh64_intdigest(x) - (1 << 63) for n in names for x in n]
+        owner = np.repeat(np.arange(len(names)), [len(n) for n in names])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), pa.array(flat, pa.int64())], names=["doc_id", "band"])
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        near = [likeness(x, y) for x, y in zip(b.column("pa").to_pylist(), b.column("pb").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(near, pa.float64())], names=["a", "b", "likeness"])
+
+
+def _heads(left: DataFrame) -> DataFrame:
+    """band and the HEADS smallest doc_ids of each band of two or more: parts of a band, by a hash, give theirs first."""
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))
+    few = salted.withColumn("place", place("band", "salt")).filter(F.col("place") <= HEADS)
+    few = few.withColumn("place", place("band")).filter(F.col("place") <= HEADS)
+    heads = few.groupBy("band").agg(F.collect_list("doc_id").alias("heads")).filter(F.size("heads") > 1)  # HEADS of them at most
+    return materialize(heads, "heads")
+
+
 def similar_documents(prints: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(fingerprint, least_id, n_rows) classes joined by bands -> (a, b, likeness) pairs of class representatives of at least ``threshold``.
+    """(a, b, likeness): pairs of class representatives of at least ``threshold``.
 
-    ``prints`` has doc_id and fingerprint. Equal fingerprints form one class, represented by its smallest doc_id. Each
-    class is compared with the first class of each of its bands, so that a band of any size gives as many pairs as
-    it has classes; pairs come once. Empty texts share a fingerprint and so a class.
+    ``prints`` has doc_id and fingerprint. Equal fingerprints form one class, represented by its smallest doc_id; rows without
+    doc_id take no part, empty texts share a class. In each round the classes left in a band are compared with its HEADS first
+    ones, which then leave it, until no band holds two classes. So all classes that meet in a band are compared, and none hides
+    another, while a round gives no more than HEADS pairs for a band's class. Pairs come once; no rows give none.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    cut = F.udf(bands, "array<string>", useArrow=True)
-    posted = classes.select("doc_id", "fingerprint", F.explode(cut("fingerprint")).alias("band"))
-    heads = posted.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = posted.join(heads, "band").filter(F.col("doc_id") != F.col("head.doc_id"))
-    pairs = pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("head.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).dropDuplicates(["a", "b"])
-    measure = F.udf(likeness, "double", useArrow=True)
-    return pairs.select("a", "b", measure("fa", "fb").alias("likeness")).filter(F.col("likeness") >= threshold)
+    made = materialize(prints.filter(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("fingerprint").alias("print")), "classes")
+    left = materialize(made.mapInArrow(_posted, f"doc_id {made.schema['doc_id'].dataType.simpleString()}, band long"), "bands")
+    found = None
+    while True:
+        counts = _heads(left)
+        if counts.isEmpty():
+            break
+        pairs = left.join(counts, "band").select("band", "doc_id", F.explode("heads").alias("head")).filter(F.col("doc_id") > F.col("head"))
+        pairs = materialize(pairs, "pairs")
+        side = lambda x: made.select(F.col("doc_id").alias(x), F.col("print").alias(f"p{x}"))
+        apart = pairs.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+        kind = made.schema["doc_id"].dataType.simpleString()
+        like = materialize(apart.mapInArrow(_measured, f"a {kind}, b {kind}, likeness double").filter(F.col("likeness") >= threshold), "like")
+        found = like if found is None else found.union(like)
+        heads = counts.select("band", F.explode("heads").alias("doc_id"))
+        rest = left.join(counts.select("band"), "band", "left_semi").join(heads, ["band", "doc_id"], "left_anti")
+        now = materialize(rest, "bands")
+        discard(left, pairs)
+        left = now
+    if found is None:
+        return made.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")).filter(F.lit(False))
+    return found.dropDuplicates(["a", "b"])

@@ -4,7 +4,8 @@ A host's labels in reverse order, each closed by a dot (``www.example.com`` -> `
 and all its subdomains one interval of keys: those that begin with the rule's own key. Keys of urls and rules
 are cut into ranges at sampled bounds, so each rule goes to the ranges its interval meets; every task sorts its
 rows by key and sweeps them once, keeping the stack of rules whose intervals are open. Open intervals are
-nested, so the stack is ordered by length of host; the longest rule whose path begins the url's path wins.
+nested, so the stack is ordered by length of host. Path prefixes are intervals too: a host's are sorted, each
+with the one that encloses it, so the last one not above a path, or one that encloses that, is its longest prefix.
 
 A key that fills whole ranges by itself shows up as equal bounds; its urls are dealt over all these ranges by a
 hash of the row, and its rules go to each of them.
@@ -14,12 +15,12 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,11 +63,39 @@ def _end(key: bytes) -> bytes:
     return key + b"\xff"  # no UTF-8 text holds this byte
 
 
+class PathRules:
+    """A host's rules by path prefix; of equal ones that differ in verdict, block wins."""
+
+    def __init__(self) -> None:
+        self.by_path: dict[str, Rule] = {}
+        self.starts: list[str] | None = None
+        self.outer: list[int] = []
+
+    def add(self, rule: Rule) -> None:
+        if self.by_path.setdefault(rule.path, rule).verdict != "block":
+            self.by_path[rule.path] = rule
+        self.starts = None
+
+    def longest(self, path: str) -> Rule | None:
+        """The rule with the longest prefix of ``path``."""
+        if self.starts is None:
+            self.starts, self.outer, stack = sorted(self.by_path), [], []
+            for i, start in enumerate(self.starts):
+                while stack and not start.startswith(self.starts[stack[-1]]):
+                    stack.pop()
+                self.outer.append(stack[-1] if stack else -1)
+                stack.append(i)
+        at = bisect.bisect_right(self.starts, path) - 1
+        while at >= 0 and not path.startswith(self.starts[at]):
+            at = self.outer[at]
+        return self.by_path[self.starts[at]] if at >= 0 else None
+
+
 class Sweep:
     """A pass over keys in sorted order. The stack holds the open intervals, outer ones first; each one's key begins the next one's."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[bytes, list[Rule]]] = []
+        self.stack: list[tuple[bytes, PathRules]] = []
 
     def _close(self, key: bytes) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
@@ -75,42 +104,29 @@ class Sweep:
     def open(self, key: bytes, rule: Rule) -> None:
         self._close(key)
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, []))
-        self.stack[-1][1].append(rule)
+            self.stack.append((key, PathRules()))
+        self.stack[-1][1].add(rule)
 
     def judge(self, key: bytes, path: str) -> Rule | None:
         self._close(key)
-        for _, rules in reversed(self.stack):
-            if fitting := [r for r in rules if path.startswith(r.path)]:
-                return max(fitting, key=lambda r: (len(r.path), r.verdict == "block"))
-        return None
+        return next((found for _, rules in reversed(self.stack) if (found := rules.longest(path))), None)
 
 
-def _keyed(df: DataFrame, url: str) -> DataFrame:
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("__key", T.BinaryType()), T.StructField("__salt", T.LongType())]
-    )
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = [canonical(u) for u in b.column(url).to_pylist()]
-            salts = [xxhash.xxh64_intdigest(repr(r)) >> 1 for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            added = [
-                pa.array([p[0] for p in parts], pa.string()),
-                pa.array([p[1] for p in parts], pa.string()),
-                pa.array([_key_bytes(p[0]) for p in parts], pa.binary()),
-                pa.array(salts, pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=schema.names)
-
-    return df.mapInArrow(keys, schema)
+def parts_of(url: Column) -> tuple[Column, Column, Column]:
+    """Host, path and key, as ``canonical`` and ``host_key`` give them."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+    rest = F.coalesce(rest, F.lit(""))
+    host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), string.ascii_uppercase, string.ascii_lowercase)
+    key = F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
+    return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), key.cast("binary")
 
 
 def key_bounds(df: DataFrame, url: str, ranges: int) -> list[bytes]:
     """Cuts between ranges, from the keys of a random sample of BOUND_SAMPLE rows or so; a key that fills ranges by itself occurs repeatedly."""
     rows = df.count()
-    sample = df.select(url).sample(min(1.0, BOUND_SAMPLE / rows), seed=1).collect() if rows else []
-    keys = sorted(_key_bytes(canonical(r[0])[0]) for r in sample)
+    sample = df.select(parts_of(F.col(url))[2]).sample(min(1.0, BOUND_SAMPLE / rows), seed=1).collect() if rows else []
+    keys = sorted(bytes(r[0]) for r in sample)
     return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
 
@@ -126,7 +142,8 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url
     df = df.drop("host", "path", "rule", "verdict")
     ranges = ranges or shuffle_partitions(spark)
     bounds = key_bounds(df, url, ranges)
-    keyed = _keyed(df, url)
+    host, path, key = parts_of(F.col(url))
+    keyed = df.select("*", host.alias("host"), path.alias("path"), key.alias("__key"), F.pmod(F.xxhash64(*df.columns), F.lit(2**62)).alias("__salt"))
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
 
@@ -169,7 +186,7 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url
             said = [pa.array([r and str(r) for r in chosen], pa.string()), pa.array([r.verdict if r else default for r in chosen], pa.string())]
             yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), *said], names=result.names)
 
-    return both.repartition(ranges, "__range").sortWithinPartitions("__range", "__key", "__is_url").mapInArrow(merge, result)
+    return both.repartitionById(len(bounds) + 1, "__range").sortWithinPartitions("__range", "__key", "__is_url").mapInArrow(merge, result)
 
 
 _RULE_ROWS = pa.schema([("__range", pa.int32()), ("__key", pa.binary()), ("__rule_host", pa.string()), ("__rule_path", pa.string()), ("__rule_verdict", pa.string())])
@@ -185,4 +202,5 @@ PAGE_RULES = (
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row of ``pages`` under PAGE_RULES; see judge_urls."""
     return judge_urls(pages.select("page_id", "url"), PAGE_RULES).select("page_id", "host", "path", "rule", "verdict")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints as fp
 from tessera.llm import langid, linededup, toxicity
@@ -66,6 +67,67 @@ def test_similar_documents(spark):
     assert {(r["a"], r["b"]) for r in fp.similar_documents(prints).collect()} == {(1, 3)}
 
 
+def _walked(text, walk, places):
+    """The characters under a walk at steps 1.., one step after another; None once the text has ended."""
+    leave, out, i, step = fp.LEAVE[walk], [], 0, 0
+    classes = fp.classes_of(text)
+    goes = lambda c, s: leave[c, s % fp.PERIOD] == 1
+    while step < places:
+        out.append(None if i == len(text) else int(fp.DIGIT_OF[classes[i]]))
+        if i < len(text) and goes(classes[i], step):
+            i += 1
+        step += 1
+    return out
+
+
+def test_fingerprint_against_a_literal_walk():
+    rng = random.Random(8)
+    for n in (0, 1, 5, 40, 300):
+        text = "".join(rng.choice("etaoin shrdluéß\n") for _ in range(n))
+        (made,) = fp.fingerprints_of([text])
+        for walk, part in enumerate(made.split("..")):
+            octaves = part.split(".")
+            under = _walked(text, walk, 1 << (len(octaves) + 1))
+            for octave, digits in enumerate(octaves):
+                want = [under[step - 1] for step in fp.sample_steps(octave)]
+                assert digits == "".join(fp.END if x is None else fp.DIGITS[x] for x in want)
+            assert len(octaves) == max(1, sum(x is not None for x in under).bit_length())
+
+
+def test_hot_and_missing_ids_fill_several_buckets(spark):
+    """Most rows bear one doc_id or none; the report is that of all rows in order, whatever the number of buckets."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("etaoin shrdlu") for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)] + [(7, texts[0])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = fp.Buckets([1, 7, 7, 7, 50], 4)
+    used = df.select(cuts.number(df.doc_id, F.xxhash64("text")).alias("b"), "doc_id").distinct().collect()
+    assert len({r["b"] for r in used if r["doc_id"] == 7}) == 3 and len({r["b"] for r in used if r["doc_id"] is None}) == 4 and cuts.n == 11
+    few, many = ([str(r) for r in fp.edit_report(df, n).collect()] for n in (1, 9))
+    assert len(few) == len(rows) and sorted(few) == sorted(many)
+
+
+def test_similar_documents_behind_an_unlike_head(spark, monkeypatch):
+    """Every band holds classes that are unlike its first ones; no link is lost and recall against all pairs is measured."""
+    monkeypatch.setattr(fp, "HEADS", 2)
+    rng = random.Random(10)
+    base = ["".join(rng.choice("etaoin shrdlu") for _ in range(900)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i, t in enumerate(base):
+        for k in range(3):
+            at = rng.randrange(800)
+            rows.append((100 + 3 * i + k, t[:at] + rng.choice(["xy", "z", ""]) + t[at + 2 :]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprint_documents(df).collect()}
+    prints = {d: p for d, p in prints.items() if d == min(x for x, q in prints.items() if q == p)}  # of a class, its representative
+    shared = {d: set(fp.bands(p)) for d, p in prints.items()}
+    pairs = {(a, b): fp.likeness(prints[a], prints[b]) for a in prints for b in prints if a < b}
+    want = {p for p, near in pairs.items() if near >= 0.6 and shared[p[0]] & shared[p[1]]}
+    got = {(r["a"], r["b"]) for r in fp.similar_documents(fp.fingerprint_documents(df)).collect()}
+    assert got == want
+    assert len(want) >= 0.9 * sum(near >= 0.6 for near in pairs.values()) > 0
+
+
 PASSAGE = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
 
 
