@@ -1,10 +1,11 @@
 """Language identification by prediction by partial matching.
 
-For each language a variable-order byte context tree (orders 0 to 3) is counted once and frozen. A byte that its
-context has seen costs its share; otherwise the escape is paid (as many chances as the context has distinct
-followers) and the next shorter context predicts, without the bytes just excluded. The exact code lengths of all
-(context, byte) pairs are laid out in a table on each worker, so a text's code length in every language is one
-gather and a sum over its bytes. The language with the shortest code wins.
+For each language a variable-order context tree over all 256 byte values (orders 0 to 3) is counted once and frozen. A byte
+that its context has seen costs its share; otherwise the escape is paid (as many chances as the context has distinct
+followers) and the next shorter context predicts, without the bytes just excluded; below order 0 all bytes are alike. As
+a follower in a context is one in all shorter contexts too, what exclusion leaves of these depends on the context alone: so
+a tree is two sorted tables for each order, code lengths by gram and escapes by context, and holds only what was seen.
+A text's code length in a language is the exact sum over its bytes. The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -23,14 +24,10 @@ from tessera.llm.arrow import batch_of, slices
 
 #: Documents of each language that are learned from, the first by a hash of doc_id; texts are taken whole.
 TRAIN_DOCUMENTS = 300
-#: Languages with most documents that are learned.
-MAX_LANGUAGES = 64
-#: A worker's table of code lengths; it sets how many byte values have a symbol of their own.
-TABLE_BYTES = 100 << 20
-MOST_SYMBOLS = 56
 ORDER = 3
 UNKNOWN = "und"
-_GATHER = 1 << 19
+#: Bytes of text whose grams a worker handles at once, divided by the number of languages beyond a few.
+_BLOCK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -64,90 +61,87 @@ class Model:
             h.update(name.encode()), h.update(g.tobytes()), h.update(c.tobytes())
         self.digest = h.hexdigest()
 
-    def n_symbols(self) -> int:
-        return min(MOST_SYMBOLS, int((TABLE_BYTES / 4 / max(1, len(self.languages))) ** 0.25))
-
-    def symbols(self) -> np.ndarray:
-        """Symbol of each byte value: the most frequent ones (in equal parts by language) have their own, the others share the last."""
-        share = np.zeros(256)
-        for g, c in zip(self.grams, self.counts, strict=True):
-            by_byte = np.bincount(g & 255, weights=c, minlength=256)
-            share += by_byte / max(1, by_byte.sum())
-        size = self.n_symbols()
-        out = np.full(256, size - 1, np.int64)
-        best = np.argsort(-share, kind="stable")[: size - 1]
-        out[best] = np.arange(size - 1)
-        return out
 
+@dataclass
+class Tree:
+    """The frozen context tree of one language; lists are by order."""
 
-def escape_blend(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities of one order from its counts (contexts x symbols) and those of the next shorter contexts, with exclusion."""
-    seen = counts > 0
-    total, distinct = counts.sum(-1, keepdims=True), seen.sum(-1, keepdims=True)
-    left = 1 - np.where(seen, shorter, 0).sum(-1, keepdims=True)
-    complete = distinct == counts.shape[-1]
-    whole = np.where(complete, total, total + distinct)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        known = counts / whole
-        escaped = distinct / whole * shorter / np.maximum(left, 1e-12)
-    return np.where(total == 0, shorter, np.where(seen, known, escaped)).astype(np.float32)
-
-
-def code_lengths(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each byte, table[gram in symbols, language] of bits)."""
-    symbols, size = model.symbols(), model.n_symbols()
-    others = max(1, int((symbols == size - 1).sum()))
-    table = np.empty((size**4, len(model.languages)), np.float32)
-    for k, (g, c) in enumerate(zip(model.grams, model.counts, strict=True)):
-        packed = np.zeros(len(g), np.int64)
-        for shift in (24, 16, 8, 0):
-            packed = packed * size + symbols[(g >> shift) & 255]
-        full = np.bincount(packed, weights=c, minlength=size**4).astype(np.float32)
-        p = np.full(size, 1 / size, np.float32)
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    @staticmethod
+    def of(grams: np.ndarray, counts: np.ndarray) -> Tree:
+        """From packed grams of ORDER + 1 bytes, in order and distinct, and their counts."""
+        tree = Tree([], [], [], [])
+        below = np.full(256, 1 / 256)  # probability of each byte where nothing has been seen
         for order in range(ORDER + 1):
-            counts = full.reshape(-1, size**order, size).sum(0) if order < ORDER else full.reshape(-1, size)
-            shorter = np.broadcast_to(p.reshape(1, -1, size), (size if order else 1, max(1, size ** (order - 1)), size)).reshape(-1, size)
-            if order == ORDER:
-                for i in range(0, len(counts), 1 << 15):  # in parts: the largest order is most of the table
-                    table.reshape(-1, size, len(model.languages))[i : i + (1 << 15), :, k] = -np.log2(escape_blend(counts[i : i + (1 << 15)], shorter[i : i + (1 << 15)]))
-            else:
-                p = escape_blend(counts, shorter)
-    table.reshape(-1, size, len(model.languages))[:, size - 1, :] += np.float32(np.log2(others))
-    return symbols, table
+            packed, at = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1 & 0xFFFFFFFF), return_inverse=True)
+            n = np.bincount(at, weights=counts, minlength=len(packed))
+            contexts, of = np.unique(packed >> np.uint32(8) if order else np.zeros_like(packed), return_inverse=True)
+            total, distinct = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+            whole = np.where(distinct == 256, total, total + distinct)
+            share = n / whole[of]
+            shorter = below[packed] if not order else below[np.searchsorted(tree.grams[-1], packed & np.uint32((1 << 8 * order) - 1))]
+            left = np.maximum(1 - np.bincount(of, weights=shorter, minlength=len(contexts)), 1e-12)
+            tree.grams.append(packed), tree.bits.append(-np.log2(share)), tree.contexts.append(contexts)
+            tree.escapes.append(-np.log2(np.where(distinct == 256, 1.0, distinct / whole) / left))
+            below = share
+        return tree
+
+    def lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each packed gram after the bytes before it."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            key = grams[left] & np.uint32((1 << 8 * (order + 1)) - 1 & 0xFFFFFFFF)
+            seen, at = _find(self.grams[order], key)
+            out[left[seen]] += self.bits[order][at[seen]]
+            left, key = left[~seen], key[~seen]
+            known, at = _find(self.contexts[order], key >> np.uint32(8) if order else np.zeros_like(key))
+            out[left[known]] += self.escapes[order][at[known]]
+        out[left] += 8
+        return out
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
 
 
-_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_TREES: dict[str, list[Tree]] = {}
 
 
-def _tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    if model.digest not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.digest] = code_lengths(model)
-    return _TABLES[model.digest]
+def trees(model: Model) -> list[Tree]:
+    """The model's trees, kept by the worker."""
+    if model.digest not in _TREES:
+        _TREES.clear()
+        _TREES[model.digest] = [Tree.of(g, c) for g, c in zip(model.grams, model.counts, strict=True)]
+    return _TREES[model.digest]
 
 
 def text_bits(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Bits of each whole text in each language."""
-    symbols, table = _tables(model)
-    size = model.n_symbols()
+    """Bits of each whole text in each language. Equal grams of a block of text are looked up once."""
+    out = np.zeros((len(texts), len(model.languages)))
     raws = [fold(t) if t else b"" for t in texts]
-    out = np.zeros((len(raws), len(model.languages)))
-    small = symbols.astype(np.int32)
-    start = small[np.frombuffer(b"\n" * ORDER, np.uint8)]
-    joined = np.concatenate([x for r in raws for x in (start, small[np.frombuffer(r, np.uint8)])]) if raws else small[:0]
-    if len(joined) <= ORDER:
+    if not any(raws):
         return out
-    packed = ((joined[:-3] * size + joined[1:-2]) * size + joined[2:-1]) * size + joined[3:]
-    at = 0
-    for i, r in enumerate(raws):
-        for j in range(at, at + len(r), _GATHER):
-            out[i] += table[packed[j : min(j + _GATHER, at + len(r))]].sum(0, dtype=np.float64)
-        at += len(r) + ORDER
+    packed = np.concatenate([grams(r) for r in raws])
+    owner = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
+    for i in range(0, len(packed), _BLOCK):
+        distinct, at = np.unique(packed[i : i + _BLOCK], return_inverse=True)
+        of = owner[i : i + _BLOCK]
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        for k, tree in enumerate(trees(model)):
+            out[of[begins], k] += np.add.reduceat(tree.lengths(distinct)[at], begins)
     return out
 
 
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language, score); the score is the posterior share of the winner, 0 for ``und``."""
+    """(language, score); the score is the posterior share of the winner, 0 for ``und``. Of languages with equal codes the first by name wins."""
     if not model.languages:
         return [(UNKNOWN, 0.0)] * len(texts)
     bits = text_bits(model, texts)
@@ -161,23 +155,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(documents: DataFrame, allowed: Column, train_documents: int = TRAIN_DOCUMENTS) -> Model:
-    """Count the context trees on the first ``train_documents`` documents of each language by hash, where ``allowed`` holds.
+    """Count the context trees of every language on its first ``train_documents`` documents by hash, where ``allowed`` holds.
 
-    What comes to the driver are ids of this bounded sample and the distinct grams of its texts.
+    Texts are taken whole. What comes to the driver are the distinct grams of this sample, which is bounded for each language;
+    the ids of the sample are broadcast. Without a text of any language the model is empty.
     """
-    usable = documents.filter(F.coalesce(allowed, F.lit(False)) & F.col("lang").isNotNull())
-    most = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    sizes = {r["lang"]: r["count"] for r in most.collect()}
-    names = sorted(sizes)
-    if not names:
-        return Model([], [], [])
+    usable = documents.filter(F.coalesce(allowed, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
     # by hash, only about four times the sample of each language reaches the ranking, however large the language
-    share = F.create_map(*(F.lit(x) for n in names for x in (n, min(1.0, 4 * train_documents / sizes[n]))))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * F.lit(1 << 30)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    ranked = usable.select("doc_id", "lang").filter(F.col("lang").isin(names) & drawn).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= train_documents)
-    sample = ranked.select("doc_id").distinct()  # at most MAX_LANGUAGES x train_documents ids
-    texts = usable.filter(F.col("lang").isin(names)).join(F.broadcast(sample), "doc_id", "left_semi").select("lang", "text")
+    place = F.xxhash64("doc_id", F.lit(7))
+    drawn = F.pmod(place, F.lit(1 << 30)) * F.col("size") < F.lit(float(4 * train_documents << 30))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ranked = usable.select("doc_id", "lang").join(sizes, "lang").filter(drawn).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= train_documents)
+    sample = ranked.select("lang", "doc_id").distinct()
+    texts = usable.join(F.broadcast(sample), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -192,22 +183,22 @@ def learn(documents: DataFrame, allowed: Column, train_documents: int = TRAIN_DO
 
     rows = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     rows = rows.sort_values(["lang", "gram"])
-    learned = [x for x in names if (rows["lang"] == x).any()]
-    parts = [rows[rows["lang"] == x] for x in learned]
-    return Model(learned, [p["gram"].to_numpy(np.uint32) for p in parts], [p["n"].to_numpy(np.int64) for p in parts])
+    parts = {x: p for x, p in rows.groupby("lang")}
+    return Model(list(parts), [p["gram"].to_numpy(np.uint32) for p in parts.values()], [p["n"].to_numpy(np.int64) for p in parts.values()])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Replace ``text`` by lang_pred and score; input columns of these names are replaced.
 
-    Texts that are null or have no letter are ``und``; repeated rows get equal results.
+    Texts that are null or have no letter are ``und`` with score 0; repeated rows get equal results. Texts of any length are
+    coded whole. Of languages with equal codes the first by name wins; an empty model says ``und`` of everything.
     """
     kept = [f for f in df.schema.fields if f.name not in (text, "lang_pred", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's distinct grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 1 << 20):
+        for b in slices(batches, text, _BLOCK):
             found = predict(shared.value, b.column(text).to_pylist())
             columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), "lang_pred", "score"])
@@ -216,5 +207,6 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def language_report(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of ``documents``; see learn and identify. A null doc_id is not learned from, its held_out is null."""
     model = learn(documents, ~held_out(F.col("doc_id")))
     return identify(documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model)

@@ -185,47 +185,68 @@ def test_language_held_out(spark, small):
     assert np.mean([got[d]["lang_pred"] == truth[d] for d in held]) > 0.95
 
 
-def _ppm(counts, context, symbol, size):
-    """Probability by escapes with exclusion, from a dict of gram counts over symbols; the slow, literal way."""
-    excluded, p = set(), 1.0
-    for order in range(len(context), -1, -1):
-        tail = context[len(context) - order :]
-        seen = {}
-        for gram, n in counts.items():
-            if gram[len(gram) - 1 - order : -1] == tail:
-                seen[gram[-1]] = seen.get(gram[-1], 0) + n
-        total, distinct = sum(seen.values()), len(seen)
-        if not total:
-            continue
-        # frozen blending: escapes are those of the full context counts, exclusion renormalises what is below
-        share = distinct / (total + distinct) if distinct < size else 0.0
-        if symbol in seen:
-            return p * seen[symbol] / (total + (distinct if distinct < size else 0)), order
-        below = {s: _ppm(counts, context[len(context) - order + 1 :] if order else (), s, size)[0] if order else 1 / size for s in range(size)}
-        return p * share * below[symbol] / (1 - sum(below[s] for s in seen)), order
-    return 1 / size, -1
+def _ppm(grams, context, byte):
+    """Probability of a byte after a context by escapes with exclusion, from all grams of four bytes; the slow, literal way."""
+    seen = {}
+    for g in grams:
+        if g[len(g) - 1 - len(context) : -1] == context:
+            seen[g[-1]] = seen.get(g[-1], 0) + 1
+    shorter = (lambda b: _ppm(grams, context[1:], b)) if context else (lambda b: 1 / 256)
+    if not seen:
+        return shorter(byte)
+    whole = sum(seen.values()) + (len(seen) if len(seen) < 256 else 0)
+    if byte in seen:
+        return seen[byte] / whole
+    return len(seen) / whole * shorter(byte) / (1 - sum(shorter(b) for b in seen))
+
+
+def _model(**texts):
+    counted = [np.unique(langid.grams(langid.fold(t)), return_counts=True) for t in texts.values()]
+    return langid.Model(list(texts), [g for g, _ in counted], [n for _, n in counted])
 
 
 def test_code_lengths_against_literal_version():
-    text = b"abracadabra abba\ncab"
-    g, n = np.unique(langid.grams(text), return_counts=True)
-    model = langid.Model(["x"], [g], [n])
-    symbols, table = langid.code_lengths(model)
-    size = model.n_symbols()
-    counts = {}
-    for gram, k in zip(g.tolist(), n.tolist(), strict=True):
-        key = tuple(int(symbols[(gram >> s) & 255]) for s in (24, 16, 8, 0))
-        counts[key] = counts.get(key, 0) + k
-    others = np.log2((symbols == size - 1).sum())
-    rng = random.Random(1)
-    for context in [(0, 0, 0), *(tuple(int(symbols[b]) for b in text[i : i + 3]) for i in range(6)), tuple(int(symbols[b]) for b in b"bzb")]:
-        row = table.reshape(size, size, size, size)[context]
-        probabilities = np.exp2(-row)
-        probabilities[size - 1] *= np.exp2(others)
-        assert abs(probabilities.sum() - 1) < 1e-3
-        for symbol in rng.sample(range(size - 1), 5):
-            assert probabilities[symbol] == pytest.approx(_ppm(counts, context, symbol, size)[0], rel=1e-3)
-    assert langid.text_bits(model, ["abra", "", None])[1:].sum() == 0
+    text = "abracadabra abba\ncab é"
+    model = _model(x=text)
+    padded = b"\n" * 3 + langid.fold(text)
+    grams = [padded[i : i + 4] for i in range(len(padded) - 3)]
+    (tree,) = langid.trees(model)
+    for context in (b"abr", b"bra", b"\n\n\n", b"bzb", b"zza", b"zzz"):
+        every = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint32)
+        p = np.exp2(-tree.lengths(every))
+        assert p.sum() == pytest.approx(1)
+        for byte in (*b"abcz \n", 0xC3, 0xFF):
+            assert p[byte] == pytest.approx(_ppm(grams, context, byte))
+    raw = b"\n" * 3 + langid.fold("Cabbage é")
+    want = -sum(np.log2(_ppm(grams, raw[i : i + 3], raw[i + 3])) for i in range(len(raw) - 3))
+    bits = langid.text_bits(model, ["Cabbage é", "", None])
+    assert bits[0, 0] == pytest.approx(want) and not bits[1:].any()
+    assert langid.predict(_model(a=text, b=text), ["cab"]) == [("a", 0.5)]
+
+
+def test_a_full_context_has_no_escape():
+    raw = bytes(range(256)) * 2
+    g, n = np.unique(langid.grams(raw), return_counts=True)
+    (tree,) = langid.trees(langid.Model(["x"], [g], [n]))
+    every = (np.arange(256) | 0x01010100).astype(np.uint32)
+    assert np.exp2(-tree.lengths(every)).sum() == pytest.approx(1)
+
+
+def test_many_languages_and_scripts(spark):
+    """Sixty languages in three scripts, each with syllables of its own; rare ones are learned too, whatever the block of bytes."""
+    rng = random.Random(12)
+    rows, i = [], 0
+    for k in range(60):
+        first = (0x61, 0x430, 0x4E00)[k % 3]
+        letters = [chr(first + rng.randrange(24 if k % 3 < 2 else 400)) for _ in range(14)]
+        syllables = ["".join(rng.choices(letters, k=2)) for _ in range(25)]
+        for _ in range(30 if k else 300):
+            rows.append((i, " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(40)), f"l{k:02}"))
+            i += 1
+    got = {r["doc_id"]: r for r in langid.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(d, lang) for d, _, lang in rows if got[d]["held_out"]]
+    assert len({lang for _, lang in held}) == 60
+    assert np.mean([got[d]["lang_pred"] == lang for d, lang in held]) > 0.97
 
 
 def test_toxicity_held_out_and_gradients(spark):
