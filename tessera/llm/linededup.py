@@ -1,9 +1,10 @@
 """Line deduplication with a log-template tree.
 
 A line's way through the tree of fixed depth is its number of tokens and its leading tokens; tokens with a digit are
-variable fields from the start. What follows in a leaf is compared in up to eight segments (single tokens, in lines that
-are short enough). A leaf holds any number of templates: each choice of up to a quarter of the segments (one at least) is
-left out in turn, and lines that agree in all others are instances of one template, with the segments left out as its variable fields.
+variable fields from the start. Each line goes to the leaf of its own leading tokens and to those in which one of these is a
+wildcard. What follows in a leaf is compared token by token, in lines of many tokens by up to eight segments. A leaf holds any
+number of templates: each choice of segments that leaves two thirds of the tokens constant names one, and lines that agree
+in the segments kept are its instances. Leaves, and segments of a leaf, with too few lines for any template drop out first.
 
 A template recurs if its lines stand in enough different hosts, not merely in copies of one document. Hosts are compared
 by sketches: in each of BINS bins the least hash of a run of three tokens, with the line that it stands in. Outside the lines
@@ -33,14 +34,14 @@ from tessera.runtime import materialize
 #: Leading tokens that name a leaf, after the number of tokens.
 DEPTH = 3
 SEGMENTS = 8
-#: Lines of fewer tokens are too common in plain prose to be templates.
-LEAST_TOKENS = 3
-#: Contexts from which a line recurs, by its number of tokens: short lines recur by chance.
-LEAST_CONTEXTS = ((30, 4), (8, 5), (LEAST_TOKENS, 6))
-#: A template with variable fields: least tokens, one in so many segments is variable, times as many hosts.
-GENERAL_TOKENS, GENERAL_SHARE, GENERAL_FACTOR = 4, 4, 2
-#: By number of segments, the segments that each of its templates keeps. Fewer left out would only part what these have together.
-KEPT_SEGMENTS = {k: [list(x) for x in combinations(range(k), k - max(1, k // GENERAL_SHARE))] for k in range(1, SEGMENTS + 1)}
+#: A token counts once for so many bytes, so that lines of unspaced scripts have a size; and the size from which lines can recur.
+TOKEN_BYTES, LEAST_SIZE = 16, 3
+#: Hosts from which a line recurs, by its size: short lines recur by chance.
+LEAST_CONTEXTS = ((30, 4), (8, 5), (LEAST_SIZE, 6))
+#: A template with variable fields: least tokens, times as many hosts, and segments that may vary at most.
+GENERAL_TOKENS, GENERAL_FACTOR, MOST_VARIABLE = 4, 2, 3
+#: By number of segments and of those that vary, the choices of segments that a template keeps, as bits.
+KEPT = {(k, b): [sum(1 << i for i in x) for x in combinations(range(k), k - b)] for k in range(1, SEGMENTS + 1) for b in range(min(k, MOST_VARIABLE) + 1)}
 
 #: Tokens of a passage, which recurs from two hosts on.
 PASSAGE_TOKENS = 50
@@ -53,11 +54,11 @@ _DIGIT, _FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x
 _NEXT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _STEP, _LENGTH = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 _LAST = np.uint64(np.iinfo(np.uint64).max)
-_ROWS = pa.schema([("leaf", pa.int64()), ("line", pa.int64()), ("n_tokens", pa.int32()), ("segments", pa.list_(pa.int32())), ("context1", pa.int64()), ("places", pa.list_(pa.int32())), ("copy", pa.int64()), ("sketch", pa.binary())])
+_ROWS = pa.schema([("line", pa.int64()), ("n_tokens", pa.int32()), ("size", pa.int32()), ("leads", pa.list_(pa.int32())), ("segments", pa.list_(pa.int32())), ("places", pa.list_(pa.int32())), ("sketch", pa.binary()), ("lines", pa.int64())])
 
 
 class Lines(NamedTuple):
-    """Lines that hold a token: whose they are, which line of the text, their tokens' hashes and sums over these by place; and a hash of each text."""
+    """Lines that hold a token: whose they are, which line of the text, their tokens' hashes and sums over these by place; and the number of texts."""
 
     owner: np.ndarray
     number: np.ndarray
@@ -65,7 +66,8 @@ class Lines(NamedTuple):
     start: np.ndarray
     sums: np.ndarray
     words: np.ndarray
-    copies: np.ndarray
+    size: np.ndarray
+    n_texts: int
 
     def part(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """One hash of the tokens between two places of all tokens."""
@@ -78,10 +80,9 @@ class Lines(NamedTuple):
 def lines_of(texts: list[str | None], seen: WordHashes) -> Lines:
     """All lines of all texts at once; tokens with a digit are variable fields and all alike."""
     tokens: list[bytes] = []
-    owner, number, counts, copies = [], [], [], []
+    owner, number, counts = [], [], []
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        copies.append(xxhash.xxh3_64_intdigest(raw))
         if _DIGIT.search(raw):
             raw = _FIELD.sub(b"<*>", raw)
         for k, line in enumerate(raw.split(b"\n")):
@@ -95,7 +96,8 @@ def lines_of(texts: list[str | None], seen: WordHashes) -> Lines:
     place = np.arange(len(tokens)) - np.repeat(start, n)
     words = seen.of(tokens)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[place], dtype=np.uint64)])
-    return Lines(np.array(owner, np.int64), np.array(number, np.int64), n, start, sums, words, np.array(copies, np.uint64))
+    heavy = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.maximum(np.fromiter(map(len, tokens), np.int64, len(tokens)) // TOKEN_BYTES, 1))])
+    return Lines(np.array(owner, np.int64), np.array(number, np.int64), n, start, sums, words, heavy[start + n] - heavy[start], len(texts))
 
 
 def sketches(lines: Lines, hashes: np.ndarray) -> np.ndarray:
@@ -105,15 +107,15 @@ def sketches(lines: Lines, hashes: np.ndarray) -> np.ndarray:
     for k, factor in enumerate(_NEXT, 1):
         runs[:-k] += np.where(of[k:] == of[:-k], lines.words[k:] * factor, np.uint64(0))
     runs = mix(runs)
-    out = np.full(len(lines.copies) * BINS, _LAST)
+    out = np.full(lines.n_texts * BINS, _LAST)
     at = lines.owner[of] * BINS + (runs & np.uint64(BINS - 1)).astype(np.int64)
     np.minimum.at(out, at, (runs >> np.uint64(32) << np.uint64(32)) | (hashes >> np.uint64(32))[of])
     return out.reshape(-1, BINS)
 
 
 def describe(texts: list[str | None], seen: WordHashes) -> tuple[np.ndarray, pa.RecordBatch]:
-    """The owner, and leaf, line, n_tokens, segments of every distinct line of LEAST_TOKENS tokens or more; context1, of all other lines of the text;
-    its places among the lines of so many tokens; the text's hash and, in its first row, its sketch."""
+    """The owner, and line, n_tokens, size, leads, segments of every distinct line of LEAST_SIZE or more; its places among the lines of
+    that size; and, in a text's first row, its sketch and a hash of the set of all of its lines."""
     lines = lines_of(texts, seen)
     hashes = lines.hashes()
     order = np.lexsort((hashes, lines.owner))
@@ -121,60 +123,62 @@ def describe(texts: list[str | None], seen: WordHashes) -> tuple[np.ndarray, pa.
     first = np.ones(len(order), bool)
     first[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
     everything, order, owner, line = order, order[first], owner[first], line[first]
-    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(owner))))
-    rest = (np.bitwise_xor.reduceat(line, begins)[of] if len(begins) else line) ^ line  # 0 where a line stands alone
-    eligible = lines.n_tokens >= LEAST_TOKENS
+    sets = np.zeros(len(texts), np.uint64)
+    np.bitwise_xor.at(sets, owner, mix(line))
+    eligible = lines.size >= LEAST_SIZE
     place = np.cumsum(eligible) - 1
     sketch, held = sketches(lines, hashes), everything[eligible[everything]]
     kept = eligible[order]
     times = np.diff(np.append(np.flatnonzero(first), len(first)))[kept]
     places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32()), pa.array(place[held], pa.int32()))
-    n, start = lines.n_tokens[order][kept], lines.start[order][kept]
-    leaf = mix(lines.part(start, start + DEPTH) + n.astype(np.uint64) * _LENGTH)
+    n, start, size = lines.n_tokens[order][kept], lines.start[order][kept], lines.size[order][kept]
+    general = n >= GENERAL_TOKENS
+
+    def hashed(counts: np.ndarray, values) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        j, which = np.arange(offsets[-1]) - np.repeat(offsets[:-1], counts), np.repeat(np.arange(len(n)), counts)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((values(j, which) >> np.uint64(33)).astype(np.int32), pa.int32()))
+
+    leads = hashed(np.where(general, DEPTH, 0), lambda j, which: lines.words[start[which] + j])
     more = n - DEPTH
-    k = np.minimum(SEGMENTS, more)
-    offsets = np.concatenate([[0], np.cumsum(k)])
-    j, which = np.arange(offsets[-1]) - np.repeat(offsets[:-1], k), np.repeat(np.arange(len(n)), k)
-    at = start[which] + DEPTH
-    segments = lines.part(at + more[which] * j // k[which], at + more[which] * (j + 1) // k[which]) >> np.uint64(33)
-    values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(segments.astype(np.int32), pa.int32()))
+    k = np.where(general, np.minimum(SEGMENTS, more), 0)
+    at = lambda j, which: start[which] + DEPTH + more[which] * j // k[which]
+    segments = hashed(k, lambda j, which: lines.part(at(j, which), at(j + 1, which)))
     owner = owner[kept]
-    leads = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
-    shown = pa.array([sketch[i].tobytes() if lead else None for i, lead in zip(owner.tolist(), leads.tolist(), strict=True)], pa.binary())
-    columns = [leaf.view(np.int64), line[kept].view(np.int64), n.astype(np.int32), values, rest[kept].view(np.int64), places, lines.copies[owner].view(np.int64), shown]
+    lead = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+    shown = pa.array([sketch[i].tobytes() if x else None for i, x in zip(owner.tolist(), lead.tolist(), strict=True)], pa.binary())
+    columns = [line[kept].view(np.int64), n.astype(np.int32), size.astype(np.int32), leads, segments, places, shown, pa.array(sets[owner].view(np.int64), mask=~lead)]
     return owner, pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=_ROWS)
 
 
 def line_rows(documents: DataFrame) -> DataFrame:
-    """doc_id and what ``describe`` tells of each of its lines; no text."""
-    narrow = documents.select("doc_id", "text")
+    """copy (a hash of the text) and what ``describe`` tells of each of its lines; no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in slices(batches, "text"):
             owner, rows = describe(b.column("text").to_pylist(), seen)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), *rows.columns], names=["doc_id", *_ROWS.names])
+            yield pa.RecordBatch.from_arrays([b.column("copy").take(pa.array(owner)), *rows.columns], names=["copy", *_ROWS.names])
 
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, leaf long, line long, n_tokens int, segments array<int>, context1 long, places array<int>, copy long, sketch binary")
+    narrow = documents.select(F.xxhash64("text").alias("copy"), "text")
+    return narrow.mapInArrow(run, "copy long, line long, n_tokens int, size int, leads array<int>, segments array<int>, places array<int>, sketch binary, lines long")
 
 
-def needed_contexts(n_tokens: Column) -> Column:
+def needed_contexts(size: Column) -> Column:
     out = None
     for least, contexts in LEAST_CONTEXTS:
-        out = F.when(n_tokens >= least, contexts) if out is None else out.when(n_tokens >= least, contexts)
+        out = F.when(size >= least, contexts) if out is None else out.when(size >= least, contexts)
     return out
 
 
-def passages(places: list[int], lines: list[int], n_tokens: list[int]) -> Iterator[tuple[int, list[int]]]:
+def passages(places: list[int], lines: list[int], sizes: list[int]) -> Iterator[tuple[int, list[int]]]:
     """Hash and lines of the shortest runs of PASSAGE_TOKENS tokens, from each line onwards and up to each line; ``places`` ascend, and a run has no gap."""
     found: set[tuple[int, int]] = set()
     begin = 0
     for end in range(1, len(places) + 1):
         if end < len(places) and places[end] == places[end - 1] + 1:
             continue
-        total = np.concatenate([[0], np.cumsum(n_tokens[begin:end])])
+        total = np.concatenate([[0], np.cumsum(sizes[begin:end])])
         size = end - begin
         to = np.searchsorted(total, total[:-1] + PASSAGE_TOKENS)
         back = np.searchsorted(total, total[1:] - PASSAGE_TOKENS, "right") - 1
@@ -187,13 +191,13 @@ def passages(places: list[int], lines: list[int], n_tokens: list[int]) -> Iterat
 
 def passage_rows(held: DataFrame) -> DataFrame:
     """copy, key and lines of each passage of the lines that more than one text has."""
-    texts = held.groupBy("copy").agg(F.array_sort(F.collect_set(F.struct("place", "line", "n_tokens"))).alias("x"))
+    texts = held.groupBy("copy").agg(F.array_sort(F.collect_set(F.struct("place", "line", "size"))).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             copies, keys, members = [], [], []
             for copy, x in zip(b.column("copy").to_pylist(), b.column("x").to_pylist(), strict=True):
-                for key, lines in passages([r["place"] for r in x], [r["line"] for r in x], [r["n_tokens"] for r in x]):
+                for key, lines in passages([r["place"] for r in x], [r["line"] for r in x], [r["size"] for r in x]):
                     copies.append(copy), keys.append(key), members.append(lines)
             yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(keys, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["copy", "key", "lines"])
 
@@ -284,60 +288,75 @@ def hosts_of(keyed: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
-    """doc_id, line (hash) of every line to be dropped, from the rows of ``line_rows``."""
-    leaves = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("leaf")
-    leaves = materialize(leaves, "leaves")  # read back, both sides of the join are plain exchanges, and a hot leaf's can be split
-    held = materialize(rows.drop("sketch").join(leaves, "leaf"), "held")
+    """copy, line (hash) of every line to be dropped, from the rows of ``line_rows``."""
     texts = rows.filter(F.col("sketch").isNotNull()).select("copy", "sketch").dropDuplicates(["copy"])
-    again = materialize(held.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("line"), "again")
-    several = materialize(held.join(again, "line").select("copy", F.explode("places").alias("place"), "line", "n_tokens").distinct(), "several")
+    again = materialize(rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("line"), "again")
+    # read back, both sides of the join are plain exchanges, and a hot line's can be split
+    held = materialize(rows.select("copy", "line", "size", "places").join(again, "line"), "held")
+    several = materialize(held.select("copy", F.explode("places").alias("place"), "line", "size").distinct(), "several")
     runs = materialize(passage_rows(several), "passages")
-    single = held.filter(F.col("context1") != 0).select(F.col("line").alias("key"), "copy", needed_contexts(F.col("n_tokens")).alias("least")).distinct()
-    instances = materialize(template_lines(held), "templates")
-    of_templates = held.select("line", "copy").join(instances, "line").select("key", "copy", "least").distinct()
+    single = held.select(F.col("line").alias("key"), "copy", needed_contexts(F.col("size")).alias("least")).distinct()
+    instances = template_lines(rows)
+    of_templates = rows.select("line", "copy").join(instances, "line").select("key", "copy", "least").distinct()
     keyed = materialize(single.union(runs.select("key", "copy", F.lit(2))).union(of_templates), "keyed")
     counted = hosts_of(keyed, texts)
     alone = single.select("key", "least").distinct().join(counted, "key").filter(F.col("hosts") >= F.col("least")).select(F.col("key").alias("line"))
     general = instances.join(counted, "key").filter(F.col("hosts") >= F.col("least")).select("line")
-    dropped = held.select("doc_id", "line").join(materialize(alone.union(general).distinct(), "dropped"), "line", "left_semi")
-    return dropped.unionByName(_lines_of_passages(held, runs, counted)).distinct()
+    dropped = rows.select("copy", "line").join(materialize(alone.union(general).distinct(), "dropped"), "line", "left_semi")
+    return dropped.unionByName(_lines_of_passages(runs, counted)).distinct()
 
 
-def template_lines(held: DataFrame) -> DataFrame:
+def template_lines(rows: DataFrame) -> DataFrame:
     """key, line, least of the templates with variable fields that have enough lines to recur, whatever their hosts."""
-    wide = F.col("n_tokens") >= GENERAL_TOKENS
-    lines = held.filter(wide).groupBy("leaf", "line", "n_tokens", "segments").agg(F.count("*").alias("n"))
+    wide = rows.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("line", "n_tokens", "leads", "segments", (GENERAL_FACTOR * needed_contexts(F.col("size"))).alias("least"))
+    lead = lambda i, wild: F.lit(None).cast("int") if i == wild else F.get("leads", F.lit(i))
+    leaf = lambda wild: F.struct(F.xxhash64("n_tokens", F.lit(wild), *(lead(i, wild) for i in range(DEPTH))).alias("leaf"), F.lit(int(wild >= 0)).alias("wild"))
+    routed = wide.withColumn("to", F.explode(F.array(*(leaf(wild) for wild in range(-1, DEPTH)))))
+    leaves = routed.groupBy("to.leaf").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf")
+    held = routed.select("to.leaf", "to.wild", "line", "n_tokens", "segments", "least").join(materialize(leaves, "leaves"), "leaf")
+    size = F.size("segments")
+    room = F.expr(f"size(segments) * (n_tokens - 3 * wild) div (3 * (n_tokens - {DEPTH}))")
+    lines = held.groupBy("leaf", "wild", "line", "n_tokens", "segments").agg(F.count("*").alias("n"), F.min("least").alias("least"))
+    lines = materialize(lines.withColumn("varying", F.least(F.greatest(room, F.lit(0)), F.lit(MOST_VARIABLE), size).cast("int")), "routed")
+    parts = lines.select("leaf", "line", "varying", "least", "n", F.posexplode("segments").alias("at", "segment"))
+    common = parts.groupBy("leaf", "at", "segment").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf", "at", "segment")
+    fixed = parts.select("leaf", "line", "at", "segment").join(materialize(common, "common"), ["leaf", "at", "segment"]).groupBy("leaf", "line").agg(F.count("*").alias("fixed"))
+    near = lines.join(fixed, ["leaf", "line"]).filter(F.col("fixed") >= size - F.col("varying"))
     kept = None
-    for k, choices in KEPT_SEGMENTS.items():
-        value = F.lit(choices) if k > 1 else F.array(F.array().cast("array<int>"))
-        kept = F.when(F.size("segments") == k, value) if kept is None else kept.when(F.size("segments") == k, value)
-    each = lines.select("leaf", "line", "segments", "n", (GENERAL_FACTOR * needed_contexts(F.col("n_tokens"))).alias("least"), F.explode(kept).alias("kept"))
-    values = F.transform("kept", lambda i: F.get("segments", i))
-    each = each.select(F.xxhash64("leaf", "kept", values).alias("key"), "line", "n", "least")
+    for (k, b), choices in KEPT.items():
+        here = (size == k) & (F.col("varying") == b)
+        kept = F.when(here, F.lit(choices)) if kept is None else kept.when(here, F.lit(choices))
+    each = near.select("leaf", "line", "segments", "n", "least", F.explode(kept).alias("kept"))
+    values = F.transform("segments", lambda x, i: F.when(F.get(F.lit([1 << j for j in range(SEGMENTS)]), i).bitwiseAND(F.col("kept")) > 0, x))
+    each = materialize(each.select(F.xxhash64("leaf", "kept", values).alias("key"), "line", "n", "least"), "choices")
     found = each.groupBy("key").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.max("least").alias("least"))
     found = materialize(found.filter((F.col("lines") > 1) & (F.col("n") >= F.col("least"))).select("key"), "found")
-    return each.select("key", "line", "least").join(found, "key")
+    return materialize(each.select("key", "line", "least").join(found, "key"), "templates")
 
 
-def _lines_of_passages(held: DataFrame, runs: DataFrame, counted: DataFrame) -> DataFrame:
-    """doc_id, line of the passages that recur."""
+def _lines_of_passages(runs: DataFrame, counted: DataFrame) -> DataFrame:
+    """copy, line of the passages that recur."""
     recurring = counted.filter(F.col("apart") | (F.col("hosts") >= LEAST_CONTEXTS[0][1])).select("key")
-    within = runs.join(recurring, "key").select("copy", F.explode("lines").alias("line")).distinct()
-    return held.select("doc_id", "copy", "line").join(materialize(within, "within"), ["copy", "line"], "left_semi").select("doc_id", "line")
+    return runs.join(recurring, "key").select("copy", F.explode("lines").alias("line")).distinct()
 
 
 def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """All documents with their columns; ``text`` has lost the lines of recurring templates; ``counts`` names two added columns,
     the text's lines and those dropped.
 
-    Kept lines stay byte for byte, in order. Null texts stay null and empty ones empty. A document of which no word
-    would remain is a copy, not a host of recurring lines; it stays whole, for near-duplicate detection to judge. Lines of fewer than LEAST_TOKENS tokens stay. Repeated rows are treated alike. An
-    empty table gives no rows. Input columns of the added names are replaced.
+    Kept lines stay byte for byte, in order. Null texts stay null and empty ones empty. Lines of a size below LEAST_SIZE stay.
+    A document of which no word would remain stays whole if its lines are just those of another row, for near-duplicate
+    detection to judge; else only its blank lines and those below LEAST_SIZE are left. What goes follows from a row's text alone, so repeated rows are
+    treated alike, and so are rows without doc_id. An empty table gives no rows. Input columns of the added names are replaced.
     """
-    found = recurring_lines(materialize(line_rows(documents), "rows"))
-    per_document = found.groupBy("doc_id").agg(F.collect_list("line").alias("__drop"))  # at most the document's own lines
+    rows = materialize(line_rows(documents), "rows")
+    drops = recurring_lines(rows).groupBy("copy").agg(F.collect_list("line").alias("__drop"))  # at most the text's own lines
+    heads = rows.filter(F.col("lines").isNotNull()).select("copy", "lines")
+    twice = heads.groupBy("lines").agg(F.count("*").alias("n")).filter("n > 1").select("lines")
+    whole = heads.join(twice, "lines", "left_semi").select("copy", F.lit(True).alias("__whole")).distinct()
+    drops = materialize(drops.join(whole, "copy", "left").withColumnRenamed("copy", "__copy"), "drops")  # so that a hot copy can be split
     columns = [c for c in documents.columns if c not in counts]
-    joined = documents.select(*columns).join(per_document, "doc_id", "left")
+    joined = documents.select(*columns).withColumn("__copy", F.xxhash64("text")).join(drops, "__copy", "left")
     names = [*columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +364,7 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
             drops = {i: set(d) for i, d in enumerate(b.column("__drop").to_pylist()) if d}
-            hosts = list(drops)
+            wholes, hosts = b.column("__whole").to_pylist(), list(drops)
             found = lines_of([texts[i] for i in hosts], seen)
             lost: dict[int, set[int]] = {}
             for k, number, h in zip(found.owner.tolist(), found.number.tolist(), found.hashes().view(np.int64).tolist(), strict=True):
@@ -354,7 +373,7 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
             total, gone = [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts)
             for i, out in lost.items():
                 kept = [p for k, p in enumerate(texts[i].split("\n")) if k not in out]
-                if any(map(str.strip, kept)):
+                if not wholes[i] or any(p.encode("utf-8", "surrogatepass").split() for p in kept):
                     texts[i], gone[i] = "\n".join(kept), len(out)
             new = {"text": pa.array(texts, pa.string()), counts[0]: pa.array(total, pa.int64()), counts[1]: pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)

@@ -1,6 +1,7 @@
 """Fingerprints, line dedup, language ID and toxicity against re-derivations, planted cases and held-out rows."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -157,25 +158,94 @@ def test_passages_and_templates_go_and_copies_stay(spark):
         assert got[i]["n_dropped"] == text.count("\n") - want.count("\n")
 
 
-def test_general_templates():
-    """One variable word of many tokens keeps a line in its template's leaf and in all but one of its segments."""
+def test_described_lines():
     line = "the server at {} answered with an error and was shut down at once today"
     owner, rows = linededup.describe([line.format(x) for x in ("north", "south", "17", "x18y")], WordHashes())
     a, b, c, d = rows.to_pylist()
-    assert owner.tolist() == [0, 1, 2, 3] and a["leaf"] == b["leaf"] and a["line"] != b["line"] and c["line"] == d["line"]
+    assert owner.tolist() == [0, 1, 2, 3] and a["leads"] == b["leads"] and a["line"] != b["line"] and c["line"] == d["line"] and c["lines"] == d["lines"]
     assert len(a["segments"]) == linededup.SEGMENTS and sum(p == q for p, q in zip(a["segments"], b["segments"], strict=True)) == linededup.SEGMENTS - 1
-
-
-def test_described_lines():
-    texts = ["one two three\n\nfour five six seven\none two three", "one two three", None, "a b\nc"]
+    texts = ["one two three\n\nfour five six seven\none two three", "one two three", None, "a b\nc", "漢字" * 40]
     owner, rows = linededup.describe(texts, WordHashes())
-    got = list(zip(owner.tolist(), rows.column("n_tokens").to_pylist(), rows.column("segments").to_pylist(), strict=True))
-    assert sorted((o, n, len(s)) for o, n, s in got) == [(0, 3, 0), (0, 4, 1), (1, 3, 0)]
-    by = {(o, r["n_tokens"]): r for o, r in zip(owner.tolist(), rows.to_pylist(), strict=True)}
-    assert by[0, 3]["line"] == by[1, 3]["line"] and by[1, 3]["context1"] == 0 != by[0, 3]["context1"]
+    got = list(zip(owner.tolist(), rows.column("n_tokens").to_pylist(), rows.column("size").to_pylist(), rows.column("segments").to_pylist(), strict=True))
+    assert sorted((o, n, size, len(x)) for o, n, size, x in got) == [(0, 3, 3, 0), (0, 4, 4, 1), (1, 3, 3, 0), (4, 1, 15, 0)]
     assert linededup.describe([], WordHashes())[1].num_rows == 0
 
 
+def _by_brute_force(texts):
+    """Lines that recur by the template tree, where all texts are different hosts: every leaf and every choice of segments is tried."""
+    hosts = {}
+    for i, text in enumerate(texts):
+        for line in set(text.split("\n")):
+            tokens = tuple("<*>" if any(c.isdigit() for c in t) else t for t in line.split())
+            n = len(tokens)
+            least = next(c for size, c in linededup.LEAST_CONTEXTS if n >= size)
+            hosts.setdefault((tokens, least, "line"), []).append((i, line))
+            if n < linededup.GENERAL_TOKENS:
+                continue
+            k = min(linededup.SEGMENTS, n - 3)
+            segments = [tokens[3 + (n - 3) * j // k : 3 + (n - 3) * (j + 1) // k] for j in range(k)]
+            for wild in (None, 0, 1, 2):
+                leads = tuple(None if j == wild else t for j, t in enumerate(tokens[:3]))
+                varying = max(b for b in range(linededup.MOST_VARIABLE + 1) if b == 0 or b <= k and 3 * ((n - 3) * b + k * (wild is not None)) <= n * k)
+                for gone in itertools.combinations(range(k), varying):
+                    key = (n, leads, gone, tuple(x for j, x in enumerate(segments) if j not in gone))
+                    hosts.setdefault((key, 2 * least, "template"), []).append((i, line))
+    out = set()
+    for (_, least, kind), held in hosts.items():
+        if len({i for i, _ in held}) >= least and (kind == "line" or len({tuple("<*>" if any(c.isdigit() for c in t) else t for t in x.split()) for _, x in held}) > 1):
+            out |= set(held)
+    return out
+
+
+def test_template_tree_against_brute_force(spark):
+    """Lines of templates with fields anywhere, from few words or many, over enough hosts or too few, among lines that are like them by chance."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9)))
+    few = [word() for _ in range(5)]
+    forms = ["user {} logged in from host {} at noon", "{} wrote this piece", "read more about {} here", "the {} of {} is {} and the {} of {} is {}", "a b c d e {} g h i {} k l m {} o p q r", "posted on {} by {} in news", "x {} y {}"]
+    texts = []
+    for i in range(240):
+        own = [" ".join(word() for _ in range(rng.randint(7, 14))) for _ in range(4)]
+        form = forms[i % len(forms)]
+        fields = [rng.choice(few) if rng.random() < 0.4 else str(rng.randrange(99)) if rng.random() < 0.2 else word() for _ in range(form.count("{}"))]
+        own.insert(rng.randrange(4), form.format(*fields))
+        texts.append("\n".join(own))
+    want = _by_brute_force(texts)
+    assert 100 < len(want) < 240
+    got = _dropped(spark, texts)
+    for i, text in enumerate(texts):
+        assert got[i] == "\n".join(x for x in text.split("\n") if (i, x) not in want), (text, got[i])
+
+
+@pytest.mark.parametrize("form", ["user {} logged in from host {} in the east wing", "the user {} logged in from host {} at gate {}", "the server log says that {} came in from host {} and then from {} at noon"])
+def test_word_fields_generalise(spark, form):
+    """Sixty documents, each with lines of its own and one of a form with words for fields."""
+    line = _prose(31)
+    texts, want = [], []
+    for _ in range(60):
+        own = [line() for _ in range(4)]
+        texts.append("\n".join([*own[:2], form.format(*(line(1) for _ in range(form.count("{}")))), *own[2:]]))
+        want.append("\n".join(own))
+    assert _dropped(spark, texts) == dict(enumerate(want))
+
+
+def test_navigation_lines_around_one_own_line(spark):
+    line = _prose(33)
+    menu, footer = [line(4) for _ in range(10)], line(9)
+    own = [line(14) for _ in range(12)]
+    assert _dropped(spark, ["\n".join([*menu, x, footer]) for x in own]) == dict(enumerate(own))
+
+
+def test_what_has_only_recurring_lines(spark):
+    """A patchwork of recurring lines is emptied; of a text that is there twice both rows stay whole. Lines of unspaced scripts recur too."""
+    line = _prose(34)
+    shared, unspaced = [line(12) for _ in range(4)], "網站地圖聯絡我們隱私政策" * 6
+    texts = ["\n".join([line() for _ in range(4)] + [s for k, s in enumerate([*shared, unspaced]) if k != i % 5]) for i in range(20)]
+    got = _dropped(spark, [*texts, "\n".join([shared[2], "", unspaced, shared[0]]), *["\n".join(shared[1:3])] * 2])
+    assert [got[i] for i in range(20)] == ["\n".join(t.split("\n")[:4]) for t in texts]
+    assert got[20] == "" and got[21] == got[22] == "\n".join(shared[1:3])
+
+
 def test_language_held_out(spark, small):
     docs = load(spark, small, "documents")
     got = {r["doc_id"]: r for r in langid.language_report(docs).collect()}
