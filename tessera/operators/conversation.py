@@ -32,10 +32,35 @@ def generation_window(paired: DataFrame, turns: int = 1) -> DataFrame:
     return recent(paired, turns, "Previous Q", "Previous A")
 
 
+def condense_text(history: Column, question: Column) -> Column:
+    """What a model is asked in order to make a question stand alone; null where there is no history."""
+    return F.concat(F.lit("Conversation history:\n"), history, F.lit("\n\nFollow-up question: "), question, F.lit("\n\nStandalone question:"))
+
+
 def condense_prompt(paired: DataFrame, turns: int = 3) -> DataFrame:
-    """(conv_id, turn, prompt): what a model is asked in order to make a question stand alone; null where there is no history."""
-    text = F.concat(F.lit("Conversation history:\n"), F.col("recent"), F.lit("\n\nFollow-up question: "), F.col("question"), F.lit("\n\nStandalone question:"))
-    return recent(paired, turns, "Q", "A").select("conv_id", "turn", text.alias("prompt"))
+    """(conv_id, turn, prompt): the condensing prompt of each question with the turns before it."""
+    return recent(paired, turns, "Q", "A").select("conv_id", "turn", condense_text(F.col("recent"), F.col("question")).alias("prompt"))
+
+
+def turns_before(messages: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(item_id, turns): the last ``most`` answered questions, as (turn, question, answer) in order, of the conversation before each of
+    ``asked`` (item_id, conv_id, turn); questions without any are left out.
+
+    Each pair gathers itself and the few before it, and a question takes what the last pair before its turn has gathered, so a conversation of
+    any length is read once.
+    """
+    few = F.collect_list(F.struct("turn", "question", "answer")).over(_turns().rowsBetween(1 - most, 0))
+    told_ = pairs(messages).select("conv_id", "turn", F.lit(1).alias("kind"), few.alias("turns"))
+    both = told_.unionByName(asked.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy("conv_id").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("turns", F.last("turns", ignorenulls=True).over(before)).filter((F.col("kind") == 0) & F.col("turns").isNotNull()).select("item_id", "turns")
+
+
+def told(turns: Column, last: int, question_tag: str, answer_tag: str) -> Column:
+    """The ``last`` of (turn, question, answer) structs in order as text; null without any."""
+    one = lambda x: F.concat(F.lit(f"{question_tag}: "), x["question"], F.lit(f"\n{answer_tag}: "), x["answer"])
+    shown = F.slice(turns, F.greatest(F.size(turns) - last + 1, F.lit(1)), last)
+    return F.when(F.size(turns) > 0, F.array_join(F.transform(shown, one), "\n\n"))
 
 
 def condensed(question: Column, rewritten: Column) -> Column:

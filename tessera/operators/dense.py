@@ -13,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.runtime import scratch_path
+
 #: Questions that are multiplied at once; each block is one pass over the vectors.
 BLOCK = 4096
 
@@ -45,9 +48,15 @@ def predicate(where: dict[str, Any] | None) -> Column:
     return out
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; nulls must be gone."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def _blocks(questions: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Questions that have a vector; the driver holds one block."""
     ids, vectors = [], []
-    for row in questions.select("item_id", "embedding").toLocalIterator():
+    for row in questions.select("item_id", "embedding").filter(F.col("embedding").isNotNull()).toLocalIterator():
         ids.append(row["item_id"]), vectors.append(row["embedding"])
         if len(ids) == BLOCK:
             yield ids, np.array(vectors, np.float64)
@@ -56,44 +65,49 @@ def _blocks(questions: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         yield ids, np.array(vectors, np.float64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[int]:
-    """Positions of the ``k`` best by (score descending, id)."""
-    least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
-    return sorted(np.flatnonzero(scores >= least), key=lambda i: (-scores[i], ids[i]))[:k]
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """[questions, k]: columns of the best by (score descending, id)."""
+    by_id = np.argsort(ids, kind="stable")
+    return by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
 
 
 def search(vectors: DataFrame, questions: DataFrame, top_k: int = 10, where: dict[str, Any] | None = None, digits: int = 6) -> DataFrame:
     """(item_id, doc_id, score, rank): the ``top_k`` vectors of highest cosine for each question; ties go to the smaller doc_id.
 
     ``vectors`` has doc_id, embedding and whatever ``where`` names; ``questions`` item_id, embedding. The condition is applied before
-    ranking. Fewer vectors than ``top_k`` give fewer rows; a zero vector scores 0.
+    ranking. Fewer vectors than ``top_k`` give fewer rows; a zero vector scores 0; what has no vector neither asks nor is found.
+    Each block of questions is one pass over the vectors, whose best rows are appended to a table in the shared folder.
     """
     spark = vectors.sparkSession
-    kinds = questions.schema["item_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
-    arrow = pa.schema([("item_id", to_arrow_type(questions.schema["item_id"].dataType)), ("doc_id", to_arrow_type(vectors.schema["doc_id"].dataType)), ("score", pa.float64())])
-    schema = f"item_id {kinds[0]}, doc_id {kinds[1]}, score double"
-    kept = vectors.filter(predicate(where)).select("doc_id", "embedding")
-    found = spark.createDataFrame([], schema)
+    schema = T.StructType([T.StructField("item_id", questions.schema["item_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+    kept = vectors.filter(predicate(where)).filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+    path = scratch_path(spark, "dense")
+    spark.createDataFrame([], schema).write.parquet(path)
     for ids, matrix in _blocks(questions):
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = matrix / np.where(norms > 0, norms, 1)
+        block = spark.sparkContext.broadcast((ids, matrix / np.where(norms > 0, norms, 1)))  # BLOCK vectors at most
 
-        def best(batches: Iterator[pa.RecordBatch], ids: list = ids, unit: np.ndarray = unit) -> Iterator[pa.RecordBatch]:
-            scores, docs = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
+        def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            ids, unit = block.value
+            scores, docs = np.empty((len(ids), 0)), None
             for b in batches:
                 if not b.num_rows:
                     continue
-                x = np.array(b.column("embedding").to_pylist(), np.float64)
+                x, names = _matrix(b.column("embedding")), np.array(b.column("doc_id").to_pylist())
                 length = np.linalg.norm(x, axis=1)
                 new = np.round(unit @ x.T / np.where(length > 0, length, 1), digits) + 0.0
-                names = np.broadcast_to(np.array(b.column("doc_id").to_pylist(), object), new.shape)
-                scores, docs = np.concatenate([scores, new], axis=1), np.concatenate([docs, names], axis=1)
-                order = np.array([_best(s, d, top_k) for s, d in zip(scores, docs, strict=True)])
+                first = _best(new, names, top_k)
+                scores = np.concatenate([scores, np.take_along_axis(new, first, 1)], axis=1)
+                docs = names[first] if docs is None else np.concatenate([docs, names[first]], axis=1)
+                order = np.array([np.lexsort((d, -s))[:top_k] for s, d in zip(scores, docs, strict=True)])
                 scores, docs = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
-            if scores.shape[1]:
-                owner = np.repeat(np.array(ids, object), scores.shape[1]).tolist()
-                yield pa.RecordBatch.from_pydict({"item_id": owner, "doc_id": docs.ravel().tolist(), "score": scores.ravel()}, schema=arrow)
+            if docs is not None:
+                owner = [i for i in ids for _ in range(scores.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((owner, docs.ravel().tolist(), scores.ravel()), arrow, strict=True)], schema=arrow)
 
-        found = found.union(kept.mapInArrow(best, schema))
+        kept.mapInArrow(best, schema).write.mode("append").parquet(path)
+        block.destroy()
+    found = spark.read.schema(schema).parquet(path)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top_k)

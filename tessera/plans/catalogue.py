@@ -56,7 +56,7 @@ def _indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
     vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return load(spark, sf, "benchmark").join(vectors, "item_id")
+    return load(spark, sf, "benchmark").join(vectors, "item_id", "left")
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +137,7 @@ dense AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id
 
 _SQL_FUSED = """
 fused AS (SELECT item_id, doc_id, d.rank AS dense_rank, b.rank AS bm25_rank, coalesce(1e0 / (60e0 + d.rank), 0e0) + coalesce(1e0 / (60e0 + b.rank), 0e0) AS rrf_score
-  FROM dense d FULL JOIN bm25 b USING (item_id, doc_id) WHERE item_id IN (SELECT item_id FROM qv)),
+  FROM dense d FULL JOIN bm25 b USING (item_id, doc_id)),
 hits AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, doc_id) AS rank FROM fused QUALIFY rank <= 5)"""
 _SQL_HYBRID = f"{_sql_bm25('0', 20)}, {_sql_dense(20)}, {_SQL_FUSED}"
 _SQL_RERANKED = f"""{_SQL_HYBRID}, {_SQL_INDEXED},
@@ -237,11 +237,55 @@ def no_hit_answer(spark: SparkSession, sf: str) -> DataFrame:
     return prompt.answers(asked, best.select("item_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("answer")))
 
 
-@query()
+_SQL_PAIRS = """said AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS question FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id, turn, question, text AS answer FROM said WHERE role = 'assistant' AND before = 'user')"""
+_SQL_BLOCKS = """blocks AS (SELECT item_id, string_agg('[' || rerank_rank || '] (source: ' || source_path || coalesce(', page ' || page_number, '') || ')' || chr(10) || text, chr(10) ORDER BY rerank_rank) AS context, count(*)::INT AS n
+  FROM reranked WHERE rerank_rank <= 5 GROUP BY item_id)"""
+_SQL_ASK = f"'Context:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || '{prompt.CLOSING}'"
+
+
+@query(f"""WITH {_SQL_RERANKED}, {_SQL_BLOCKS}
+SELECT item_id, CASE WHEN n IS NULL THEN '{_NO_HIT}' ELSE 'echo:' || sha256({_SQL_ASK}) END AS answer, n AS n_citations FROM benchmark LEFT JOIN blocks USING (item_id)""")
 def qa_answers(spark: SparkSession, sf: str) -> DataFrame:
     return QAPipeline(_retriever(spark, sf)).answer(_questions(spark, sf)).select("item_id", "answer", F.size("citations").alias("n_citations"))
 
 
+def _follow_ups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Questions that follow conversations: item i is asked at the end of the i-th one, where there is one; and all messages."""
+    messages = load(spark, sf, "conversations")
+    ends = messages.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
+    return _questions(spark, sf).join(ends, F.col("item_id") == F.col("conv_id"), "left").withColumn("conv_id", F.col("item_id")), messages
+
+
+_SQL_TOLD = """told AS (SELECT conv_id AS item_id, string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) || chr(10) ORDER BY turn) FILTER (place <= 3) AS three,
+  max('Previous Q: ' || question || chr(10) || 'Previous A: ' || answer) FILTER (place = 1) AS one FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM pairs) GROUP BY conv_id)"""
+_SQL_REWRITTEN = """rewritten AS (SELECT item_id, b.text AS asked, one, CASE WHEN three IS NULL THEN b.text ELSE
+  substr(sha256('Conversation history:' || chr(10) || three || chr(10) || chr(10) || 'Follow-up question: ' || b.text || chr(10) || chr(10) || 'Standalone question:'), 1, 8) || ' ' || b.text END AS text FROM benchmark b LEFT JOIN told USING (item_id))"""
+
+
+def _sql_follow_ups() -> str:
+    """The reranked hits of rewritten questions, searched by words alone."""
+    words = _sql_bm25("0", 20).replace("FROM benchmark)", "FROM rewritten)")
+    return f"""{_SQL_PAIRS}, {_SQL_TOLD}, {_SQL_REWRITTEN}, {words}, {_SQL_INDEXED},
+asked AS (SELECT h.item_id, h.rank, i.text, i.source_path, i.page_number, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS qt, list_distinct(regexp_extract_all(lower(i.text), '[a-z0-9]+')) AS dt
+  FROM bm25 h JOIN indexed i USING (doc_id) JOIN rewritten b USING (item_id) WHERE h.rank <= 5),
+rescored AS (SELECT *, round(len(list_intersect(qt, dt))::DOUBLE / greatest(len(qt), 1)::DOUBLE, 6) AS rerank_score FROM asked),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM rescored), {_SQL_BLOCKS}"""
+
+
+@query(f"""WITH {_sql_follow_ups()}
+SELECT item_id, CASE WHEN n IS NULL THEN '{_NO_HIT}' ELSE 'echo:' || sha256(coalesce('{prompt.RECENT_HEAD}' || chr(10) || one || chr(10) || chr(10) || chr(10), '') || {_SQL_ASK.replace("|| text ||", "|| asked ||")}) END AS answer,
+  n AS n_citations, nullif(text, asked) AS standalone FROM rewritten LEFT JOIN blocks USING (item_id)""")
+def qa_follow_ups(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers to questions at the end of conversations; a digest of the condensing prompt stands for the model that rewrites them."""
+    asked, messages = _follow_ups(spark, sf)
+    rewrite = lambda p: F.concat(F.substring(F.sha2(p, 256), 1, 8), F.lit(" "), F.regexp_extract(p, r"(?s)Follow-up question: (.*)\n\nStandalone question:$", 1))
+    nowhere = _vectors(spark, sf).filter(F.lit(False))
+    pipeline = QAPipeline(HybridRetriever(_indexed(spark, sf), nowhere), condense=rewrite, embed=lambda text: F.lit(None))
+    found = pipeline.answer(asked, messages=messages)
+    return found.select("item_id", "answer", F.size("citations").alias("n_citations"), "standalone")
+
+
 @query(f"""WITH {_sql_bm25('source', 1)}
 SELECT item_id, source, doc_id AS best_doc, score FROM (SELECT item_id, source FROM benchmark, (SELECT DISTINCT source FROM documents)) LEFT JOIN (SELECT item_id, scope AS source, doc_id, score FROM bm25) USING (item_id, source)""")
 def compare_tenants(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,15 +339,13 @@ def chunk_page_asof(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.page_asof(positions, chunking.page_markers(marked))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-f AS (SELECT doc_id, coalesce(l[1], '') || chr(10) || '```' || coalesce(l[2], '') || '```' || coalesce(l[3], '') AS t, coalesce(l[2], '') AS inner_, coalesce(l[1], '') || chr(10) AS head, coalesce(l[3], '') AS tail FROM d),
-s AS (SELECT doc_id, 1 AS k, false AS is_fence, head AS text FROM f UNION ALL SELECT doc_id, 2, true, '```' || inner_ || '```' FROM f UNION ALL SELECT doc_id, 3, false, tail FROM f)
+@query("""WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS t, len(string_split(text, chr(10))) AS n FROM documents),
+s AS (SELECT doc_id, k, k % 2 = 0 AS is_fence, CASE WHEN k % 2 = 0 THEN '```' || t || '```' ELSE CASE WHEN k > 1 THEN chr(10) ELSE '' END || t || CASE WHEN k < n THEN chr(10) ELSE '' END END AS text FROM l)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k))::INT AS segment_no, is_fence, text FROM s WHERE regexp_matches(text, '\\S')""")
 def fence_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The second line of every text set in a fence between the first and the third."""
-    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    made = F.concat(line(0), F.lit("\n```"), line(1), F.lit("```"), line(2))
-    return chunking.fence_segments(_documents(spark, sf).select("doc_id", made.alias("text")))
+    """Every second line of every whole text set in a fence."""
+    fenced = F.transform(F.split("text", "\n"), lambda line, i: F.when(i % 2 == 1, F.concat(F.lit("```"), line, F.lit("```"))).otherwise(line))
+    return chunking.fence_segments(_documents(spark, sf).select("doc_id", F.array_join(fenced, "\n").alias("text")))
 
 
 @query("SELECT doc_id, sha256(text) AS file_sha256, sha256(text) || ':0' AS id FROM documents")
@@ -393,8 +435,6 @@ def chars_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- conversations ------------------------------------------------------------------------------------------
 
-_SQL_PAIRS = """said AS (SELECT *, lag(role) OVER w AS before, lag(text) OVER w AS question FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-pairs AS (SELECT conv_id, turn, question, text AS answer FROM said WHERE role = 'assistant' AND before = 'user')"""
 
 
 @query(f"WITH {_SQL_PAIRS} SELECT * FROM pairs")
