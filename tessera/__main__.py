@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None, workspace: Workspace | None = None) -> i
     elif args.command == "crawl":
         found = links.extract_links(spark.read.parquet(args.pages), args.prefix)
         start = spark.createDataFrame([(args.url.rstrip("/"),)], "url string")
-        for r in links.crawl_levels(start, found.select(F.regexp_replace("url", "/+$", "").alias("url"), "link")).orderBy("depth", "url").limit(args.max_pages).collect():
+        for r in links.crawl_levels(start, found.select(F.regexp_replace("url", "/+$", "").alias("url"), "link"), args.max_pages).orderBy("depth", "url").collect():
             print(r["depth"], r["url"])
     return 0
 

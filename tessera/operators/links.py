@@ -2,32 +2,64 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin, urlparse
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialize
-
-#: Fixed value: href of an anchor element.
-ANCHOR_HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)\""""
+from tessera.runtime import discard, materialize, scratch_path
+
+#: What holds no elements: comments, scripts, styles; and an anchor's start tag with its attributes, whose values may hold ">".
+NO_MARKUP = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
+ANCHOR = r"""(?is)<a(\s(?:[^>"']|"[^"]*"|'[^']*')*)>"""
+#: An attribute with its value, and the first href after any others: in double quotes, in single ones, or bare.
+_ATTRIBUTE = r"""(?:\s+[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)"""
+HREF = rf"""(?is)^{_ATTRIBUTE}*?\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))"""
+#: Named references that are decoded, the ampersand's last.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
+def decoded(text: Column) -> Column:
+    """Character references decoded: decimal and hexadecimal ones, and those of REFERENCES."""
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    for pattern, base in ((r"&#([0-9]{1,7});", 10), (r"&#[xX]([0-9a-fA-F]{1,6});", 16)):
+        whole = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        number = lambda m, p=pattern, b=base: F.conv(F.regexp_extract(m, p, 1), b, 10).cast("long")
+        real = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        text = F.aggregate(whole, text, lambda acc, m: F.when(real(number(m)), F.replace(acc, m, point(number(m)))).otherwise(acc))  # noqa: B023
+    for name, value in REFERENCES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments resolved."""
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, closed).otherwise(F.lit("")))
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """The absolute link without its fragment and trailing slashes; null where it cannot be parsed."""
-
-    @F.pandas_udf("string")
-    def join(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-        def one(b: str, h: str) -> str | None:
-            try:
-                return urljoin(b, h).split("#")[0].rstrip("/")
-            except ValueError:
-                return None
-
-        return pd.Series([one(b, h) for b, h in zip(bases, hrefs, strict=True)], dtype=object)
-
-    return join(base, href)
+    """The absolute link without its fragment and trailing slashes; null where the base is no hierarchical url or the host is malformed."""
+    href = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    bare = F.regexp_replace(href, r"(?s)#.*$", "")
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)[^/]*$", 1)
+    own = F.regexp_extract(bare, r"(?s)^([^?]*)", 1)
+    query = F.regexp_extract(bare, r"(?s)^[^?]*(\?.*)$", 1)
+    joined = F.concat(root, without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))), query)
+    link = (
+        F.when(bare == "", F.regexp_replace(base, r"(?s)#.*$", ""))
+        .when(bare.rlike(_SCHEME), bare)
+        .when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare))
+        .when(bare.startswith("?"), F.concat(root, path_of(base), bare))
+        .otherwise(joined)
+    )
+    return F.when((scheme != "") & ~host_of(link).rlike(r"^[^\]]*\[[^\]]*$"), F.regexp_replace(link, "/+$", ""))
 
 
 def host_of(url: Column) -> Column:
@@ -39,12 +71,17 @@ def path_of(url: Column) -> Column:
 
 
 def extract_links(pages: DataFrame, prefix: str = "", whole_segments: bool = False) -> DataFrame:
-    """(page_id, url, at, link): links of each page on its own host whose path begins with ``prefix``, repeats kept.
+    """(page_id, url, at, link): links of each page on its own host whose path begins with ``prefix``, repeats kept; ``at`` counts the page's links.
 
+    Anchors are read as an HTML parser reads them: attributes in any order and quoting, references decoded, nothing out of comments
+    and scripts. Pages without html or with a url that is none have no links.
     With ``whole_segments`` the prefix ``/docs`` does not admit ``/docs-old``.
     """
-    hrefs = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR_HREF), F.lit(1))).alias("at", "href"))
-    links = hrefs.withColumn("link", resolve(F.col("url"), F.col("href"))).filter(host_of(F.col("link")) == host_of(F.col("url")))
+    tags = F.regexp_extract_all(F.regexp_replace("html", NO_MARKUP, ""), F.lit(ANCHOR), F.lit(1))
+    href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)))
+    hrefs = F.transform(F.filter(tags, lambda t: t.rlike(HREF)), href)
+    found = pages.select("page_id", "url", F.posexplode(hrefs).alias("at", "href"))
+    links = found.withColumn("link", resolve(F.col("url"), decoded(F.col("href")))).filter(host_of(F.col("link")) == host_of(F.col("url")))
     if prefix:
         path = path_of(F.col("link"))
         fits = path.startswith(prefix)
@@ -67,18 +104,26 @@ def name_collisions(pages: DataFrame) -> DataFrame:
     return named.groupBy("filename").agg(F.count("*").alias("n_pages")).filter("n_pages > 1")
 
 
-def crawl_levels(starts: DataFrame, links: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(url, depth): breadth-first levels over (url, link) from ``starts`` (url); each url at its least depth.
+def crawl_levels(starts: DataFrame, links: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """(url, depth): breadth-first levels over (url, link) from ``starts`` (url); each url at its least depth, however deep.
 
-    Each level is what the last one links to and no earlier one holds; levels are written as they are made.
+    Each level is what the last one links to and no earlier one holds; levels are appended to one table as they are made. With ``max_pages``
+    the crawl ends after the level that reaches so many, and the first ones by (depth, url) are given.
     """
-    edges = links.select("url", "link").distinct()
-    front = materialize(starts.select("url").distinct().withColumn("depth", F.lit(0)), "level")
-    seen = front
-    for depth in range(1, max_depth + 1):
-        reached = front.join(edges, "url").select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
-        front = materialize(reached.withColumn("depth", F.lit(depth)), "level")
-        if front.isEmpty():
+    spark = starts.sparkSession
+    edges = materialize(links.select("url", "link").distinct(), "edges")
+    path, depth = scratch_path(spark, "levels"), 0
+    front = starts.select("url").filter(F.col("url").isNotNull()).distinct()
+    front.select("url", F.lit(0).alias("depth")).write.parquet(path)
+    while True:
+        seen = spark.read.schema("url string, depth int").parquet(path)
+        last = seen.filter(F.col("depth") == depth)
+        if last.isEmpty() or (max_pages is not None and seen.count() >= max_pages):
             break
-        seen = seen.union(front)
-    return seen
+        depth += 1
+        reached = last.join(edges, "url").select(F.col("link").alias("url")).filter(F.col("url").isNotNull()).distinct().join(seen.select("url"), "url", "left_anti")
+        # written aside first: the table is read while the level is made
+        level = materialize(reached.select("url", F.lit(depth).alias("depth")), "level")
+        level.write.mode("append").parquet(path)
+        discard(level)
+    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)

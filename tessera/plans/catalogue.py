@@ -633,11 +633,11 @@ def filename_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_SQL_LINKS}, edges AS (SELECT DISTINCT url, link FROM l),
-c AS (SELECT DISTINCT url, 0 AS depth FROM pages UNION SELECT link, depth + 1 FROM c JOIN edges USING (url) WHERE depth < 3)
+c AS (SELECT DISTINCT url, 0 AS depth FROM pages UNION SELECT link, depth + 1 FROM c JOIN edges USING (url) WHERE depth < 1000)
 SELECT url, min(depth)::INT AS depth FROM c GROUP BY url""")
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
     found = links.extract_links(load(spark, sf, "pages"))
-    return links.crawl_levels(load(spark, sf, "pages").select("url"), found.select("url", "link"), 3)
+    return links.crawl_levels(load(spark, sf, "pages").select("url"), found.select("url", "link"))
 
 
 # --- tenants ------------------------------------------------------------------------------------------------

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.pages import better_page, page_markdown
+from tessera.runtime import materialize
+
 PAGES = "path string, page int, text string, error string"
 
 
@@ -48,9 +51,55 @@ def extract(files: DataFrame, parse: Callable[[bytes], list[str]] = pypdf_pages)
     return files.select("path", "content").mapInPandas(run, PAGES)
 
 
+CHARS = "path string, page int, ord int, text string, size double, fontname string, top double, x0 double, error string"
+
+
+def pdfplumber_chars(content: bytes) -> list[list[dict]]:
+    """The characters of every page with size, fontname, top and x0."""
+    import pdfplumber
+
+    with pdfplumber.open(io.BytesIO(content)) as opened:
+        return [page.chars for page in opened.pages]
+
+
+def extract_chars(files: DataFrame, parse: Callable[[bytes], list[list[dict]]] = pdfplumber_chars) -> DataFrame:
+    """(path, page, ord, text, size, fontname, top, x0, error) of discovered files; a file that fails is one row with its error.
+
+    Batches follow pages, so a file's characters are never held twice.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = CHARS.replace(",", " ").split()[::2]
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    for page, chars in enumerate(parse(content), 1):
+                        rows = [(path, page, i, c["text"], float(c.get("size") or 0), c.get("fontname"), float(c.get("top") or 0), float(c.get("x0") or 0), None) for i, c in enumerate(chars)]
+                        yield pd.DataFrame(rows, columns=names)
+                except Exception as error:  # any parser's own errors
+                    yield pd.DataFrame([(path, *[None] * 7, f"{type(error).__name__}: {error}")], columns=names)
+
+    return files.select("path", "content").mapInPandas(run, CHARS)
+
+
 def best_pages(structured: DataFrame, plain: DataFrame) -> DataFrame:
-    """(path, page, text): of two extractions of the same files, the better text of each page."""
-    from tessera.operators.pages import better_page
+    """(path, page, text, error): each page of ``plain``, or the text that ``structured`` (path, page, text) has for it where that shows no less.
+
+    Files that the plain extraction could not read keep their error; pages that only the structured one has are left out.
+    """
+    other = structured.select("path", "page", F.col("text").alias("__structured"))
+    both = plain.join(other, ["path", "page"], "left")
+    return both.select("path", "page", F.when(F.col("__structured").isNotNull(), better_page(F.col("__structured"), F.col("text"))).otherwise(F.col("text")).alias("text"), "error")
+
 
-    both = structured.select("path", "page", F.col("text").alias("a")).join(plain.select("path", "page", F.col("text").alias("b")), ["path", "page"], "full_outer")
-    return both.select("path", "page", better_page(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))).alias("text"))
+def extract_best(files: DataFrame, parse: Callable[[bytes], list[str]] = pypdf_pages, parse_chars: Callable[[bytes], list[list[dict]]] | None = pdfplumber_chars) -> DataFrame:
+    """(path, page, text, error, extractor): both extractions, page by page; a file whose characters cannot be read keeps its plain text."""
+    plain = materialize(extract(files, parse), "plain")
+    if parse_chars is None:
+        return plain.withColumn("extractor", F.lit("plain"))
+    chars = materialize(extract_chars(files, parse_chars), "chars")
+    shown = page_markdown(chars.filter("error IS NULL").withColumnRenamed("path", "doc_id"))
+    structured = shown.select(F.col("doc_id").alias("path"), "page", F.col("markdown").alias("text"))
+    read = chars.filter("error IS NULL").select("path").distinct().withColumn("__chars", F.lit(True))
+    best = best_pages(structured, plain).join(read, "path", "left")
+    return best.withColumn("extractor", F.when(F.col("__chars"), "plain+chars").otherwise("plain")).drop("__chars")

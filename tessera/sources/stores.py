@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tessera.operators.manifest import STATUSES, latest
 from tessera.runtime import materialize
 from tessera.sources.vector_store import check_tenant
+from tessera.sources.versions import Versions
 
 MANIFEST = T.StructType([
     T.StructField("source_path", T.StringType()), T.StructField("file_sha256", T.StringType()), T.StructField("clean_path", T.StringType()),
@@ -66,6 +67,21 @@ def compact_manifest(spark: SparkSession, path: str) -> None:
     kept.write.mode("overwrite").json(path)
 
 
+CHECKPOINT = "path string, state string, updated_at string"
+
+
+def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """(path, state, updated_at) as last saved; empty where nothing was saved or the last save broke off before any was complete."""
+    found = Versions(spark, path).current()
+    return spark.read.schema(CHECKPOINT).json(f"{found}/states").filter(F.col("path").isNotNull() & F.col("state").isNotNull()) if found else spark.createDataFrame([], CHECKPOINT)
+
+
+def save_checkpoint(states: DataFrame, path: str) -> None:
+    """Save (path, state) with the time, as a new version."""
+    rows = states.select("path", "state", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("updated_at"))
+    Versions(states.sparkSession, path).write(lambda folder: rows.write.json(f"{folder}/states"))
+
+
 def write_clean(documents: DataFrame, path: str) -> None:
     """Markdown under its file's digest: (file_sha256, markdown), one partition folder a digest prefix."""
     documents.withColumn("prefix", F.substring("file_sha256", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)

@@ -1,4 +1,4 @@
-"""Chunks with vectors as a Parquet table, partitioned by tenant. A tenant must be named for every read and write."""
+"""Chunks with vectors as Parquet tables, one for each tenant in versions. A tenant must be named for every read and write."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.dense import predicate, search
-from tessera.runtime import materialize
+from tessera.sources.versions import Versions
 
 SCHEMA = (
     "id string, embedding array<float>, document string, source_path string, page_number int, chunk_index int, is_code boolean, "
@@ -44,24 +44,20 @@ class VectorStore:
         self.spark, self.path, self.company_id = spark, path.rstrip("/"), check_tenant(company_id)
 
     @property
-    def partition(self) -> str:
-        return f"{self.path}/company_id={self.company_id}"
-
-    def _exists(self) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.partition)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    def versions(self) -> Versions:
+        return Versions(self.spark, f"{self.path}/company_id={self.company_id}")
 
     def rows(self) -> DataFrame:
-        """This tenant's partition only; an empty table where nothing was written."""
-        if not self._exists():
+        """This tenant's last complete version only; an empty table where nothing was written."""
+        found = self.versions.current()
+        if found is None:
             return self.spark.createDataFrame([], SCHEMA)
         fields = SCHEMA.rsplit(",", 1)[0]
-        return self.spark.read.schema(fields).parquet(self.partition).withColumn("company_id", F.lit(self.company_id))
+        return self.spark.read.schema(fields).parquet(f"{found}/rows").withColumn("company_id", F.lit(self.company_id))
 
     def replace(self, rows: DataFrame) -> None:
-        """Make ``rows`` the tenant's table. Written aside first, since the new rows are read from the partition that they replace."""
-        kept = materialize(rows.drop("company_id"), "chunks")
-        kept.write.mode("overwrite").parquet(self.partition)
+        """Make ``rows``, which may be read from this table, its next version; one that breaks off leaves the table as it was."""
+        self.versions.write(lambda folder: rows.drop("company_id").write.parquet(f"{folder}/rows"))
 
     def upsert(self, new: DataFrame) -> None:
         if not new.isEmpty():
@@ -87,5 +83,4 @@ class VectorStore:
         return search(rows, questions, top_k).withColumn("distance", 1 - F.col("score"))
 
     def wipe(self) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.partition)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.versions.wipe()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cache, conversation, history, links, manifest
 from tessera.sources import config, pdf, stores
 from tessera.sources.vector_store import VectorStore
+from tessera.sources.versions import Versions
 
 
 def test_vector_store(spark, tmp_path):
@@ -124,6 +125,68 @@ def test_links(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "url string, link string")
     found = links.crawl_levels(spark.createDataFrame([("a",)], "url string"), edges)
     assert {r["url"]: r["depth"] for r in found.collect()} == {"a": 0, "b": 1, "c": 2}
+    chain = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}") for i in range(16)], "url string, link string")
+    start = spark.createDataFrame([("p00",)], "url string")
+    assert {r["url"]: r["depth"] for r in links.crawl_levels(start, chain).collect()} == {f"p{i:02}": i for i in range(17)}
+    assert sorted(r["url"] for r in links.crawl_levels(start, chain, 5).collect()) == [f"p{i:02}" for i in range(5)]
+
+
+def test_links_as_a_parser_finds_them(spark):
+    base = "http://h.org/d/e?q=1"
+    html = """<a href='/single'>1</a><a href=/bare>2</a><a title="x > y href='no'" class=c href="/q?a=1&amp;b=2">3</a><!-- <a href="/hidden"> -->
+        <script>x = '<a href="/script">'</script><a data-href="/data">4</a><A HREF = "../up/./x">5</A><a href="">6</a><a href="?r=2">7</a><a href="&#47;num&#x2F;b&lt;">8</a><a
+        href="/line#f">9</a><a href="../../../..">10</a><a href=" /space ">11</a><a name="n">12</a><a href="HTTP://h.org/up">13</a><a href="//h.org/rel/">14</a>"""
+    rows = spark.createDataFrame([(1, base, html), (2, "no url", "<a href='/x'>")], "page_id long, url string, html string")
+    got = links.extract_links(rows).orderBy("page_id", "at").collect()
+    want = ["/single", "/bare", "/q?a=1&b=2", "/up/x", "/d/e?q=1", "/d/e?r=2", "/num/b<", "/line", "", "/space"]
+    assert [r["link"] for r in got] == [f"http://h.org{x}" for x in want] + ["HTTP://h.org/up", "http://h.org/rel"]
+
+
+def test_a_version_that_breaks_off(spark, tmp_path):
+    kept = Versions(spark, str(tmp_path / "t"))
+    assert kept.current() is None
+    kept.write(lambda folder: spark.range(1).write.parquet(f"{folder}/rows"))
+
+    def broken(folder):
+        spark.range(2).write.parquet(f"{folder}/rows")
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        kept.write(broken)
+    assert kept.current().endswith("v-1") and spark.read.parquet(f"{kept.current()}/rows").count() == 1
+    for n in (3, 4, 5):
+        kept.write(lambda folder, n=n: spark.range(n).write.parquet(f"{folder}/rows"))
+    assert kept.current().endswith("v-5") and sorted(x.name for x in (tmp_path / "t").iterdir()) == ["v-4", "v-5"]
+
+
+def test_checkpoints_are_saved(spark, tmp_path):
+    path = str(tmp_path / "c")
+    assert stores.load_checkpoint(spark, path).count() == 0
+    stores.save_checkpoint(spark.createDataFrame([("a", "pending"), ("b", "completed")], "path string, state string"), path)
+    state = stores.load_checkpoint(spark, path)
+    stores.save_checkpoint(manifest.mark(state.select("path", "state"), spark.createDataFrame([("a", "failed")], "path string, state string")), path)
+    assert {r["path"]: r["state"] for r in stores.load_checkpoint(spark, path).collect()} == {"a": "failed", "b": "completed"}
+
+
+def test_the_better_text_of_each_page(spark, tmp_path):
+    for name in ("a.pdf", "b.pdf", "c.pdf"):
+        (tmp_path / name).write_bytes(name.encode())
+    files = stores.discover(spark, [(str(tmp_path), "*.pdf")])
+
+    def parse(content):
+        if content == b"c.pdf":
+            raise ValueError("broken")
+        return ["Title body", "a longer plain text"]
+
+    def chars(content):
+        if content == b"b.pdf":
+            raise ValueError("no chars")
+        place = lambda text, size, top: [{"text": c, "size": size, "fontname": "Sans", "top": top, "x0": float(i)} for i, c in enumerate(text)]
+        return [place("Title", 20, 1) + place("body body", 10, 2), place("short", 10, 1)]
+
+    got = {(r["path"].rsplit("/", 1)[1], r["page"]): (r["text"], r["error"], r["extractor"]) for r in pdf.extract_best(files, parse, chars).collect()}
+    assert got["a.pdf", 1] == ("## Title\nbody body", None, "plain+chars") and got["a.pdf", 2][0] == "a longer plain text"
+    assert got["b.pdf", 1] == ("Title body", None, "plain") and got["c.pdf", None][1] == "ValueError: broken"
 
 
 def test_cache(spark):
