@@ -3,7 +3,8 @@
 A word (pre-token) is merged with a segment tree over the ranks of its adjacent pairs: the root holds the
 leftmost pair of lowest rank, a merge changes three leaves, and each change climbs to the root in logarithmic
 time, until the root holds no mergeable pair. All words of a batch that were not seen before are merged at
-once: trees of equal width lie in one array, and each step merges at the root of every unfinished tree.
+once: trees of equal width lie in one array, and each step merges at the root of every unfinished tree. A word of
+many bytes, which would be the only unfinished one for most of its steps, has a tree in plain lists instead.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _NONE = np.int64(1) << 62
 CACHE_WORDS = 300_000
 #: Cells of the trees that are merged at once.
 _TREE_CELLS = 1 << 19
+#: Bytes from which a word is merged by itself.
+_LONG_WORD = 512
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,6 +57,7 @@ class Vocabulary:
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.rank_of = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
         found = sorted(self.special, key=len, reverse=True)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
 
@@ -106,6 +110,49 @@ def merge_trees(symbols: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return symbols
 
 
+def merge_word(symbols: list[int], vocabulary: Vocabulary) -> list[int]:
+    """Merge one word of any length; a step costs the levels of the tree that it changes."""
+    n = len(symbols)
+    width = max(2, 1 << (n - 1).bit_length())
+    bits, mask, none = width.bit_length() - 1, width - 1, int(_NONE)
+    rank_of, merged = vocabulary.rank_of, vocabulary.merged.tolist()
+    symbols = [*symbols, *[-1] * (width + 1 - n)]  # the last cell stands beyond the end
+    following, preceding = [*range(1, n), *[width] * (width + 2 - n)], list(range(-1, width))
+    tree = [none] * (2 * width)
+
+    def pair(at: int, after: int) -> int:
+        rank = rank_of.get(symbols[at] << 20 | symbols[after], -1) if after < width else -1
+        return none if rank < 0 else rank << bits | at
+
+    for i in range(n - 1):
+        tree[width + i] = pair(i, i + 1)
+    for node in range(width - 1, 0, -1):
+        tree[node] = min(tree[2 * node], tree[2 * node + 1])
+    while (root := tree[1]) < none:
+        at = root & mask
+        gone, before = following[at], preceding[at]
+        after = following[gone]
+        symbols[at], symbols[gone] = merged[root >> bits], -1
+        following[at] = after
+        if after < width:
+            preceding[after] = at
+        changed = [(at, pair(at, after)), (gone, none)]
+        if before >= 0:
+            changed.append((before, pair(before, at)))
+        for leaf, value in changed:
+            node = width + leaf
+            tree[node] = value
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    break
+                tree[node] = least
+                node >>= 1
+    return [x for x in symbols if x >= 0]
+
+
 class Coder:
     """Encoder and decoder with a bounded table of words already merged: word -> (number of ids, ids joined by commas)."""
 
@@ -117,6 +164,10 @@ class Coder:
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             raw = w.encode("utf-8", "surrogatepass")
+            if len(raw) >= _LONG_WORD:
+                ids = merge_word(self.vocabulary.byte_ids[np.frombuffer(raw, np.uint8)].tolist(), self.vocabulary)
+                self.known[w] = (len(ids), ",".join(map(str, ids)))
+                continue
             by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
         for width, entries in by_width.items():
             step = max(1, _TREE_CELLS // width)
@@ -188,10 +239,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, vocabulary: str | None = None, text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Replace ``text`` by n_tokens, ids (array of int), decoded (string); ``with_...`` leaves out the last two.
 
-    ``vocabulary`` is a path that every executor can read. Null and empty texts have no tokens and decode to an
+    ``vocabulary`` is a path that every executor can read; without one, each finds the public file in its own installation. Null and empty texts have no tokens and decode to an
     empty text. Words of any length are merged whole. Repeated rows give repeated results; extra columns
     pass through; those that bear a new name are replaced.
     """
@@ -200,7 +251,7 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", with_ids: b
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {t}" for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary)
+        c = coder(vocabulary or default_vocabulary())
         for b in slices(batches, text):
             found = c.encode(b.column(text).to_pylist())
             ids = [list(map(int, s.split(","))) if s else [] for _, s in found]
@@ -216,12 +267,15 @@ _REPORT = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("de
 
 
 def encode_report(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them. Decodes from the ids, word by word."""
-    path = vocabulary or default_vocabulary()
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, a row for every row. Decodes from the ids, word by word.
+
+    Null and empty texts have no tokens and the digests of nothing. Texts and words of any length are encoded whole; equal
+    texts, repeated rows among them, give equal rows. An empty table gives none.
+    """
     narrow = documents.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
+        c = coder(vocabulary or default_vocabulary())
         table = {str(i): b for i, b in c.vocabulary.bytes_of.items()}
         for b in slices(batches, "text"):
             rows = []
@@ -236,13 +290,16 @@ def encode_report(documents: DataFrame, vocabulary: str | None = None) -> DataFr
 
 
 def encode_corpus(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every row, and whether the ids decode to its text."""
-    path = vocabulary or default_vocabulary()
+    """doc_id, lang, source, n_tokens, ids of every row, and whether the ids decode to its text (null: to an empty one).
+
+    Repeated rows, rows without doc_id and texts of any length are encoded each by itself; other columns are left out. An empty
+    table gives no rows.
+    """
     narrow = documents.select("doc_id", "lang", "source", "text")
     names = ["doc_id", "lang", "source", "n_tokens", "ids", "decodes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
+        c = coder(vocabulary or default_vocabulary())
         for b in slices(batches, "text", 1 << 21):
             texts = b.column("text").to_pylist()
             found = c.encode(texts)

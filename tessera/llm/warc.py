@@ -13,6 +13,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,22 +115,54 @@ def header_field(header: Column, name: str) -> Column:
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Write the archive, read it back, and tell of each record what its header and its payload say."""
+    """Write the archive, rebuild every record from it, and tell what the record's own bytes say.
+
+    page_id, record_type, refers_to come from the record's header, the payload's size and digest from its bytes, of a revisit those of
+    the payload that it refers to. ``digest_agrees``: the declared digest and length are those of the bytes. A row for every row of
+    ``pages``, repeated ones and such without page_id too; null html counts as empty, an empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "archive")
     write_archive(pages.select("page_id", "url", "html"), path)
-    facts = payloads(spark, path).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
-    records = spark.read.parquet(f"{path}/headers").join(facts, "address")
     kind = pages.schema["page_id"].dataType
-    page = lambda name: F.nullif(F.regexp_extract(header_field(F.col("header"), name), r"<urn:page:(.*)>", 1), F.lit("null")).cast(kind)
-    return records.select(
-        page("WARC-Record-ID").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
-        header_field(F.col("header"), "WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"),
-        (header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))).alias("digest_agrees"),
-    )
+    page = lambda name: F.nullif(F.regexp_extract(header_field(F.col("head"), name), r"<urn:page:(.*)>", 1), F.lit("null")).cast(kind)
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    records = original_records(spark, path).select("record", "payload", head.alias("head"))
+    records = records.withColumn("block_at", F.octet_length("head") + 5).withColumn("length", F.octet_length("record") - F.col("block_at") - 3)
+    type_ = header_field(F.col("head"), "WARC-Type")
+    own = F.expr(f"substring(record, block_at + {len(HTTP_HEAD)}, length - {len(HTTP_HEAD)})")
+    records = records.select("head", "length", type_.alias("record_type"), F.when(type_ == "response", own).otherwise(F.col("payload")).alias("body"))
+    digest = base32_of_hex(F.sha1("body"))
+    agrees = (header_field(F.col("head"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (header_field(F.col("head"), "Content-Length") == F.col("length").cast("string"))
+    told = records.select("head", "length", "record_type", F.octet_length("body").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
+    return told.select(page("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("WARC-Refers-To").alias("refers_to"), agrees.alias("digest_agrees"))
+
+
+def write_files(records: DataFrame, path: str) -> DataFrame:
+    """Write records (page_id, record) as .warc.gz files below ``path``, one for each partition; (file, n_records, n_bytes) of each.
+
+    ``path`` is a folder that all executors reach, as a path or a uri. A file is written under the name of its attempt and then
+    renamed, so that of several attempts at a partition one counts. A partition without records has no file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, n, size = TaskContext.get(), 0, 0
+        system, folder = (fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path))
+        name = f"part-{context.partitionId():05d}.warc.gz"
+        aside = f"{folder}/_{name}-{context.taskAttemptId()}"
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(aside, compression=None) as out:
+            for b in batches:
+                for record in b.column("record").to_pylist():
+                    size += out.write(gzip.compress(record, mtime=0))
+                    n += 1
+        if n:
+            system.move(aside, f"{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": [n], "n_bytes": [size]})
+        else:
+            system.delete_file(aside)
+
+    return materialize(records.select("record").mapInArrow(run, "file string, n_records long, n_bytes long"), "files")
 
 
 def compressed(records: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -39,6 +40,16 @@ def test_bpe_long_words_and_cache(monkeypatch):
     _check([f"word{i} another{i}" for i in range(50)])
 
 
+def test_bpe_of_a_word_of_a_megabyte():
+    """In linear-logarithmic time, like the library; words around the length from which a word is merged by itself too."""
+    rng = random.Random(15)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    _check(["".join(rng.choices(base64, k=n)) for n in (510, 511, 512, 513, 1023, 1024, 1025, 20_000)])
+    begin = time.process_time()
+    (n, ids), = CODER.encode(["".join(rng.choices(base64, k=1_000_000))])
+    assert n == ids.count(",") + 1 and time.process_time() - begin < 60
+
+
 def test_bpe_query(spark, small):
     texts = {r["doc_id"]: r["text"] for r in load(spark, small, "documents").collect()}
     for r in llm.queries()["op8_bpe_round_trip"](spark, small).collect():
@@ -104,6 +115,17 @@ def test_archive_round_trip(spark, tmp_path):
     assert list(warc.split_records(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))) == []
 
 
+def test_warc_files(spark, tmp_path):
+    """Every record goes to a file once, byte for byte, and comes back from it."""
+    pages = spark.createDataFrame([(i, f"http://h/{i % 7}", f"body {i % 5}") for i in range(40)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    records = warc.original_records(spark, str(tmp_path / "a")).repartition(3)
+    files = warc.write_files(records, str(tmp_path / "w")).collect()
+    assert sum(r["n_records"] for r in files) == 40 and {r["file"] for r in files} == {p.name for p in (tmp_path / "w").iterdir() if p.name.endswith(".gz")}
+    again = sorted(bytes(r["header"] + r["block"] + b"\r\n\r\n") for r in warc.read_warc(spark, str(tmp_path / "w")).collect())
+    assert again == sorted(bytes(r["record"]) for r in records.collect())
+
+
 def test_damaged_payloads_are_found(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "a"))
