@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -9,19 +10,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import chunk_id, hash_embedding, query_text
-from tessera.operators import chunking, manifest, pages
+from tessera.operators import bm25, chunking, history, manifest, pages
+from tessera.operators.cache import AnswerCache
 from tessera.plans.retrieval import HybridRetriever, QAPipeline
-from tessera.runtime import materialize
+from tessera.runtime import materialize, tenant_log
 from tessera.sources import pdf, stores
 from tessera.sources.config import TenantConfig
 from tessera.sources.vector_store import VectorStore, check_tenant
+from tessera.sources.versions import Versions
+
+log = logging.getLogger(__name__)
 
 
 class Workspace:
-    """``embed`` makes a vector Column of a text Column; ``parse`` makes page texts of a file's bytes."""
+    """``embed`` makes a vector Column of a text Column; ``parse`` makes page texts of a file's bytes, ``parse_chars`` the characters of
+    its pages, of which each page's better text is taken (None: plain texts only)."""
 
-    def __init__(self, spark: SparkSession, root: str, parse: Callable[[bytes], list[str]] = pdf.pypdf_pages, embed: Callable[[Column], Column] = hash_embedding):
-        self.spark, self.root, self.parse, self.embed = spark, root.rstrip("/"), parse, embed
+    def __init__(
+        self, spark: SparkSession, root: str, parse: Callable[[bytes], list[str]] = pdf.pypdf_pages, embed: Callable[[Column], Column] = hash_embedding,
+        parse_chars: Callable[[bytes], list[list[dict]]] | None = pdf.pdfplumber_chars,
+    ):
+        self.spark, self.root, self.parse, self.embed, self.parse_chars = spark, root.rstrip("/"), parse, embed, parse_chars
 
     def _path(self, company_id: str, name: str) -> str:
         return f"{self.root}/companies/{check_tenant(company_id)}/{name}"
@@ -80,16 +89,39 @@ class Workspace:
 
     # --- ingestion
 
+    def _chunks(self, company_id: str) -> DataFrame:
+        return self.store(company_id).rows().select(F.col("id").alias("doc_id"), F.col("document").alias("text"))
+
+    def index(self, company_id: str) -> bm25.Index:
+        """The tenant's stored BM25 index; made anew where it is not of the store's present version."""
+        kept = Versions(self.spark, f"{self.root}/bm25/company_id={check_tenant(company_id)}")
+        now, found = self.store(company_id).versions.current() or "none", kept.current()
+        if found is None or self.spark.read.text(f"{found}/of").first()["value"] != now:
+            made = bm25.Index.of(self._chunks(company_id))
+
+            def fill(folder: str) -> None:
+                made.write(folder)
+                self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.text(f"{folder}/of")
+
+            found = kept.write(fill)
+            log.info("index written", extra={"chunks": now})
+        return bm25.Index.read(self.spark, found)
+
     def ingest(self, config: TenantConfig) -> DataFrame:
         """Extract, chunk, embed and index every file that is new or changed; drop chunks of files that changed or went. Returns the run's summary."""
+        with tenant_log(self.spark, config.company_id, "ingest"):
+            return self._ingest(config)
+
+    def _ingest(self, config: TenantConfig) -> DataFrame:
         tenant, spark = config.company_id, self.spark
         stores.get_company(self.registry(), tenant)
         files = stores.discover(spark, [(s.path, s.pattern) for s in config.sources if s.type == "pdf"])
         known = materialize(self.manifest(tenant), "manifest")
         listed = materialize(stores.file_digests(files).distinct(), "files")
         todo = materialize(manifest.needs_processing(listed, known, self.clean(tenant)), "todo")
-        read = pdf.extract(files.join(todo.select(F.col("source_path").alias("path")), "path", "left_semi").dropDuplicates(["path"]), self.parse)
-        read = materialize(read.select(F.col("path").alias("doc_id"), "page", "text", "error"), "pages")
+        wanted = files.join(todo.select(F.col("source_path").alias("path")), "path", "left_semi").dropDuplicates(["path"])
+        read = pdf.extract_best(wanted, self.parse, self.parse_chars)
+        read = materialize(read.select(F.col("path").alias("doc_id"), "page", "text", "error", "extractor"), "pages")
         flagged = pages.page_flags(read.filter("error IS NULL"))
         scanned = pages.scanned_documents(flagged)
         good = scanned.filter(~F.col("is_scanned")).select("doc_id")
@@ -111,18 +143,20 @@ class Workspace:
         store.upsert(made)
         entries = self._entries(tenant, todo, read, scanned, made)
         stores.append_manifest(stores.next_seq(known, entries), self._path(tenant, "manifest"))
+        self.index(tenant)
         self._save(stores.update_stats(self.registry(), manifest.tenant_stats(self.manifest(tenant)), datetime.now(UTC).isoformat()))
         return manifest.ingest_summary(entries)
 
     def _entries(self, tenant: str, todo: DataFrame, read: DataFrame, scanned: DataFrame, chunks: DataFrame) -> DataFrame:
         errors = read.filter("error IS NOT NULL").groupBy(F.col("doc_id").alias("source_path")).agg(F.first("error").alias("error"))
+        used = read.groupBy(F.col("doc_id").alias("source_path")).agg(F.max("extractor").alias("extractor_used"))
         counts = chunks.groupBy("source_path").agg(F.count("*").cast("int").alias("chunk_count"))
-        joined = todo.join(errors, "source_path", "left").join(scanned.withColumnRenamed("doc_id", "source_path"), "source_path", "left").join(counts, "source_path", "left")
+        joined = todo.join(errors, "source_path", "left").join(scanned.withColumnRenamed("doc_id", "source_path"), "source_path", "left").join(counts, "source_path", "left").join(used, "source_path", "left")
         status = F.when(F.col("error").isNotNull(), "error").when(F.col("is_scanned"), "skipped_scanned").otherwise("ok")
         clean = F.when(status == "ok", F.concat(F.lit("clean/"), "current_sha256", F.lit(".md")))
         return materialize(joined.select(
             "source_path", F.col("current_sha256").alias("file_sha256"), clean.alias("clean_path"), F.lit(tenant).alias("company_id"), status.alias("status"), "error",
-            F.col("page_count").cast("int").alias("page_count"), F.when(status == "ok", F.coalesce("chunk_count", F.lit(0))).alias("chunk_count"), F.lit("pages").alias("extractor_used"),
+            F.col("page_count").cast("int").alias("page_count"), F.when(status == "ok", F.coalesce("chunk_count", F.lit(0))).alias("chunk_count"), "extractor_used",
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("processed_at"),
         ), "entries")
 
@@ -132,13 +166,40 @@ class Workspace:
         rows = self.store(config.company_id).rows()
         documents = rows.select(F.col("id").alias("doc_id"), F.col("document").alias("text"), "source_path", "page_number", "is_code")
         r = config.retrieval
-        retriever = HybridRetriever(documents, rows.select(F.col("id").alias("doc_id"), "embedding", "source_path", "page_number", "is_code"), r.top_k, r.top_k, r.rerank_top_k, r.rrf_k, r.use_bm25)
-        return QAPipeline(retriever, **({} if r.use_reranker else {"score": None}), rerank_top_k=r.rerank_top_k, max_score_gap=r.max_score_gap, **kw)
+        retriever = HybridRetriever(documents, rows.select(F.col("id").alias("doc_id"), "embedding", "source_path", "page_number", "is_code"), r.top_k, r.top_k, r.rerank_top_k, r.rrf_k, r.use_bm25, self.index(config.company_id) if r.use_bm25 else None)
+        return QAPipeline(retriever, **({} if r.use_reranker else {"score": None}), rerank_top_k=r.rerank_top_k, max_score_gap=r.max_score_gap, **{"embed": self.embed, **kw})
 
     def questions(self, config: TenantConfig, asked: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
         return rows.withColumn("embedding", self.embed(query_text(F.col("text"), config.embedding.model)))
 
+    def ask(self, config: TenantConfig, questions: DataFrame, messages: DataFrame | None = None, cache: AnswerCache | None = None, **kw) -> DataFrame:
+        """Answers to questions (item_id, text, embedding); with ``messages`` (see QAPipeline.answer) follow-ups are understood.
+
+        ``cache`` serves and keeps answers to questions without history; those with one depend on their conversation and pass it by.
+        """
+        plan = self.pipeline(config, **kw)
+        with tenant_log(self.spark, config.company_id, "ask"):
+            if cache is None:
+                return plan.answer(questions, messages=messages)
+            return cache.answered(config.company_id, questions, messages, lambda asked, told: plan.answer(asked, messages=told))
+
+    def compare(self, configs: list[TenantConfig], asked: list[str], log_to: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """(company_id, item_id, answer, citations) of each tenant's own retrieval; and ``log_to``, a history, with the answers added.
+
+        A plan for each named tenant; there are tens of them.
+        """
+        found = None
+        for config in configs:
+            one = self.ask(config, self.questions(config, asked)).select(F.lit(config.company_id).alias("company_id"), "item_id", "answer", "citations")
+            found = one if found is None else found.unionByName(one)
+        found = materialize(found, "compared")
+        if log_to is None:
+            return found, None
+        texts = self.spark.createDataFrame(list(enumerate(asked)), "item_id long, question string")
+        said = found.join(texts, "item_id").select("company_id", "question", "answer", F.transform("citations", lambda c: F.struct(c["marker"].alias("marker"), c["source_path"].alias("source"))).alias("citations"), F.current_timestamp().alias("created_at"))
+        return found, history.append(log_to, said)
+
     def audit(self, config: TenantConfig) -> DataFrame:
         files = stores.discover(self.spark, [(s.path, s.pattern) for s in config.sources])
         return manifest.audit(self.manifest(config.company_id), stores.file_digests(files).distinct(), self.clean(config.company_id))
@@ -147,4 +208,5 @@ class Workspace:
         """Forget everything but the raw files."""
         for name in ("clean", "manifest"):
             self._remove(self._path(company_id, name))
+        self._remove(f"{self.root}/bm25/company_id={check_tenant(company_id)}")
         self.store(company_id).wipe()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -99,6 +101,41 @@ def released_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+_TENANT: ContextVar[str] = ContextVar("tenant", default="-")
+
+
+class TenantFilter(logging.Filter):
+    """Gives every record the tenant for whom the present work is done, as ``tenant``."""
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        record.tenant = _TENANT.get()
+        return True
+
+
+def configure_logging(level: int = logging.INFO) -> None:
+    """One handler on the package's logger; calling it again changes the level only."""
+    logger = logging.getLogger("tessera")
+    logger.setLevel(level)
+    if not any(isinstance(f, TenantFilter) for h in logger.handlers for f in h.filters):
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s [%(tenant)s] %(name)s: %(message)s"))
+        handler.addFilter(TenantFilter())
+        logger.addHandler(handler)
+
+
+@contextmanager
+def tenant_log(spark: SparkSession, tenant: str, what: str) -> Iterator[None]:
+    """Binds log records and the description of Spark jobs in here to a tenant."""
+    context = spark.sparkContext
+    before, token = context.getLocalProperty("spark.job.description"), _TENANT.set(tenant)
+    context.setLocalProperty("spark.job.description", f"{tenant}: {what}")
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.job.description", before)
+        _TENANT.reset(token)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,10 +1,13 @@
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import models
 from tessera.operators import bm25, dense, fusion, prompt
 from tessera.plans.retrieval import HybridRetriever, QAPipeline
 
@@ -124,3 +127,66 @@ def test_prompt_text(spark):
     row = spark.range(1).select(prompt.prompt(F.lit("C"), F.lit("Q?"), F.lit(None).cast("string")).alias("bare"), prompt.prompt(F.lit("C"), F.lit("Q?"), F.lit("R")).alias("full")).first()
     assert row["bare"] == f"Context:\n\nC\n\nQuestion: Q?\n\n{prompt.CLOSING}"
     assert row["full"].startswith(prompt.RECENT_HEAD + "\nR\n\n\nContext:")
+
+
+def test_bm25_in_small_blocks(spark, monkeypatch):
+    """Blocks, pruning and sub-batches of one give what one block gives, over string ids too."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(f"d{i:03}", rng.choice("ab"), " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id string, company_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(9)], "item_id long, text string")
+    whole = sorted(map(str, bm25.search(df, asked, 4, tenant="company_id").collect()))
+    monkeypatch.setattr(bm25, "BLOCK", 2)
+    monkeypatch.setattr(bm25, "_PAIRS", 1)
+    monkeypatch.setattr(bm25, "_KEPT", 1)
+    assert sorted(map(str, bm25.search(df, asked, 4, tenant="company_id").collect())) == whole
+    for who in "ab":
+        mine = [(d, t) for d, c, t in docs if c == who]
+        got = bm25.search(df, asked, 4, tenant="company_id").filter(F.col("company_id") == who)
+        for r in asked.collect():
+            assert [(x["doc_id"], x["score"]) for x in got.filter(F.col("item_id") == r["item_id"]).orderBy("rank").collect()] == _brute_bm25(mine, r["text"], 4)
+
+
+def test_questions_without_a_vector_are_searched_by_words(spark):
+    documents = spark.createDataFrame([(1, "deploy the service", "a.pdf", 1), (2, "rollback now", "b.pdf", 2), (3, "other words here", "c.pdf", 3)], "doc_id long, text string, source_path string, page_number int")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "doc_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, "deploy", [1.0, 0.0]), (2, "rollback", None)], "item_id long, text string, embedding array<float>")
+    found = {(r["item_id"], r["doc_id"]): (r["dense_rank"], r["bm25_rank"]) for r in HybridRetriever(documents, vectors).search(asked).collect()}
+    assert found == {(1, 1): (1, 1), (2, 2): (None, 1)}
+
+
+def test_models_are_called_in_batches(spark):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"text {i}", f"q{i}") for i in range(150)], "i long, text string, question string").repartition(2)
+
+    def load_encoder():
+        sizes = []
+
+        def encode(texts):
+            assert len(texts) <= models.BATCH
+            sizes.append(len(texts))
+            return [[float(len(t)), float(len(sizes))] for t in texts]
+
+        return encode
+
+    embed = models.encoder("test-encoder", load_encoder)
+    score = models.pair_scorer("test-scorer", lambda: lambda qs, ts: [len(q) + len(t) for q, t in zip(qs, ts, strict=True)])
+    generate = models.generator("test-generator", lambda: lambda prompts: [p.upper() for p in prompts])
+    got = {r["i"]: r for r in rows.select("i", embed("text").alias("v"), score("question", "text").alias("s"), generate("text").alias("g")).collect()}
+    assert got[3]["v"] is None and got[3]["s"] is None and got[3]["g"] is None
+    assert got[12]["v"][0] == 7.0 and got[12]["s"] == 10.0 and got[12]["g"] == "TEXT 12"
+
+
+def test_history_of_a_question(spark):
+    """Only answered questions before the question's turn count, the last ones in order; others are asked as they stand."""
+    said = [(1, 2 * i, "user", f"q{i}") for i in range(6)] + [(1, 2 * i + 1, "assistant", f"a{i}") for i in range(6)]
+    messages = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    asked = spark.createDataFrame([(1, "x", 1, 9, [1.0]), (2, "y", 1, 0, [1.0]), (3, "z", 2, 5, [1.0]), (4, "w", None, None, [1.0])], "item_id long, text string, conv_id long, turn long, embedding array<float>")
+    documents = spark.createDataFrame([], "doc_id long, text string, source_path string, page_number int")
+    plan = QAPipeline(HybridRetriever(documents, documents.select("doc_id", F.lit(None).cast("array<float>").alias("embedding"))), condense=lambda p: F.concat(F.lit("S "), F.sha2(p, 256)), embed=lambda t: F.array(F.lit(2.0)))
+    got = {r["item_id"]: r for r in plan.with_history(asked, messages).collect()}
+    prompt_ = "Conversation history:\nQ: q1\nA: a1\n\nQ: q2\nA: a2\n\nQ: q3\nA: a3\n\nFollow-up question: x\n\nStandalone question:"
+    assert got[1]["text"] == "S " + hashlib.sha256(prompt_.encode()).hexdigest() and got[1]["recent"] == "Previous Q: q3\nPrevious A: a3" and got[1]["embedding"] == [2.0]
+    assert all(got[i]["text"] == got[i]["asked"] and got[i]["recent"] is None and got[i]["embedding"] == [1.0] for i in (2, 3, 4))
+    answered = {r["item_id"]: r for r in plan.answer(asked, messages=messages).collect()}
+    assert answered[1]["standalone"] == got[1]["text"] and answered[2]["standalone"] is None and answered[1]["answer"] == prompt.NO_HIT_ANSWER

@@ -1,8 +1,16 @@
+import datetime
+import logging
+
 import pytest
+from pyspark.sql import functions as F
 
+from tessera import runtime
 from tessera.__main__ import main
+from tessera.operators import bm25, prompt
+from tessera.operators.cache import AnswerCache
 from tessera.plans.workspace import Workspace
 from tessera.sources.config import tenant_config
+from tessera.sources.versions import Versions
 
 
 GUIDE = "Deployment Guide\nThis document explains how to deploy the service to production.\fRollback Procedure\nIf deployment fails, run the rollback script immediately and call the team."
@@ -60,3 +68,64 @@ def test_ingest_ask_change_and_forget(place, capsys):
     assert w.manifest("acme").count() == 0 and (raw / "blank.pdf").exists()
     w.remove("acme", delete_data=True)
     assert not raw.exists() and [r["company_id"] for r in w.registry().collect()] == ["beta"]
+
+
+def _ready(w, raw, config):
+    (raw / "guide.pdf").write_bytes(GUIDE.encode())
+    w.ingest(config()).collect()
+
+
+def test_the_stored_index_follows_the_store(place):
+    w, raw, config, _ = place
+    _ready(w, raw, config)
+    kept = Versions(w.spark, f"{w.root}/bm25/company_id=acme")
+    first = kept.current()
+    assert first.endswith("v-1") and w.pipeline(config()).retriever.index is not None and kept.current() == first
+    asked = w.questions(config(), ["rollback script", "kangaroos"])
+    by_words = lambda: {(r["item_id"], r["doc_id"]) for r in bm25.search_index(w.index("acme"), asked).collect()}
+    assert {i for i, _ in by_words()} == {0}
+    (raw / "more.pdf").write_bytes(b"An entirely new text on kangaroos, which is long enough to be a chunk.")
+    w.ingest(config()).collect()
+    assert kept.current().endswith("v-2") and {i for i, _ in by_words()} == {0, 1}
+
+
+def test_follow_ups_pass_the_cache_by(place):
+    w, raw, config, _ = place
+    _ready(w, raw, config)
+    spark, calls = w.spark, []
+    cache = AnswerCache(spark, f"{w.root}/answers", ttl_seconds=100, most=2)
+    messages = spark.createDataFrame([(1, 0, "user", "how do I deploy"), (1, 1, "assistant", "like this"), (1, 2, "user", "and undo it?")], "conv_id long, turn long, role string, text string")
+    texts = ["how do I run the rollback script", "and undo it?", "how do I run the rollback script"]
+    asked = w.questions(config(), texts).withColumn("conv_id", F.when(F.col("item_id") == 1, F.lit(1).cast("long"))).withColumn("turn", F.lit(2).cast("long"))
+    plan = w.pipeline(config(), condense=lambda prompt: F.when(prompt.contains("Q: how do I deploy"), F.lit(' "run the rollback script" ')))
+
+    def answer(questions, told):
+        calls.append(sorted(r["item_id"] for r in questions.collect()))
+        return plan.answer(questions, messages=told)
+
+    ask = lambda now: {r["item_id"]: r for r in cache.answered("acme", asked, messages, answer, now).collect()}
+    first, second, late = ask(1000), ask(1050), ask(1101)
+    assert calls == [[0], [1], [], [1], [0], [1]]
+    assert [first[i]["hit"] for i in range(3)] == [False] * 3 and second[0]["hit"] and not second[1]["hit"] and not late[0]["hit"]
+    assert first[0]["answer"] == first[2]["answer"] == second[0]["answer"] and second[1]["answer"] == first[1]["answer"]
+    assert first[1]["standalone"] == "run the rollback script" and "Rollback" in first[1]["citations"]
+    more = w.questions(config(), ["one", "two"])
+    cache.answered("acme", more, None, lambda q, m: plan.answer(q), 1102).collect()
+    assert cache.entries().count() == 2 and cache.entries().filter("used = 1102").count() == 2
+
+
+def test_tenants_are_compared_and_logged(place, caplog):
+    w, raw, config, _ = place
+    _ready(w, raw, config)
+    old = w.spark.createDataFrame([(4, "acme", "q", "a", "[]", 0, datetime.datetime(2024, 1, 1))], "id long, company_id string, question string, answer string, citations_json string, starred int, created_at timestamp")
+    found, log = w.compare([config(), config("beta")], ["run the rollback script"], old)
+    got = {r["company_id"]: r for r in found.collect()}
+    assert got["acme"]["citations"] and got["beta"]["answer"] == prompt.NO_HIT_ANSWER
+    assert sorted((r["id"], r["company_id"]) for r in log.collect()) == [(4, "acme"), (5, "acme"), (6, "beta")]
+    with runtime.tenant_log(w.spark, "acme", "test"):
+        assert w.spark.sparkContext.getLocalProperty("spark.job.description") == "acme: test"
+        record = logging.makeLogRecord({})
+        assert runtime.TenantFilter().filter(record) and record.tenant == "acme"
+    runtime.configure_logging()
+    runtime.configure_logging()
+    assert len(logging.getLogger("tessera").handlers) == 1
