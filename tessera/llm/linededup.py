@@ -16,7 +16,6 @@ Two hosts, neither a near copy of the other, make a passage recur. What recurs i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import slices
-from tessera.llm.words import WordHashes, mix
+from tessera.llm.words import Tokens, mix
 from tessera.runtime import materialize
 
 #: Leading tokens that name a leaf, after the number of tokens.
@@ -50,7 +49,8 @@ BINS, MOST_HOSTS = 64, 12
 #: Lines whose hosts a worker holds before it hands them on.
 _HELD_KEYS = 20_000
 
-_DIGIT, _FIELD = re.compile(rb"[0-9]"), re.compile(rb"[^\x20\x09-\x0d]*[0-9][^\x20\x09-\x0d]*")
+#: Stands for a token with a digit.
+_FIELD = np.uint64(0x3C2A3E3C2A3E3C2A)
 _NEXT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _STEP, _LENGTH = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 _LAST = np.uint64(np.iinfo(np.uint64).max)
@@ -77,27 +77,25 @@ class Lines(NamedTuple):
         return mix(self.part(self.start, self.start + self.n_tokens) ^ (self.n_tokens.astype(np.uint64) * _LENGTH))
 
 
-def lines_of(texts: list[str | None], seen: WordHashes) -> Lines:
+def lines_of(texts: pa.Array) -> Lines:
     """All lines of all texts at once; tokens with a digit are variable fields and all alike."""
-    tokens: list[bytes] = []
-    owner, number, counts = [], [], []
-    for i, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if _DIGIT.search(raw):
-            raw = _FIELD.sub(b"<*>", raw)
-        for k, line in enumerate(raw.split(b"\n")):
-            if found := line.split():
-                tokens += found
-                owner.append(i), number.append(k), counts.append(len(found))
-    n = np.array(counts, np.int64)
-    start = np.cumsum(n) - n
-    longest = int(n.max()) if len(n) else 0
-    power = np.cumprod(np.full(longest + 1, _STEP, np.uint64))
-    place = np.arange(len(tokens)) - np.repeat(start, n)
-    words = seen.of(tokens)
+    tokens = Tokens.of(texts)
+    words = tokens.hashes()
+    digits = np.concatenate([[0], np.cumsum((tokens.data >= 48) & (tokens.data <= 57))])
+    field = digits[tokens.start + tokens.length] > digits[tokens.start]
+    words[field] = _FIELD
+    feeds = np.concatenate([[0], np.cumsum(tokens.data == 10)])
+    row = feeds[tokens.start]
+    first = np.ones(len(words), bool)
+    first[1:] = (row[1:] != row[:-1]) | (tokens.owner[1:] != tokens.owner[:-1])
+    start = np.flatnonzero(first)
+    n = np.diff(np.append(start, len(words)))
+    owner = tokens.owner[start]
+    power = np.cumprod(np.full(int(n.max(initial=0)) + 1, _STEP, np.uint64))
+    place = np.arange(len(words)) - np.repeat(start, n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[place], dtype=np.uint64)])
-    heavy = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.maximum(np.fromiter(map(len, tokens), np.int64, len(tokens)) // TOKEN_BYTES, 1))])
-    return Lines(np.array(owner, np.int64), np.array(number, np.int64), n, start, sums, words, heavy[start + n] - heavy[start], len(texts))
+    heavy = np.concatenate([[0], np.cumsum(np.where(field, 1, np.maximum(tokens.length // TOKEN_BYTES, 1)))])
+    return Lines(owner, row[start] - feeds[tokens.texts[owner]], n, start, sums, words, heavy[start + n] - heavy[start], len(texts))
 
 
 def sketches(lines: Lines, hashes: np.ndarray) -> np.ndarray:
@@ -113,10 +111,10 @@ def sketches(lines: Lines, hashes: np.ndarray) -> np.ndarray:
     return out.reshape(-1, BINS)
 
 
-def describe(texts: list[str | None], seen: WordHashes) -> tuple[np.ndarray, pa.RecordBatch]:
+def describe(texts: pa.Array) -> tuple[np.ndarray, pa.RecordBatch]:
     """The owner, and line, n_tokens, size, leads, segments of every distinct line of LEAST_SIZE or more; its places among the lines of
     that size; and, in a text's first row, its sketch and a hash of the set of all of its lines."""
-    lines = lines_of(texts, seen)
+    lines = lines_of(texts)
     hashes = lines.hashes()
     order = np.lexsort((hashes, lines.owner))
     owner, line = lines.owner[order], hashes[order]
@@ -155,9 +153,8 @@ def line_rows(documents: DataFrame) -> DataFrame:
     """copy (a hash of the text) and what ``describe`` tells of each of its lines; no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         for b in slices(batches, "text"):
-            owner, rows = describe(b.column("text").to_pylist(), seen)
+            owner, rows = describe(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("copy").take(pa.array(owner)), *rows.columns], names=["copy", *_ROWS.names])
 
     narrow = documents.select(F.xxhash64("text").alias("copy"), "text")
@@ -210,7 +207,7 @@ def differing(sketch: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.nd
     either, equal = ((mine != last) | (theirs != last)).sum(1), ((mine == theirs) & (mine != last)).sum(1)
     shared = ((sketch == others) & (mine != last)).sum(1)
     own, their_own = (mine < theirs).sum(1), (theirs < mine).sum(1)
-    other = 3 * (equal - shared) < np.minimum(own, their_own)  # of what either has outside shared lines, less than a quarter is in the other's
+    other = equal - shared < np.minimum(own, their_own)  # of what either has outside shared lines, less than half is in the other's, as fields of a template leave
     return other, other & (4 * equal < 3 * either), their_own == 0
 
 
@@ -281,47 +278,69 @@ def _host_rows(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
 
 def hosts_of(keyed: DataFrame, texts: DataFrame) -> DataFrame:
     """key, hosts, apart from rows of key, copy, least (texts that it takes at least); ``texts`` has the sketch of each copy."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter(F.col("n") >= F.col("least")).select("key")
-    often = keyed.join(materialize(counts, "often"), "key").groupBy("copy").agg(F.collect_list("key").alias("keys"))  # at most the keys of the text's own lines
+    own = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("least").alias("least"), F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("texts"))
+    counts = materialize(own.filter(F.col("n") >= F.col("least")).select("key", "n", "texts"), "counts")
+    shown = materialize(counts.groupBy("n", "texts").agg(F.min("key").alias("key")), "shown")  # keys of the same texts have the same hosts
+    often = keyed.hint("merge").join(shown.select("key"), "key").groupBy("copy").agg(F.collect_list("key").alias("keys"))  # at most the keys of the text's own lines
     part = often.join(texts, "copy").select("keys", "sketch").mapInArrow(_partial_hosts, "key long, sketch binary")
-    return materialize(part.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_all_hosts, "key long, hosts int, apart boolean"), "hosts")
+    found = materialize(part.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_all_hosts, "key long, hosts int, apart boolean"), "hosts")
+    return materialize(found.join(shown, "key").drop("key").join(counts, ["n", "texts"]).select("key", "hosts", "apart"), "counted")
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
     """copy, line (hash) of every line to be dropped, from the rows of ``line_rows``."""
     texts = rows.filter(F.col("sketch").isNotNull()).select("copy", "sketch").dropDuplicates(["copy"])
     again = materialize(rows.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= 2).select("line"), "again")
-    # read back, both sides of the join are plain exchanges, and a hot line's can be split
-    held = materialize(rows.select("copy", "line", "size", "places").join(again, "line"), "held")
-    several = materialize(held.select("copy", F.explode("places").alias("place"), "line", "size").distinct(), "several")
+    routed = materialize(common_leaves(rows), "routed")
+    needed = again.withColumn("again", F.lit(True)).unionByName(routed.select("line").distinct(), allowMissingColumns=True)
+    needed = materialize(needed.groupBy("line").agg(F.max("again").alias("again")), "needed")
+    # read back, both sides of the join are plain exchanges, and a hot line's can be split; of all lines only these go on
+    held = materialize(rows.drop("sketch", "lines").hint("merge").join(needed, "line"), "held")
+    several = materialize(held.filter("again").select("copy", F.explode("places").alias("place"), "line", "size").distinct(), "several")
     runs = materialize(passage_rows(several), "passages")
-    single = held.select(F.col("line").alias("key"), "copy", needed_contexts(F.col("size")).alias("least")).distinct()
-    instances = template_lines(rows)
-    of_templates = rows.select("line", "copy").join(instances, "line").select("key", "copy", "least").distinct()
+    single = held.filter("again").select(F.col("line").alias("key"), "copy", needed_contexts(F.col("size")).alias("least")).distinct()
+    instances = template_lines(held, routed)
+    of_templates = held.select("line", "copy").join(instances, "line").select("key", "copy", "least").distinct()
     keyed = materialize(single.union(runs.select("key", "copy", F.lit(2))).union(of_templates), "keyed")
     counted = hosts_of(keyed, texts)
     alone = single.select("key", "least").distinct().join(counted, "key").filter(F.col("hosts") >= F.col("least")).select(F.col("key").alias("line"))
     general = instances.join(counted, "key").filter(F.col("hosts") >= F.col("least")).select("line")
-    dropped = rows.select("copy", "line").join(materialize(alone.union(general).distinct(), "dropped"), "line", "left_semi")
+    dropped = held.select("copy", "line").join(materialize(alone.union(general).distinct(), "dropped"), "line", "left_semi")
     return dropped.unionByName(_lines_of_passages(runs, counted)).distinct()
 
 
-def template_lines(rows: DataFrame) -> DataFrame:
-    """key, line, least of the templates with variable fields that have enough lines to recur, whatever their hosts."""
-    wide = rows.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("line", "n_tokens", "leads", "segments", (GENERAL_FACTOR * needed_contexts(F.col("size"))).alias("least"))
-    lead = lambda i, wild: F.lit(None).cast("int") if i == wild else F.get("leads", F.lit(i))
-    leaf = lambda wild: F.struct(F.xxhash64("n_tokens", F.lit(wild), *(lead(i, wild) for i in range(DEPTH))).alias("leaf"), F.lit(int(wild >= 0)).alias("wild"))
-    routed = wide.withColumn("to", F.explode(F.array(*(leaf(wild) for wild in range(-1, DEPTH)))))
-    leaves = routed.groupBy("to.leaf").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf")
-    held = routed.select("to.leaf", "to.wild", "line", "n_tokens", "segments", "least").join(materialize(leaves, "leaves"), "leaf")
+def _leaf(wild: int) -> Column:
+    """The leaf of a line's leading tokens, of which number ``wild`` is a wildcard; -1: none is."""
+    lead = lambda i: F.lit(None).cast("int") if i == wild else F.get("leads", F.lit(i))
+    return F.xxhash64("n_tokens", F.lit(wild), *map(lead, range(DEPTH)))
+
+
+def common_leaves(rows: DataFrame) -> DataFrame:
+    """(leaf, line) of the leaves with a wildcard that have lines enough for a template; a leaf without one lies within three of them."""
+    least = (GENERAL_FACTOR * needed_contexts(F.col("size"))).alias("least")
+    wide = rows.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("line", least, F.explode(F.array(*map(_leaf, range(DEPTH)))).alias("leaf"))
+    leaves = wide.groupBy("leaf").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf")
+    return wide.select("leaf", "line").hint("merge").join(materialize(leaves, "leaves"), "leaf").distinct()
+
+
+def template_lines(held: DataFrame, routed: DataFrame) -> DataFrame:
+    """key, line, least of the templates with variable fields that have enough lines to recur, whatever their hosts.
+
+    Of templates that have the same lines one is kept.
+    """
+    lines = held.filter(F.col("n_tokens") >= GENERAL_TOKENS).groupBy("line").agg(
+        F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("n_tokens", "leads", "segments")), F.min(GENERAL_FACTOR * needed_contexts(F.col("size"))).alias("least"))
+    lines = materialize(lines.join(routed.select("line").distinct(), "line", "left_semi"), "lines")
+    own = lines.select(_leaf(-1).alias("leaf"), F.lit(0).alias("wild"), "line")
+    to = routed.select("leaf", F.lit(1).alias("wild"), "line").unionByName(own)
     size = F.size("segments")
     room = F.expr(f"size(segments) * (n_tokens - 3 * wild) div (3 * (n_tokens - {DEPTH}))")
-    lines = held.groupBy("leaf", "wild", "line", "n_tokens", "segments").agg(F.count("*").alias("n"), F.min("least").alias("least"))
-    lines = materialize(lines.withColumn("varying", F.least(F.greatest(room, F.lit(0)), F.lit(MOST_VARIABLE), size).cast("int")), "routed")
-    parts = lines.select("leaf", "line", "varying", "least", "n", F.posexplode("segments").alias("at", "segment"))
+    varying = F.least(F.greatest(room, F.lit(0)), F.lit(MOST_VARIABLE), size).cast("int")
+    spread = materialize(to.join(lines, "line").select("leaf", "line", "segments", "n", "least", varying.alias("varying")), "spread")
+    parts = spread.select("leaf", "line", "least", "n", F.posexplode("segments").alias("at", "segment"))
     common = parts.groupBy("leaf", "at", "segment").agg(F.sum("n").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf", "at", "segment")
     fixed = parts.select("leaf", "line", "at", "segment").join(materialize(common, "common"), ["leaf", "at", "segment"]).groupBy("leaf", "line").agg(F.count("*").alias("fixed"))
-    near = lines.join(fixed, ["leaf", "line"]).filter(F.col("fixed") >= size - F.col("varying"))
+    near = spread.join(fixed, ["leaf", "line"], "left").filter(F.coalesce("fixed", F.lit(0)) >= size - F.col("varying"))
     kept = None
     for (k, b), choices in KEPT.items():
         here = (size == k) & (F.col("varying") == b)
@@ -329,9 +348,9 @@ def template_lines(rows: DataFrame) -> DataFrame:
     each = near.select("leaf", "line", "segments", "n", "least", F.explode(kept).alias("kept"))
     values = F.transform("segments", lambda x, i: F.when(F.get(F.lit([1 << j for j in range(SEGMENTS)]), i).bitwiseAND(F.col("kept")) > 0, x))
     each = materialize(each.select(F.xxhash64("leaf", "kept", values).alias("key"), "line", "n", "least"), "choices")
-    found = each.groupBy("key").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.max("least").alias("least"))
-    found = materialize(found.filter((F.col("lines") > 1) & (F.col("n") >= F.col("least"))).select("key"), "found")
-    return materialize(each.select("key", "line", "least").join(found, "key"), "templates")
+    found = each.groupBy("key").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.max("least").alias("least"), F.bit_xor(F.xxhash64("line", F.lit(1))).alias("set"))
+    found = found.filter((F.col("lines") > 1) & (F.col("n") >= F.col("least"))).groupBy("set", "lines").agg(F.min("key").alias("key"))
+    return materialize(each.select("key", "line", "least").join(materialize(found.select("key"), "found"), "key"), "templates")
 
 
 def _lines_of_passages(runs: DataFrame, counted: DataFrame) -> DataFrame:
@@ -360,12 +379,11 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
     names = [*columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
             drops = {i: set(d) for i, d in enumerate(b.column("__drop").to_pylist()) if d}
             wholes, hosts = b.column("__whole").to_pylist(), list(drops)
-            found = lines_of([texts[i] for i in hosts], seen)
+            found = lines_of(b.column("text").take(pa.array(hosts, pa.int64())))
             lost: dict[int, set[int]] = {}
             for k, number, h in zip(found.owner.tolist(), found.number.tolist(), found.hashes().view(np.int64).tolist(), strict=True):
                 if h in drops[hosts[k]]:

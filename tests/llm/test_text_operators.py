@@ -6,13 +6,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprints as fp
 from tessera.llm import langid, linededup, toxicity
 from tessera.llm import queries as llm
-from tessera.llm.words import WordHashes
+from tessera.llm.words import Tokens
 from tessera.runtime import load
 
 
@@ -129,6 +130,21 @@ def test_similar_documents_behind_an_unlike_head(spark, monkeypatch):
     assert len(want) >= 0.9 * sum(near >= 0.6 for near in pairs.values()) > 0
 
 
+def test_tokens_of_many_texts():
+    """The words of each text as split() gives them; equal words, and only these, have equal hashes."""
+    rng = random.Random(16)
+    texts = ["", None, "a", " a\x0bb\tc ", "é\u00a0x \u3000y", "no gap", "between texts", "z" * 255 + " " + "z" * 256 + " " + "z" * 257, "z" * 700 + "y " + "z" * 700 + "x", " "]
+    texts += ["".join(rng.choices("ab é\n\x1c", k=rng.randint(0, 40))) for _ in range(200)]
+    tokens = Tokens.of(pa.array(["skipped", *texts]).slice(1))
+    found = [(int(o), tokens.data[s : s + n].tobytes()) for o, s, n in zip(tokens.owner, tokens.start, tokens.length, strict=True)]
+    assert found == [(i, w) for i, t in enumerate(texts) for w in (t or "").encode().split()]
+    by_hash = {}
+    for (_, w), h in zip(found, tokens.hashes().tolist(), strict=True):
+        by_hash.setdefault(h, set()).add(w)
+    assert all(len(ws) == 1 for ws in by_hash.values()) and len(by_hash) == len({w for _, w in found})
+    assert len(Tokens.of(pa.array([], pa.string())).hashes()) == 0
+
+
 PASSAGE = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
 
 
@@ -160,15 +176,15 @@ def test_passages_and_templates_go_and_copies_stay(spark):
 
 def test_described_lines():
     line = "the server at {} answered with an error and was shut down at once today"
-    owner, rows = linededup.describe([line.format(x) for x in ("north", "south", "17", "x18y")], WordHashes())
+    owner, rows = linededup.describe(pa.array([line.format(x) for x in ("north", "south", "17", "x18y")]))
     a, b, c, d = rows.to_pylist()
     assert owner.tolist() == [0, 1, 2, 3] and a["leads"] == b["leads"] and a["line"] != b["line"] and c["line"] == d["line"] and c["lines"] == d["lines"]
     assert len(a["segments"]) == linededup.SEGMENTS and sum(p == q for p, q in zip(a["segments"], b["segments"], strict=True)) == linededup.SEGMENTS - 1
     texts = ["one two three\n\nfour five six seven\none two three", "one two three", None, "a b\nc", "漢字" * 40]
-    owner, rows = linededup.describe(texts, WordHashes())
+    owner, rows = linededup.describe(pa.array(texts))
     got = list(zip(owner.tolist(), rows.column("n_tokens").to_pylist(), rows.column("size").to_pylist(), rows.column("segments").to_pylist(), strict=True))
     assert sorted((o, n, size, len(x)) for o, n, size, x in got) == [(0, 3, 3, 0), (0, 4, 4, 1), (1, 3, 3, 0), (4, 1, 15, 0)]
-    assert linededup.describe([], WordHashes())[1].num_rows == 0
+    assert linededup.describe(pa.array([], pa.string()))[1].num_rows == 0
 
 
 def _by_brute_force(texts):
