@@ -62,19 +62,20 @@ def mix_sources(
     share: float = SHARE,
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
+    tie: Column | None = None,
 ) -> DataFrame:
     """Add source_size, target, weight, first_epochs, taken to rows with ``size`` (long) and a ``key``.
 
     ``taken`` is what the mix takes of the row, repeats counted: the source's whole epochs times the size, and in
     the last epoch what lies before the cut, so that each source gives exactly floor(target). Rows with equal keys
-    follow in order of size. A null key is a key of its own; a null source is a source of its own, ranked last.
-    Empty input gives no rows. The result has the given columns of
-    ``df``, which must not hold the names added here; working columns begin with two underscores.
+    follow in order of size, then of ``tie``. A null key is a key of its own, unlike an empty one; a null source is a source of
+    its own, ranked last. Empty input gives no rows. The result has the columns of ``df``; those that bear a name added
+    here are replaced; working columns begin with two underscores.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), key.cast("string")), F.lit(f"{seed}")))
     # never null, so that the window and the join hash alike and rows move once
     group = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    rows = df.withColumns({"__size": size.cast("long"), "__key": digest, "__group": group})
+    rows = df.withColumns({"__size": size.cast("long"), "__key": digest, "__group": group, "__tie": F.lit(0) if tie is None else tie})
     rows = rows.withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
     ranges = rows.groupBy("__group", "__range").agg(F.sum("__size").alias("range_size"))
     totals = ranges.groupBy("__group").agg(F.sum("range_size").alias("source_size"))
@@ -84,7 +85,7 @@ def mix_sources(
     before_range = Window.partitionBy("__group").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("__offset", F.coalesce(F.sum("range_size").over(before_range), F.lit(0))).join(targets.drop("source"), "__group")
     offsets = offsets.select("__group", "__range", "__offset", *(F.col(x).alias(f"__{x}") for x in ("source_size", "weight", "target")))
-    within = Window.partitionBy("__group", "__range").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__group", "__range").orderBy("__key", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(within), F.lit(0)))
     whole = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("__target") - F.col("__epochs") * F.col("__source_size")).cast("long")
@@ -94,26 +95,32 @@ def mix_sources(
         rows.join(offsets, ["__group", "__range"])
         .withColumn("__epochs", whole)
         .withColumn("__last", last)
-        .select(*df.columns, *(F.col(v).alias(k) for k, v in added.items()), (F.col("__epochs") * F.col("__size") + F.col("__last")).alias("taken"))
+        .select(*(c for c in df.columns if c not in {*added, "taken"}), *(F.col(v).alias(k) for k, v in added.items()), (F.col("__epochs") * F.col("__size") + F.col("__last")).alias("taken"))
     )
 
 
+def document_key() -> Column:
+    """The doc_id, or a digest of the text where there is none, so that such rows have keys of their own."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def mix_report(documents: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document; see mix_sources."""
-    narrow = documents.select("doc_id", "source", n_words(F.col("text")).alias("words"))
+    """doc_id, size, source_size, target, taken of every document; see mix_sources. Null texts have size 0."""
+    narrow = documents.select("doc_id", "source", document_key().alias("key"), n_words(F.col("text")).alias("words"))
     narrow = materialize(narrow, "sizes")  # texts are read once; what moves is narrow
-    return mix_sources(narrow, F.col("words"), F.col("doc_id")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(narrow, F.col("words"), F.col("key")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself: each document as often as its source's epochs take it, the one at the cut shortened to its share.
 
-    Columns are those of ``documents``. Documents without words have no share in a budget of words; they are
-    clean input all the same and stay once.
+    Columns are those of ``documents``. Documents without words, null texts among them, have no share in a budget of words; they
+    are clean input all the same and stay once. Rows of one doc_id, or of none, are taken each by itself, in an order that does not
+    change from run to run; an empty table gives no rows.
     """
     columns = documents.columns
-    held = documents.select(F.struct(*columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("words"))
-    mixed = mix_sources(held, F.col("words"), F.col("doc_id")).withColumn("text", F.col("row")["text"])
+    held = documents.select(F.struct(*columns).alias("row"), "doc_id", "source", document_key().alias("key"), F.xxhash64("text").alias("tie"), n_words(F.col("text")).alias("words"))
+    mixed = mix_sources(held, F.col("words"), F.col("key"), tie=F.col("tie")).withColumn("text", F.col("row")["text"])
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("last_epoch") > 0).cast("long")).cast("int")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("last_epoch").cast("int")), "")

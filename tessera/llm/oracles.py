@@ -4,7 +4,7 @@
 MIX_TABLES = r"""
 sized AS (
   SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, '')))) AS key
   FROM {documents}),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (

@@ -100,6 +100,20 @@ def test_mix_against_a_loop(spark):
         assert t == pytest.approx(target[s]) and taken == int(t + 1e-9)
 
 
+def test_mix_of_rows_without_or_with_one_id(spark):
+    """Rows without doc_id have keys of their own, reruns agree on which of two equal sizes the cut takes, and added names are replaced."""
+    text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, text("a", 10 + i % 3), "s", 5.0) for i in range(20)] + [(7, text(c, 10), "s", 5.0) for c in "bcde"] + [(8, None, "s", 1.0), (8, None, "s", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken double")
+    report = mixing.mix_report(df).collect()
+    assert len(report) == len(rows) and sum(r["taken"] for r in report) == int(report[0]["target"]) and report[0]["source_size"] == sum(len(words(t)) for _, t, _, _ in rows)
+    runs = [sorted(str(r) for r in mixing.mixed_documents(x).collect()) for x in (df, df.repartition(3))]
+    assert runs[0] == runs[1] and mixing.mixed_documents(df).columns == df.columns
+    assert mixing.mixed_documents(df).filter("text IS NULL").count() == 2
+    clash = mixing.mix_sources(df.select("source", "taken", F.lit("x").alias("size"), F.lit(3).alias("words")), F.col("words"), F.lit(None).cast("string")).collect()
+    assert {r["size"] for r in clash} == {3}
+
+
 def test_archive_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(2, "http://b/\r\nx", "body é"), (1, "http://a/", "body é"), (3, None, ""), (4, "http://c/", None)], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "a"))
