@@ -14,22 +14,27 @@ from tessera.runtime import load, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the quality rules keep; see quality.keep_good. Null and empty texts go, repeated rows stay or go together."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text without lines and passages that recur across documents; see linededup.cleaned. Null texts stay null."""
     return linededup.cleaned(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, and all rows without words; see neardup.drop_near_duplicates."""
     return neardup.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: rows as often as the budget of their source takes them; see mixing.mixed_documents. Rows without words stay once."""
     return mixing.mixed_documents(docs)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, decodes of every row; see bpe.encode_corpus. Null and empty texts have no tokens."""
     return bpe.encode_corpus(docs)
 
 
@@ -46,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; an empty table gives no rows."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
