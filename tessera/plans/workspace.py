@@ -60,6 +60,19 @@ class Workspace:
         system, where = self._files(self._path(company_id, "raw_pdfs"))
         system.mkdirs(where)
 
+    def upload(self, company_id: str, name: str, content: bytes) -> str:
+        """Put a file among the tenant's raw files, under the last segment of its name; one of that name is replaced. Returns its path."""
+        stores.get_company(self.registry(), company_id)
+        bare = name.replace("\\", "/").rsplit("/", 1)[-1]
+        if bare in ("", ".", ".."):
+            raise ValueError(f"not a file name: {name!r}")
+        path = f"{self._path(company_id, 'raw_pdfs')}/{bare}"
+        system, where = self._files(path)
+        out = system.create(where, True)
+        out.write(bytearray(content))
+        out.close()
+        return path
+
     def remove(self, company_id: str, delete_data: bool = False) -> None:
         self._save(stores.remove_company(self.registry(), company_id))
         if delete_data:

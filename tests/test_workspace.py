@@ -129,3 +129,14 @@ def test_tenants_are_compared_and_logged(place, caplog):
     runtime.configure_logging()
     runtime.configure_logging()
     assert len(logging.getLogger("tessera").handlers) == 1
+
+
+def test_uploads(place):
+    w, raw, config, _ = place
+    assert w.upload("acme", "../x/guide.pdf", GUIDE.encode()).endswith("acme/raw_pdfs/guide.pdf")
+    assert (raw / "guide.pdf").read_bytes() == GUIDE.encode()
+    w.upload("acme", "guide.pdf", b"other")
+    assert (raw / "guide.pdf").read_bytes() == b"other"
+    for who, name, error in (("acme", "..", ValueError), ("acme", "a/", ValueError), ("none", "a.pdf", KeyError)):
+        with pytest.raises(error):
+            w.upload(who, name, b"")
