@@ -375,7 +375,7 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
     whole = heads.join(twice, "lines", "left_semi").select("copy", F.lit(True).alias("__whole")).distinct()
     drops = materialize(drops.join(whole, "copy", "left").withColumnRenamed("copy", "__copy"), "drops")  # so that a hot copy can be split
     columns = [c for c in documents.columns if c not in counts]
-    joined = documents.select(*columns).withColumn("__copy", F.xxhash64("text")).join(drops, "__copy", "left")
+    joined = documents.select(*columns).withColumn("__copy", F.xxhash64("text")).hint("merge").join(drops, "__copy", "left")  # the list grows with the data
     names = [*columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

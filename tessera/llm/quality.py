@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.arrow import batch_of
+from tessera.llm.arrow import batch_of, slices
 from tessera.llm.words import WordHashes, windows
 from tessera.runtime import materialize
 
@@ -71,24 +72,31 @@ def measure(text: str | None, seen: WordHashes) -> tuple[int, int, int, int, int
     return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(seen.of(words)), len(lines)
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
-    for b in batches:
-        rows = [measure(t, seen) for t in b.column("text").to_pylist()]
-        counts = batch_of(_BASE, **{name: [r[i] for r in rows] for i, name in enumerate(_BASE.names)})
-        yield pa.RecordBatch.from_arrays([*(c for c, f in zip(b.columns, b.schema, strict=True) if f.name != "text"), *counts.columns], names=[*(n for n in b.schema.names if n != "text"), *_BASE.names])
+def measured(df: DataFrame, text: str, keep_text: bool) -> DataFrame:
+    """Add the counts of ``text``, and drop it unless ``keep_text``."""
+    kept = [f for f in df.schema.fields if keep_text or f.name != text]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
+        for b in slices(batches, text):
+            rows = [measure(t, seen) for t in b.column(text).to_pylist()]
+            counts = batch_of(_BASE, **{name: [r[i] for r in rows] for i, name in enumerate(_BASE.names)})
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *counts.columns], names=[*(f.name for f in kept), *_BASE.names])
 
-def document_counts(documents: DataFrame, *extra: Column) -> DataFrame:
-    """doc_id, lang, source, ``extra`` and the counts of each whole text, with the rates and base_failed; a row for every row.
+    return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in _BASE.names)]))
+
+
+def document_counts(documents: DataFrame) -> DataFrame:
+    """doc_id, lang, source and the counts of each whole text, with the rates and base_failed; a row for every row.
 
     A null text counts as empty: all counts and rates are 0 and base_failed is true. Rows of any doc_id, null ones too, are
     counted each by itself.
     """
-    kept = documents.select("doc_id", "lang", "source", *extra, "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"] + [f"{n} long" for n in _BASE.names])
-    counts = kept.mapInArrow(_measure_batches, schema)
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
+    return with_rates(measured(documents.select("doc_id", "lang", "source", "text"), "text", keep_text=False))
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    """Add the rates and base_failed to counts."""
     return counts.select(
         "*",
         F.expr("1000 * n_symbols div greatest(n_words, 1)").alias("symbol_rate"),
@@ -138,14 +146,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return wide.select("level", "lang", "source", "size", *fences)
 
 
-def judged(counts: DataFrame) -> DataFrame:
-    """Add ``kept`` to document counts.
+def judged(counts: DataFrame, learned_from: DataFrame | None = None) -> DataFrame:
+    """Add ``kept`` to document counts, by the fences of ``learned_from``, else their own.
 
     The thresholds table holds a row per group, language and everything. A group is joined by a key that is
     never null, so documents without language or source form groups of their own. Rows that fail the base rule
     are not kept; empty texts fail it. Repeated rows are judged alike; an empty table gives no rows.
     """
-    fences = materialize(thresholds(sketches(counts)), "fences")
+    fences = materialize(thresholds(sketches(counts if learned_from is None else learned_from)), "fences")
     fields = [f"{r}_{side}" for r in RATES for side in ("low", "high")]
     value = F.struct("size", *fields)
     key = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c))
@@ -176,9 +184,11 @@ def keep_good(documents: DataFrame) -> DataFrame:
     """The rows that the rules keep, with their columns.
 
     A verdict follows a row's own text, language and source: of two rows with one doc_id, or none, either may go. Empty texts
-    and null ones go. Repeated rows stay or go together.
+    and null ones go. Repeated rows stay or go together; an empty table gives no rows. Texts are measured a second time where they
+    are judged, so that none of them moves; only the fences, a row for each group, are joined.
     """
-    key = F.unhex(F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "lang", "source", "text"))))).alias("__row")
-    counts = materialize(document_counts(documents, key), "counts")
-    rejected = materialize(judged(counts).filter(~F.col("kept")).select("__row").distinct(), "rejected")
-    return documents.withColumn("__row", key).join(rejected, "__row", "left_anti").select(*documents.columns)
+    counts = materialize(document_counts(documents), "counts")
+    names = {c: f"__{i}" for i, c in enumerate(documents.columns)}  # whatever columns there are, none clashes with the counts
+    rows = with_rates(measured(documents.withColumnsRenamed(names), names["text"], keep_text=True))
+    rows = rows.withColumns({"lang": F.col(names["lang"]), "source": F.col(names["source"])})
+    return judged(rows, counts).filter("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
