@@ -161,12 +161,12 @@ def learn(documents: DataFrame, allowed: Column, train_documents: int = TRAIN_DO
     the ids of the sample are broadcast. Without a text of any language the model is empty.
     """
     usable = documents.filter(F.coalesce(allowed, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language, fewer than the model's own
     # by hash, only about four times the sample of each language reaches the ranking, however large the language
     place = F.xxhash64("doc_id", F.lit(7))
     drawn = F.pmod(place, F.lit(1 << 30)) * F.col("size") < F.lit(float(4 * train_documents << 30))
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
-    ranked = usable.select("doc_id", "lang").join(sizes, "lang").filter(drawn).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= train_documents)
+    ranked = usable.select("doc_id", "lang").join(F.broadcast(sizes), "lang").filter(drawn).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= train_documents)
     sample = ranked.select("lang", "doc_id").distinct()
     texts = usable.join(F.broadcast(sample), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
