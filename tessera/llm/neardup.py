@@ -218,11 +218,13 @@ def grouped(documents: DataFrame) -> DataFrame:
 
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each class, with the size of its set."""
     schema = pa.schema([("node", pa.binary()), ("shingle", pa.int64()), ("total", pa.int64())])
-    for b in batches:
-        for node, raw in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist(), strict=True):
-            values = np.frombuffer(raw, np.int64)
-            yield batch_of(schema, node=[node] * len(values), shingle=values, total=np.full(len(values), len(values)))
+    for b in slices(batches, "shingles"):
+        sets = b.column("shingles").to_pylist()
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        nodes = b.column("node").take(pa.array(np.repeat(np.arange(len(sets)), sizes)))
+        yield batch_of(schema, node=nodes, shingle=np.frombuffer(b"".join(sets), np.int64), total=np.repeat(sizes, sizes))
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:

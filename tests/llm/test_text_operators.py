@@ -109,6 +109,14 @@ def test_hot_and_missing_ids_fill_several_buckets(spark):
     assert len(few) == len(rows) and sorted(few) == sorted(many)
 
 
+def test_similar_documents_of_nothing(spark):
+    """Empty tables, rows without doc_id and texts too short for bands have no pairs; equal texts are one class."""
+    schema = "doc_id long, text string"
+    for rows in ([], [(None, "some text that is long enough to have bands of its own")] * 3, [(1, ""), (2, None), (3, "a"), (4, "b")], [(1, "x" * 90), (2, "x" * 90)]):
+        assert fp.similar_documents(fp.fingerprint_documents(spark.createDataFrame(rows, schema))).count() == 0
+    assert fp.fingerprint_documents(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_similar_documents_behind_an_unlike_head(spark, monkeypatch):
     """Every band holds classes that are unlike its first ones; no link is lost and recall against all pairs is measured."""
     monkeypatch.setattr(fp, "HEADS", 2)
