@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch_of, slices
 from tessera.llm.graph import components
-from tessera.llm.words import WordHashes, mix, windows
+from tessera.llm.words import Tokens, mix, windows
 from tessera.runtime import materialize
 
 WIDTH = 5
@@ -40,12 +40,11 @@ _SEEDS = np.random.default_rng(10).integers(0, 2**63, (2, LONG_COORDINATES), dty
 _FACTORS, _OFFSETS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
 
-def shingle_set(text: str | None, seen: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles; of the whole sequence where it has fewer words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(windows(seen.of(words), min(width, len(words))))
+def shingle_sets_of(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles; of the whole sequence where it has fewer words."""
+    tokens = Tokens.of(texts).lower()
+    hashes, bounds = tokens.hashes(), tokens.bounds().tolist()
+    return [np.unique(windows(hashes[a:b], min(width, b - a))) if b > a else hashes[:0] for a, b in zip(bounds, bounds[1:])]
 
 
 def set_digest(shingles: np.ndarray) -> bytes | None:
@@ -77,9 +76,8 @@ def signatures(documents: DataFrame) -> DataFrame:
     schema = pa.schema([("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         for b in slices(batches, "text"):
-            sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
+            sets = shingle_sets_of(b.column("text"))
             out = batch_of(schema, n_shingles=[len(s) for s in sets], node=[set_digest(s) for s in sets], signature=[signature(s).view(np.int64) if len(s) else None for s in sets])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *out.columns], names=["doc_id", "row", *schema.names])
 
@@ -94,9 +92,8 @@ def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary()), ("long", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         for b in slices(batches, "text"):
-            sets = [shingle_set(t, seen) for t in b.column("text").to_pylist()]
+            sets = shingle_sets_of(b.column("text"))
             kept = [(n, s) for n, s in zip(b.column("node").to_pylist(), sets, strict=True) if set_digest(s) == n]
             yield batch_of(schema, node=[n for n, _ in kept], shingles=[s.tobytes() for _, s in kept], long=[long_signature(s) for _, s in kept], size=[len(s) for _, s in kept])
 

@@ -99,6 +99,14 @@ class Tokens(NamedTuple):
         end = np.flatnonzero(word & ~(after & ~edge[1:])) + 1
         return Tokens(data, texts, np.searchsorted(texts, start, "right") - 1, start, end - start)
 
+    def lower(self) -> Tokens:
+        """The same words with A-Z lower-cased."""
+        return self._replace(data=np.where((self.data >= 65) & (self.data <= 90), self.data | np.uint8(32), self.data))
+
+    def bounds(self) -> np.ndarray:
+        """Where each text's words begin among all words, and their number."""
+        return np.searchsorted(self.owner, np.arange(len(self.texts)))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, eight bytes at a step."""
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
