@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrow import batch_of, slices
-from tessera.llm.words import WordHashes, windows
+from tessera.llm.words import SPACE, Tokens, windows
 from tessera.runtime import materialize
 
 #: Fixed value: the characters that count as symbols.
@@ -43,7 +43,7 @@ RATES = {
 SKETCHED = (*RATES, "n_words", "n_lines")
 
 _BASE = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("n_lines", pa.int64())])
-_NOT_SYMBOLS = bytes(set(range(256)) - set(SYMBOLS.encode()))
+_IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS.encode()))
 
 
 def repeated_words(hashes: np.ndarray, width: int = REPEAT_WINDOW) -> int:
@@ -51,25 +51,32 @@ def repeated_words(hashes: np.ndarray, width: int = REPEAT_WINDOW) -> int:
     if len(hashes) <= width:
         return 0
     runs = windows(hashes, width)
+    ordered = np.sort(runs)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     _, inverse, counts = np.unique(runs, return_inverse=True, return_counts=True)
     again = counts[inverse] > 1
-    if not again.any():
-        return 0
     edge = np.zeros(len(hashes) + 1, np.int64)
     edge[: len(runs)] += again
     edge[width : width + len(runs)] -= again
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure(text: str | None, seen: WordHashes) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (those with a word); zeros for null."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-    joined = b"".join(words)
-    word_chars = len(joined.decode("utf-8", "surrogatepass"))
-    symbols = len(raw.translate(None, _NOT_SYMBOLS))
-    return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(seen.of(words)), len(lines)
+def measure(texts: pa.Array) -> dict[str, list[int] | np.ndarray]:
+    """Of each text n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (those with a word); zeros for null."""
+    tokens = Tokens.of(texts)
+    hashes, bounds, cuts = tokens.hashes(), tokens.bounds().tolist(), tokens.texts
+    upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])[cuts]
+    in_words = (tokens.data & 0xC0) != 0x80
+    in_words &= ~SPACE[tokens.data]
+    dup_lines, n_lines = [], []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        lines = [x for x in tokens.data[a:b].tobytes().split(b"\n") if x and not x.isspace()]
+        dup_lines.append(len(lines) - len(set(lines))), n_lines.append(len(lines))
+    return {
+        "n_words": np.diff(bounds), "word_chars": np.diff(upto(in_words)), "n_symbols": np.diff(upto(_IS_SYMBOL[tokens.data])), "n_dup_lines": dup_lines,
+        "n_repeat_words": [repeated_words(hashes[a:b]) for a, b in zip(bounds, bounds[1:])], "n_lines": n_lines,
+    }
 
 
 def measured(df: DataFrame, text: str, keep_text: bool) -> DataFrame:
@@ -77,10 +84,8 @@ def measured(df: DataFrame, text: str, keep_text: bool) -> DataFrame:
     kept = [f for f in df.schema.fields if keep_text or f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         for b in slices(batches, text):
-            rows = [measure(t, seen) for t in b.column(text).to_pylist()]
-            counts = batch_of(_BASE, **{name: [r[i] for r in rows] for i, name in enumerate(_BASE.names)})
+            counts = batch_of(_BASE, **measure(b.column(text)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *counts.columns], names=[*(f.name for f in kept), *_BASE.names])
 
     return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in _BASE.names)]))

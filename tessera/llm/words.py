@@ -19,28 +19,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """The words in UTF-8: bytes.split() parts at exactly x20 and x09-x0D."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept for words already seen; emptied at ``limit`` entries so memory stays bounded."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Odd multiplier of the rolling polynomial over word hashes.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,8 +42,8 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _EIGHT = np.uint64(0xA24BAED4963EE407)
 #: Bytes beyond which a token's hash is not made side by side with others.
@@ -90,7 +68,7 @@ class Tokens(NamedTuple):
         data = np.frombuffer(body, np.uint8)[texts[0] : texts[-1]] if body is not None else np.empty(0, np.uint8)
         texts = texts - texts[0]
         inner = texts[(texts > 0) & (texts < len(data))]
-        word = ~_SPACE[data]
+        word = ~SPACE[data]
         edge = np.zeros(len(data) + 1, bool)  # whether a text begins here
         edge[inner] = True
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
