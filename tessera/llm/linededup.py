@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,11 +82,11 @@ def lines_of(texts: pa.Array) -> Lines:
     """All lines of all texts at once; tokens with a digit are variable fields and all alike."""
     tokens = Tokens.of(texts)
     words = tokens.hashes()
-    digits = np.concatenate([[0], np.cumsum((tokens.data >= 48) & (tokens.data <= 57))])
-    field = digits[tokens.start + tokens.length] > digits[tokens.start]
+    field = np.zeros(len(words), bool)
+    field[np.searchsorted(tokens.start, np.flatnonzero((tokens.data >= 48) & (tokens.data <= 57)), "right") - 1] = True
     words[field] = _FIELD
-    feeds = np.concatenate([[0], np.cumsum(tokens.data == 10)])
-    row = feeds[tokens.start]
+    feeds = np.flatnonzero(tokens.data == 10)
+    row = np.searchsorted(feeds, tokens.start)
     first = np.ones(len(words), bool)
     first[1:] = (row[1:] != row[:-1]) | (tokens.owner[1:] != tokens.owner[:-1])
     start = np.flatnonzero(first)
@@ -95,7 +96,7 @@ def lines_of(texts: pa.Array) -> Lines:
     place = np.arange(len(words)) - np.repeat(start, n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[place], dtype=np.uint64)])
     heavy = np.concatenate([[0], np.cumsum(np.where(field, 1, np.maximum(tokens.length // TOKEN_BYTES, 1)))])
-    return Lines(owner, row[start] - feeds[tokens.texts[owner]], n, start, sums, words, heavy[start + n] - heavy[start], len(texts))
+    return Lines(owner, row[start] - np.searchsorted(feeds, tokens.texts[owner]), n, start, sums, words, heavy[start + n] - heavy[start], len(texts))
 
 
 def sketches(lines: Lines, hashes: np.ndarray) -> np.ndarray:
@@ -215,27 +216,32 @@ class Hosts:
     """Sketches of texts of which no two are copies, MOST_HOSTS at most; sets of hosts merge by adding one's sketches to the other's."""
 
     def __init__(self) -> None:
-        self.kept, self.n, self.seen = np.empty((2, BINS), np.uint64), 0, set()
+        self.raw: list[bytes] = []
+        self.kept: np.ndarray | None = None  # made when a second sketch comes
 
     def add(self, raw: bytes) -> None:
-        if self.n == MOST_HOSTS or raw in self.seen:
+        if not self.raw:
+            self.raw.append(raw)
             return
-        sketch = np.frombuffer(raw, np.uint64)
-        if self.n:
-            other, _, within = differing(sketch, self.kept[: self.n])
-            if not other.all():
-                if len(of := np.flatnonzero(~other & within)):  # the text has all of an excerpt, which told nothing apart
-                    self.kept[of[0]] = sketch
-                return
-            if self.n == len(self.kept):
-                self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
-        self.kept[self.n] = sketch
-        self.n += 1
-        self.seen.add(raw)
+        if len(self.raw) == MOST_HOSTS or raw in self.raw:
+            return
+        sketch, n = np.frombuffer(raw, np.uint64), len(self.raw)
+        if self.kept is None:
+            self.kept = np.empty((2, BINS), np.uint64)
+            self.kept[0] = np.frombuffer(self.raw[0], np.uint64)
+        other, _, within = differing(sketch, self.kept[:n])
+        if not other.all():
+            if len(of := np.flatnonzero(~other & within)):  # the text has all of an excerpt, which told nothing apart
+                self.kept[of[0]], self.raw[of[0]] = sketch, raw
+            return
+        if n == len(self.kept):
+            self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
+        self.kept[n] = sketch
+        self.raw.append(raw)
 
     def apart(self) -> bool:
         """Whether two of them are not even near copies."""
-        return any(differing(self.kept[i], self.kept[:i])[1].any() for i in range(1, self.n))
+        return any(differing(self.kept[i], self.kept[:i])[1].any() for i in range(1, len(self.raw)))
 
 
 def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +249,16 @@ def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     hosts: dict[int, Hosts] = {}
 
     def found() -> pa.RecordBatch:
-        rows = [(k, h.kept[i].tobytes()) for k, h in hosts.items() for i in range(h.n)]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["key", "sketch"])
+        held = list(hosts.values())
+        keys = np.repeat(np.fromiter(hosts, np.int64, len(hosts)), [len(h.raw) for h in held])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x for h in held for x in h.raw], pa.binary())], names=["key", "sketch"])
 
     for b in batches:
         for keys, raw in zip(b.column("keys").to_pylist(), b.column("sketch").to_pylist(), strict=True):
             for k in keys:
-                hosts.setdefault(k, Hosts()).add(raw)
+                if k not in hosts:
+                    hosts[k] = Hosts()
+                hosts[k].add(raw)
             if len(hosts) >= _HELD_KEYS:
                 yield found()
                 hosts.clear()
@@ -259,17 +268,17 @@ def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _all_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, its number of hosts (MOST_HOSTS stands for more), and whether two are apart; rows are in order of keys."""
     key, hosts = None, Hosts()
-    row = lambda: (key, hosts.n, hosts.apart())
+    row = lambda: (key, len(hosts.raw), hosts.apart())
     for b in batches:
         out = []
         for k, raw in zip(b.column("key").to_pylist(), b.column("sketch").to_pylist(), strict=True):
             if k != key:
-                if hosts.n:
+                if hosts.raw:
                     out.append(row())
                 key, hosts = k, Hosts()
             hosts.add(raw)
         yield _host_rows(out)
-    yield _host_rows([row()] if hosts.n else [])
+    yield _host_rows([row()] if hosts.raw else [])
 
 
 def _host_rows(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
@@ -380,20 +389,23 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts = b.column("text").to_pylist()
-            drops = {i: set(d) for i, d in enumerate(b.column("__drop").to_pylist()) if d}
-            wholes, hosts = b.column("__whole").to_pylist(), list(drops)
-            found = lines_of(b.column("text").take(pa.array(hosts, pa.int64())))
-            lost: dict[int, set[int]] = {}
+            column = b.column("text")
+            hosts = pc.indices_nonzero(b.column("__drop").is_valid()).cast(pa.int64())  # only these texts are taken apart
+            texts, wholes = column.take(hosts), b.column("__whole").take(hosts).to_pylist()
+            drops = [set(d) for d in b.column("__drop").take(hosts).to_pylist()]
+            found = lines_of(texts)
+            lost: list[set[int]] = [set() for _ in drops]
             for k, number, h in zip(found.owner.tolist(), found.number.tolist(), found.hashes().view(np.int64).tolist(), strict=True):
-                if h in drops[hosts[k]]:
-                    lost.setdefault(hosts[k], set()).add(number)
-            total, gone = [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts)
-            for i, out in lost.items():
-                kept = [p for k, p in enumerate(texts[i].split("\n")) if k not in out]
-                if not wholes[i] or any(p.encode("utf-8", "surrogatepass").split() for p in kept):
-                    texts[i], gone[i] = "\n".join(kept), len(out)
-            new = {"text": pa.array(texts, pa.string()), counts[0]: pa.array(total, pa.int64()), counts[1]: pa.array(gone, pa.int64())}
+                if h in drops[k]:
+                    lost[k].add(number)
+            made, gone = texts.to_pylist(), np.zeros(b.num_rows, np.int64)
+            for k, (i, out) in enumerate(zip(hosts.to_pylist(), lost, strict=True)):
+                kept = [p for number, p in enumerate(made[k].split("\n")) if number not in out]
+                if out and (not wholes[k] or any(p.encode("utf-8", "surrogatepass").split() for p in kept)):
+                    made[k], gone[i] = "\n".join(kept), len(out)
+            total = pc.if_else(pc.equal(pc.fill_null(pc.binary_length(column), 0), 0), 0, pc.add(pc.fill_null(pc.count_substring(column, "\n"), 0), 1))
+            text = pc.replace_with_mask(column, b.column("__drop").is_valid(), pa.array(made, column.type))
+            new = {"text": text, counts[0]: total.cast(pa.int64()), counts[1]: pa.array(gone)}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
 
     schema = ", ".join([f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns] + [f"{c} long" for c in counts])
