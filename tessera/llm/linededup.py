@@ -290,7 +290,7 @@ def hosts_of(keyed: DataFrame, texts: DataFrame) -> DataFrame:
     own = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("least").alias("least"), F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("texts"))
     counts = materialize(own.filter(F.col("n") >= F.col("least")).select("key", "n", "texts"), "counts")
     shown = materialize(counts.groupBy("n", "texts").agg(F.min("key").alias("key")), "shown")  # keys of the same texts have the same hosts
-    often = keyed.hint("merge").join(shown.select("key"), "key").groupBy("copy").agg(F.collect_list("key").alias("keys"))  # at most the keys of the text's own lines
+    often = keyed.join(shown.select("key").hint("shuffle_hash"), "key").groupBy("copy").agg(F.collect_list("key").alias("keys"))  # at most the keys of the text's own lines
     part = often.join(texts, "copy").select("keys", "sketch").mapInArrow(_partial_hosts, "key long, sketch binary")
     found = materialize(part.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_all_hosts, "key long, hosts int, apart boolean"), "hosts")
     return materialize(found.join(shown, "key").drop("key").join(counts, ["n", "texts"]).select("key", "hosts", "apart"), "counted")
@@ -303,8 +303,9 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     routed = materialize(common_leaves(rows), "routed")
     needed = again.withColumn("again", F.lit(True)).unionByName(routed.select("line").distinct(), allowMissingColumns=True)
     needed = materialize(needed.groupBy("line").agg(F.max("again").alias("again")), "needed")
-    # read back, both sides of the join are plain exchanges, and a hot line's can be split; of all lines only these go on
-    held = materialize(rows.drop("sketch", "lines").hint("merge").join(needed, "line"), "held")
+    # read back, both sides of the join are plain exchanges, and a hot line's can be split; of all lines only these go on. The smaller
+    # side, whose lines are distinct, is hashed, so that the larger one need not be sorted; neither is broadcast, as both grow
+    held = materialize(rows.drop("sketch", "lines").join(needed.hint("shuffle_hash"), "line"), "held")
     several = materialize(held.filter("again").select("copy", F.explode("places").alias("place"), "line", "size").distinct(), "several")
     runs = materialize(passage_rows(several), "passages")
     single = held.filter("again").select(F.col("line").alias("key"), "copy", needed_contexts(F.col("size")).alias("least")).distinct()
@@ -329,7 +330,7 @@ def common_leaves(rows: DataFrame) -> DataFrame:
     least = (GENERAL_FACTOR * needed_contexts(F.col("size"))).alias("least")
     wide = rows.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("line", least, F.explode(F.array(*map(_leaf, range(DEPTH)))).alias("leaf"))
     leaves = wide.groupBy("leaf").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf")
-    return wide.select("leaf", "line").hint("merge").join(materialize(leaves, "leaves"), "leaf").distinct()
+    return wide.select("leaf", "line").join(materialize(leaves, "leaves").hint("shuffle_hash"), "leaf").distinct()
 
 
 def template_lines(held: DataFrame, routed: DataFrame) -> DataFrame:
@@ -384,7 +385,7 @@ def without_recurring(documents: DataFrame, counts: tuple[str, str] = ("n_lines"
     whole = heads.join(twice, "lines", "left_semi").select("copy", F.lit(True).alias("__whole")).distinct()
     drops = materialize(drops.join(whole, "copy", "left").withColumnRenamed("copy", "__copy"), "drops")  # so that a hot copy can be split
     columns = [c for c in documents.columns if c not in counts]
-    joined = documents.select(*columns).withColumn("__copy", F.xxhash64("text")).hint("merge").join(drops, "__copy", "left")  # the list grows with the data
+    joined = documents.select(*columns).withColumn("__copy", F.xxhash64("text")).join(drops.hint("shuffle_hash"), "__copy", "left")  # the list grows with the data
     names = [*columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -236,7 +236,7 @@ def drop_near_duplicates(documents: DataFrame) -> DataFrame:
     repeated = materialize(found.filter("n > 1").join(first, "row", "left_semi").select(F.col("row").alias("__row")), "repeated")
     removed = materialize(found.join(first.select("row"), "row", "left_anti").select(F.col("row").alias("__row")).union(repeated), "removed")
     keyed = documents.withColumn("__row", row_key())
-    once = keyed.hint("merge").join(removed, "__row", "left_anti").select(*documents.columns)
+    once = keyed.join(removed.hint("shuffle_hash"), "__row", "left_anti").select(*documents.columns)
     # of rows that are repeated whole, one; the partial aggregation leaves one to each task before they move
     several = keyed.join(repeated, "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns)).alias("kept"))
     return once.unionByName(several.select("kept.*"))
