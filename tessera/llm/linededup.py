@@ -43,6 +43,8 @@ GENERAL_TOKENS, GENERAL_FACTOR, MOST_VARIABLE = 4, 2, 3
 #: By number of segments and of those that vary, the choices of segments that a template keeps, as bits.
 KEPT = {(k, b): [sum(1 << i for i in x) for x in combinations(range(k), k - b)] for k in range(1, SEGMENTS + 1) for b in range(min(k, MOST_VARIABLE) + 1)}
 
+#: Parts over which the lines of a leaf are dealt; no more than the least lines of a leaf that goes on.
+LEAF_PARTS = 8
 #: Tokens of a passage, which recurs from two hosts on.
 PASSAGE_TOKENS = 50
 #: Bins of a document's sketch; and the different hosts that are told apart of each line, as many as any rule asks for.
@@ -330,7 +332,10 @@ def common_leaves(rows: DataFrame) -> DataFrame:
     least = (GENERAL_FACTOR * needed_contexts(F.col("size"))).alias("least")
     wide = rows.filter(F.col("n_tokens") >= GENERAL_TOKENS).select("line", least, F.explode(F.array(*map(_leaf, range(DEPTH)))).alias("leaf"))
     leaves = wide.groupBy("leaf").agg(F.count("*").alias("n"), F.min("least").alias("least")).filter(F.col("n") >= F.col("least")).select("leaf")
-    return wide.select("leaf", "line").join(materialize(leaves, "leaves").hint("shuffle_hash"), "leaf").distinct()
+    # a leaf's lines are dealt over parts, to each of which the leaf goes; it has more lines than there are parts
+    each = materialize(leaves, "leaves").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(LEAF_PARTS - 1))))
+    dealt = wide.select("leaf", "line", F.pmod(F.col("line"), F.lit(LEAF_PARTS)).cast("int").alias("part"))
+    return dealt.join(each.hint("shuffle_hash"), ["leaf", "part"]).dropDuplicates(["leaf", "part", "line"]).drop("part")
 
 
 def template_lines(held: DataFrame, routed: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ PERCENT = 75
 COORDINATES, MATCHES = 32, 13
 #: The longer signature, in 16-bit values, of classes that may link.
 LONG_COORDINATES, LONG_MATCHES = 256, 160
+#: Classes of a posting list that stay together where the list is joined.
+LIST_PART = 256
 #: Lists of more classes are merged over the prefixes of full sets.
 SHORT_LIST = 16
 
@@ -175,8 +177,12 @@ def grouped(documents: DataFrame) -> DataFrame:
     typical = postings.groupBy("node").agg(F.sum(F.log2("freq")).alias("weight")).join(classes.select("node", "row"), "node")
     nodes = materialize(typical, "nodes")
     ranked = postings.join(nodes, "node")
-    heads = ranked.groupBy("token").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
-    first = ranked.join(heads, "token").filter(F.col("node") != F.col("head"))
+    heads = ranked.groupBy("token").agg(F.max(F.struct("weight", "node"))["node"].alias("head"), F.max("freq").alias("freq"))
+    # a long list's classes are dealt over parts, to each of which its head goes
+    parts = lambda: (F.col("freq") / LIST_PART).cast("int")
+    each = heads.withColumn("part", F.explode(F.sequence(F.lit(0), parts()))).drop("freq")
+    dealt = ranked.withColumn("part", F.pmod(F.xxhash64("node"), parts() + 1).cast("int"))
+    first = dealt.join(each, ["token", "part"]).filter(F.col("node") != F.col("head"))
     first = first.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     sets = materialize(shingle_sets(documents, nodes), "sets")
     links = materialize(confirmed(matching(first, sets), sets), "links")
