@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of an Arrow batch where the session keeps Spark's default; a worker holds a batch several times over.
-ARROW_BYTES = "16777216b"
+ARROW_BYTES = "4194304b"
 
 
 #: Spark's setting for what becomes of an action's shuffle files.
