@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 #: Bytes of text that a step holds at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -49,8 +49,8 @@ LEAF_PARTS = 8
 PASSAGE_TOKENS = 50
 #: Bins of a document's sketch; and the different hosts that are told apart of each line, as many as any rule asks for.
 BINS, MOST_HOSTS = 64, 12
-#: Lines whose hosts a worker holds before it hands them on.
-_HELD_KEYS = 20_000
+#: Lines, and sketches of their second and further hosts, that a worker holds before it hands them on.
+_HELD_KEYS, _HELD_SKETCHES = 20_000, 30_000
 
 #: Stands for a token with a digit.
 _FIELD = np.uint64(0x3C2A3E3C2A3E3C2A)
@@ -250,6 +250,8 @@ def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """key and sketch of a task's own hosts, from keys and sketch of texts."""
     hosts: dict[int, Hosts] = {}
 
+    more = 0
+
     def found() -> pa.RecordBatch:
         held = list(hosts.values())
         keys = np.repeat(np.fromiter(hosts, np.int64, len(hosts)), [len(h.raw) for h in held])
@@ -260,10 +262,14 @@ def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for k in keys:
                 if k not in hosts:
                     hosts[k] = Hosts()
+                    more -= 1
+                before = len(hosts[k].raw)
                 hosts[k].add(raw)
-            if len(hosts) >= _HELD_KEYS:
+                more += len(hosts[k].raw) - before
+            if len(hosts) >= _HELD_KEYS or more >= _HELD_SKETCHES:
                 yield found()
                 hosts.clear()
+                more = 0
     yield found()
 
 
