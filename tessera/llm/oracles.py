@@ -114,3 +114,32 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_agrees
 FROM d
 """
+
+#: crc32 of each distinct feature comes from its table of 256 values and a fold over the bytes.
+RESAMPLING = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) AS r(i))),
+texts AS (SELECT row_number() OVER () AS rowno, doc_id, text AS raw, false AS aim FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, true FROM benchmark),
+split AS (
+  SELECT rowno, doc_id, raw, aim, regexp_extract_all(translate(coalesce(raw, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+features AS (
+  SELECT rowno, aim, unnest(ws) AS f FROM split
+  UNION ALL SELECT rowno, aim, ws[i] || ' ' || ws[i + 1] FROM split, unnest(range(1, len(ws))) AS u(i)),
+per_text AS (SELECT rowno, aim, f, count(*) AS n FROM features GROUP BY ALL),
+dictionary AS (
+  SELECT f, in_source, in_target, xor(list_reduce(list_transform(range(strlen(f)), lambda j: ('0x' || substr(hex(encode(f)), 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, coalesce(sum(n) FILTER (NOT aim), 0) AS in_source, coalesce(sum(n) FILTER (aim), 0) AS in_target FROM per_text GROUP BY f), crc_table),
+counts AS (SELECT bucket, sum(in_source)::BIGINT AS s, sum(in_target)::BIGINT AS t FROM dictionary GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ())::BIGINT + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((sum(t) OVER ())::BIGINT + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+sums AS (SELECT rowno, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM per_text JOIN dictionary USING (f) JOIN gains USING (bucket) WHERE NOT aim GROUP BY rowno),
+scored AS (
+  SELECT doc_id, raw, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+    coalesce(CASE WHEN total < 0 THEN -((-total + n_features - 1) // n_features) ELSE total // n_features END, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+  FROM split LEFT JOIN sums USING (rowno) WHERE NOT aim),
+placed AS (
+  SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY weight + noise DESC, doc_id NULLS LAST, md5(coalesce(raw, ''))) AS place, count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS drawn
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM placed
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, langid, linededup, mixing, neardup, oracles, quality, toxicity, urls, warc
+from tessera.llm import bpe, fingerprints, importance, langid, linededup, mixing, neardup, oracles, quality, toxicity, urls, warc
 from tessera.runtime import load
 
 
@@ -50,9 +50,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their weights towards the benchmark texts and the ranks of the drawn ones; see importance.resampling_report."""
+    return importance.resampling_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op5_toxicity, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op5_toxicity, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": oracles.MIX, "op3_quality_rules": oracles.QUALITY, "op4_warc_archive": oracles.WARC, "op9_filter_urls": oracles.URLS}
+    return {"op1_mix_sources": oracles.MIX, "op3_quality_rules": oracles.QUALITY, "op4_warc_archive": oracles.WARC, "op9_filter_urls": oracles.URLS, "op11_importance_resampling": oracles.RESAMPLING}

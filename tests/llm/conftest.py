@@ -18,6 +18,8 @@ def write(spark, folder, documents):
     labels = [(1, 1, 0), (3, 0, 1), (4, None, None), (6, 1, 0), (7, 1, 1), (99, 1, 1), (None, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
     pages = [(1, "http://WWW.Example.com/en/a?x", "<p>"), (2, None, None), (3, "no scheme", ""), (4, "http://", "<p>"), (4, "http://", "<p>"), (None, "x://fr.net/fr/" + "y" * 50_000, "é" * 100_000), (5, "http://a.net/fr/é", "é" * 100_000)]
+    items = [(1, "Some more words, in IT", "x"), (None, "", "x"), (3, None, None), (1, "Some more words, in IT", "y")]
+    spark.createDataFrame(items, "item_id long, text string, doc_id string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
     rows = spark.createDataFrame([(*p, "h", "v") for p in pages], "page_id long, url string, html string, host string, verdict string")
     rows.write.mode("overwrite").parquet(f"{folder}/pages.parquet")
 
@@ -32,6 +34,6 @@ def edge_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", EDGE_SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string")):
+    for name, schema in (("documents", EDGE_SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder

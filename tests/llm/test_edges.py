@@ -49,6 +49,9 @@ def test_edge_values(spark, edge_dir):
     assert bpe[10]["n_tokens"] == 0 and bpe[1]["ids_sha256"] == bpe[10]["ids_sha256"]
     near = by("op10_minhash_near_dedup")
     assert near[7]["component_id"] == 6 and not near[7]["kept"] and near[6]["kept"] and near[2]["n_shingles"] == 0 and near[2]["kept"] and near[3]["n_shingles"] == 1
+    drawn = by("op11_importance_resampling")
+    assert drawn[10]["n_features"] == drawn[1]["n_features"] == drawn[1]["weight"] == 0 and drawn[3]["n_features"] == 1 and drawn[9]["n_features"] == 99 and drawn[6]["weight"] > drawn[9]["weight"]
+    assert drawn[4]["n_features"] == 2 * 48_000 - 1 and [drawn[i]["rank"] for i in (1, 3, 6, 10)] == [None] * 4 and {drawn[4]["rank"], drawn[9]["rank"]} == {None}
     url = by("op9_filter_urls", "page_id")
     assert url[1]["rule"] == "www.example.com/en/" and url[1]["verdict"] == "allow" and url[5]["verdict"] == "block" and url[2]["rule"] is None and url[4]["host"] == ""
 
