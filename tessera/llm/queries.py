@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, importance, langid, linededup, mixing, neardup, oracles, quality, toxicity, urls, warc
+from tessera.llm import bpe, fingerprints, importance, langid, linededup, mixing, neardup, oracles, quality, suffixes, toxicity, urls, warc
 from tessera.runtime import load
 
 
@@ -55,8 +55,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampling_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of any string of 200 bytes that starts more than once; see suffixes.substring_report."""
+    return suffixes.substring_report(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op5_toxicity, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup, op11_importance_resampling)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_edit_fingerprints, op3_quality_rules, op4_warc_archive, op5_toxicity, op6_line_dedup, op7_language_id, op8_bpe_round_trip, op9_filter_urls, op10_minhash_near_dedup, op11_importance_resampling, op12_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

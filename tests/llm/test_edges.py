@@ -52,6 +52,9 @@ def test_edge_values(spark, edge_dir):
     drawn = by("op11_importance_resampling")
     assert drawn[10]["n_features"] == drawn[1]["n_features"] == drawn[1]["weight"] == 0 and drawn[3]["n_features"] == 1 and drawn[9]["n_features"] == 99 and drawn[6]["weight"] > drawn[9]["weight"]
     assert drawn[4]["n_features"] == 2 * 48_000 - 1 and [drawn[i]["rank"] for i in (1, 3, 6, 10)] == [None] * 4 and {drawn[4]["rank"], drawn[9]["rank"]} == {None}
+    cut = by("op12_suffix_dedup")
+    assert cut[10]["n_bytes"] == cut[1]["n_removed"] == cut[6]["n_spans"] == 0 and cut[10]["kept_sha256"] == cut[1]["kept_sha256"]
+    assert cut[4]["n_removed"] == cut[4]["n_bytes"] == 30 * 8000 and cut[5]["n_removed"] == 20_000 and cut[5]["n_spans"] == 1
     url = by("op9_filter_urls", "page_id")
     assert url[1]["rule"] == "www.example.com/en/" and url[1]["verdict"] == "allow" and url[5]["verdict"] == "block" and url[2]["rule"] is None and url[4]["host"] == ""
 
