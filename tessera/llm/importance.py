@@ -35,7 +35,7 @@ BUCKETS = 10_000
 #: Words from which a document can be drawn, the share that is drawn, and the seed of the noise.
 LEAST_WORDS, PERCENT, SEED = 20, 25, "7"
 #: Bytes of text in a block, and features (repeats counted) for which there is one part.
-BLOCK_BYTES, PART_FEATURES = 4 << 20, 1 << 20
+BLOCK_BYTES, PART_FEATURES = 4 << 20, 2 << 20
 
 #: Fixed value: bytes of words, before A-Z are lower-cased; all others separate.
 _WORD = np.zeros(256, bool)
@@ -179,6 +179,10 @@ def sent_features(made: DataFrame, target: bool, n_parts: int) -> DataFrame:
     return made.select("block", "sizes", "n_words", "words", "words_size", "ids", "ids_size").mapInArrow(run, _SENT)
 
 
+def _answer_type(n_buckets: int) -> type:
+    return np.uint16 if n_buckets <= 1 << 16 else np.int32
+
+
 _ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("buckets", pa.binary()), ("bucket", pa.int32()), ("in_source", pa.int64()), ("in_target", pa.int64())])
 
 
@@ -195,7 +199,7 @@ def dictionary(sent: DataFrame, n_buckets: int) -> DataFrame:
         for r, x, found in zip(rows, opened, np.split(buckets, cuts), strict=True):
             totals[int(r["target"])] += np.bincount(found, x[1], n_buckets).astype(np.int64)
             if not r["target"]:
-                answers.append((r["block"], r["part"], found.astype(np.int32).tobytes()))
+                answers.append((r["block"], r["part"], found.astype(_answer_type(n_buckets)).tobytes()))
         none = [None] * len(answers)
         return batch_of(_ANSWER, block=[a[0] for a in answers], part=[a[1] for a in answers], buckets=[a[2] for a in answers], bucket=none, in_source=none, in_target=none)
 
@@ -253,7 +257,7 @@ def weights(documents: DataFrame, target: DataFrame, n_buckets: int = BUCKETS) -
         order = np.argsort(block.parts(distinct, n_parts), kind="stable")
         answers = right.sort_by("part").column("buckets").to_pylist()
         of_feature = np.empty(len(distinct), np.int64)
-        of_feature[order] = gains.value[np.frombuffer(b"".join(answers), np.int32)]
+        of_feature[order] = gains.value[np.frombuffer(b"".join(answers), _answer_type(n_buckets))]
         n = np.bincount(owner, minlength=len(row["sizes"]))
         upto = np.concatenate([[0], np.cumsum(of_feature[place[np.argsort(owner, kind="stable")]])])
         ends = np.concatenate([[0], np.cumsum(n)])
