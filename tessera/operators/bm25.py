@@ -66,10 +66,14 @@ def corpus_statistics(index: DataFrame) -> DataFrame:
 
 
 def term_weights(terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """(scope, term, idf) of term and corpus statistics: a negative idf is replaced by EPSILON times the mean over all terms, negative ones included."""
-    raw = terms.join(stats.select("scope", "n_docs"), "scope").select("scope", "term", idf(F.col("n_docs"), F.col("df")).alias("raw"))
-    mean = raw.groupBy("scope").agg(F.avg("raw").alias("mean"))
-    return raw.join(mean, "scope").select("scope", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    """(scope, term, idf) of term and corpus statistics: a negative idf is replaced by EPSILON times the mean over all terms, negative ones included.
+
+    Documents without a tenant are one of their own, so joins hold nulls equal.
+    """
+    same = F.col("scope").eqNullSafe(F.col("__scope"))
+    raw = terms.join(stats.select(F.col("scope").alias("__scope"), "n_docs"), same).select("scope", "term", idf(F.col("n_docs"), F.col("df")).alias("raw"))
+    mean = raw.groupBy(F.col("scope").alias("__scope")).agg(F.avg("raw").alias("mean"))
+    return raw.join(mean, same).select("scope", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 @dataclass

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import bm25, cache, chunking, conversation, dense, fusion, history, links, manifest, pages, prompt
+from tessera.operators import bm25, cache, chunking, conversation, dense, fusion, history, inverted, links, manifest, pages, prompt
 from tessera.plans.retrieval import HybridRetriever, QAPipeline
-from tessera.runtime import load
+from tessera.runtime import load, materialize
 from tessera.sources import vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,18 +113,23 @@ clean AS (SELECT DISTINCT 'clean-' || (n_chars % 40) AS clean_path FROM document
 _SQL_HISTORY = "history AS (SELECT event_id AS id, 'u' || user_id AS company_id, event_type AS question, props AS answer, CASE WHEN value > 20 THEN 1 ELSE 0 END AS starred, ts AS created_at FROM events)"
 
 
-def _sql_bm25(scope: str, k: int) -> str:
+def bm25_tables(scope: str) -> str:
+    """The statistics: tok, tf, df, st, raw, mean, w (a row per tenant and term, with idf)."""
     return f"""
 tok AS (SELECT doc_id, {scope} AS scope, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
 tf AS (SELECT doc_id, scope, term, any_value(dl) AS dl, count(*) AS f FROM (SELECT doc_id, scope, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY doc_id, scope, term),
 df AS (SELECT scope, term, count(*) AS df FROM tf GROUP BY ALL),
 st AS (SELECT scope, count(*) AS n, sum(len(t))::DOUBLE / count(*)::DOUBLE AS avgdl FROM tok GROUP BY ALL),
-raw AS (SELECT scope, term, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS r FROM df JOIN st USING (scope)),
+raw AS (SELECT df.scope, term, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS r FROM df JOIN st ON df.scope IS NOT DISTINCT FROM st.scope),
 mean AS (SELECT scope, avg(r) AS m FROM raw GROUP BY scope),
-w AS (SELECT scope, term, CASE WHEN r < 0 THEN 0.25e0 * m ELSE r END AS idf FROM raw JOIN mean USING (scope)),
+w AS (SELECT raw.scope, term, CASE WHEN r < 0 THEN 0.25e0 * m ELSE r END AS idf FROM raw JOIN mean ON raw.scope IS NOT DISTINCT FROM mean.scope)"""
+
+
+def _sql_bm25(scope: str, k: int) -> str:
+    return f"""{bm25_tables(scope)},
 qt AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
-scored AS (SELECT item_id, scope, doc_id, round(sum(idf * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * qf), 6) AS score
-  FROM qt JOIN tf USING (term) JOIN w USING (scope, term) JOIN st USING (scope) GROUP BY ALL),
+scored AS (SELECT item_id, tf.scope, doc_id, round(sum(idf * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl)) * qf), 6) AS score
+  FROM qt JOIN tf USING (term) JOIN w ON w.term = tf.term AND w.scope IS NOT DISTINCT FROM tf.scope JOIN st ON st.scope IS NOT DISTINCT FROM tf.scope GROUP BY ALL),
 bm25 AS (SELECT item_id, scope, doc_id, score, row_number() OVER (PARTITION BY item_id, scope ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k} AND score > 0)"""
 
 
@@ -171,6 +176,18 @@ def bm25_per_tenant(spark: SparkSession, sf: str) -> DataFrame:
     return bm25.search(_documents(spark, sf), load(spark, sf, "benchmark"), 5, tenant="source")
 
 
+@query(f"WITH {_sql_bm25('0', 20)} SELECT item_id, doc_id, score, rank FROM bm25")
+def bm25_block_max(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of bm25_topk from an inverted index, by the blocks that can matter only."""
+    return inverted.search(materialize(inverted.build(_documents(spark, sf)), "blocks"), load(spark, sf, "benchmark"), 20)
+
+
+@query(f"WITH {_sql_bm25('source', 5)} SELECT item_id, scope AS source, doc_id, score, rank FROM bm25")
+def bm25_block_max_per_tenant(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of bm25_per_tenant from inverted indexes of the tenants."""
+    return inverted.search(materialize(inverted.build(_documents(spark, sf), "source"), "blocks"), load(spark, sf, "benchmark"), 5, tenant="source")
+
+
 @query(f"WITH {_sql_dense(10)} SELECT * FROM dense")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.search(_vectors(spark, sf), _questions(spark, sf), 10)
