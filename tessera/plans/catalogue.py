@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
-from tessera.operators import bm25, cache, chunking, conversation, dense, fusion, history, inverted, links, manifest, pages, prompt
+from tessera.operators import bm25, cache, chunking, conversation, dense, fusion, history, inverted, ivf, links, manifest, pages, prompt
 from tessera.plans.retrieval import HybridRetriever, QAPipeline
-from tessera.runtime import load, materialize
+from tessera.runtime import load, materialize, scratch_path
 from tessera.sources import vector_store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,12 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return dense.search(_vectors(spark, sf), _questions(spark, sf), 10)
 
 
+@query(f"WITH {_sql_dense(10)} SELECT * FROM dense")
+def dense_ivf_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of dense_topk from an inverted file: eight cells for each question, and those beyond that its bound does not rule out."""
+    return ivf.Cells.build(_vectors(spark, sf), scratch_path(spark, "cells")).search(_questions(spark, sf), 10, exact=True)
+
+
 @query(f"WITH {_sql_dense(10, 'label >= 3 AND label <> 5')} SELECT * FROM dense")
 def dense_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return dense.search(_vectors(spark, sf), _questions(spark, sf), 10, {"$and": [{"label": {"$gte": 3}}, {"label": {"$ne": 5}}]})
