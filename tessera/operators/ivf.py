@@ -41,14 +41,13 @@ def centroids_of(vectors: DataFrame, cells: int | None = None, seed: int = 1) ->
     known = vectors.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
     n = known.count()
     cells = min(MOST_CELLS, cells or max(1, math.isqrt(n)))
-    if not n:
-        return np.zeros((0, 1))
+    if not n or cells == 1:
+        first = vectors.filter(F.col("embedding").isNotNull()).select("embedding").first()
+        return _unit(np.ones((1, len(first[0]) if first else 1)))
     # the least digests are a sample that does not hang on the order of rows
     sample = known.orderBy(F.xxhash64("doc_id")).limit(SAMPLE) if n > SAMPLE else known
     features = materialize(sample.select(F.col("embedding").cast("array<double>").alias("x")), "sample").select(array_to_vector("x").alias("features"))
-    fitted = KMeans(k=max(2, cells), maxIter=12, seed=seed, distanceMeasure="cosine").fit(features) if cells > 1 else None
-    if fitted is None:
-        return _unit(np.ones((1, len(known.select("embedding").first()[0]))))
+    fitted = KMeans(k=cells, maxIter=12, seed=seed, distanceMeasure="cosine").fit(features)
     return _unit(np.array(fitted.clusterCenters(), np.float64))
 
 
