@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tessera.functions.text import chunk_id, hash_embedding, query_text
 from tessera.operators import bm25, chunking, history, manifest, pages
 from tessera.operators.cache import AnswerCache
+from tessera.operators.segments import SegmentedIndex
 from tessera.plans.retrieval import HybridRetriever, QAPipeline
 from tessera.runtime import materialize, tenant_log
 from tessera.sources import pdf, stores
 from tessera.sources.config import TenantConfig
 from tessera.sources.vector_store import VectorStore, check_tenant
-from tessera.sources.versions import Versions
 
 log = logging.getLogger(__name__)
 
@@ -106,19 +106,12 @@ class Workspace:
         return self.store(company_id).rows().select(F.col("id").alias("doc_id"), F.col("document").alias("text"))
 
     def index(self, company_id: str) -> bm25.Index:
-        """The tenant's stored BM25 index; made anew where it is not of the store's present version."""
-        kept = Versions(self.spark, f"{self.root}/bm25/company_id={check_tenant(company_id)}")
-        now, found = self.store(company_id).versions.current() or "none", kept.current()
-        if found is None or self.spark.read.text(f"{found}/of").first()["value"] != now:
-            made = bm25.Index.of(self._chunks(company_id))
-
-            def fill(folder: str) -> None:
-                made.write(folder)
-                self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.text(f"{folder}/of")
-
-            found = kept.write(fill)
-            log.info("index written", extra={"chunks": now})
-        return bm25.Index.read(self.spark, found)
+        """The tenant's stored BM25 index; chunks that came or went since it was last asked for make a segment of it."""
+        kept = SegmentedIndex(self.spark, f"{self.root}/bm25/company_id={check_tenant(company_id)}")
+        now = self.store(company_id).versions.current() or "none"
+        if kept.last() != now:
+            log.info("index segment %s written", kept.sync(self._chunks(company_id), now), extra={"chunks": now})
+        return kept.index()
 
     def ingest(self, config: TenantConfig) -> DataFrame:
         """Extract, chunk, embed and index every file that is new or changed; drop chunks of files that changed or went. Returns the run's summary."""

@@ -20,6 +20,16 @@ def number(text: Column, modulus: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(modulus)).cast("int")
 
 
+def read_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The Parquet table under ``path``; one without rows where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class BucketedTable:
     """Rows with ``schema`` under ``path``, by ``tenant`` (a column) and ``bucket``, which is made of ``key`` (a column)."""
 
@@ -30,12 +40,7 @@ class BucketedTable:
 
     def rows(self) -> DataFrame:
         """All rows; none where nothing was written yet."""
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], self.schema)
+        return read_or_none(self.spark, self.path, self.schema)
 
     def merge(self, changes: DataFrame) -> int:
         """Replace all rows of each (tenant, key) in ``changes``; returns how many folders were written. No changes write nothing."""

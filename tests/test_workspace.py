@@ -8,9 +8,9 @@ from tessera import runtime
 from tessera.__main__ import main
 from tessera.operators import bm25, prompt
 from tessera.operators.cache import AnswerCache
+from tessera.operators.segments import SegmentedIndex
 from tessera.plans.workspace import Workspace
 from tessera.sources.config import tenant_config
-from tessera.sources.versions import Versions
 
 
 GUIDE = "Deployment Guide\nThis document explains how to deploy the service to production.\fRollback Procedure\nIf deployment fails, run the rollback script immediately and call the team."
@@ -78,15 +78,18 @@ def _ready(w, raw, config):
 def test_the_stored_index_follows_the_store(place):
     w, raw, config, _ = place
     _ready(w, raw, config)
-    kept = Versions(w.spark, f"{w.root}/bm25/company_id=acme")
-    first = kept.current()
-    assert first.endswith("v-1") and w.pipeline(config()).retriever.index is not None and kept.current() == first
+    kept = SegmentedIndex(w.spark, f"{w.root}/bm25/company_id=acme")
+    first = kept.segments()
+    assert len(first) == 1 and w.pipeline(config()).retriever.index is not None and kept.segments() == first
     asked = w.questions(config(), ["rollback script", "kangaroos"])
     by_words = lambda: {(r["item_id"], r["doc_id"]) for r in bm25.search_index(w.index("acme"), asked).collect()}
     assert {i for i, _ in by_words()} == {0}
     (raw / "more.pdf").write_bytes(b"An entirely new text on kangaroos, which is long enough to be a chunk.")
     w.ingest(config()).collect()
-    assert kept.current().endswith("v-2") and {i for i, _ in by_words()} == {0, 1}
+    assert {i for i, _ in by_words()} == {0, 1}
+    assert kept.segments()[:1] == first and len(kept.segments()) == 2
+    added = w.spark.read.parquet(f"{kept.path}/postings").filter(F.col("segment") == kept.segments()[1])
+    assert added.count() == 1  # of the new file only
 
 
 def test_follow_ups_pass_the_cache_by(place):
