@@ -50,7 +50,7 @@ digits AS (SELECT tf.scope, tf.term, doc_id, df, idf, f::DOUBLE * 2.5e0 / (f::DO
     ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS of_doc, ('0x' || substr(md5(tf.term), 1, 8))::BIGINT AS of_term
   FROM tf JOIN df ON df.term = tf.term AND df.scope IS NOT DISTINCT FROM tf.scope JOIN w ON w.term = tf.term AND w.scope IS NOT DISTINCT FROM tf.scope
     JOIN st ON st.scope IS NOT DISTINCT FROM tf.scope)
-SELECT scope AS source, (of_term % 16)::INT AS bucket, term, floor(impact * 8)::INT AS band, CASE WHEN df > 1024 THEN of_doc % ((df + 1023) // 1024) ELSE 0 END AS part, df, round(any_value(idf), 6) AS idf,
+SELECT scope AS source, (of_term % 16)::INT AS bucket, term, CASE WHEN df > 1024 THEN floor(impact * 8) ELSE 0 END::INT AS band, CASE WHEN df > 1024 THEN of_doc % ((df + 1023) // 1024) ELSE 0 END AS part, df, round(any_value(idf), 6) AS idf,
   count(*) AS n, min(impact) AS low, max(impact) AS high, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs
 FROM digits GROUP BY ALL"""
 

@@ -1,7 +1,7 @@
 """BM25 over a stored inverted index whose blocks know their highest impact, so that a search leaves out blocks that cannot matter.
 
-A posting's impact is what it adds to a score, but for the weight of its term. Postings of a term (of a tenant) are cut into blocks
-by impact, in bands, and within a band of a frequent term by a digest of the doc_id, so that no block grows with the data. Blocks lie in
+A posting's impact is what it adds to a score, but for the weight of its term. Postings of a term (of a tenant) are a block,
+those of a frequent term are cut by impact, in bands, and within a band by a digest of the doc_id, so that no block grows with the data. Blocks lie in
 folders by tenant and by a digest of their term: a search reads the folders of the asked terms only, and of these first no more than
 each block's size, lowest and highest impact.
 
@@ -66,8 +66,10 @@ def build(documents: DataFrame, tenant: str | None = None, buckets: int = BUCKET
     frequent = materialize(counts.filter(F.col("df") > BLOCK).select("scope", "term", F.ceil(F.col("df") / BLOCK).alias("parts")), "frequent")
     dealt = each.join(frequent, _same(each, frequent, "scope", "term"), "left").select(each["scope"], each["term"], "doc_id", "impact", "parts")
     part = F.coalesce(part_of(F.col("doc_id"), F.col("parts")), F.lit(0).cast("long"))
-    dealt = dealt.select("scope", "term", F.floor(F.col("impact") * BANDS).cast("int").alias("band"), part.alias("part"), F.struct("doc_id", "impact").alias("p"))
-    blocks = dealt.groupBy(*_KEY).agg(F.sort_array(F.collect_list("p")).alias("p"), F.count("*").alias("n"), F.min("p.impact").alias("low"), F.max("p.impact").alias("high"))
+    band = F.when(F.col("parts").isNotNull(), F.floor(F.col("impact") * BANDS)).otherwise(0).cast("int")
+    dealt = dealt.select("scope", "term", band.alias("band"), part.alias("part"), F.struct("doc_id", "impact").alias("p"))
+    # rows move as they are: lists made before would hold a posting or two each
+    blocks = dealt.repartition(*_KEY).groupBy(*_KEY).agg(F.sort_array(F.collect_list("p")).alias("p"), F.count("*").alias("n"), F.min("p.impact").alias("low"), F.max("p.impact").alias("high"))
     known = weights.join(counts, _same(weights, counts, "scope", "term")).select(weights["scope"].alias("__s"), weights["term"].alias("__t"), "df", "idf")
     joined = blocks.join(known, F.col("scope").eqNullSafe(F.col("__s")) & (F.col("term") == F.col("__t")))
     bucket = number(F.col("term"), buckets).cast("int").alias("bucket")
