@@ -3,8 +3,8 @@
 A repeated string of LENGTH bytes holds the same sampled grams wherever it stands: of the grams in each window of LENGTH bytes, the one with
 the least hash is its anchor (the last of equal ones). Only suffixes around anchors whose gram occurs again can repeat, so the suffix array is made of these:
 
-1. Anchors, with a hash of their surroundings (every window of LENGTH bytes that holds the anchor), are counted. An anchor that occurs once
-   drops out with its suffixes. Occurrences with equal surroundings repeat in all their windows; the first stands for them.
+1. Anchors, with a hash of their surroundings (every window of LENGTH bytes that holds the anchor), are counted, those that are equal within
+   a text where it is read. An anchor that occurs once drops out with its suffixes. Occurrences with equal surroundings repeat in all their windows; the first stands for them.
 2. Different surroundings of one anchor form a bucket of the suffix array. A bucket's suffixes, one for each window, are sorted by
    their first LENGTH bytes (doubling ranks). In suffix order the previous and the next smaller position tell whether an equal window lies
    earlier; the previous and next larger, whether one lies later.
@@ -94,20 +94,48 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[texts[0] : texts[-1]], texts - texts[0]
 
 
-def anchors(documents: DataFrame, length: int) -> DataFrame:
-    """doc_id, row, n_bytes, place, anchor, around of each text of ``length`` bytes or more; the last three are arrays."""
+def once_a_text(text: np.ndarray, gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of anchors in order: those that are the first of a text with their gram and surroundings, how often these occur in it, and which anchors are of several."""
+    order = np.lexsort((np.arange(len(text)), around, gram, text))
+    t, g, a = text[order], gram[order], around[order]
+    begins = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (a[1:] != a[:-1])])) if len(order) else order
+    times = np.diff(np.append(begins, len(order)))
+    several = np.empty(len(order), bool)
+    several[order] = np.repeat(times > 1, times)
+    first = order[begins]
+    back = np.argsort(first, kind="stable")
+    return first[back], times[back], several
+
+
+def anchors(documents: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """doc_id, row, n_bytes, place, anchor, around, times, own of each text of ``length`` bytes or more; the last five are arrays.
+
+    Anchors with equal surroundings in one text, as in a run of one word, are given once, with ``times``; ``own`` are the intervals around
+    all of them, or around all but the first.
+    """
     narrow = documents.filter(F.octet_length("text") >= length).select("doc_id", row_key().alias("row"), "text")
+    left = length - length // 2
+    names = ["doc_id", "row", "n_bytes", "place", "anchor", "around", "times", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             data, texts = _bytes_of(b.column("text"))
             places, text, gram, around = anchors_of(data, texts, length)
-            cuts = pa.array(np.searchsorted(text, np.arange(len(texts))), pa.int32())
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (places - texts[text], gram.view(np.int64), around.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(np.diff(texts)), *lists], names=["doc_id", "row", "n_bytes", "place", "anchor", "around"])
+            first, times, several = once_a_text(text, gram, around)
+            if keep_first:
+                several[first] = False
+            p, t = places[several], text[several]
+            low, high = np.maximum(p - left, texts[t]), np.minimum(p + length, texts[t + 1])
+            begins = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (low[1:] > high[:-1])])) if len(p) else np.empty(0, np.int64)
+            ends = np.append(begins[1:], len(p)) - 1 if len(p) else begins
+            of = t[begins]
+            own = pa.StructArray.from_arrays([pa.array(low[begins] - texts[of]), pa.array(high[ends] - texts[of])], ["start", "end"])
+            cuts = lambda x: pa.array(np.searchsorted(x, np.arange(len(texts))), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts(text[first]), pa.array(x)) for x in ((places - texts[text])[first], gram.view(np.int64)[first], around.view(np.int64)[first], times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(np.diff(texts)), *lists, pa.ListArray.from_arrays(cuts(of), own)], names=names)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, row binary, n_bytes long, place array<long>, anchor array<long>, around array<long>")
+    return narrow.mapInArrow(run, f"doc_id {kind}, row binary, n_bytes long, place array<long>, anchor array<long>, around array<long>, times array<long>, own array<struct<start: long, end: long>>")
 
 
 def ranks_of_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -163,16 +191,17 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, keep_first: bool
     if length < 16:
         raise ValueError("repeated strings have 16 bytes at least")
     left = length - length // 2
-    found = materialize(anchors(documents, length), "anchors")
-    once = found.select("doc_id", "row", "n_bytes", F.posexplode("anchor").alias("i", "anchor"), "place", "around")
-    each = once.select("anchor", F.get("around", "i").alias("around"), *order_of(F.col("doc_id")), F.get("place", "i").alias("place"), "n_bytes")
-    again = found.select(F.explode(F.arrays_zip("anchor", "around")).alias("x")).groupBy("x.anchor").agg(F.count("*").alias("n"), (F.min("x.around") == F.max("x.around")).alias("alike"))
+    found = materialize(anchors(documents, length, keep_first), "anchors")
+    own = materialize(found.select("row", F.explode("own").alias("x")).select("row", "x.start", "x.end"), "own")
+    once = found.select("doc_id", "row", "n_bytes", F.posexplode("anchor").alias("i", "anchor"), "place", "around", "times")
+    each = once.select("anchor", F.get("around", "i").alias("around"), *order_of(F.col("doc_id")), F.get("place", "i").alias("place"), "n_bytes", F.get("times", "i").alias("times"))
+    again = found.select(F.explode(F.arrays_zip("anchor", "around", "times")).alias("x")).groupBy("x.anchor").agg(F.sum("x.times").alias("n"), (F.min("x.around") == F.max("x.around")).alias("alike"))
     again = materialize(again.filter("n > 1").select("anchor", "alike"), "again")
     live = materialize(each.join(again, "anchor"), "live")  # read back, both sides of later joins are plain exchanges, and hot ones can be split
     discard(found, again)
 
     first = F.min(F.struct("last", "doc_id", "row", "place", "n_bytes")).alias("first")
-    distinct = materialize(live.groupBy("anchor", "around").agg(F.count("*").alias("n"), first, F.first("alike").alias("alike")), "surroundings")
+    distinct = materialize(live.groupBy("anchor", "around").agg(F.sum("times").alias("n"), first, F.first("alike").alias("alike")), "surroundings")
     several = distinct.filter("n > 1").select("anchor", "around", F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"))
     alike = live.select("anchor", "around", "row", "place", "n_bytes").join(several, ["anchor", "around"])
     if keep_first:
@@ -194,7 +223,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, keep_first: bool
     if keep_first:
         hot = hot.filter(at != F.col("low"))
     hot = hot.select("row", "start", (F.col("start") + length).alias("end"))
-    return whole.union(sorted_).union(hot)
+    return own.union(whole).union(sorted_).union(hot)
 
 
 _CUT = "anchor long, hot boolean, last boolean, doc_id {}, row binary, start long, bytes binary, windows array<binary>"
