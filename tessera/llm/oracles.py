@@ -82,25 +82,35 @@ quartiles AS (
   SELECT level, lang, source, rate, max(size) AS size, min(bucket) FILTER (upto * 4 >= size) AS q1, min(bucket) FILTER (upto * 4 >= size * 2) AS q2,
     min(bucket) FILTER (upto * 4 >= size * 3) AS q3
   FROM upto GROUP BY ALL),
+by_lang AS (
+  SELECT l.level, l.lang, l.source, l.rate, l.size, (l.size * l.q1 + 100 * o.q1) // (l.size + 100) AS q1, (l.size * l.q2 + 100 * o.q2) // (l.size + 100) AS q2,
+    (l.size * l.q3 + 100 * o.q3) // (l.size + 100) AS q3
+  FROM quartiles l JOIN quartiles o ON l.level = 1 AND o.level = 2 AND o.rate = l.rate),
+drawn AS (
+  SELECT g.level, g.lang, g.source, g.rate, (g.size * g.q1 + 100 * l.q1) // (g.size + 100) AS q1, (g.size * g.q2 + 100 * l.q2) // (g.size + 100) AS q2,
+    (g.size * g.q3 + 100 * l.q3) // (g.size + 100) AS q3
+  FROM quartiles g JOIN by_lang l ON g.level = 0 AND l.rate = g.rate AND l.lang IS NOT DISTINCT FROM g.lang
+  UNION ALL SELECT level, lang, source, rate, q1, q2, q3 FROM by_lang
+  UNION ALL SELECT level, lang, source, rate, q1, q2, q3 FROM quartiles WHERE level = 2),
 events(rate, of, adds, adds_q2, both_sides) AS (VALUES ('symbol_rate', 'n_words', 1000, 0, false), ('dup_line_rate', 'n_lines', 1000, 0, false),
   ('repeat_rate', 'n_words', 16000, 0, false), ('word_length', 'n_words', 0, 10, true)),
-spreads AS (
-  SELECT q.*, both_sides, greatest(q.q3 - q.q1, (adds + adds_q2 * q.q2) // greatest(o.q2, 1)) AS spread
-  FROM quartiles q JOIN events e ON e.rate = q.rate
-  JOIN quartiles o ON o.rate = e.of AND o.level = q.level AND o.lang IS NOT DISTINCT FROM q.lang AND o.source IS NOT DISTINCT FROM q.source),
-fences AS (SELECT level, lang, source, rate, size, both_sides, q1 - 5 * spread AS low, q3 + 5 * spread AS high FROM spreads),
 values_ AS (
   SELECT rowno, lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS rate,
-    unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v FROM rated),
-chosen AS (
-  SELECT rowno, v, CASE WHEN f0.size >= 100 THEN f0.high WHEN f1.size >= 100 THEN f1.high ELSE f2.high END AS high,
-    CASE WHEN f2.both_sides THEN CASE WHEN f0.size >= 100 THEN f0.low WHEN f1.size >= 100 THEN f1.low ELSE f2.low END END AS low
+    unnest([symbol_rate, dup_line_rate, repeat_rate, word_length]) AS v, unnest([n_words, n_lines, n_words, n_words]) AS n FROM rated),
+levels AS (
+  SELECT x.*, CASE WHEN f0.level IS NOT NULL THEN 0 WHEN f1.level IS NOT NULL THEN 1 ELSE 2 END AS level
   FROM values_ x
-  LEFT JOIN fences f0 ON f0.level = 0 AND f0.rate = x.rate AND f0.lang IS NOT DISTINCT FROM x.lang AND f0.source IS NOT DISTINCT FROM x.source
-  LEFT JOIN fences f1 ON f1.level = 1 AND f1.rate = x.rate AND f1.lang IS NOT DISTINCT FROM x.lang
-  LEFT JOIN fences f2 ON f2.level = 2 AND f2.rate = x.rate),
+  LEFT JOIN drawn f0 ON f0.level = 0 AND f0.rate = x.rate AND f0.lang IS NOT DISTINCT FROM x.lang AND f0.source IS NOT DISTINCT FROM x.source
+  LEFT JOIN drawn f1 ON f1.level = 1 AND f1.rate = x.rate AND f1.lang IS NOT DISTINCT FROM x.lang),
+spreads AS (
+  SELECT x.rowno, x.v, q.q1, q.q3, both_sides, greatest(5 * (q.q3 - q.q1),
+    (4 * (adds + adds_q2 * q.q2)) // greatest(floor(sqrt((greatest(o.q2, 1) * least(greatest(x.n, 1), 16 * greatest(o.q2, 1)))::DOUBLE))::BIGINT, 1)) AS spread
+  FROM levels x JOIN events e ON e.rate = x.rate
+  JOIN drawn q ON q.level = x.level AND q.rate = x.rate AND (x.level = 2 OR q.lang IS NOT DISTINCT FROM x.lang) AND (x.level > 0 OR q.source IS NOT DISTINCT FROM x.source)
+  JOIN drawn o ON o.level = x.level AND o.rate = e.of AND (x.level = 2 OR o.lang IS NOT DISTINCT FROM x.lang) AND (x.level > 0 OR o.source IS NOT DISTINCT FROM x.source)),
+chosen AS (SELECT rowno, v, q3 + spread AS high, CASE WHEN both_sides THEN q1 - spread END AS low FROM spreads),
 bad AS (SELECT rowno, bool_or(coalesce(v > high, false) OR coalesce(v < low, false)) AS bad FROM chosen GROUP BY rowno),
-judged AS (SELECT rated.*, NOT base_failed AND NOT bad AS kept FROM rated JOIN bad USING (rowno))
+judged AS (SELECT rated.*, NOT base_failed AND NOT coalesce(bad, false) AS kept FROM rated LEFT JOIN bad USING (rowno))
 """
 
 QUALITY = f"""WITH {QUALITY_TABLES.format(documents='documents')}

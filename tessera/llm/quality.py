@@ -3,15 +3,17 @@
 Each document gets counts of its whole text. Rates made from these counts feed mergeable quantile sketches per
 language and source: a value's bucket keeps its leading bits (exact below 128, within 1/64 above), and a sketch
 is the count in each bucket, so sketches of any groups merge by adding counts. Thresholds are fences around the
-quartiles of a document's own group, or of its language or of everything where the group is small: FENCE spreads beyond them.
+quartiles of a document's group, FENCE spreads beyond them. A group's quartiles are drawn toward its language's, and those toward
+everything's, by weight: n documents against WEIGHT, so no size switches from one fence to another.
 A spread is the distance of the quartiles. Where most documents have the same rate, zero say, that tells nothing; the spread is
-then what a single event (a symbol, a repeated line or run of words, a word of unusual length) adds to the rate of the group's
-median document, so it follows the sketches of the documents' sizes. Joining thresholds to documents gives the verdict.
+then what a single event (a symbol, a repeated line or run of words, a word of unusual length) adds to a rate, and shrinks with the
+root of a document's size, as chance counts do: at the median size it is one event of the median document, in longer documents less.
+Joining the quartiles to documents gives each its fences and its verdict.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,14 @@ from tessera.runtime import materialize
 SYMBOLS = "#*$%&|<>"
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT, REPEAT_WINDOW = 20, 30, 8
-#: The method's back-off: a group's own fences count from so many documents on; below, its language's, then everything's.
-LEAST_GROUP = 100
+#: A language's quartiles weigh as so many documents beside a group's own, everything's as many beside a language's.
+WEIGHT = 100
+#: From so many median sizes on, spreads shrink no more, so that a few events in a very long text are no outlier.
+LARGEST_SIZE = 16
 #: The fence lies so many spreads above the upper quartile (or below the lower one).
 FENCE = 5
+#: Where quartiles coincide, so many events: of what happens once in ten documents, four in one are chance in 1 of 250,000.
+EVENTS = 4
 #: Rates in thousandths (letters a word in hundredths): the size that they are rates of, what one event adds to them in a
 #: document of size 1 (an expression over the quartiles), and the side that is bad.
 RATES = {
@@ -134,47 +140,71 @@ def sketches(counts: DataFrame) -> DataFrame:
     return groups.select(upper.alias("of"), "rate", "bucket", "n").groupBy("of.level", "of.lang", "of.source", "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, size, <rate>_low, <rate>_high): fences of each sketch."""
+def _fence(rate: str, size: str, at: Callable[[str, str], str]) -> tuple[str, str]:
+    """The fences of a rate in a document of ``size``; ``at`` names a quartile of what is sketched."""
+    of, event, _ = RATES[rate]
+    median = f"greatest({at(of, 'q2')}, 1)"
+    scale = f"greatest(cast(floor(sqrt(cast({median} * least(greatest({size}, 1), {LARGEST_SIZE} * {median}) as double))) as bigint), 1)"
+    spread = f"greatest({FENCE} * ({at(rate, 'q3')} - {at(rate, 'q1')}), ({EVENTS} * {event.replace('q2', at(rate, 'q2'))}) div {scale})"
+    return f"{at(rate, 'q1')} - {spread}", f"{at(rate, 'q3')} + {spread}"
+
+
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, size, <what is sketched>_q1, _q2, _q3) of each sketch by itself."""
     key = ["level", "lang", "source", "rate"]
     upto = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*key)
     ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "size": F.sum("n").over(whole)})
     at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("size") * share, F.col("bucket")))
     found = ranked.groupBy(*key).agg(F.max("size").alias("size"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
-    of = lambda name: F.max(F.when(F.col("rate") == name, F.struct("q1", "q2", "q3"))).alias(name)
-    wide = found.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *map(of, SKETCHED))
+    of = lambda name, q: F.max(F.when(F.col("rate") == name, F.col(q))).alias(f"{name}_{q}")
+    return found.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *(of(name, q) for name in SKETCHED for q in ("q1", "q2", "q3")))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, size, quartiles drawn toward the level above, <rate>_low, <rate>_high at the median size)."""
+    found = materialize(quartiles(sketch), "quartiles")
+    names = [f"{name}_{q}" for name in SKETCHED for q in ("q1", "q2", "q3")]
+
+    def drawn(level: int, above: DataFrame, same: Column) -> DataFrame:
+        mixed = [F.expr(f"(own.size * own.{n} + {WEIGHT} * above.{n}) div (own.size + {WEIGHT})").alias(n) for n in names]
+        own = found.filter(F.col("level") == level)
+        return own.alias("own").join(above.alias("above"), same).select("own.level", "own.lang", "own.source", "own.size", *mixed)
+
+    overall = found.filter("level = 2")
+    by_lang = drawn(1, overall, F.expr("above.level = 2"))  # one row above
+    by_group = drawn(0, by_lang, F.expr("own.lang <=> above.lang"))
+    at = lambda name, q: f"{name}_{q}"
     fences = []
-    for rate, (size, event, _) in RATES.items():
-        spread = f"greatest({rate}.q3 - {rate}.q1, ({event.replace('q2', f'{rate}.q2')}) div greatest({size}.q2, 1))"
-        fences += [F.expr(f"{rate}.q1 - {FENCE} * {spread}").alias(f"{rate}_low"), F.expr(f"{rate}.q3 + {FENCE} * {spread}").alias(f"{rate}_high")]
-    return wide.select("level", "lang", "source", "size", *fences)
+    for rate, (size, _, _) in RATES.items():
+        low, high = _fence(rate, at(size, "q2"), at)
+        fences += [F.expr(low).alias(f"{rate}_low"), F.expr(high).alias(f"{rate}_high")]
+    return by_group.unionByName(by_lang).unionByName(overall).select("level", "lang", "source", "size", *names, *fences)
 
 
 def judged(counts: DataFrame, learned_from: DataFrame | None = None) -> DataFrame:
     """Add ``kept`` to document counts, by the fences of ``learned_from``, else their own.
 
     The thresholds table holds a row per group, language and everything. A group is joined by a key that is
-    never null, so documents without language or source form groups of their own. Rows that fail the base rule
+    never null, so documents without language or source form groups of their own; a group none of whose documents passes the base
+    rule takes its language's, then everything's. Rows that fail the base rule
     are not kept; empty texts fail it. Repeated rows are judged alike; an empty table gives no rows.
     """
     fences = materialize(thresholds(sketches(counts if learned_from is None else learned_from)), "fences")
-    fields = [f"{r}_{side}" for r in RATES for side in ("low", "high")]
-    value = F.struct("size", *fields)
+    value = F.struct(*(f"{name}_{q}" for name in SKETCHED for q in ("q1", "q2", "q3")))
     key = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c))
     by_group = fences.filter("level = 0").select(key("lang", "source").alias("__g"), value.alias("__v0"))
     by_lang = fences.filter("level = 1").select(key("lang").alias("__l"), value.alias("__v1"))
     overall = fences.filter("level = 2").select(F.lit(1).alias("__a"), value.alias("__v2"))
     joined = counts.withColumns({"__g": key("lang", "source"), "__l": key("lang"), "__a": F.lit(1)})
     joined = joined.join(by_group, "__g", "left").join(by_lang, "__l", "left").join(F.broadcast(overall), "__a", "left")  # one row
-    big = lambda c: F.col(c)["size"] >= LEAST_GROUP
-    fence = F.when(big("__v0"), F.col("__v0")).when(big("__v1"), F.col("__v1")).otherwise(F.col("__v2"))
-    joined = joined.withColumn("__v", fence)
+    joined = joined.withColumn("__v", F.coalesce("__v0", "__v1", "__v2"))
     bad = F.lit(False)
-    for rate, (_, _, side) in RATES.items():
-        bad = bad | (F.col(rate) > F.col("__v")[f"{rate}_high"])
+    for rate, (size, _, side) in RATES.items():
+        low, high = _fence(rate, size, lambda name, q: f"__v.{name}_{q}")
+        bad = bad | (F.col(rate) > F.expr(high))
         if side == "both":
-            bad = bad | (F.col(rate) < F.col("__v")[f"{rate}_low"])
+            bad = bad | (F.col(rate) < F.expr(low))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~F.coalesce(bad, F.lit(False)))
     return joined.select(*counts.columns, kept.alias("kept"))
 

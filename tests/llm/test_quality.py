@@ -59,3 +59,31 @@ def test_rows_are_removed_by_their_own_verdict(spark):
     kept = quality.keep_good(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "source"]
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in spark.createDataFrame([r for r in rows if r[1] and r[1] != "short"], SCHEMA).collect())
+
+
+def test_fences_of_small_groups_are_drawn_toward_the_language(spark):
+    """A group's quartiles move smoothly with its size; a group without examples takes its language's, then everything's."""
+    sketch = lambda level, lang, source, n, q: [(level, lang, source, r, q, n) for r in quality.SKETCHED]
+    rows = sketch(0, "en", "few", 1, 1000) + sketch(0, "en", "many", 100_000, 1000) + sketch(0, None, None, 100, 400) + sketch(1, "en", None, 300, 200) + sketch(1, None, None, 100, 400) + sketch(2, None, None, 400, 100)
+    found = quality.thresholds(spark.createDataFrame(rows, "level int, lang string, source string, rate string, bucket long, n long"))
+    got = {(r["level"], r["lang"], r["source"]): r["symbol_rate_q3"] for r in found.collect()}
+    language, unnamed = (300 * 200 + 100 * 100) // 400, (100 * 400 + 100 * 100) // 200
+    assert got == {
+        (2, None, None): 100, (1, "en", None): language, (1, None, None): unnamed, (0, "en", "few"): (1000 + 100 * language) // 101,
+        (0, "en", "many"): (100_000 * 1000 + 100 * language) // 100_100, (0, None, None): (100 * 400 + 100 * unnamed) // 200,
+    }
+
+
+def test_fences_follow_a_documents_own_size(spark):
+    """Of two documents with one rate of repeated lines or words, the long one is an outlier and the short one is chance."""
+    rng = random.Random(5)
+    rows = [(i, _document(rng, 60, 15), "en", "a") for i in range(150)]
+    # words end in their number, so longer texts take fewer letters
+    rows += [(500, _document(rng, 60, 15, copies=2), "en", "a"), (501, _document(rng, 900, 225, copies=30, letters=4), "en", "a")]
+    rows += [(502, _document(rng, 150, 15, repeated=21), "en", "a"), (503, _document(rng, 6000, 15, repeated=850, letters=3), "en", "a")]
+    # few events in a very long text are no outlier
+    rows += [(504, _document(rng, 6000, 1500, symbols=20, copies=10, repeated=24, letters=3), "en", "a")]
+    got = {r["doc_id"]: r for r in quality.quality_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[i]["base_failed"] for i in range(500, 505))
+    assert 40 * got[502]["n_repeat_words"] <= got[503]["n_repeat_words"] and 2 * 255 == 17 * 30
+    assert {i: r for i, r in got.items() if not r["kept"]}.keys() == {501, 503}, got[504]
