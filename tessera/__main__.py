@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     crawl.add_argument("--url", required=True)
     crawl.add_argument("--prefix", default="")
     crawl.add_argument("--max-pages", type=int, default=100)
+    crawl.add_argument("--concurrency", type=int, default=3)
     return top
 
 
@@ -88,9 +89,11 @@ def main(argv: list[str] | None = None, workspace: Workspace | None = None) -> i
             return 1
         w.reset(company)
     elif args.command == "crawl":
-        found = links.extract_links(spark.read.parquet(args.pages), args.prefix)
+        pages = spark.read.parquet(args.pages)
+        page = F.regexp_replace("url", "/+$", "").alias("url")
+        found = links.extract_links(pages, args.prefix).select(page, "at", "link")
         start = spark.createDataFrame([(args.url.rstrip("/"),)], "url string")
-        for r in links.crawl_levels(start, found.select(F.regexp_replace("url", "/+$", "").alias("url"), "link"), args.max_pages).orderBy("depth", "url").collect():
+        for r in links.crawl_order(start, found, pages.select(page), args.max_pages, args.concurrency).filter("saved").orderBy("position").toLocalIterator():
             print(r["depth"], r["url"])
     return 0
 

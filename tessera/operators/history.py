@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import numbered
+
 CITATIONS = "array<struct<marker:int,source:string,page:int,snippet:string,score:double>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,13 +36,10 @@ def matching(history: DataFrame, search: str) -> DataFrame:
 def append(history: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` (company_id, question, answer, citations, created_at) with ids that follow the largest one, unstarred.
 
-    New entries are few; they are numbered in order of created_at.
+    New entries are numbered in order of created_at, then tenant and question.
     """
-    from pyspark.sql import Window
-
     top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("created_at", "company_id", "question"))
-    rows = new.select(number.alias("n"), "company_id", "question", "answer", F.to_json("citations").alias("citations_json"), "created_at")
+    rows = numbered(new, ["created_at", "company_id", "question"], "n", 1).select("n", "company_id", "question", "answer", F.to_json("citations").alias("citations_json"), "created_at")
     placed = rows.crossJoin(F.broadcast(top))  # one row
     return history.unionByName(placed.select((F.col("n") + F.col("top")).cast("long").alias("id"), "company_id", "question", "answer", "citations_json", F.lit(0).alias("starred"), "created_at"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import discard, materialize, scratch_path
+from tessera.runtime import discard, materialize, numbered, scratch_path
 
 #: What holds no elements: comments, scripts, styles; and an anchor's start tag with its attributes, whose values may hold ">".
 NO_MARKUP = r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>"
@@ -127,3 +127,57 @@ def crawl_levels(starts: DataFrame, links: DataFrame, max_pages: int | None = No
         level.write.mode("append").parquet(path)
         discard(level)
     return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
+
+
+def crawl_order(starts: DataFrame, links: DataFrame, fetched: DataFrame, max_pages: int | None = None, batch: int = 1) -> DataFrame:
+    """(url, position, depth, found_by, saved): pages in the order in which a first-in-first-out crawl takes them.
+
+    ``starts`` (url) are taken by url; then pages as they are found, by the place of the page that names them first (``found_by``) and the
+    link's place in it: ``links`` (url, at, link). Pages not in ``fetched`` (url) fail: they are taken, name nothing and are not ``saved``.
+    Pages are taken in batches, shorter where fewer are known. With ``max_pages`` the batch that saves so many is the last, and is whole,
+    so more may be saved. Null urls and links are left out; repeated rows count once.
+    """
+    spark = starts.sparkSession
+    known = fetched.select("url").filter(F.col("url").isNotNull()).distinct()
+    edges = materialize(links.select("url", "at", "link").filter("url IS NOT NULL AND link IS NOT NULL").join(known, "url", "left_semi").groupBy("url", "link").agg(F.min("at").alias("at")), "edges")
+    path = scratch_path(spark, "order")
+
+    def add(pages: DataFrame, order: list[str], depth: int, first: int) -> int:
+        """Number one level and append it; how many pages there are then."""
+        level = materialize(numbered(pages, order, "position", first), "level")
+        level.select("url", "position", F.lit(depth).alias("depth"), "found_by").write.mode("append").parquet(path)
+        discard(level)
+        return spark.read.schema(schema).parquet(path).count()
+
+    schema = "url string, position long, depth int, found_by long"
+    total, depth, enough = add(starts.select("url").filter(F.col("url").isNotNull()).distinct().withColumn("found_by", F.lit(None).cast("long")), ["url"], 0, 0), 0, False
+    grown = total > 0
+    while grown and not enough:
+        seen = spark.read.schema(schema).parquet(path)
+        # a batch may reach into the level after the one that saves enough, so that one is made as well
+        enough = max_pages is not None and seen.join(known, "url", "left_semi").count() >= max_pages
+        last = seen.filter(F.col("depth") == depth)
+        named = last.join(edges, "url").groupBy(F.col("link").alias("url")).agg(F.min(F.struct("position", "at")).alias("by"))
+        reached = named.join(seen.select("url"), "url", "left_anti").select("url", F.col("by.position").alias("found_by"), F.col("by.at").alias("at"))
+        depth += 1
+        now = add(reached, ["found_by", "at", "url"], depth, total)
+        grown, total = now > total, now
+    pages = spark.read.schema(schema).parquet(path).join(known.withColumn("saved", F.lit(True)), "url", "left").withColumn("saved", F.coalesce("saved", F.lit(False)))
+    if not enough:
+        return pages
+    place = numbered(pages.filter("saved").select("position"), ["position"], "n", 1).filter(F.col("n") == max(max_pages, 1)).head()["position"] if max_pages > 0 else -1
+    return pages.filter(F.col("position") < _end_of_batch(pages, place, batch, total))
+
+
+def _end_of_batch(pages: DataFrame, place: int, batch: int, total: int) -> int:
+    """Where the batch that takes the page at ``place`` ends; a job for each batch that is shorter than ``batch``."""
+    at = 0
+    while at <= place:
+        # batches from here on are full up to the first whose last page is found too late to be in it
+        ends = pages.filter((F.col("position") >= at + batch - 1) & ((F.col("position") - at - batch + 1) % batch == 0) & (F.col("found_by") > F.col("position") - batch))
+        late = ends.agg(F.min("position").alias("p")).head()["p"]
+        short = late - batch + 1 if late is not None else at + (total - at) // batch * batch
+        if place < short:
+            return at + ((place - at) // batch + 1) * batch
+        at = pages.filter(F.col("found_by").isNull() | (F.col("found_by") < short)).count()
+    return at

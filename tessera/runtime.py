@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch where the session keeps Spark's default; a worker holds a batch several times over.
@@ -149,3 +150,18 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+def numbered(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+    """Add ``name``, the dense number of each row by ``order`` from ``first`` on; rows equal in ``order`` are numbered as they come.
+
+    Rows are sorted in ranges and numbered within them; a range's offset is the sum of the counts before it. No task holds more than a
+    range, and only a row for each range is ordered as a whole.
+    """
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    # the id holds the partition above bit 33 and the place within it below
+    ranged = rows.withColumns({"__range": F.shiftright("__at", 33), "__place": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__place") + first).drop("__at", "__range", "__place", "__before")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.manifest import STATUSES, latest
-from tessera.runtime import materialize
+from tessera.runtime import materialize, numbered
 from tessera.sources.vector_store import check_tenant
 from tessera.sources.versions import Versions
 
@@ -137,7 +137,6 @@ def update_stats(registry: DataFrame, stats: DataFrame, when: str) -> DataFrame:
 
 
 def next_seq(log: DataFrame, new: DataFrame) -> DataFrame:
-    """Number new entries after the log's last; a run's entries are a row per changed file."""
+    """Number new entries after the log's last, in order of their path."""
     top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))
-    number = F.row_number().over(Window.orderBy("source_path"))
-    return new.withColumn("__n", number).crossJoin(F.broadcast(top)).withColumn("seq", (F.col("__n") + F.col("top")).cast("long")).drop("__n", "top")  # ``top`` is one row
+    return numbered(new, ["source_path"], "__n", 1).crossJoin(F.broadcast(top)).withColumn("seq", (F.col("__n") + F.col("top")).cast("long")).drop("__n", "top")  # ``top`` is one row

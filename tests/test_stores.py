@@ -1,9 +1,11 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import cache, conversation, history, links, manifest
+from tessera.runtime import numbered
 from tessera.sources import config, pdf, stores
 from tessera.sources.vector_store import VectorStore
 from tessera.sources.versions import Versions
@@ -228,3 +230,45 @@ def test_config(tmp_path):
     with pytest.raises(config.ConfigError):
         config.tenant_config(tmp_path / "none.yaml", "acme")
     assert config.deep_merge({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}}
+
+
+def _queue(start, named, fetched, max_pages, batch):
+    """A crawl by a queue: the pages taken, in order, and the saved ones."""
+    queue, seen, taken, saved = [start], {start}, [], []
+    while queue and len(saved) < max_pages:
+        now, queue = queue[:batch], queue[batch:]
+        taken += now
+        saved += [u for u in now if u in fetched]
+        for link in [x for u in now if u in fetched for x in named.get(u, [])]:
+            if link not in seen:
+                seen.add(link)
+                queue.append(link)
+    return taken, saved
+
+
+@pytest.mark.parametrize("seed, batch, max_pages", [(1, 1, 12), (2, 4, 15), (3, 4, 1000), (4, 7, 9)])
+def test_crawl_order_is_a_queues(spark, seed, batch, max_pages):
+    """Pages in the order they are found, failed ones uncounted, whole batches beyond the limit."""
+    rng = random.Random(seed)
+    urls = [f"u{i:02}" for i in range(60)]
+    named = {u: rng.sample(urls, rng.choice([0, 1, 2, 5])) for u in urls}
+    named["u00"] = ["u07", "u03", "u07", "u00", "u50"]
+    fetched = {u for u in urls if rng.random() < 0.8} | {"u00", "u07", "u03"}
+    edges = spark.createDataFrame([(u, i, x) for u, found in named.items() for i, x in enumerate(found)] + [("u00", 9, None), (None, 0, "u59")], "url string, at long, link string")
+    one = lambda us: spark.createDataFrame([(u,) for u in us], "url string")
+    got = links.crawl_order(one(["u00", "u00", None]), edges, one(sorted(fetched)), max_pages, batch).orderBy("position").collect()
+    taken, saved = _queue("u00", named, fetched, max_pages, batch)
+    assert [r["url"] for r in got] == taken and [r["url"] for r in got if r["saved"]] == saved
+    assert [r["position"] for r in got] == list(range(len(taken)))
+
+
+def test_crawl_order_of_nothing(spark):
+    none = spark.createDataFrame([], "url string")
+    assert links.crawl_order(none, spark.createDataFrame([], "url string, at long, link string"), none, 5, 2).collect() == []
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    df = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5003).alias("v"), F.lit("x").alias("n_before"))
+    got = numbered(df, ["v"], "n", 10).collect()
+    assert [v for _, v in sorted((r["n"], r["v"]) for r in got)] == sorted((i * 7919) % 5003 for i in range(5000))
+    assert sorted(r["n"] for r in got) == list(range(10, 5010))
