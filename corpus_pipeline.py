@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encode", bpe_encode),
 ]
 
-#: Near-duplicate groups and token ids are beyond SQL; the tests hold every stage against a brute-force version.
+#: Near-duplicate groups and token ids are beyond SQL; the tests hold these two stages against plain versions, and the others against reports and planted cases of their operators.
 ORACLE_SQL = None
 
 
