@@ -1,10 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every row gets a hash-random key; rows are ordered by that key within their source, and a prefix sum of
-sizes tells where the source's budget ends. The prefix sum is distributed: keys fall into 4,096 equal
-ranges, sizes are summed per (source, range) with map-side combination, the few range totals are summed up
-within each source, and only rows of one range are sorted together. A source with a third of all rows is thus
-spread over thousands of groups. Budgets above a source's size repeat it in further epochs.
+sizes tells where the source's budget ends. The prefix sum is distributed: keys fall into equal ranges, 4,096 or
+more, sizes are summed per (source, range) with map-side combination, the range totals are summed up within each
+source, and only rows of one range are sorted together. A source with a third of all rows is thus spread over
+thousands of groups; ranges grow in number with the rows, and the mix does not depend on how many there are. Budgets above a source's size repeat it in further epochs.
 """
 
 from __future__ import annotations
@@ -22,8 +22,18 @@ SHARE = 1.5
 #: ... and no source more often than this.
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: The key is a hexadecimal digest; its first digits name one of 4,096 ranges.
+#: The key is a hexadecimal digest; its first digits, so many at least, name a range.
 RANGE_DIGITS = 3
+#: A range holds no more rows than this on average.
+RANGE_ROWS = 1 << 16
+
+
+def range_digits(rows: int) -> int:
+    """How many digits name a range for a table of so many rows."""
+    digits = RANGE_DIGITS
+    while rows > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -63,20 +73,21 @@ def mix_sources(
     max_epochs: int = MAX_EPOCHS,
     seed: str = SEED,
     tie: Column | None = None,
+    digits: int = RANGE_DIGITS,
 ) -> DataFrame:
     """Add source_size, target, weight, first_epochs, taken to rows with ``size`` (long) and a ``key``.
 
     ``taken`` is what the mix takes of the row, repeats counted: the source's whole epochs times the size, and in
     the last epoch what lies before the cut, so that each source gives exactly floor(target). Rows with equal keys
     follow in order of size, then of ``tie``. A null key is a key of its own, unlike an empty one; a null source is a source of
-    its own, ranked last. Empty input gives no rows. The result has the columns of ``df``; those that bear a name added
+    its own, ranked last. ``digits`` changes the plan only (see range_digits). Empty input gives no rows. The result has the columns of ``df``; those that bear a name added
     here are replaced; working columns begin with two underscores.
     """
     digest = F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), key.cast("string")), F.lit(f"{seed}")))
     # never null, so that the window and the join hash alike and rows move once
     group = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
     rows = df.withColumns({"__size": size.cast("long"), "__key": digest, "__group": group, "__tie": F.lit(0) if tie is None else tie})
-    rows = rows.withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+    rows = rows.withColumn("__range", F.substring("__key", 1, digits))
     ranges = rows.groupBy("__group", "__range").agg(F.sum("__size").alias("range_size"))
     totals = ranges.groupBy("__group").agg(F.sum("range_size").alias("source_size"))
     named = F.when(F.col("__group") != "", F.substring("__group", 2, 2**31 - 1))
@@ -108,7 +119,7 @@ def mix_report(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document; see mix_sources. Null texts have size 0."""
     narrow = documents.select("doc_id", "source", document_key().alias("key"), n_words(F.col("text")).alias("words"))
     narrow = materialize(narrow, "sizes")  # texts are read once; what moves is narrow
-    return mix_sources(narrow, F.col("words"), F.col("key")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(narrow, F.col("words"), F.col("key"), digits=range_digits(narrow.count())).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
@@ -120,7 +131,8 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """
     columns = documents.columns
     held = documents.select(F.struct(*columns).alias("row"), "doc_id", "source", document_key().alias("key"), F.xxhash64("text").alias("tie"), n_words(F.col("text")).alias("words"))
-    mixed = mix_sources(held, F.col("words"), F.col("key"), tie=F.col("tie")).withColumn("text", F.col("row")["text"])
+    digits = range_digits(documents.count())
+    mixed = mix_sources(held, F.col("words"), F.col("key"), tie=F.col("tie"), digits=digits).withColumn("text", F.col("row")["text"])
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("last_epoch") > 0).cast("long")).cast("int")
     pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("last_epoch").cast("int")), "")

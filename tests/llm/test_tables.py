@@ -100,6 +100,13 @@ def test_mix_against_a_loop(spark):
         assert t == pytest.approx(target[s]) and taken == int(t + 1e-9)
 
 
+def test_ranges_grow_with_the_rows_and_change_nothing(spark):
+    assert [mixing.range_digits(n) for n in (0, 10**8, 10**9, 10**12)] == [3, 3, 4, 6]
+    df = spark.range(0, 400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), (F.col("id") % 17).alias("words"))
+    runs = [sorted(map(str, mixing.mix_sources(df, F.col("words"), F.col("doc_id"), digits=d).collect())) for d in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mix_of_rows_without_or_with_one_id(spark):
     """Rows without doc_id have keys of their own, reruns agree on which of two equal sizes the cut takes, and added names are replaced."""
     text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
