@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tessera.runtime import numbered
 
 CITATIONS = "array<struct<marker:int,source:string,page:int,snippet:string,score:double>>"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _like(text: Column, pattern: Column) -> Column:
     """LIKE that ignores the case of A-Z only and knows no escape character."""
-    fold = lambda c: F.translate(c, _UPPER, _LOWER)
+    fold = lambda c: F.translate(c, UPPER, LOWER)
     return F.like(fold(text), F.replace(fold(pattern), F.lit("\x01"), F.lit("\x01\x01")), F.lit("\x01"))
 
 

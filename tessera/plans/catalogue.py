@@ -6,6 +6,7 @@ Documents stand for indexed chunks (``source`` is the tenant), ``benchmark`` for
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fx
 from tessera.operators import bm25, cache, chunking, conversation, dense, fusion, history, inverted, ivf, links, manifest, pages, prompt
+from tessera.operators.substrings import SubstringIndex
 from tessera.plans.retrieval import HybridRetriever, QAPipeline
 from tessera.runtime import load, materialize, scratch_path
 from tessera.sources import vector_store
@@ -501,6 +503,23 @@ def history_search(spark: SparkSession, sf: str) -> DataFrame:
     return history.matching(_history(spark, sf), "C_ICK")
 
 
+_SEARCHES = ("einheit", "TION%ouch", "er_der", "nowhere to be found", "de")
+
+
+@query(f"""WITH said AS (SELECT (conv_id * 1000 + turn)::BIGINT AS id, CASE WHEN role = 'user' THEN text END AS question, CASE WHEN role <> 'user' THEN text END AS answer FROM conversations),
+searches AS (SELECT unnest({list(_SEARCHES)}) AS search)
+SELECT search, id FROM searches, said WHERE question ILIKE '%' || search || '%' OR answer ILIKE '%' || search || '%'""")
+def history_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches of the turns of all conversations, through an index of trigrams that is made anew."""
+    said = load(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("id"), F.when(F.col("role") == "user", F.col("text")).alias("question"), F.when(F.col("role") != "user", F.col("text")).alias("answer")
+    )
+    index = SubstringIndex(spark, scratch_path(spark, "substrings"), 8, 8)
+    index.refresh(said)
+    found = [index.matching(said, s).select(F.lit(s).alias("search"), "id") for s in _SEARCHES]
+    return functools.reduce(DataFrame.union, found)
+
+
 @query(f"WITH {_SQL_HISTORY} SELECT id, CASE WHEN question = 'view' THEN 1 - starred ELSE starred END AS starred FROM history")
 def history_toggle_star(spark: SparkSession, sf: str) -> DataFrame:
     return history.toggle_star(_history(spark, sf), F.col("question") == "view").select("id", "starred")
