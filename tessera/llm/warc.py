@@ -9,7 +9,9 @@ pages are scanned, only narrow rows are grouped, and a payload moves once.
 from __future__ import annotations
 
 import gzip
+import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -142,8 +144,12 @@ def write_files(records: DataFrame, path: str) -> DataFrame:
     """Write records (page_id, record) as .warc.gz files below ``path``, one for each partition; (file, n_records, n_bytes) of each.
 
     ``path`` is a folder that all executors reach, as a path or a uri. A file is written under the name of its attempt and then
-    renamed, so that of several attempts at a partition one counts. A partition without records has no file.
+    renamed, so that of several attempts at a partition one counts. A partition without records has no file. Without a scheme the path
+    is one of each executor's own disk, and is refused outside local mode.
     """
+    master = records.sparkSession.sparkContext.master
+    if "://" not in path and not path.startswith("file:") and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError(f"{path}: name a folder that all executors share, with its scheme")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, n, size = TaskContext.get(), 0, 0
@@ -181,29 +187,54 @@ def compressed(records: DataFrame) -> DataFrame:
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)", re.I)
 
 
-def split_records(content: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header, block) of each record in the bytes of a WARC file, compressed or not; a broken tail ends it."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+def _inflated(content: bytes) -> tuple[bytes, str | None]:
+    """The bytes of a file, and what is wrong with its compression; what stands before a damaged place is kept."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    out = bytearray()
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        try:
+            while piece := members.read1(1 << 16):
+                out += piece
+        except (EOFError, OSError, zlib.error) as error:
+            return bytes(out), f"damaged compression: {error}"
+    return bytes(out), None
+
+
+def checked_records(content: bytes) -> Iterator[tuple[bytes | None, bytes, str | None]]:
+    """(header, block, None) of each record; where a file is damaged, at last (None, the bytes that make no record, what is wrong)."""
+    content, error = _inflated(content)
     at = 0
     while (end := content.find(b"\r\n\r\n", at)) >= 0:
         header = content[at : end + 4]
         found = _LENGTH.search(header)
         if not found or end + 4 + int(found[1]) > len(content):
-            return
+            error = error or ("a record is cut short" if found else "a record has no length")
+            break
         stop = end + 4 + int(found[1])
-        yield header, content[end + 4 : stop]
+        yield header, content[end + 4 : stop], None
         at = stop + 4 if content[stop : stop + 4] == b"\r\n\r\n" else stop
+    if error or at < len(content):
+        yield None, content[at:], error or "a header is cut short"
+
+
+def split_records(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(header, block) of each whole record in the bytes of a WARC file, compressed or not."""
+    return ((header, block) for header, block, error in checked_records(content) if error is None)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, at, header, block of every record of the WARC files under ``path``."""
-    schema = pa.schema([("path", pa.string()), ("at", pa.int32()), ("header", pa.binary()), ("block", pa.binary())])
+    """path, at, header, block, error of every record of the WARC files under ``path``.
+
+    A file that is damaged gives its whole records and then a row without header, whose error tells what is wrong and whose block holds the
+    bytes from there on. An empty file gives no rows. A file is held whole by a task, so none may pass 2 GB.
+    """
+    schema = pa.schema([("path", pa.string()), ("at", pa.int32()), ("header", pa.binary()), ("block", pa.binary()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                for i, (header, block) in enumerate(split_records(content)):
-                    yield batch_of(schema, path=[name], at=[i], header=[header], block=[block])
+                for i, (header, block, error) in enumerate(checked_records(content)):
+                    yield batch_of(schema, path=[name], at=[i], header=[header], block=[block], error=[error])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, at int, header binary, block binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, at int, header binary, block binary, error string")

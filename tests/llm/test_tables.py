@@ -147,6 +147,23 @@ def test_warc_files(spark, tmp_path):
     assert again == sorted(bytes(r["record"]) for r in records.collect())
 
 
+def test_damaged_archives_tell_so(spark, tmp_path):
+    """Whole records before the damage are kept; a last row tells what is wrong."""
+    record = lambda n: b"WARC/1.1\r\nContent-Length: 5\r\n\r\nbody%d\r\n\r\n" % n
+    whole = b"".join(gzip.compress(record(n)) for n in range(3))
+    files = {"good": whole, "cut": whole[:-12], "short": record(0) + record(1)[:-7], "bare": record(0) + b"WARC/1.1\r\n\r\nx", "tail": record(0) + b"WARC", "empty": b""}
+    for name, content in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(content)
+    got = {}
+    for r in warc.read_warc(spark, str(tmp_path)).orderBy("at").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1][:-5], []).append((bytes(r["block"]), r["error"], r["header"] is None))
+    assert got["good"] == [(b"body%d" % n, None, False) for n in range(3)] and "empty" not in got
+    for name, n in (("cut", 2), ("short", 1), ("bare", 1), ("tail", 1)):
+        assert [x[:2] for x in got[name][:n]] == [(b"body%d" % i, None) for i in range(n)] and len(got[name]) == n + 1
+        assert got[name][n][2] and got[name][n][1]
+    assert got["cut"][2][1].startswith("damaged compression") and got["bare"][1][1] == "a record has no length" and got["tail"][1][0] == b"WARC"
+
+
 def test_damaged_payloads_are_found(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "body")], "page_id long, url string, html string")
     warc.write_archive(pages, str(tmp_path / "a"))
