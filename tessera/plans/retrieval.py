@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import models
+from tessera.functions.services import NO_KEY
 from tessera.functions.text import hash_embedding
 from tessera.operators import bm25, conversation, dense, fusion, prompt
 from tessera.runtime import materialize
@@ -57,6 +59,15 @@ class QAPipeline:
     condense_turns: int = 3
     generation_turns: int = 1
 
+    def served(self, name: str, service: Callable[[str], Callable]) -> QAPipeline:
+        """The same with a language service that answers and condenses, each told its own task.
+
+        ``service`` makes a loader of what the model is told, as ``lambda system: services.chat(url, model, key, system)``. Where a key is missing
+        the question stays as it was asked.
+        """
+        rewrite = models.generator(f"{name}/condense", service(prompt.CONDENSE_PROMPT))
+        return replace(self, generate=models.generator(f"{name}/answer", service(prompt.SYSTEM_PROMPT)), condense=lambda text: F.nullif(rewrite(text), F.lit(NO_KEY)))
+
     def hits(self, questions: DataFrame, where: dict[str, Any] | None = None) -> DataFrame:
         """Ranked hits with text, source_path and page_number; the gap filter follows a reranker only."""
         found = self.retriever.search(questions, where).join(self.retriever.documents, "doc_id")

@@ -5,8 +5,11 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import models, services
+from tessera.operators import prompt
+from tessera.plans.retrieval import QAPipeline
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +66,13 @@ def test_chat_and_speech_need_a_key(server, monkeypatch):
     monkeypatch.setenv("TESSERA_TEST_KEY", "wrong")
     with pytest.raises(services.ServiceError, match="403"):
         ask(["hi"])
+
+
+def test_a_service_is_told_what_it_does(spark):
+    def service(system):
+        return lambda: lambda prompts: [services.NO_KEY if p == "no key" else f"{system}|{p}" for p in prompts]
+
+    plan = QAPipeline(None).served("test-service", service)
+    rows = spark.createDataFrame([(1, "hi"), (2, "no key"), (3, None)], "i long, p string").select("i", plan.generate(F.col("p")).alias("answer"), plan.condense(F.col("p")).alias("condensed")).collect()
+    got = {r["i"]: (r["answer"], r["condensed"]) for r in rows}
+    assert got == {1: (f"{prompt.SYSTEM_PROMPT}|hi", f"{prompt.CONDENSE_PROMPT}|hi"), 2: (services.NO_KEY, None), 3: (None, None)}
