@@ -72,3 +72,26 @@ def test_stored_by_tenant(spark, corpus, tmp_path):
 def test_empty(spark, corpus):
     none = inverted.build(corpus[0].limit(0), "tenant")
     assert none.count() == 0 and inverted.search(none, corpus[1], 5, "tenant").count() == 0
+
+
+@pytest.mark.parametrize("tenant", [None, "tenant"])
+def test_frequent_terms_are_dealt_over_slots_and_shards(corpus, monkeypatch, tenant):
+    documents, questions = corpus
+    names = documents.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("doc_id"), "text", "tenant")
+    monkeypatch.setattr(inverted, "BLOCK", 16)
+    whole = _rows(inverted.build(documents, tenant))
+    want = _rows(bm25.search(names, questions, 4, tenant))
+    for name, value in (("HOT", 40), ("FILE", 64), ("SHARD", 64), ("_HELD", 50)):
+        monkeypatch.setattr(inverted, name, value)
+    blocks = inverted.build(documents, tenant)
+    assert _rows(blocks) == whole
+    assert _rows(inverted.search(inverted.build(names, tenant), questions, 4, tenant)) == want
+
+
+def test_no_row_for_each_posting_and_question_moves(corpus):
+    documents, questions = corpus
+    blocks = inverted.build(documents, "tenant")
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in shown(inverted.search(blocks, questions, 3, "tenant")).splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and not any("doc_id" in line for line in moved)  # sums are made where a shard's postings are
+    assert shown(blocks).count("Exchange hashpartitioning(") == 1  # lists move once
