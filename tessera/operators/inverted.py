@@ -92,6 +92,13 @@ def _places(column: pa.Array) -> np.ndarray:
     return pc.rank(column, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _digests(docs: pa.Array) -> np.ndarray:
+    """``number`` of the doc_ids, before the remainder; made where it is asked for, as it would be the larger half of what moves."""
+    known = pc.dictionary_encode(docs, null_encoding="encode")
+    values = [0 if v is None else int.from_bytes(hashlib.md5(v.encode()).digest()[:4], "big") for v in known.dictionary.cast(pa.string()).to_pylist()]
+    return np.array(values, np.int64)[known.indices.to_numpy(zero_copy_only=False)]
+
+
 def _cut(batch: pa.RecordBatch, sizes: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``least`` postings."""
     at = np.concatenate([[0], np.cumsum(sizes)])
@@ -103,12 +110,11 @@ def _cut(batch: pa.RecordBatch, sizes: np.ndarray, least: int) -> Iterator[pa.Re
 
 
 def runs(documents: DataFrame, tenant: str | None = None) -> DataFrame:
-    """(scope, term, n, occurrences, docs, digests, counts, lengths): lists of postings of some documents, by term, with a digest of each doc_id and
-    its document's tokens. In rows without term, n counts documents and occurrences their tokens."""
-    digest = F.coalesce(number(F.col("doc_id").cast("string"), 1 << 32), F.lit(0).cast("long")).alias("digest")
-    kept = documents.select("doc_id", (F.col(tenant) if tenant else F.lit(0)).alias("scope"), "text", digest)
+    """(scope, term, n, occurrences, docs, counts, lengths): lists of postings of some documents, by term, with each document's number of
+    tokens. In rows without term, n counts documents and occurrences their tokens."""
+    kept = documents.select("doc_id", (F.col(tenant) if tenant else F.lit(0)).alias("scope"), "text")
     fields = [kept.schema["scope"], *T.StructType.fromDDL("term string, n long, occurrences long").fields, T.StructField("docs", T.ArrayType(kept.schema["doc_id"].dataType))]
-    schema = T.StructType([*fields, *T.StructType.fromDDL("digests array<int>, counts array<int>, lengths array<int>").fields])
+    schema = T.StructType([*fields, *T.StructType.fromDDL("counts array<int>, lengths array<int>").fields])
     # what a worker holds is given here, as constants of a module stand for their first values in workers
     held = _HELD
 
@@ -121,18 +127,18 @@ def runs(documents: DataFrame, tenant: str | None = None) -> DataFrame:
         none = _list(pa.array([], pa.int32()), np.zeros(len(n), np.int64))
         docs = _list(pa.array([], kind), np.zeros(len(n), np.int64))
         tokens = np.add.reduceat(total[order], begins) if len(order) else n
-        yield pa.RecordBatch.from_arrays([scope.take(pa.array(order[begins])), pa.nulls(len(n), pa.string()), pa.array(n), pa.array(tokens), docs, none, none, none], names=schema.names)
+        yield pa.RecordBatch.from_arrays([scope.take(pa.array(order[begins])), pa.nulls(len(n), pa.string()), pa.array(n), pa.array(tokens), docs, none, none], names=schema.names)
         if not parts:
             return
         scope, docs, terms = (pa.concat_arrays([x[i] for x in parts]) for i in (0, 1, 2))
-        digests, counts, lengths = (np.concatenate([x[i] for x in parts]) for i in (3, 4, 5))
+        counts, lengths = (np.concatenate([x[i] for x in parts]) for i in (3, 4))
         known = pc.dictionary_encode(terms)
         code, of = known.indices.to_numpy(), _codes(scope)
         order = np.argsort(of * len(known.dictionary) + code, kind="stable")
         begins = _changes(of[order], code[order])
         n = np.diff(np.append(begins, len(order)))
         first, order = pa.array(order[begins]), pa.array(order)
-        columns = [_list(c.take(order), n) for c in (docs, pa.array(digests), pa.array(counts), pa.array(lengths))]
+        columns = [_list(c.take(order), n) for c in (docs, pa.array(counts), pa.array(lengths))]
         made = [scope.take(first), known.dictionary.take(pa.array(code).take(first)), pa.array(n), pa.array(np.add.reduceat(counts[order.to_numpy()].astype(np.int64), begins))]
         yield from _cut(pa.RecordBatch.from_arrays([*made, *columns], names=schema.names), n, _SENT)
 
@@ -148,10 +154,9 @@ def runs(documents: DataFrame, tenant: str | None = None) -> DataFrame:
             texts.append((b.column("scope"), total))
             if n.sum():
                 owner = np.repeat(np.arange(b.num_rows), n)
-                digests = b.column("digest").to_numpy().astype(np.uint32).view(np.int32)[owner]
                 terms, counts = pa.array([t for c in found for t in c], pa.string()), np.array([k for c in found for k in c.values()], np.int32)
                 at = pa.array(owner)
-                parts.append((b.column("scope").take(at), b.column("doc_id").take(at), terms, digests, counts, total[owner].astype(np.int32)))
+                parts.append((b.column("scope").take(at), b.column("doc_id").take(at), terms, counts, total[owner].astype(np.int32)))
                 size += len(owner)
             if size >= held:
                 yield from lists(parts, texts)
@@ -165,7 +170,7 @@ def runs(documents: DataFrame, tenant: str | None = None) -> DataFrame:
 def build(documents: DataFrame, tenant: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(scope, bucket, term, band, part, df, idf, n, low, high, docs, impacts): a row for each block; docs are in order.
 
-    ``documents`` has doc_id, text. Statistics are each tenant's own; documents without a tenant form one. Null and empty texts count
+    ``documents`` has doc_id (an integer, a string, a date or a decimal), text. Statistics are each tenant's own; documents without a tenant form one. Null and empty texts count
     in them and have no postings. An empty table gives no blocks. Rows come together by tenant, bucket and file, as ``store`` writes them.
     """
     made = materialize(runs(documents, tenant), "runs")
@@ -180,7 +185,7 @@ def build(documents: DataFrame, tenant: str | None = None, buckets: int = BUCKET
     hot = facts.select(F.col("scope").alias("__s"), F.explode("hot").alias("x")).select("__s", F.col("x.term").alias("__t"), F.col("x.df").alias("df"), F.ceil(F.col("x.df") / HOT).alias("slots"))
     same = F.col("scope").eqNullSafe(F.col("__s"))
     of_hot = same & (F.col("term") == F.col("__t"))
-    names = ["scope", "term", "docs", "digests", "counts", "lengths"]
+    names = ["scope", "term", "docs", "counts", "lengths"]
     dealt = _slots(lists.join(hot, of_hot).select(*names, "df", "slots"), BLOCK)
     rest = lists.join(hot.select("__s", "__t"), of_hot, "left_anti").select(*names, F.lit(None).cast("long").alias("df"), F.lit(0).cast("long").alias("slot"))
     both = facts.join(stats.withColumnRenamed("scope", "__s"), same).select(F.col("scope").alias("__s"), "n_docs", "avgdl", "mean", (F.floor(F.col("postings") / (buckets * FILE)) + 1).alias("files"))
@@ -195,7 +200,7 @@ def build(documents: DataFrame, tenant: str | None = None, buckets: int = BUCKET
 
 def _slots(lists: DataFrame, block: int) -> DataFrame:
     """Lists of frequent terms, each dealt over the slots of its term by the part that a posting is in."""
-    names = ["scope", "term", "docs", "digests", "counts", "lengths", "df", "slot"]
+    names = ["scope", "term", "docs", "counts", "lengths", "df", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,16 +209,16 @@ def _slots(lists: DataFrame, block: int) -> DataFrame:
             size = pc.list_value_length(b.column("docs")).to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(b.num_rows), size)
             df, slots = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[owner] for c in ("df", "slots"))
-            part = b.column("digests").flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64) % -(-df // block)
+            part = _digests(b.column("docs").flatten()) % -(-df // block)
             slot = part % slots
             order = np.lexsort((slot, owner))
             begins = _changes(owner[order], slot[order])
             n = np.diff(np.append(begins, len(order)))
             of, at = pa.array(owner[order][begins]), pa.array(order)
-            columns = [b.column("scope").take(of), b.column("term").take(of), *(_list(b.column(c).flatten().take(at), n) for c in names[2:6]), b.column("df").take(of), pa.array(slot[order][begins])]
+            columns = [b.column("scope").take(of), b.column("term").take(of), *(_list(b.column(c).flatten().take(at), n) for c in names[2:5]), b.column("df").take(of), pa.array(slot[order][begins])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = T.StructType([*lists.schema.fields[:6], *T.StructType.fromDDL("df long, slot long").fields])
+    schema = T.StructType([*lists.schema.fields[:5], *T.StructType.fromDDL("df long, slot long").fields])
     return lists.mapInArrow(run, schema)
 
 
@@ -257,11 +262,12 @@ def _blocks_of(table: pa.Table, names: list[str], block: int, bands: int) -> Ite
     df = pc.coalesce(_column(heads, "df"), pa.array(np.bincount(group, minlength=len(begins)))).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = np.log(n_docs - df + 0.5) - np.log(df + 0.5)
     idf = np.where(raw < 0, bm25.EPSILON * mean, raw)
-    docs, digest, f, dl = (_column(table, c).flatten() for c in ("docs", "digests", "counts", "lengths"))
+    docs, f, dl = (_column(table, c).flatten() for c in ("docs", "counts", "lengths"))
     f, dl = f.to_numpy(zero_copy_only=False).astype(np.float64), dl.to_numpy(zero_copy_only=False).astype(np.float64)
     impact = f * (bm25.K1 + 1) / (f + bm25.K1 * ((1 - bm25.B) + bm25.B * dl / avgdl[group]))
     often = (df > block)[group]
-    part = np.where(often, digest.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64) % -(-df // block)[group], 0)
+    part = np.zeros(len(group), np.int64)
+    part[often] = _digests(docs.filter(pa.array(often))) % -(-df // block)[group[often]]
     band = np.where(often, np.floor(impact * bands), 0).astype(np.int32)
     order = np.lexsort((impact, _places(docs), part, band, group))
     impact, part, band, group = impact[order], part[order], band[order], group[order]
