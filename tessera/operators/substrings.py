@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators import history
-from tessera.runtime import materialize
+from tessera.runtime import materialize, shuffle_partitions
 from tessera.sources.buckets import number, read_or_none
 
 #: Postings are read for so many trigrams of a search, the rarest ones.
 RAREST = 4
 #: Folders of postings by trigram, and of rows by id.
 BUCKETS, PLACES = 64, 64
-#: A trigram that many entries hold is written by so many tasks.
-PARTS = 8
+#: A folder of postings is written by so many tasks at least, and a task writes postings of about so many bytes of text at most.
+PARTS, PART_BYTES = 8, 1 << 20
 _WIDTH = 3
 
 _GRAMS = "gram string, n long, bucket int"
@@ -72,11 +72,18 @@ class SubstringIndex:
         texts = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), trigrams(F.col(c)).alias("grams")) for i, c in enumerate(("question", "answer")))))
         held = new.select("id", "place", texts.alias("t")).select(F.explode("t.grams").alias("gram"), F.col("id").cast("long"), "t.field", "place")
         held = held.withColumn("bucket", number(F.col("gram"), self.buckets))
-        dealt = held.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PARTS))).sortWithinPartitions("bucket", "gram")
+        # a task's share is bounded, however many entries come: their folders are dealt by id
+        size = new.agg(F.sum(F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0]
+        part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+        parts = max(PARTS, 1 + size // (self.buckets * PART_BYTES))
+        tasks = max(shuffle_partitions(self.spark), self.buckets * parts)
+        dealt = held.repartition(tasks, "bucket", part(parts)).sortWithinPartitions("bucket", "gram")
         self._write(dealt, "postings", "bucket")
         counted = held.groupBy("gram", "bucket").agg(F.count("*").alias("n"))
         self._write(counted.repartition("bucket").sortWithinPartitions("gram"), "grams", "bucket")
-        self._write(new.repartition("place").sortWithinPartitions("id"), "rows", "place")
+        parts = 1 + size // (self.places * 16 * PART_BYTES)  # rows take less than their postings
+        tasks = max(shuffle_partitions(self.spark), self.places * parts)
+        self._write(new.repartition(tasks, "place", part(parts)).sortWithinPartitions("id"), "rows", "place")
 
     def _folders(self, table: DataFrame, grams: list[str]) -> DataFrame:
         """The rows of ``table`` for these trigrams; the folders are named, so that others are not listed."""

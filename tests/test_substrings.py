@@ -69,3 +69,17 @@ def test_one_text_must_hold_it_all(spark, tmp_path):
     index.refresh(log)
     assert [r["id"] for r in index.matching(log, "half%part").collect()] == [2]
     assert sorted(r["id"] for r in index.candidates("first%half").collect()) == [1, 2]
+
+
+def test_a_task_writes_a_bounded_share(spark, tmp_path, monkeypatch):
+    from tessera.operators import substrings
+
+    monkeypatch.setattr(substrings, "PART_BYTES", 50)
+    log = _log(spark, 400)
+    index = SubstringIndex(spark, str(tmp_path / "i"), 2, 2)
+    index.refresh(log)
+    rows, postings = ([spark.read.parquet(str(f)).count() for f in (tmp_path / "i" / name).rglob("*.parquet")] for name in ("rows", "postings"))
+    assert sum(rows) == 400 and max(rows) < 400 / 2  # with one task for a place it has 200 or so
+    assert max(postings) < sum(postings) / (2 * 8)  # and with eight for a bucket, a sixteenth
+    for search in ("rollback", "pha%e"):
+        assert sorted(r["id"] for r in index.matching(log, search).collect()) == sorted(r["id"] for r in history.matching(log, search).collect())
