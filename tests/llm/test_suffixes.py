@@ -89,3 +89,39 @@ def test_ranks_follow_bytes():
     assert ranks.tolist() == [number[w] for w in windows]
     earlier, later = suffixes.other_factors(np.array([0, 1, 0, 1, 0, 2, 2]), np.array([5, 3, 2, 3, 9, 1, 0]))
     assert earlier.tolist() == [True, False, False, False, True, True, False] and later.tolist() == [True, False, True, False, False, False, True]
+
+
+def test_a_window_lies_in_one_surroundings_and_one_piece():
+    """Surroundings of a text's anchors share no window and leave none out; so do pieces, and equal windows of one gram have equal cores."""
+    rng = random.Random(8)
+    prose = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    passage, length, found = prose(120), 40, defaultdict(set)
+    for data in (prose(150) + passage + prose(90), prose(33) + passage, b"ab" * 90, prose(39), passage):
+        places, low, high, _, gram, _ = suffixes.anchors_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), length)
+        assert [s for a, z in zip(low.tolist(), high.tolist(), strict=True) for s in range(a, z - length + 1)] == list(range(len(data) - length + 1))
+        for place, a, z, g in zip(places.tolist(), low.tolist(), high.tolist(), gram.tolist(), strict=True):
+            pieces = sorted(suffixes.pieces_of(data, place, a, z, length), key=lambda p: p["start"])
+            assert [s for p in pieces for s in range(p["start"], p["end"] - length + 1)] == list(range(a, z - length + 1))
+            for p in pieces:
+                for s in range(p["start"], p["end"] - length + 1):
+                    found[data[s : s + length]].add((g, p["core"]))
+    assert all(len(x) == 1 for x in found.values())
+
+
+def test_rows_of_a_hot_passage(spark, monkeypatch):
+    """A passage in many different texts meets itself in pieces: fewer rows than bytes, in proportion to the texts."""
+    monkeypatch.setattr(suffixes, "BUCKET", 8)
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = prose(400)
+
+    def rows(n):
+        counts = {}
+        monkeypatch.setattr(suffixes, "materialize", lambda df, name: counts.update({name: df.count()}) or df)
+        texts = spark.createDataFrame([(i, prose(250) + passage + prose(250)) for i in range(n)], "doc_id long, text string").cache()
+        assert {r["n_removed"] >= 400 for r in suffixes.substring_report(texts).collect()} == {True}
+        return counts["pieces"], counts["dealt"]
+
+    few, many = rows(40), rows(80)
+    assert many[0] + many[1] < 80 * 100
+    assert sum(many) < 3 * sum(few)
