@@ -219,11 +219,13 @@ class Hosts:
 
     def __init__(self) -> None:
         self.raw: list[bytes] = []
+        self.copies: list[int] = []  # the text of each
         self.kept: np.ndarray | None = None  # made when a second sketch comes
 
-    def add(self, raw: bytes) -> None:
+    def add(self, raw: bytes, copy: int) -> None:
         if not self.raw:
             self.raw.append(raw)
+            self.copies.append(copy)
             return
         if len(self.raw) == MOST_HOSTS or raw in self.raw:
             return
@@ -234,12 +236,13 @@ class Hosts:
         other, _, within = differing(sketch, self.kept[:n])
         if not other.all():
             if len(of := np.flatnonzero(~other & within)):  # the text has all of an excerpt, which told nothing apart
-                self.kept[of[0]], self.raw[of[0]] = sketch, raw
+                self.kept[of[0]], self.raw[of[0]], self.copies[of[0]] = sketch, raw, copy
             return
         if n == len(self.kept):
             self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
         self.kept[n] = sketch
         self.raw.append(raw)
+        self.copies.append(copy)
 
     def apart(self) -> bool:
         """Whether two of them are not even near copies."""
@@ -247,7 +250,7 @@ class Hosts:
 
 
 def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key and sketch of a task's own hosts, from keys and sketch of texts."""
+    """key, copy and sketch of a task's own hosts, from copy, keys and sketch of texts."""
     hosts: dict[int, Hosts] = {}
 
     more = 0
@@ -255,16 +258,17 @@ def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     def found() -> pa.RecordBatch:
         held = list(hosts.values())
         keys = np.repeat(np.fromiter(hosts, np.int64, len(hosts)), [len(h.raw) for h in held])
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x for h in held for x in h.raw], pa.binary())], names=["key", "sketch"])
+        copies = pa.array([x for h in held for x in h.copies], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(keys), copies, pa.array([x for h in held for x in h.raw], pa.binary())], names=["key", "copy", "sketch"])
 
     for b in batches:
-        for keys, raw in zip(b.column("keys").to_pylist(), b.column("sketch").to_pylist(), strict=True):
+        for copy, keys, raw in zip(b.column("copy").to_pylist(), b.column("keys").to_pylist(), b.column("sketch").to_pylist(), strict=True):
             for k in keys:
                 if k not in hosts:
                     hosts[k] = Hosts()
                     more -= 1
                 before = len(hosts[k].raw)
-                hosts[k].add(raw)
+                hosts[k].add(raw, copy)
                 more += len(hosts[k].raw) - before
             if len(hosts) >= _HELD_KEYS or more >= _HELD_SKETCHES:
                 yield found()
@@ -274,34 +278,35 @@ def _partial_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _all_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, its number of hosts (MOST_HOSTS stands for more), and whether two are apart; rows are in order of keys."""
+    """key, its number of hosts (MOST_HOSTS stands for more), whether two are apart, and a text of each; rows are in order of keys."""
     key, hosts = None, Hosts()
-    row = lambda: (key, len(hosts.raw), hosts.apart())
+    row = lambda: (key, len(hosts.raw), hosts.apart(), hosts.copies)
     for b in batches:
         out = []
-        for k, raw in zip(b.column("key").to_pylist(), b.column("sketch").to_pylist(), strict=True):
+        for k, copy, raw in zip(b.column("key").to_pylist(), b.column("copy").to_pylist(), b.column("sketch").to_pylist(), strict=True):
             if k != key:
                 if hosts.raw:
                     out.append(row())
                 key, hosts = k, Hosts()
-            hosts.add(raw)
+            hosts.add(raw, copy)
         yield _host_rows(out)
     yield _host_rows([row()] if hosts.raw else [])
 
 
-def _host_rows(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.bool_()))], names=["key", "hosts", "apart"])
+def _host_rows(rows: list[tuple[int, int, bool, list[int]]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["key", "hosts", "apart", "copies"])
 
 
 def hosts_of(keyed: DataFrame, texts: DataFrame) -> DataFrame:
-    """key, hosts, apart from rows of key, copy, least (texts that it takes at least); ``texts`` has the sketch of each copy."""
+    """key, hosts, apart, copies (a text of each host) from rows of key, copy, least (texts that it takes at least); ``texts`` has the sketch of each copy."""
     own = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("least").alias("least"), F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("texts"))
     counts = materialize(own.filter(F.col("n") >= F.col("least")).select("key", "n", "texts"), "counts")
     shown = materialize(counts.groupBy("n", "texts").agg(F.min("key").alias("key")), "shown")  # keys of the same texts have the same hosts
     often = keyed.join(shown.select("key").hint("shuffle_hash"), "key").groupBy("copy").agg(F.collect_list("key").alias("keys"))  # at most the keys of the text's own lines
-    part = often.join(texts, "copy").select("keys", "sketch").mapInArrow(_partial_hosts, "key long, sketch binary")
-    found = materialize(part.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_all_hosts, "key long, hosts int, apart boolean"), "hosts")
-    return materialize(found.join(shown, "key").drop("key").join(counts, ["n", "texts"]).select("key", "hosts", "apart"), "counted")
+    part = often.join(texts, "copy").select("copy", "keys", "sketch").mapInArrow(_partial_hosts, "key long, copy long, sketch binary")
+    found = materialize(part.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_all_hosts, "key long, hosts int, apart boolean, copies array<long>"), "hosts")
+    return materialize(found.join(shown, "key").drop("key").join(counts, ["n", "texts"]).select("key", "hosts", "apart", "copies"), "counted")
 
 
 def recurring_lines(rows: DataFrame) -> DataFrame:
@@ -318,11 +323,19 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     runs = materialize(passage_rows(several), "passages")
     single = held.filter("again").select(F.col("line").alias("key"), "copy", needed_contexts(F.col("size")).alias("least")).distinct()
     instances = template_lines(held, routed)
-    of_templates = held.select("line", "copy").join(instances, "line").select("key", "copy", "least").distinct()
-    keyed = materialize(single.union(runs.select("key", "copy", F.lit(2))).union(of_templates), "keyed")
+    # lines that stand in the same templates have their hosts counted once, together; a template's hosts are merged from one text of each
+    # of these, MOST_HOSTS at most for each such class, so its rows grow neither with the texts of a frequent line nor with a line's variants
+    alike = F.xxhash64(F.bit_xor(F.xxhash64("key")), F.count("*"))
+    classes = materialize(instances.groupBy("line").agg(alike.alias("class")), "classes")
+    of_classes = held.select("line", "copy").join(classes, "line").select("class", "copy", F.lit(1)).distinct()
+    keyed = materialize(single.union(runs.select("key", "copy", F.lit(2))).union(of_classes), "keyed")
     counted = hosts_of(keyed, texts)
+    parts = instances.join(classes, "line").groupBy("key", "class").agg(F.max("least").alias("least"))
+    parts = materialize(parts.join(counted.select(F.col("key").alias("class"), "hosts", "copies"), "class"), "parts")
+    merged = hosts_of(materialize(parts.select("key", F.explode("copies").alias("copy"), "least").distinct(), "merged"), texts)
+    hosts = parts.select("key", "hosts").union(merged.select("key", "hosts")).groupBy("key").agg(F.max("hosts").alias("hosts"))
     alone = single.select("key", "least").distinct().join(counted, "key").filter(F.col("hosts") >= F.col("least")).select(F.col("key").alias("line"))
-    general = instances.join(counted, "key").filter(F.col("hosts") >= F.col("least")).select("line")
+    general = instances.join(hosts, "key").filter(F.col("hosts") >= F.col("least")).select("line")
     dropped = held.select("copy", "line").join(materialize(alone.union(general).distinct(), "dropped"), "line", "left_semi")
     return dropped.unionByName(_lines_of_passages(runs, counted)).distinct()
 

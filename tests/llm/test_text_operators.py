@@ -454,3 +454,35 @@ def test_a_leaf_has_many_templates(spark):
         texts.append("\n".join([*own[:2], forms[i % 3].format(line(1)), *own[2:]]))
         want.append("\n".join(own))
     assert _dropped(spark, texts) == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("hosts", [9, 10])
+def test_hosts_of_a_template_are_merged_from_its_lines(spark, hosts):
+    """A line in near copies of one text, which are one host, and its variants in other texts: the template recurs from ten hosts on."""
+    line = _prose(35)
+    form, whole = "the server says that {} has left us for good today", [line(9) for _ in range(12)]
+    texts, want = [], []
+    for k in range(15):
+        edited = whole[:]
+        edited[k % 6] = " ".join([*edited[k % 6].split()[:-1], line(1)])
+        texts.append("\n".join([*edited[:4], form.format("north"), *edited[4:]]))
+        want.append("\n".join(edited))
+    for _ in range(hosts - 1):
+        own = [line() for _ in range(4)]
+        texts.append("\n".join([*own, form.format(line(1))]))
+        want.append("\n".join(own))
+    assert _dropped(spark, texts) == dict(enumerate(want if hosts == 10 else texts))
+
+
+def test_rows_of_a_hot_line_of_many_templates(spark, monkeypatch):
+    """A line in many texts, with variants in others, stands in dozens of templates: hosts are not counted for each text and template."""
+    line = _prose(36)
+    hot = line(19).split()
+
+    variants = [" ".join([*hot[:at], line(1), *hot[at + 1 :]]) for at in range(3, 19) for _ in range(8)]
+    texts = ["\n".join([line(), line(), x]) for x in [" ".join(hot)] * 320 + variants]
+    made, materialized = {}, linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda df, name: made.setdefault(name, []).append(out := materialized(df, name)) or out)
+    assert _dropped(spark, texts) == {i: "\n".join(t.split("\n")[:2]) for i, t in enumerate(texts)}
+    rows = sum(x.count() for name in ("keyed", "merged") for x in made.get(name, []))  # of keys and texts whose hosts are counted
+    assert rows < linededup.MOST_HOSTS * len(texts)
